@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_query
+from .crf import op3_query
 from .packing import op6_query
+from .rules import op10_query
+from .sharding import op5_query
 from .simhash import op1_query
 from .tokens import op2_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_query,
     "op2_token_output": op2_query,
+    "op3_quality_crf": op3_query,
+    "op5_sharding": op5_query,
     "op6_packing": op6_query,
     "op8_bpe": op8_query,
+    "op10_quality_rules": op10_query,
 }
 
 ORACLE: dict[str, str] = {}
