@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_query
 from .crf import op3_query
+from .html import op9_query
 from .packing import op6_query
 from .rules import op10_query
 from .sharding import op5_query
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_query,
     "op6_packing": op6_query,
     "op8_bpe": op8_query,
+    "op9_html_extraction": op9_query,
     "op10_quality_rules": op10_query,
 }
 
