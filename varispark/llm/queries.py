@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op8_query
 from .crf import op3_query
 from .html import op9_query
+from .lines import op4_query
 from .packing import op6_query
 from .rules import op10_query
 from .sharding import op5_query
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_query,
     "op2_token_output": op2_query,
     "op3_quality_crf": op3_query,
+    "op4_line_dedup": op4_query,
     "op5_sharding": op5_query,
     "op6_packing": op6_query,
     "op8_bpe": op8_query,
