@@ -124,10 +124,11 @@ def test_token_table(spark):
 def test_word_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_WORDS", 2)
     enc = tokens.WordEncoder(tokens.vocabulary("word_bpe_49k.json"))
-    texts = [b"one two three", b"four five", "ΑΣ Σ ΣΑΣ é".encode()]
-    again = enc.encode(texts)
-    assert again == enc.encode(texts)
-    assert [np.frombuffer(x, enc.dtype).tolist() for x in again] == [enc._ids(t.decode()) for t in texts]
+    texts = [x.encode() for x in ("one two three one", "four five", "ΑΣ Σ ΣΑΣ é", "The THING, it's Straße!! ÀÉ.. w\u030a W\u030a a'b ''s <|endoftext|> 12 x1 ÿ× ª")]
+    want = [enc.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == want
+    assert enc.short and len(enc) <= 2
 
 
 def test_packing_pieces_cover_everything(spark):
@@ -142,7 +143,7 @@ def test_packing_pieces_cover_everything(spark):
         rows.sort(key=lambda r: r["start"])
         assert [r["start"] for r in rows] == [sum(x["length"] for x in rows[:k]) for k in range(len(rows))]
         whole = np.frombuffer(b"".join(r["ids"] for r in rows), "<u4").tolist()
-        assert whole == [*enc._ids([*ODD, "word " * 9000][i] or ""), 2] and len(whole) == rows[0]["doc_tokens"]
+        assert whole == [*enc.tokenizer.encode([*ODD, "word " * 9000][i] or "", add_special_tokens=False).ids, 2] and len(whole) == rows[0]["doc_tokens"]
     for rows in by_seq.values():
         rows.sort(key=lambda r: r["offset"])
         assert [r["offset"] for r in rows] == [sum(x["length"] for x in rows[:k]) for k in range(len(rows))]

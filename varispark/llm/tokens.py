@@ -10,6 +10,7 @@ A row is an ordinary Parquet row, so a lost task is simply written again, and on
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,62 +21,60 @@ from pyspark.sql import functions as F
 
 from .common import new_path, read, written
 
-#: A control character between words that are encoded together; words that hold it are encoded alone.
-_GAP = "\x02"
-#: Words whose ids a Python worker remembers; at the bound it starts afresh.
-CACHE_WORDS = 300_000
+#: Words whose ids a Python worker remembers, in each of two generations.
+CACHE_WORDS = 400_000
+#: A Latin word and the marks after it: these two are pre-tokens of their own in the tokenizer's pattern.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Ids of whole texts by a tokenizer of the tokenizers library that splits at white space and drops it.
 
     Such a tokenizer encodes a text as the concatenation of what it makes of the parts between ASCII white space, so
-    every distinct part is encoded once and remembered.
+    every distinct part is encoded once and remembered: the dictionary has the parts' ids as little-endian bytes.
+    Plain words go to the tokenizer's model as it would pre-tokenise them, all else through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        (self.gap,) = self._ids(_GAP)
-        self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if _GAP.encode() not in w]
-        for i in range(0, len(plain), 4000):
-            part = plain[i : i + 4000]
-            ids = np.array(self._ids(f" {_GAP} ".join(w.decode() for w in part)), self.dtype)
-            cuts = np.flatnonzero(ids == self.gap) * self.dtype.itemsize
-            raw, starts, ends = ids.tobytes(), [0, *(cuts + self.dtype.itemsize).tolist()], [*cuts.tolist(), ids.nbytes]
-            if len(starts) != len(part):
-                raise ValueError("the tokenizer doesn't keep words apart")
-            self.known.update((w, raw[a:b]) for w, a, b in zip(part, starts, ends, strict=True))
-        for w in words:
-            if _GAP.encode() in w:
-                self.known[w] = np.array(self._ids(w.decode()), self.dtype).tobytes()
+        self.size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.model, self.older = self.tokenizer.model, {}
+        self.raw = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.size)]
+        level, letters = ByteLevel(add_prefix_space=False, use_regex=False), [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
+        self.spelled = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters})
+        # Lower case and no white space are what the shortcut takes for granted; one word with all of it must agree.
+        self.short = True
+        for probe in ("ThingÀÖØÞß,.", "ÿöNa!!", "Straßen", "a'", "the"):
+            self.short &= self._short(_PLAIN.fullmatch(probe)) == self._whole(probe)
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _short(self, m: re.Match) -> bytes:
+        raw, word = self.raw, m[1].lower()
+        out = b"".join([raw[t.id] for t in self.model.tokenize(word if word.isascii() else word.translate(self.spelled))])
+        return out + b"".join([raw[t.id] for t in self.model.tokenize(m[2])]) if m[2] else out
+
+    def __missing__(self, key: bytes) -> bytes:
+        ids = self.older.get(key)
+        if ids is None:
+            word = key.decode()
+            ids = self._short(m) if self.short and (m := _PLAIN.fullmatch(word)) else self._whole(word)
+        if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[key] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text, in UTF-8, its ids as little-endian bytes of self.dtype."""
-        out, at = [], 0
-        while at < len(texts):
-            split, size = [], 0
-            while at < len(texts) and size < 1 << 22:
-                split.append(texts[at].split())
-                size += len(texts[at])
-                at += 1
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            if missing := {w for words in split for w in words if w not in self.known}:
-                self._learn(list(missing))
-            known = self.known
-            out += [b"".join([known[w] for w in words]) for words in split]
-        return out
+        return [b"".join(map(self.__getitem__, x.split())) for x in texts]
 
 
 @lru_cache(maxsize=2)
@@ -118,7 +117,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
-        counts = np.zeros(max(encoder.tokenizer.get_vocab_size(), end_id + 1), np.int64)
+        counts = np.zeros(max(encoder.size, end_id + 1), np.int64)
         for b in batches:
             ids = [x + end for x in encoder.encode(texts_of(b.column(1)))]
             counts += np.bincount(np.frombuffer(b"".join(ids), encoder.dtype), minlength=len(counts))
@@ -162,31 +161,27 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
     spark = docs.sparkSession
     tokens = written(tokenized(docs, tokenizer, end_id), "ids")
     order = rank_order(id_counts(tokens))
-    wide = len(word_encoder(tokenizer).tokenizer.get_vocab()) > 1 << 16
+    width = word_encoder(tokenizer).dtype
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            coded = [encode_varint(rank[np.frombuffer(x, "<u4" if wide else "<u2")]) for x in b.column(1).to_pylist()]
-            size = [len(x) // (4 if wide else 2) for x in b.column(1).to_pylist()]
-            yield pa.record_batch({"doc_id": b.column(0), "n_tokens": pa.array(size, pa.int64()), "control": pa.array([x for x, _ in coded], pa.binary()), "data": pa.array([x for _, x in coded], pa.binary())})
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
         for b in batches:
-            n = b.column(1).to_numpy()
+            ids = [np.frombuffer(x, width) for x in b.column(1).to_pylist()]
+            n = np.array([len(x) for x in ids], np.int64)
+            coded = [encode_varint(rank[x]) for x in ids]
             starts = before + np.cumsum(n) - n
             before += int(n.sum())
-            yield pa.record_batch({"part": pa.array(np.full(len(n), part, np.int64)), "doc_id": b.column(0), "part_start": pa.array(starts), "n_tokens": b.column(1), "control": b.column(2), "data": b.column(3)})
+            control, data = (pa.array([x[k] for x in coded], pa.binary()) for k in (0, 1))
+            yield pa.record_batch({"part": pa.array(np.full(len(n), part, np.int64)), "doc_id": b.column(0), "part_start": pa.array(starts), "n_tokens": pa.array(n), "control": control, "data": data})
 
-    fields = "doc_id long, n_tokens long, control binary, data binary"
-    coded = tokens.where("ids is not null").select("doc_id", "ids").mapInArrow(encode, fields)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = coded.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(number, "part long, doc_id long, part_start long, n_tokens long, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/tokens")
+    order_by = F.col("doc_id").asc_nulls_first()
+    ordered = tokens.where("ids is not null").select("doc_id", "ids").repartitionByRange(n, order_by).sortWithinPartitions(order_by)
+    ordered.mapInArrow(encode, "part long, doc_id long, part_start long, n_tokens long, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/tokens")
     spark.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, order.tolist()))), ","))).selectExpr("pos as rank", "cast(col as long) as id").write.parquet(f"{path}/ranks")
 
 
