@@ -10,6 +10,7 @@ from .bpe import op8_query
 from .crf import op3_query
 from .html import op9_query
 from .lines import op4_query
+from .neighbours import op7_query
 from .packing import op6_query
 from .rules import op10_query
 from .sharding import op5_query
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_query,
     "op5_sharding": op5_query,
     "op6_packing": op6_query,
+    "op7_embeddings": op7_query,
     "op8_bpe": op8_query,
     "op9_html_extraction": op9_query,
     "op10_quality_rules": op10_query,
