@@ -1,7 +1,13 @@
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
 
+sys.path[:0] = [str(Path(__file__).parent.parent), str(Path(__file__).parent / "llm")]
+
+
 @pytest.fixture(scope="session")
 def spark():
     s = (
