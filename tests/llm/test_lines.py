@@ -69,8 +69,10 @@ def brute(texts, k=2, least=20):
     return links, gone
 
 
-@pytest.mark.parametrize("k", [1, 2, 3])
-def test_lines_match_brute_force(spark, k):
+@pytest.mark.parametrize("k,limit", [(1, 16), (2, 2), (2, 16), (3, 4)])
+def test_lines_match_brute_force(spark, k, limit, monkeypatch):
+    monkeypatch.setattr(lines, "PAIR_LIMIT", limit)
+    monkeypatch.setattr(lines, "BLOCK", 3)
     rng = random.Random(k)
     base = ["".join(rng.choices("abcdé fgh", k=rng.randrange(18, 60))) for _ in range(25)]
     pool = base + [edited(rng, x, rng.randrange(1, 5)) for x in base for _ in range(3)] + ["short", "shirt", "", "  ", "short"]

@@ -11,6 +11,7 @@ with a banded bit-parallel edit distance. Equal lines are one line throughout, t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,9 @@ MAX_DISTANCE = 2
 MIN_CHARS = 20
 #: Bits of the map of lines wanted for verification: 2 MB, whatever the input; when full, it only lets more through.
 MAP_WORDS = 1 << 18
+#: Lines under one key up to which each pair is a candidate; more are compared in blocks of BLOCK lines.
+PAIR_LIMIT = 16
+BLOCK = 512
 #: Entries of segment keys that a task holds before it passes them on.
 HELD = 1_500_000
 _ENTRY = np.dtype([("low", "<u4"), ("top", "u1"), ("line", "<i8")])  # 38 bits of key, 2 of role; line hash
@@ -148,7 +152,10 @@ def has_word(line: str) -> bool:
 
 
 def candidates(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS) -> DataFrame:
-    """(u, v): hashes, u > v, of different lines that share a segment where the join looks for it.
+    """(g, u, v): hashes of lines that share a segment where the join looks for it.
+
+    Where g is null, u > v are two different lines to be verified. Where many lines share a key, their pairs would
+    grow with the square: there g is the key, and u is one of its lines.
 
     Entries travel packed in rows of one bucket each, so the shuffle moves few large rows; a bucket has the entries
     of many keys, and equal entries of one task travel once.
@@ -210,28 +217,32 @@ def candidates(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS) -
         size = np.diff(np.append(first, len(key)))
         several = np.concatenate(([False], (key[1:] == key[:-1]) & (line[1:] != line[:-1])))
         some = np.maximum.reduceat(several, first)
-        found: list[np.ndarray] = []
+        rows: list[np.ndarray] = []
         held = 0
-        for a, s in zip(first[some].tolist(), size[some].tolist(), strict=True):
-            own, r = line[a : a + s], role[a : a + s]
-            index, probe = np.unique(own[r & 1 > 0]), np.unique(own[r & 2 > 0])
-            for at in range(0, len(probe), 1024):
-                x, y = np.meshgrid(index, probe[at : at + 1024])
-                pair = np.stack((np.maximum(x, y).ravel(), np.minimum(x, y).ravel()), 1)
-                found.append(pair[pair[:, 0] != pair[:, 1]])
-                held += len(pair)
-                if held > 1 << 18:
-                    yield pairs(found)
-                    found, held = [], 0
-        if found:
-            yield pairs(found)
-
-    def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-        p = np.unique(np.concatenate(found), axis=0)
-        return pa.record_batch({"u": pa.array(p[:, 0]), "v": pa.array(p[:, 1])})
+        for a, n_rows in zip(first[some].tolist(), size[some].tolist(), strict=True):
+            own, r = line[a : a + n_rows], role[a : a + n_rows]
+            every = np.unique(own)
+            if len(every) > PAIR_LIMIT:
+                if (r & 1).any() and (r & 2).any():
+                    rows.append(np.stack((np.full(len(every), key[a].astype(np.int64)), every, every), 1))
+            else:
+                x, y = np.meshgrid(np.unique(own[r & 1 > 0]), np.unique(own[r & 2 > 0]))
+                pair = np.stack((np.zeros(x.size, np.int64), np.maximum(x, y).ravel(), np.minimum(x, y).ravel()), 1)
+                rows.append(pair[pair[:, 1] != pair[:, 2]])
+            held += len(rows[-1]) if rows else 0
+            if held > 1 << 17:
+                yield found(rows)
+                rows, held = [], 0
+        if rows:
+            yield found(rows)
+
+    def found(rows: list[np.ndarray]) -> pa.RecordBatch:
+        p = np.unique(np.concatenate(rows), axis=0)
+        alone = p[:, 1] != p[:, 2]
+        return pa.record_batch({"g": pa.array(p[:, 0], pa.int64(), mask=alone), "u": pa.array(p[:, 1]), "v": pa.array(p[:, 2])})
 
     entries = docs.select(F.col("text").cast("binary")).mapInArrow(run, "bucket int, entries binary")
-    return entries.repartition(n, "bucket").mapInArrow(meet, "u long, v long").distinct()
+    return entries.repartition(n, "bucket").mapInArrow(meet, "g long, u long, v long").distinct()
 
 
 def wanted_map(pairs: DataFrame) -> np.ndarray:
@@ -244,11 +255,54 @@ def wanted_map(pairs: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def sketch(lines: list[str]) -> np.ndarray:
+    """How often each code point, mod 32, occurs in each line: an edit changes two counts by one at most."""
+    n = np.array([len(x) for x in lines], np.int64)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) % 32
+    return np.bincount(np.repeat(np.arange(len(lines)), n) * 32 + codes, minlength=32 * len(lines)).reshape(-1, 32).astype(np.int32)
+
+
+def block_links(members: DataFrame, k: int) -> DataFrame:
+    """(u, v) within k edits among the members (g, h, line) of each key g.
+
+    Lines are dealt into blocks; a task compares two blocks, first by character counts, then by distance. What it
+    writes is links alone, and what travels is each line once for each block of its key.
+    """
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("nb"))
+    rows = members.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("h"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("g", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "h", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def every() -> Iterator[tuple]:
+            for b in batches:
+                yield from zip(*(b.column(i).to_pylist() for i in range(6)), strict=True)
+
+        for (_, x, y), group in groupby(every(), key=lambda r: r[:3]):
+            block, names, lines = zip(*[r[3:] for r in group], strict=True)
+            counts, size = sketch(list(lines)), np.array([len(t) for t in lines])
+            apart, u, v = np.array(block), [], []
+            for i in range(len(lines) - 1):
+                near = np.abs(size[i + 1 :] - size[i]) <= k
+                if x != y:
+                    near &= apart[i + 1 :] != apart[i]
+                at = np.flatnonzero(near) + i + 1
+                at = at[np.abs(counts[at] - counts[i]).sum(1) <= 2 * k]
+                for j in at.tolist():
+                    if names[i] != names[j] and edit_within(lines[i], lines[j], k):
+                        u.append(max(names[i], names[j]))
+                        v.append(min(names[i], names[j]))
+            yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return rows.repartition(n, "g", "x", "y").sortWithinPartitions("g", "x", "y").mapInArrow(run, "u long, v long")
+
+
 def line_links(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS) -> DataFrame:
     """(u, v): hashes, u > v, of all pairs of different lines of `least` characters or more within k edits."""
     spark = docs.sparkSession
-    pairs = written(candidates(docs, k, least), "line-pairs")
-    marks = spark.sparkContext.broadcast(wanted_map(pairs))
+    found = written(candidates(docs, k, least), "line-pairs")
+    marks = spark.sparkContext.broadcast(wanted_map(found))
+    pairs = found.where("g is null").select("u", "v")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(MAP_WORDS.bit_length() - 1)
@@ -267,7 +321,8 @@ def line_links(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS) -
     texts = written(docs.select(F.col("text").cast("binary")).mapInArrow(pick, "h long, line string").dropDuplicates(["h"]), "lines")
     one = pairs.join(texts.select(F.col("h").alias("u"), F.col("line").alias("a")), "u")
     both = one.join(texts.select(F.col("h").alias("v"), F.col("line").alias("b")), "v").select("u", "v", "a", "b")
-    return both.mapInArrow(verify, "u long, v long")
+    crowds = found.where("g is not null").select("g", F.col("u").alias("h")).join(texts, "h")
+    return both.mapInArrow(verify, "u long, v long").union(block_links(crowds, k)).distinct()
 
 
 def line_classes(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS) -> DataFrame:
