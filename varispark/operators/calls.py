@@ -71,7 +71,7 @@ def _fisher(frame: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
 
 def fisher_two_tailed(a: ColumnOrName, b: ColumnOrName, c: ColumnOrName, d: ColumnOrName) -> Column:
     """Two-tailed Fisher's exact test of ((a, b), (c, d)): no built-in function has it, so Arrow batches go to Python."""
-    return F.pandas_udf(_fisher, "double", F.PandasUDFType.SCALAR_ITER)(a, b, c, d)
+    return F.pandas_udf(_fisher, "double")(a, b, c, d)
 
 
 def pileup(obs: DataFrame, by: list[str] | None = None) -> DataFrame:

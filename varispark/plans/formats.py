@@ -1,2 +1,99 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Queries that write a format, read it back and digest what came back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import coverage, reads as ops
+from ..sinks import text as sinks
+from ..sources import text as sources
+from ..sources.paths import scratch
+from .fixtures import BASES_SQL, CHUNK, MATRIX_SQL, READS_SQL, matrix, reads, ref_index, reference
+
+
+def _write(df: DataFrame, spark: SparkSession, name: str) -> str:
+    path = scratch(spark, name)
+    df.write.text(path)
+    return path
+
+
+def sam(spark: SparkSession, sf: str) -> DataFrame:
+    back = sources.sam_reads(spark, _write(sinks.sam_lines(reads(spark, sf)), spark, "sam"))
+    return back.groupBy("rname", "cigar").agg(F.count(F.lit(1)).alias("n"), F.sum("flag").alias("flags"), F.sum("pos").alias("places"), F.sum(F.size("qual")).alias("qualities"), F.sum(F.col("tags")["XQ"].cast("long")).alias("xq"))
+
+
+def fastq(spark: SparkSession, sf: str) -> DataFrame:
+    lines = spark.read.text(_write(sinks.fastq(reads(spark, sf), as_sequenced=True), spark, "fastq"))
+    return lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("value").rlike("^@r[0-9]+ rc_fixed$")).alias("turned"), F.count_if(F.col("value") == "+").alias("records"), F.count_if(F.col("value").rlike("^[ACGT]{32}$")).alias("sequences"))
+
+
+def fasta(spark: SparkSession, sf: str) -> DataFrame:
+    whole = reference(spark, sf).select(F.concat_ws("_", "chrom", F.col("chunk_start").cast("string")).alias("name"), "bases")
+    back = sources.fasta(spark, _write(sinks.fasta(whole), spark, "fasta"))
+    return sources.chunked(back, 100).groupBy("chunk_start").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("bases")).alias("bases"), F.sum(F.length(F.regexp_replace("bases", "[^A]", ""))).alias("a"))
+
+
+def report(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "report")
+    t = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderstatus", F.when(F.col("o_custkey") % 3 == 0, F.col("o_orderpriority")).alias("note"))
+    sinks.report(t, ["o_orderkey", "o_orderstatus", "note"], path)
+    return sources.delimited(spark, path).groupBy("o_orderstatus", "note").agg(F.count(F.lit(1)).alias("n"))
+
+
+def wig(spark: SparkSession, sf: str) -> DataFrame:
+    c = coverage.region(reads(spark, sf).where(~ops.has(ops.DUPLICATE) & ~ops.has(ops.UNMAPPED)), "chr2", 95, 700, 10)
+    lines = spark.read.text(_write(sinks.wig(c.where("coverage > 0"), "chr2"), spark, "wig"))
+    return lines.agg(F.count_if(~F.col("value").startswith("fixed")).alias("values"), F.sum(F.when(~F.col("value").startswith("fixed"), F.col("value").cast("long"))).alias("total"))
+
+
+def matrix_text(spark: SparkSession, sf: str, encoding: str | None = None) -> DataFrame:
+    m = matrix(spark, sf).withColumnRenamed("vec_id", "sample")
+    head = "\t".join(["id", *[f"m{i}" for i in range(64)]])
+    first = [f"#sample_data_encoding={encoding}" if encoding else "#title=x", head]
+    top = spark.range(1).select(F.posexplode(F.array(*map(F.lit, first))).alias("k", "value"))
+    every = top.union(sinks.matrix_lines(m, encoding).select(F.lit(2).alias("k"), "value"))
+    path = scratch(spark, "matrix")
+    every.coalesce(1).sortWithinPartitions("k").select("value").write.text(path)  # one file, as the format has it
+    back = sources.matrix(spark, path)
+    return back.groupBy("marker").agg(F.count("value").alias("n"), F.sum(F.col("value").cast("long")).alias("total"))
+
+
+def partitioned(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "places")
+    sinks.by_place(reads(spark, sf).select("rname", "pos", "read_id"), 500, path)
+    return spark.read.parquet(path).groupBy("rname", "bucket").agg(F.count(F.lit(1)).alias("n")).select("rname", F.col("bucket").cast("long").alias("bucket"), "n")
+
+
+def clipped_fasta(spark: SparkSession, sf: str) -> DataFrame:
+    r = ops.usable_reads(reads(spark, sf)).withColumn("c", F.explode(ops.soft_clips(4, 15.0)))
+    r = r.select(F.col("qname").alias("name"), F.col("seq").substr(F.col("c.start") + 1, F.col("c.len")).alias("bases"), "rname", "pos")
+    back = sources.fasta(spark, _write(sinks.described_fasta(r, ["rname", "pos"]), spark, "clips"))
+    return back.groupBy(F.length("bases").alias("len"), F.regexp_extract("description", r"rname=(\w+)", 1).alias("rname")).agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {
+    "s01_k03_sam_round_trip": sam,
+    "k02_k10_fastq": fastq,
+    "s11_s14_fasta_round_trip": fasta,
+    "k01_k09_s26_report": report,
+    "k05_wig": wig,
+    "s21_matrix_text": matrix_text,
+    "s22_matrix_rle": lambda s, d: matrix_text(s, d, "rle"),
+    "k04_partitioned_by_place": partitioned,
+    "k08_soft_clip_fasta": clipped_fasta,
+}
+
+_M = f"WITH {MATRIX_SQL.format(n=1 << 40)} SELECT 'm' || col AS marker, count(value) AS n, CAST(sum(value) AS BIGINT) AS total FROM matrix GROUP BY col"
+_USE = "flag & 1024 = 0 AND flag & 4 = 0"
+ORACLE = {
+    "k05_wig": f"WITH {BASES_SQL}, c AS (SELECT q, count(*) AS k FROM bases WHERE aligned AND {_USE} AND qual >= 10 AND rname = 'chr2' AND q BETWEEN 95 AND 700 GROUP BY q) SELECT count(*) AS values, CAST(sum(k) AS BIGINT) AS total FROM c",
+    "k08_soft_clip_fasta": f"WITH {BASES_SQL}, c AS (SELECT read_id, rname, CAST(count(*) AS INT) AS len FROM bases WHERE {_USE} AND flag & 256 = 0 AND mapq >= 1 AND ((kind = 3 AND i < 5) OR (kind = 6 AND i >= 28)) GROUP BY ALL HAVING avg(qual) >= 15) SELECT len, rname, count(*) AS n FROM c GROUP BY ALL",
+    "s01_k03_sam_round_trip": f"WITH {READS_SQL} SELECT rname, cigar, count(*) AS n, CAST(sum(flag) AS BIGINT) AS flags, CAST(sum(pos) AS BIGINT) AS places, count(*) * 32 AS qualities, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS xq FROM reads GROUP BY ALL",
+    "k02_k10_fastq": f"WITH {READS_SQL} SELECT count(*) * 4 AS lines, count(*) FILTER (flag & 16 > 0) AS turned, count(*) AS records, count(*) AS sequences FROM reads",
+    "s11_s14_fasta_round_trip": f"WITH c AS (SELECT unnest(range(1, 4)) AS c), k AS (SELECT unnest(range(CAST((SELECT max(p_partkey) + 400 FROM part) // {CHUNK} + 1 AS BIGINT))) AS k), b AS (SELECT c, i // 100 * 100 + 1 AS chunk_start, k, {ref_index(f'(k * {CHUNK} + 1 + i)', 'c', False)} = 0 AS a FROM c, k, (SELECT unnest(range({CHUNK})) AS i)) SELECT CAST(chunk_start AS INT) AS chunk_start, count(DISTINCT (c, k)) AS n, count(*) AS bases, count(*) FILTER (a) AS a FROM b GROUP BY 1",
+    "k01_k09_s26_report": "SELECT o_orderstatus, CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority END AS note, count(*) AS n FROM orders GROUP BY ALL",
+    "s21_matrix_text": _M,
+    "s22_matrix_rle": _M,
+    "k04_partitioned_by_place": f"WITH {READS_SQL} SELECT rname, CAST(pos // 500 AS BIGINT) AS bucket, count(*) AS n FROM reads GROUP BY ALL",
+}

@@ -1,2 +1,65 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Queries that run the streaming operators over files to their end and give what they wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.paths import scratch
+from ..streaming import frontier
+
+
+def _run(df: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
+    path, schema = scratch(spark, name), df.schema
+    q = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", scratch(spark, f"{name}-log")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(path)
+
+
+def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf}/{table}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+
+
+def piled(spark: SparkSession, sf: str) -> DataFrame:
+    """Sites that are final when the stream ends: all but those that the last reads begin at."""
+    s = _stream(spark, sf, "lineitem").select((F.col("l_partkey") + 1).alias("pos"), F.translate("l_returnflag", "ANR", "ACG").alias("base"))
+    out = _run(frontier.pileup(s, 0), spark, "pileup")
+    return out
+
+
+def deduplicated(spark: SparkSession, sf: str) -> DataFrame:
+    s = _stream(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("qname"), F.lit("chr1").alias("rname"), (F.col("l_partkey") + 1).alias("pos"), F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise("+").alias("strand"))
+    return _run(frontier.distinct_reads(s, 1_000_000), spark, "distinct").groupBy("strand").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tumbling(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return frontier.bucketed(e, "1 hour").withColumn("total", F.round("total", 6)).withColumn("start", F.unix_timestamp("start"))
+
+
+def sliding(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return frontier.bucketed(e, "1 hour", "30 minutes").groupBy("event_type").agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("n"))
+
+
+def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return frontier.sessions(e, "10 minutes").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
+
+
+QUERIES = {
+    "r01_frontier_pileup": piled,
+    "r06_streaming_duplicates": deduplicated,
+    "r_tumbling_windows": tumbling,
+    "r_sliding_windows": sliding,
+    "r_session_windows": user_sessions,
+}
+
+ORACLE = {
+    "r01_frontier_pileup": "SELECT l_partkey + 1 AS pos, CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN 'C' ELSE 'G' END AS base, count(*) AS n FROM lineitem WHERE l_partkey < (SELECT max(l_partkey) FROM lineitem) GROUP BY ALL",
+    "r06_streaming_duplicates": "WITH d AS (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber % 2 AS s FROM lineitem) SELECT CASE WHEN s = 0 THEN '-' ELSE '+' END AS strand, count(*) AS n FROM d GROUP BY s",
+    "r_tumbling_windows": "SELECT CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
+    "r_session_windows": "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL '10 minutes' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM e), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
+    "r_sliding_windows": "WITH w AS (SELECT event_type, time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes' * o AS s FROM events, (VALUES (0), (1)) t(o)), g AS (SELECT event_type, s, count(*) AS n FROM w GROUP BY ALL) SELECT event_type, count(*) AS windows, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY event_type",
+}
