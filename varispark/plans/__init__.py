@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chromatograms, formats, genes, matrices, readsets, streams, variants
+from . import chromatograms, extras, formats, genes, matrices, readsets, streams, variants
 
-MODULES = (variants, readsets, matrices, genes, chromatograms, formats, streams)
+MODULES = (variants, readsets, matrices, genes, chromatograms, extras, formats, streams)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: q for m in MODULES for name, q in m.ORACLE.items()}
