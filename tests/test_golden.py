@@ -1,5 +1,6 @@
 """Golden cases whose results were derived by hand, and unit tests of predicates and formats."""
 
+import gzip
 import math
 
 import pytest
@@ -165,3 +166,40 @@ def test_sinks_reject_bad_rows(spark, tmp_path):
         sinks.fastq(bad).collect()
     with pytest.raises(ValueError, match="no column"):
         sinks.report(bad, ["qname"], f"{tmp_path}/r")
+
+
+def test_other_sources(spark, tmp_path):
+    from varispark.sources import other
+
+    (tmp_path / "x.markup").write_text("title\tHello\n# no\nsam\ta.bam\tT\n")
+    assert [(r["kind"], r["fields"]) for r in other.markup(spark, f"{tmp_path}/x.markup").collect()] == [("title", ["Hello"]), ("sam", ["a.bam", "T"])]
+    (tmp_path / "g.tsv").write_text("tp53\t17\t1\t9\nEGFR\tchr7\t5\t6\n")
+    assert [tuple(r) for r in other.gene_list(spark, f"{tmp_path}/g.tsv").collect()] == [("TP53", "chr17", 1, 9), ("EGFR", "chr7", 5, 6)]
+    (tmp_path / "p.tsv").write_text("p1\tfirst\ta\tb\np2\tsecond\tc\n")
+    assert [r["gene"] for r in other.pathways(spark, f"{tmp_path}/p.tsv").collect()] == ["a", "b", "c"]
+    (tmp_path / "e.txt").write_text("TYPE\tx\nFEATURES\tSystematicName\tLogRatio\nDATA\tchr1:1-2\t0.5\nDATA\tctl\t9\n")
+    assert [tuple(r) for r in other.expression_report(spark, f"{tmp_path}/e.txt").collect()] == [("chr1:1-2", 0.5)]
+    (tmp_path / "t.poly").write_text("tr1 2006 1 1 1 1\nA 10 5.0 1.0 N -1 -1 -1\nC 20 nan 1.0 T 21 2.5 0.5\n")
+    got = other.poly_peaks(spark, f"{tmp_path}/t.poly").collect()
+    assert [(r["base"], r["area"], r["alt"], r["alt_area"]) for r in got] == [("A", 5.0, "N", -1.0), ("C", 0.0, "T", 2.5)]
+    (tmp_path / "m.bin").write_bytes(b"\x00\x00\x00\x03")
+    (tmp_path / "h.txt").write_text("#a=b\n")
+    assert other.is_binary_matrix(spark, f"{tmp_path}/m.bin") and not other.is_binary_matrix(spark, f"{tmp_path}/h.txt")
+    assert other.newest_snp_table(["snp129", "snp130", "genes"]) == "snp130"
+    region = other.genes_in_region(spark.createDataFrame([("chr1", 1, 5), ("chr1", 9, 12)], "chrom string, tx_start int, tx_end int"), "chr1", 5, 8)
+    assert region.count() == 1
+
+
+def test_matrix_blocks_nib_and_dbsnp(spark, tmp_path):
+    import struct
+
+    block = lambda kind, body: struct.pack(">ii", kind, len(body)) + body
+    (tmp_path / "m.bin").write_bytes(block(3, b"s1") + block(4, bytes([1, 0x9D, 255])) + block(3, b"s2") + block(5, bytes([7, 3, 254, 2])))
+    got = sorted(tuple(r) for r in binary.matrix_binary(spark, f"{tmp_path}/m.bin").collect() if r["value"] is not None)
+    assert got == [("s1", 0, 1), ("s1", 2, -1), ("s2", 0, 7), ("s2", 1, 7), ("s2", 2, 7), ("s2", 3, -2), ("s2", 4, -2)]
+    (tmp_path / "chrZ.nib").write_bytes(struct.pack("<II", 0x6BE93D3A, 5) + bytes([0x01, 0x23, 0x8F]))
+    assert binary.genome_nib(spark, f"{tmp_path}/chrZ.nib").first()["bases"] == "TCAGt"
+    (tmp_path / "d.blob").write_bytes(b"CdDF" + bytes(4) + bytes([4]) + b"chr1" + struct.pack(">i", 1) + struct.pack(">iib", 77, 9, 5))
+    assert [tuple(r) for r in binary.dbsnp_blob(spark, f"{tmp_path}/d.blob").collect()] == [("chr1", 10, 77, 5)]
+    with pytest.raises(ValueError, match="no BAM"):
+        next(binary.decode_bam("x", gzip.compress(b"nope")))

@@ -22,7 +22,7 @@ _PLACE = "(pos + CASE kind WHEN 2 THEN CASE WHEN i < 10 THEN i ELSE i + 2 END WH
 _SHIFT = "(CASE WHEN {p} % 40 = 0 AND l_orderkey % 3 = 0 AND (tn = 'T' OR {p} % 80 <> 0) THEN 2 WHEN (l_orderkey * 31 + i * 17 + l_linenumber * 7) % 29 = 0 THEN 1 ELSE 0 END)"
 _QUAL = "CAST(2 + (l_orderkey * 13 + i * 11 + l_linenumber * 5) % 39 AS INT)"
 _FLAG = "CAST(1 + CASE WHEN l_orderkey % 17 = 0 THEN 4 ELSE 0 END + CASE WHEN l_orderkey % 23 = 0 THEN 8 ELSE 0 END + CASE WHEN l_linenumber % 2 = 0 THEN 16 ELSE 32 END + CASE WHEN l_linenumber % 2 = 1 THEN 64 ELSE 128 END + CASE WHEN (l_orderkey + l_linenumber) % 19 = 0 THEN 256 ELSE 0 END + CASE WHEN l_orderkey % 13 = 0 THEN 1024 ELSE 0 END AS INT)"
-_FIELDS = f"""((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS read_id, concat('r', CAST(l_orderkey AS VARCHAR(20))) AS qname, {_FLAG} AS flag,
+_FIELDS = f"""(((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 64 + CAST(l_quantity AS INT) AS read_id, concat('r', CAST(l_orderkey AS VARCHAR(20))) AS qname, {_FLAG} AS flag,
  CAST(l_suppkey % 3 + 1 AS INT) AS c, concat('chr', CAST(l_suppkey % 3 + 1 AS VARCHAR(20))) AS rname, CAST(l_partkey + 100 AS INT) AS pos,
  CAST(round(l_discount * 100) AS INT) AS mapq, {_CIGAR} AS cigar, CASE WHEN l_linestatus = 'F' THEN 'T' ELSE 'N' END AS tn,
  CAST(CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS INT) AS sample_idx, CAST(l_linenumber % 7 AS INT) AS kind, l_orderkey, l_linenumber, l_quantity, l_returnflag"""
