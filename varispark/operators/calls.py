@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import VariantConfig
 
@@ -98,8 +99,6 @@ def candidate_sites(obs: DataFrame, cfg: VariantConfig = VariantConfig()) -> Dat
 
 def disagreeing_mates(chosen: DataFrame, tolerated: int = 1) -> DataFrame:
     """(chrom, pos, qname) of names seen with both of a site's two bases, where there are more than are tolerated."""
-    from pyspark.sql.window import Window
-
     bad = chosen.groupBy(*SITE, "qname").agg(F.min("base").alias("a"), F.max("base").alias("b")).where("a <> b")
     return bad.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*SITE))).where(F.col("n") > tolerated).select(*SITE, "qname")
 
@@ -124,29 +123,44 @@ def call_snps(obs: DataFrame, cfg: VariantConfig = VariantConfig(), deletions: D
     """SNP calls from observations (chrom, pos, base, ref, tn, strand, qual, qname, unclipped_start, mapq, flank).
 
     suspicious: (chrom, pos, base, suspicious) good mismatches of reads that were rejected; known: dbSNP (chrom, pos,
-    rs, mask). All joins are on the site, so the observations are dealt out by site once and stay so.
+    rs, mask). Observations are dealt out by site once. Allele choice, mates that disagree and reference reads that
+    carry the variant are windows within the site, so the observations are neither joined with themselves nor made
+    twice, and the counts that end it need no further shuffle.
     """
-    good = obs.where((F.col("qual") >= cfg.min_quality) & F.col("base").isin(*"ACGT")).repartition(*SITE)
-    sites = candidate_sites(good, cfg)
-    chosen = good.drop("ref").join(sites, SITE).where(F.col("base").isin(F.col("top"), F.col("second")) | (F.col("base") == F.col("ref")))
-    two = chosen.where(F.col("base").isin(F.col("top"), F.col("second")))
-    chosen = chosen.join(disagreeing_mates(two, cfg.mate_disagreement_tolerated), [*SITE, "qname"], "left_anti")
+    site, name = Window.partitionBy(*SITE), Window.partitionBy(*SITE, "qname")
+    good = obs.where((F.col("qual") >= cfg.min_quality) & F.col("base").isin(*"ACGT") & F.col("ref").isin(*"ACGT"))
+    counts = F.array(*[F.struct((-F.count_if(F.col("base") == b).over(site)).alias("k"), F.lit(b).alias("base")) for b in "ACGT"])
+    o = good.withColumn("seen", counts)
+    o = o.withColumn("coverage", -F.aggregate("seen", F.lit(0).cast("long"), lambda n, x: n + x["k"]))
+    o = o.withColumn("ranked", F.array_sort(F.filter("seen", lambda x: (x["k"] < 0) | (x["base"] == F.col("ref"))))).drop("seen")
+    o = o.where((F.size("ranked") >= 2) & (F.col("coverage") >= cfg.min_coverage))
+    o = o.withColumn("top", F.get("ranked", F.lit(0))["base"]).withColumn("second", F.get("ranked", F.lit(1))["base"]).drop("ranked")
+    vs_consensus = F.col("top") != F.col("ref")
+    o = o.withColumn("alt", F.when(vs_consensus, F.col("top")).otherwise(F.col("second"))).withColumn("other", F.when(vs_consensus, F.col("second")).otherwise(F.col("top")))
+    best = F.col("base").isin(F.col("top"), F.col("second"))
+    o = o.where(best | (F.col("base") == F.col("ref")))
+    two = F.when(best, F.col("base"))
+    o = o.withColumn("bad", F.coalesce(F.min(two).over(name) != F.max(two).over(name), F.lit(False))).withColumn("nth", F.row_number().over(name.orderBy("strand", "base", "qual")))
+    o = o.withColumn("bad_names", F.sum((F.col("bad") & (F.col("nth") == 1)).cast("int")).over(site))
+    o = o.where(~(F.col("bad") & (F.col("bad_names") > cfg.mate_disagreement_tolerated)))
     if deletions is not None:
-        chosen = inside_deletions(chosen, deletions, cfg.mismapped_deletion_distance)
-    is_alt, is_other = F.col("base") == F.col("alt"), F.col("base") == F.col("other")
+        o = inside_deletions(o, deletions, cfg.mismapped_deletion_distance)
+    is_alt, is_other, is_ref = (F.col("base") == F.col(c) for c in ("alt", "other", "ref"))
+    o = o.withColumn("carries", F.max(is_alt).over(Window.partitionBy(*SITE, "qname", "strand")))
     decade = F.floor(F.col("qual") / 10)
-    at = chosen.groupBy(*SITE, "ref", "alt", "top", "coverage").agg(
+    cells = [(t, s, k) for t in "NT" for s, k in (("+", "fwd"), ("-", "rev"))]
+    s = o.groupBy(*SITE, "ref", "alt", "top", "coverage").agg(
         F.count_if(is_alt).alias("alt_count"),
         F.count_if(is_other).alias("other_count"),
         F.sum(F.when(is_alt, decade)).alias("alt_decades"),
         F.sum(F.when(is_other, decade)).alias("other_decades"),
         F.count_if(is_alt & (F.col("flank") >= cfg.alt_flank_window)).alias("flanked"),
         F.sum(F.when(is_alt, F.col("mapq"))).alias("mapq_sum"),
-        *[F.count_if(is_alt & (F.col("tn") == t) & (F.col("strand") == s)).alias(f"alt_{t}_{k}") for t in "NT" for s, k in (("+", "fwd"), ("-", "rev"))],
+        F.size(F.collect_set(F.when(is_alt, F.col("unclipped_start")))).cast("long").alias("unique_starts"),
+        F.size(F.collect_set(F.when(is_alt, F.col("qname")))).cast("long").alias("unique_names"),
+        *[F.count_if(is_alt & (F.col("tn") == t) & (F.col("strand") == x)).alias(f"alt_{t}_{k}") for t, x, k in cells],
+        *[F.count_if(is_ref & ~F.col("carries") & (F.col("tn") == t) & (F.col("strand") == x)).alias(f"ref_{t}_{k}") for t, x, k in cells],
     )
-    alt = chosen.where("base = alt").groupBy(*SITE).agg(F.count_distinct("unclipped_start").alias("unique_starts"), F.count_distinct("qname").alias("unique_names"))
-    ref = without_variant_reads(chosen).groupBy(*SITE).agg(*[F.count_if((F.col("tn") == t) & (F.col("strand") == s)).alias(f"ref_{t}_{k}") for t in "NT" for s, k in (("+", "fwd"), ("-", "rev"))])
-    s = at.join(alt, SITE).join(ref, SITE, "left").fillna(0, [f"ref_{t}_{k}" for t in "NT" for k in ("fwd", "rev")])
     freq = F.col("alt_count") / (F.col("alt_count") + F.col("other_count"))
     s = s.withColumn("alt_freq", freq).where((F.col("alt_count") >= cfg.min_alt_allele_count) & (freq >= cfg.min_minor_allele_frequency))
     many = F.col("alt_count") >= cfg.min_alt_count_for_filters

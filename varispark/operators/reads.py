@@ -80,19 +80,38 @@ def flanking_quality(window: int, least: int, read_i: str = "read_i", qual: str
     return F.forall(F.concat(before, after), lambda x: x >= least)
 
 
+def forgiven(b: DataFrame, known: DataFrame | None) -> DataFrame:
+    """bases() with `wrong`: a mismatch with a known reference base that isn't between two alleles of a dbSNP entry.
+
+    known: (chrom, pos, mask), A 1, C 2, G 4, T 8.
+    """
+    wrong = (F.col("ref") != "N") & (F.col("base") != F.col("ref"))
+    if known is None:
+        return b.withColumn("wrong", wrong)
+    bits = F.create_map(*[F.lit(x) for k, base in enumerate("ACGT") for x in (base, 1 << k)])
+    k = known.groupBy(F.col("chrom").alias("rname"), F.col("pos").alias("pos_at")).agg(F.collect_set("mask").alias("masks"))
+    both = F.exists("masks", lambda m: (m.cast("int").bitwiseAND(bits[F.col("base")]) != 0) & (m.cast("int").bitwiseAND(bits[F.col("ref")]) != 0))
+    return b.join(k, ["rname", "pos_at"], "left").withColumn("wrong", wrong & ~F.coalesce(both, F.lit(False))).drop("masks")
+
+
 def mismatch_counts(b: DataFrame, cfg: VariantConfig = VariantConfig(), known: DataFrame | None = None) -> DataFrame:
     """(read_id, lq, hq, passed) of bases(): mismatches at the lower and the higher quality, reference N left out.
 
-    known: a dbSNP table (chrom, pos, mask); mismatches between two alleles of it are forgiven.
+    Reads without mismatches have no row. known: a dbSNP table whose alleles are forgiven.
     """
-    wrong = b.where((F.col("ref") != "N") & (F.col("base") != F.col("ref")))
-    if known is not None:
-        bits = F.create_map(*[F.lit(x) for k, base in enumerate("ACGT") for x in (base, 1 << k)])
-        k = known.select(F.col("chrom").alias("rname"), F.col("pos").alias("pos_at"), "mask")
-        both = (F.col("mask").cast("int").bitwiseAND(bits[F.col("base")]) != 0) & (F.col("mask").cast("int").bitwiseAND(bits[F.col("ref")]) != 0)
-        wrong = wrong.join(k, ["rname", "pos_at"], "left").where(~F.coalesce(both, F.lit(False))).drop("mask")
-    n = wrong.groupBy("read_id").agg(F.count_if(F.col("q") >= cfg.mismatch_lq_quality).alias("lq"), F.count_if(F.col("q") >= cfg.mismatch_hq_quality).alias("hq"))
-    return n.withColumn("passed", (F.col("lq") <= cfg.mismatch_max_lq) & (F.col("hq") <= cfg.mismatch_max_hq))
+    n = forgiven(b, known).where("wrong").groupBy("read_id").agg(F.count_if(F.col("q") >= cfg.mismatch_lq_quality).alias("lq"), F.count_if(F.col("q") >= cfg.mismatch_hq_quality).alias("hq"))
+    return n.withColumn("passed", few_mismatches(F.col("lq"), F.col("hq"), cfg))
+
+
+def few_mismatches(lq: Column, hq: Column, cfg: VariantConfig) -> Column:
+    return (lq <= cfg.mismatch_max_lq) & (hq <= cfg.mismatch_max_hq)
+
+
+def judged(b: DataFrame, cfg: VariantConfig = VariantConfig(), known: DataFrame | None = None) -> DataFrame:
+    """bases() with `passed`, the verdict on the read: the counts of mismatch_counts() as windows, without a join."""
+    w = Window.partitionBy("read_id")
+    n = lambda q: F.count_if(F.col("wrong") & (F.col("q") >= q)).over(w)
+    return forgiven(b, known).withColumn("passed", few_mismatches(n(cfg.mismatch_lq_quality), n(cfg.mismatch_hq_quality), cfg)).drop("wrong")
 
 
 def densest_window(b: DataFrame, span: int, least: int) -> DataFrame:

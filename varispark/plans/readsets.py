@@ -449,6 +449,8 @@ _IND = f"""{_W}, g AS (SELECT read_id, rname, kind, pos, tn, flag, max(CASE WHEN
   sum(qual) FILTER ((kind = 2 AND i IN (9, 10)) OR (kind = 4 AND i BETWEEN 12 AND 14)) // CASE WHEN kind = 2 THEN 2 ELSE 3 END AS quality,
   string_agg(base, '' ORDER BY i) FILTER (kind = 4 AND i BETWEEN 12 AND 14) AS inserted, CAST(pos + CASE WHEN kind = 2 THEN 10 ELSE 12 END AS INT) AS site FROM bases WHERE kind IN (2, 4) AND {_USABLE} GROUP BY read_id, rname, kind, pos, tn, flag)"""
 ORACLE["f15_a04_indel_acceptance"] = f"{_IND} SELECT rname, site, CASE WHEN kind = 2 THEN 'deletion' ELSE 'insertion' END AS kind, CAST(CASE WHEN kind = 2 THEN 2 ELSE 3 END AS INT) AS len, q_ok AND flankq >= 15 AS narrow_ok, q_ok AS broad_ok, count(*) AS n FROM g GROUP BY ALL"
+ORACLE["f25_adapter_trim"] = f"""{_W}, s AS (SELECT read_id, CASE WHEN flag & 16 > 0 THEN translate(reverse(string_agg(base, '' ORDER BY i)), 'ACGT', 'TGCA') ELSE string_agg(base, '' ORDER BY i) END AS s FROM bases WHERE {_USABLE} GROUP BY read_id, flag),
+ k AS (SELECT list_filter(range(0, 30), lambda k: substr(s, k + 1, 5) = substr('GACTA', 1, least(5, 32 - k)))[1] AS k FROM s) SELECT CAST(32 - coalesce(k, 32) AS INT) AS trimmed, count(*) AS n FROM k GROUP BY 1"""
 ORACLE["h13_indel_calls"] = f"""{_IND}, depth AS (SELECT rname, q AS pos, count(*) AS base_count FROM {_OKB} WHERE qual >= 10 GROUP BY ALL),
  s AS (SELECT rname, site, kind, count(*) AS indel_count, count(*) FILTER (tn = 'T') AS tumor, count(*) FILTER (tn = 'N') AS normal, mode(inserted ORDER BY inserted) AS m FROM g WHERE q_ok AND flankq >= 2 GROUP BY ALL),
  c AS (SELECT s.*, greatest(0, base_count - CASE WHEN kind = 4 THEN indel_count ELSE 0 END) + indel_count AS coverage FROM s JOIN depth d ON d.rname = s.rname AND d.pos = s.site)
