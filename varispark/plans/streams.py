@@ -33,6 +33,22 @@ def deduplicated(spark: SparkSession, sf: str) -> DataFrame:
     return _run(frontier.distinct_reads(s, 1_000_000), spark, "distinct").groupBy("strand").agg(F.count(F.lit(1)).alias("n"))
 
 
+def micro_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts that each micro-batch writes under its own number, so that a batch that runs again replaces itself."""
+    path = scratch(spark, "batches")
+
+    def work(batch: DataFrame, number: int) -> None:
+        batch.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    frontier.in_batches(_stream(spark, sf, "lineitem"), work, scratch(spark, "batches-log")).awaitTermination()
+    return spark.read.parquet(path).groupBy("l_returnflag").agg(F.sum("n").alias("n"))
+
+
+def paired(spark: SparkSession, sf: str) -> DataFrame:
+    s = lambda odd: _stream(spark, sf, "lineitem").where(F.col("l_linenumber") % 2 == odd).select(F.col("l_orderkey").alias("qname"), (F.col("l_partkey") + 1).alias("pos"))
+    return _run(frontier.pairs(s(1), s(0), 50), spark, "pairs").agg(F.count(F.lit(1)).alias("pairs"), F.sum("pos_a").alias("a"), F.sum("pos_b").alias("b"))
+
+
 def tumbling(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet")
     return frontier.bucketed(e, "1 hour").withColumn("total", F.round("total", 6)).withColumn("start", F.unix_timestamp("start"))
@@ -51,6 +67,8 @@ def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "r01_frontier_pileup": piled,
     "r06_streaming_duplicates": deduplicated,
+    "r08_micro_batches": micro_batches,
+    "r10_streaming_pairs": paired,
     "r_tumbling_windows": tumbling,
     "r_sliding_windows": sliding,
     "r_session_windows": user_sessions,
@@ -59,6 +77,8 @@ QUERIES = {
 ORACLE = {
     "r01_frontier_pileup": "SELECT l_partkey + 1 AS pos, CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN 'C' ELSE 'G' END AS base, count(*) AS n FROM lineitem WHERE l_partkey < (SELECT max(l_partkey) FROM lineitem) GROUP BY ALL",
     "r06_streaming_duplicates": "WITH d AS (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber % 2 AS s FROM lineitem) SELECT CASE WHEN s = 0 THEN '-' ELSE '+' END AS strand, count(*) AS n FROM d GROUP BY s",
+    "r08_micro_batches": "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag",
+    "r10_streaming_pairs": "SELECT count(*) AS pairs, CAST(sum(a.l_partkey + 1) AS BIGINT) AS a, CAST(sum(b.l_partkey + 1) AS BIGINT) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND abs(a.l_partkey - b.l_partkey) <= 50 WHERE a.l_linenumber % 2 = 1 AND b.l_linenumber % 2 = 0",
     "r_tumbling_windows": "SELECT CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "r_session_windows": "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL '10 minutes' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM e), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
     "r_sliding_windows": "WITH w AS (SELECT event_type, time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes' * o AS s FROM events, (VALUES (0), (1)) t(o)), g AS (SELECT event_type, s, count(*) AS n FROM w GROUP BY ALL) SELECT event_type, count(*) AS windows, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY event_type",

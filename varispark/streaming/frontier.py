@@ -32,6 +32,17 @@ def distinct_reads(reads: DataFrame, span: int) -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["qname", "rname", "pos", "strand"]).drop("t")
 
 
+def pairs(first: DataFrame, second: DataFrame, span: int) -> DataFrame:
+    """First and second reads (qname, pos) of a name that begin within `span` bases of each other.
+
+    Both sides carry a watermark, so reads wait for their mates no longer than the span and state stays bounded.
+    """
+    a = first.select(F.col("qname").alias("name_a"), F.col("pos").alias("pos_a"), place_time(F.col("pos")).alias("t_a")).withWatermark("t_a", f"{span} seconds")
+    b = second.select(F.col("qname").alias("name_b"), F.col("pos").alias("pos_b"), place_time(F.col("pos")).alias("t_b")).withWatermark("t_b", f"{span} seconds")
+    near = F.expr(f"name_a = name_b and t_b >= t_a - interval {span} seconds and t_b <= t_a + interval {span} seconds")
+    return a.join(b, near).select(F.col("name_a").alias("qname"), "pos_a", "pos_b")
+
+
 def in_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str):  # noqa: ANN201
     """Run work on each micro-batch; with the batch's number it can make its writes repeatable."""
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
