@@ -73,12 +73,20 @@ def euclidean(a: Column, b: Column, limit: int | None = None) -> Column:
 
 def pearson(a: Column, b: Column) -> Column:
     """Over places where both have values; null if one of them doesn't vary there."""
-    both = F.filter(F.zip_with(a, b, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    total = lambda f: F.aggregate(both, F.lit(0.0), lambda s, p: s + f(p))
-    n = F.size(both).cast("double")
-    cov = total(lambda p: p["x"] * p["y"]) * n - total(lambda p: p["x"]) * total(lambda p: p["y"])
-    spread = lambda k: total(lambda p: p[k] * p[k]) * n - total(lambda p: p[k]) * total(lambda p: p[k])
-    return F.when((spread("x") > 0) & (spread("y") > 0), cov / F.sqrt(spread("x") * spread("y")))
+    names = ("n", "x", "y", "xx", "yy", "xy")
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in names])
+
+    def step(s: Column, p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        new = (s["n"] + 1, s["x"] + x, s["y"] + y, s["xx"] + x * x, s["yy"] + y * y, s["xy"] + x * y)
+        return F.when(x.isNull() | y.isNull(), s).otherwise(F.struct(*[v.alias(k) for k, v in zip(names, new, strict=True)]))
+
+    def finish(s: Column) -> Column:
+        vx, vy = s["n"] * s["xx"] - s["x"] * s["x"], s["n"] * s["yy"] - s["y"] * s["y"]
+        return F.when((vx > 0) & (vy > 0), (s["n"] * s["xy"] - s["x"] * s["y"]) / F.sqrt(vx * vy))
+
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
+    return F.aggregate(pairs, zero, step, finish)
 
 
 METRICS: dict[str, Callable[[Column, Column], Column]] = {"euclidean": euclidean, "pearson": pearson}

@@ -10,13 +10,13 @@ from ..operators import traces as ops
 
 def _traces(spark: SparkSession, sf: str) -> DataFrame:
     """Four channels of 64 levels each from four neighbouring vectors."""
-    v = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 400").select("vec_id", F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 40).cast("int")).alias("y"))
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 40).cast("int")).alias("y"))
     name = F.concat(F.lit("t"), F.floor(F.col("vec_id") / 4).cast("string"))
     cols = [F.max(F.when(F.col("vec_id") % 4 == k, F.col("y"))).alias(c) for k, c in enumerate("acgt")]
     return v.groupBy(name.alias("name")).agg(*cols).withColumn("bases", F.lit("ACGTA")).withColumn("places", F.array(*map(F.lit, (5, 15, 25, 40, 60))))
 
 
-_POINTS = "pts AS (SELECT 't' || (vec_id // 4) AS name, ['a', 'c', 'g', 't'][vec_id % 4 + 1] AS channel, CAST(unnest(range(64)) AS INT) AS p, CAST(floor(abs(CAST(unnest(embedding) AS DOUBLE)) * 40) AS INT) AS v FROM embeddings WHERE vec_id < 400)"
+_POINTS = "pts AS (SELECT 't' || (vec_id // 4) AS name, ['a', 'c', 'g', 't'][vec_id % 4 + 1] AS channel, CAST(unnest(range(64)) AS INT) AS p, CAST(floor(abs(CAST(unnest(embedding) AS DOUBLE)) * 40) AS INT) AS v FROM embeddings)"
 _PEAKS = f"{_POINTS}, s AS (SELECT *, CASE WHEN lag(v) OVER w <> v OR lag(v) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM pts WINDOW w AS (PARTITION BY name, channel ORDER BY p)), r AS (SELECT *, sum(new) OVER (PARTITION BY name, channel ORDER BY p) AS run FROM s), f AS (SELECT name, channel, run, v, min(p) AS a, max(p) AS b FROM r GROUP BY ALL), n AS (SELECT *, lag(v) OVER w AS l, lead(v) OVER w AS h, max(v) OVER (PARTITION BY name) AS most FROM f WINDOW w AS (PARTITION BY name, channel ORDER BY run)), peaks AS (SELECT name, channel, CAST((a + b) // 2 AS INT) AS p, v AS height FROM n WHERE v > l AND v > h AND v >= 0.05 * most)"
 
 
@@ -103,7 +103,7 @@ ORACLE = {
     "x20_amplitude_report": f"WITH {_ALT} SELECT CASE WHEN base = 'C' THEN 'called' WHEN alt = 'C' THEN 'alternate' ELSE 'not called' END AS kind, count(*) AS n, sum(CASE WHEN base = 'C' THEN 50.0 WHEN alt = 'C' THEN alt_height ELSE 0.0 END) AS var_amplitude, sum(CASE WHEN base = 'A' THEN 50.0 WHEN alt = 'A' THEN alt_height ELSE 0.0 END) AS ref_amplitude FROM alts GROUP BY 1",
     "z15_normalised_traces": f"WITH {_PEAKS}, t AS (SELECT name, channel, max(height) AS top, max(max(height)) OVER (PARTITION BY name) AS most FROM peaks GROUP BY name, channel) SELECT pts.name, pts.channel, round(sum(coalesce(v * most / top, CAST(v AS DOUBLE))), 6) AS total FROM pts LEFT JOIN t ON t.name = pts.name AND t.channel = pts.channel GROUP BY ALL",
     "w14_s35_packed_positions": "WITH c AS (SELECT p_partkey, unnest(range(1, length(p_brand) + 1)) AS i, translate(p_brand, '#', '!') AS s FROM part), d AS (SELECT p_partkey, i, ascii(substr(s, i, 1)) - 33 AS v FROM c), e AS (SELECT *, 100 + sum(v) OVER (PARTITION BY p_partkey ORDER BY i) AS place FROM d) SELECT p_partkey, string_agg(CAST(place AS INT), ',' ORDER BY CASE WHEN p_partkey % 2 = 0 THEN -i ELSE i END) AS places, round(sum(v * 100.0 / 92), 6) AS ratios FROM e GROUP BY p_partkey",
-    "x19_turned_traces": "SELECT 't' || (vec_id // 4) AS name, 'TACGT' AS bases, '3,23,38,48,58' AS places, CAST(floor(abs(CAST(max(embedding[64]) FILTER (vec_id % 4 = 3) AS DOUBLE)) * 40) AS INT) AS first_a, CAST(floor(abs(CAST(max(embedding[64]) FILTER (vec_id % 4 = 2) AS DOUBLE)) * 40) AS INT) AS first_c FROM embeddings WHERE vec_id < 400 GROUP BY 1",
+    "x19_turned_traces": "SELECT 't' || (vec_id // 4) AS name, 'TACGT' AS bases, '3,23,38,48,58' AS places, CAST(floor(abs(CAST(max(embedding[64]) FILTER (vec_id % 4 = 3) AS DOUBLE)) * 40) AS INT) AS first_a, CAST(floor(abs(CAST(max(embedding[64]) FILTER (vec_id % 4 = 2) AS DOUBLE)) * 40) AS INT) AS first_c FROM embeddings GROUP BY 1",
     "a40_genotype_alleles": "WITH g AS (SELECT l_partkey % 500 AS snp, translate(l_returnflag, 'ANR', 'ACG') AS a, translate(l_linestatus, 'FO', 'AC') AS b FROM lineitem), u AS (SELECT snp, a AS x FROM g UNION SELECT snp, b FROM g) SELECT g.snp, (SELECT string_agg(x, '' ORDER BY x) FROM u WHERE u.snp = g.snp) AS alleles, bool_or(a <> b) AS any_heterozygous FROM g GROUP BY g.snp",
     "z17_visible_genotypes": "WITH g AS (SELECT l_partkey % 500 AS snp, translate(l_returnflag, 'ANR', 'ACG') AS a, translate(l_linestatus, 'FO', 'AC') AS b FROM lineitem), s AS (SELECT snp, bool_or(a <> b) AS h, bool_or(a = 'G' OR b = 'G') AS g FROM g GROUP BY snp) SELECT count(*) FILTER (h) AS heterozygous, count(*) FILTER (g) AS with_g FROM s",
     "a38_header_facts": "SELECT strftime(max(o_orderdate), '%Y-%m-%d') AS latest, count(DISTINCT o_custkey) AS samples, count(DISTINCT o_orderpriority) AS builds FROM orders",

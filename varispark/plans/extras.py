@@ -138,7 +138,7 @@ def masked_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 def padded_reads(spark: SparkSession, sf: str) -> DataFrame:
     """Qualities laid onto padded reads, with A as the pad."""
-    r = reads(spark, sf).where("mapq = 3").select("read_id", scales.padded_qualities(F.translate("seq", "A", "*"), F.col("qual"), ops.has(ops.REVERSE)).alias("q"))
+    r = reads(spark, sf).select("read_id", scales.padded_qualities(F.translate("seq", "A", "*"), F.col("qual"), ops.has(ops.REVERSE)).alias("q"))
     return r.select("read_id", F.size("q").alias("n"), F.size(F.filter("q", lambda x: x == -1)).alias("pads"))
 
 
@@ -171,7 +171,7 @@ ORACLE = {
     "x13_x18_z13_z14_scales": "WITH n AS (SELECT n_nationkey AS k, n_name, CASE WHEN abs(n_nationkey - 12) >= 9 THEN 3 WHEN abs(n_nationkey - 12) >= 5 THEN 2 WHEN abs(n_nationkey - 12) >= 2 THEN 1 ELSE 0 END AS b FROM nation) SELECT k, CAST(b AS INT) AS bucket, CAST(CASE WHEN b = 0 THEN 0 ELSE 40 + (b - 1) * 30 END AS DOUBLE) AS intensity, round(0.5 + 0.5 * least(k / 20, 1.0), 9) AS shade, CAST(CASE WHEN contains(upper(n_name), 'A') THEN 1 ELSE 0 END + CASE WHEN contains(upper(n_name), 'C') THEN 2 ELSE 0 END + CASE WHEN contains(upper(n_name), 'G') THEN 4 ELSE 0 END + CASE WHEN contains(upper(n_name), 'T') THEN 8 ELSE 0 END AS INT) AS mask, 'key' || k AS key, (k + 4) / 2 AS neutral, CASE WHEN k % 2 = 0 THEN 'T/C' ELSE 'A/G' END AS alleles FROM n",
     "x17_intensities": "WITH l AS (SELECT c_mktsegment, count(*) AS n, row_number() OVER (ORDER BY c_mktsegment) - 1 AS k, count(*) OVER () AS m FROM customer GROUP BY c_mktsegment) SELECT c_mktsegment, round(CASE WHEN m > 1 THEN k / (m - 1) ELSE 1.0 END, 9) AS intensity, n FROM l",
     "z05_masked_ranges": f"WITH {READS_SQL} SELECT rname, CAST(32 - (mapq + 1) AS INT) AS \"left\", count(*) AS n FROM reads GROUP BY ALL",
-    "z07_padded_qualities": f"{_W} SELECT read_id, CAST(count(*) AS INT) AS n, CAST(count(*) FILTER (base = 'A') AS INT) AS pads FROM bases WHERE mapq = 3 GROUP BY read_id",
+    "z07_padded_qualities": f"{_W} SELECT read_id, CAST(count(*) AS INT) AS n, CAST(count(*) FILTER (base = 'A') AS INT) AS pads FROM bases GROUP BY read_id",
     "s13_made_reference": "WITH s AS (SELECT repeat('N', 99) || 'A' || repeat('N', 50) AS b) SELECT 'chrT' AS chrom, CAST(k * 64 + 1 AS INT) AS chunk_start, substr(b, k * 64 + 1, 64) AS bases FROM s, (SELECT CAST(unnest(range(3)) AS INT) AS k)",
 }
 _BROAD = f"WITH {OBS_SQL}, b AS (SELECT pos, " + ", ".join(f"count(*) FILTER ({c} AND tn = '{t.upper()}') AS {k}_{t}" for k, c in (("ref", "base = ref"), ("alt", "base <> ref")) for t in "nt") + ", count(*) AS coverage FROM obs WHERE qual >= 15 GROUP BY pos)"

@@ -102,16 +102,16 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.where(~drop)
 
 
-#: Matrix of 60 samples: cells of groups of five related vectors, some null.
-MATRIX_SQL = """vectors AS (SELECT vec_id, unnest(embedding) AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS col FROM embeddings WHERE vec_id < {n}),
+#: Matrix with a sample a vector: cells of groups of five related vectors, some null.
+MATRIX_SQL = """vectors AS (SELECT vec_id, unnest(embedding) AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS col FROM embeddings),
  matrix AS (SELECT a.vec_id, a.col, CASE WHEN (a.vec_id + a.col) % 17 = 0 THEN NULL ELSE CAST(greatest(-98, least(98, CASE WHEN a.vec_id % 3 <> 0
   THEN floor(30 * CAST(b.x AS DOUBLE) + 10 * CAST(a.x AS DOUBLE) + 0.5) ELSE floor(30 * CAST(a.x AS DOUBLE) + 0.5) END)) AS INT) END AS value
   FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id - a.vec_id % 5 AND a.col = b.col)"""
 
 
-def matrix(spark: SparkSession, sf_dir: str, n: int = 1 << 40) -> DataFrame:
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, col, value): a sample-by-marker matrix in long form; null cells are missing measurements."""
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id") < n).select("vec_id", F.posexplode("embedding").alias("col", "x"))
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("col", "x"))
     v = v.withColumn("x", F.col("x").cast("double"))
     head = v.where(F.col("vec_id") % 5 == 0).select(F.col("vec_id").alias("g"), "col", F.col("x").alias("y"))
     both = v.withColumn("g", F.col("vec_id") - F.col("vec_id") % 5).join(head, ["g", "col"])

@@ -84,7 +84,7 @@ QUERIES = {
     "k08_soft_clip_fasta": clipped_fasta,
 }
 
-_M = f"WITH {MATRIX_SQL.format(n=1 << 40)} SELECT 'm' || col AS marker, count(value) AS n, CAST(sum(value) AS BIGINT) AS total FROM matrix GROUP BY col"
+_M = f"WITH {MATRIX_SQL} SELECT 'm' || col AS marker, count(value) AS n, CAST(sum(value) AS BIGINT) AS total FROM matrix GROUP BY col"
 _USE = "flag & 1024 = 0 AND flag & 4 = 0"
 ORACLE = {
     "k05_wig": f"WITH {BASES_SQL}, c AS (SELECT q, count(*) AS k FROM bases WHERE aligned AND {_USE} AND qual >= 10 AND rname = 'chr2' AND q BETWEEN 95 AND 700 GROUP BY q) SELECT count(*) AS values, CAST(sum(k) AS BIGINT) AS total FROM c",

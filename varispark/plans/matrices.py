@@ -9,13 +9,13 @@ from ..operators import matrix as ops
 from .fixtures import MATRIX_SQL, matrix
 
 
-def _m(spark: SparkSession, sf: str, n: int = 1 << 40) -> DataFrame:
-    m = matrix(spark, sf, n).withColumnRenamed("vec_id", "sample")
+def _m(spark: SparkSession, sf: str) -> DataFrame:
+    m = matrix(spark, sf).withColumnRenamed("vec_id", "sample")
     return m.withColumn("patient", F.floor(F.col("sample") / 3)).withColumn("subset", (F.col("sample") % 3).cast("int"))
 
 
-def _sql(n: int = 1 << 40) -> str:
-    return f"WITH {MATRIX_SQL.format(n=n)}, m AS (SELECT vec_id AS sample, vec_id // 3 AS patient, CAST(vec_id % 3 AS INT) AS subset, col, value FROM matrix)"
+def _sql() -> str:
+    return f"WITH {MATRIX_SQL}, m AS (SELECT vec_id AS sample, vec_id // 3 AS patient, CAST(vec_id % 3 AS INT) AS subset, col, value FROM matrix)"
 
 
 def gradients(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,19 +28,19 @@ def change_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def distances(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.pair_distances(_m(spark, sf, 60), lambda a, b: ops.euclidean(a, b, 2)).withColumn("d", F.round("d", 6))
+    return ops.pair_distances(_m(spark, sf), lambda a, b: ops.euclidean(a, b, 2)).withColumn("d", F.round("d", 6))
 
 
 def correlations(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.pair_distances(_m(spark, sf, 60), ops.pearson).withColumn("d", F.round("d", 6))
+    return ops.pair_distances(_m(spark, sf), ops.pearson).withColumn("d", F.round("d", 6) + 0.0)
 
 
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.cluster(_m(spark, sf, 60), "pearson", 0.5)
+    return ops.cluster(_m(spark, sf), "pearson", 0.5)
 
 
 def euclidean_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    m = _m(spark, sf, 60).withColumn("value", F.greatest(F.lit(-2), F.least(F.lit(2), F.col("value"))))
+    m = _m(spark, sf).withColumn("value", F.greatest(F.lit(-2), F.least(F.lit(2), F.col("value"))))
     return ops.cluster(m, "euclidean", 9.0, "mean")
 
 
@@ -95,8 +95,8 @@ ORACLE = {
     "a33_frequency_report": f"{_sql()} SELECT col, round(count(*) FILTER (value > 0) * 100.0 / count(*), 9) AS percent FROM m GROUP BY col HAVING count(*) FILTER (value > 0) > 0",
     "a34_representative_average": f"{_sql()} SELECT patient, col, round(avg(value), 9) AS value FROM m WHERE value IS NOT NULL GROUP BY ALL",
     "a34_representative_highest": f"{_sql()} SELECT patient, col, CAST(max(value) AS DOUBLE) AS value FROM m WHERE value > 0 GROUP BY ALL",
-    "a35_euclidean_distance": f"{_sql(60)}, {_PAIRS} SELECT a, b, round(sqrt(sum(pow(greatest(-2, least(2, x)) - greatest(-2, least(2, y)), 2))), 6) AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY a, b",
-    "a36_pearson": f"{_sql(60)}, {_PAIRS} SELECT a, b, round(corr(x, y), 6) AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY a, b",
+    "a35_euclidean_distance": f"{_sql()}, {_PAIRS} SELECT a, b, round(sqrt(sum(pow(greatest(-2, least(2, x)) - greatest(-2, least(2, y)), 2))), 6) AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY a, b",
+    "a36_pearson": f"{_sql()}, {_PAIRS} SELECT a, b, round(corr(x, y), 6) + 0.0 AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY a, b",
     "a37_statistics": f"{_sql()} SELECT col, round(avg(value), 8) AS mean, list_sort(list(value))[count(*) // 2 + 1] AS median, round(var_pop(value), 8) AS variance, round(stddev_pop(value), 8) AS deviation, round(1.96 * stddev_pop(value) / sqrt(count(*)), 8) AS bound FROM m WHERE value IS NOT NULL GROUP BY col",
     "j13_marker_lookup": "WITH h AS (SELECT CAST(p_partkey - 1 AS INT) AS col, unnest(string_split(p_name, ' ')) AS marker FROM part), e AS (SELECT marker, max(col) AS col FROM h GROUP BY marker), l AS (SELECT lower(marker) AS lower, max(col) AS low_col FROM h GROUP BY 1), w AS (SELECT upper(string_split(p_name, ' ')[1]) AS wanted FROM part WHERE p_size < 10 UNION SELECT string_split(p_name, ' ')[-1] FROM part WHERE p_size = 11) SELECT wanted, coalesce(col, low_col) AS col FROM w LEFT JOIN e ON wanted = marker LEFT JOIN l ON lower(wanted) = l.lower",
     "j16_combine_rows": f"{_sql()}, p AS (SELECT * FROM m WHERE subset = 0), o AS (SELECT * FROM m WHERE subset = 1 AND col < 50) SELECT patient, CAST(sample AS VARCHAR) AS sample, col, value, CAST(0 AS INT) AS source, CAST(0 AS INT) AS block FROM p UNION ALL SELECT patient, sample || '-x', col, value, CAST(1 AS INT), CAST(CASE WHEN patient IN (SELECT patient FROM p) THEN 0 ELSE 1 END AS INT) FROM o WHERE col IN (SELECT col FROM p)",

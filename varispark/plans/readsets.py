@@ -24,6 +24,11 @@ def _bases(spark: SparkSession, sf: str) -> DataFrame:
     return ops.bases(ops.aligned_pieces(_usable(spark, sf), reference(spark, sf), CHUNK))
 
 
+def _bases_by_read(spark: SparkSession, sf: str) -> DataFrame:
+    """For windows over a read: blocks are dealt out by read before they are laid out in bases."""
+    return ops.bases(ops.aligned_pieces(_usable(spark, sf), reference(spark, sf), CHUNK).repartition("read_id"))
+
+
 def _count(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
@@ -98,12 +103,12 @@ def suspicious(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dense_mismatches(spark: SparkSession, sf: str) -> DataFrame:
-    return _count(ops.densest_window(_bases(spark, sf), 10, 15), "best")
+    return _count(ops.densest_window(_bases_by_read(spark, sf), 10, 15), "best")
 
 
 def ends(spark: SparkSession, sf: str) -> DataFrame:
     cfg = VariantConfig(end_mismatch_windows=((10, 2), (6, 1)))
-    b = ops.end_blacklist(_bases(spark, sf), cfg)
+    b = ops.end_blacklist(_bases_by_read(spark, sf), cfg)
     return _count(b.where("blacklisted"), "rname", "read_i")
 
 
@@ -266,8 +271,8 @@ def numbered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    r = reads(spark, sf).withColumn("pnext", F.col("pos") + 2 * (F.col("pos") % 2) - 1)
-    r = r.withColumn("qname", F.concat("rname", (F.length("qname") % 2).cast("string"))).where("mapq = 7")
+    r = reads(spark, sf).withColumn("pnext", F.col("pos") + 1 - 2 * (F.col("pos") % 2))
+    r = r.withColumn("qname", F.concat_ws(":", "rname", F.floor(F.col("pos") / 2).cast("string")))
     return ops.mates(r).groupBy("read_id").agg(F.count(F.lit(1)).alias("mates"))
 
 
@@ -432,7 +437,7 @@ ORACLE = {
     "a21_duplicate_mappings": f"{_RC}, g AS (SELECT qname, count(*) AS n FROM reads WHERE kind = 5 AND {_USABLE} GROUP BY qname, rname, pos, flag & 16, cigar) SELECT max(n) AS most, count(*) AS places, arg_max(qname, (n, qname)) AS name FROM g",
     "a28_j21_counts_at_positions": f"{_W} SELECT s_name AS name, 'chr2' AS rname, CAST(s_suppkey * 19 + 100 AS INT) AS pos_at, {', '.join(f'count(*) FILTER (base = {chr(39)}{b}{chr(39)}) AS {b}' for b in 'ACGT')} FROM supplier LEFT JOIN (SELECT * FROM {_OKB} WHERE qual >= 10 AND rname = 'chr2') o ON o.q = s_suppkey * 19 + 100 GROUP BY s_name, s_suppkey",
     "w01_numbered_names": f"{_RC} SELECT read_id, qname || '.' || CASE WHEN flag & 16 > 0 THEN 'R' ELSE 'F' END || row_number() OVER (PARTITION BY qname, flag & 16 ORDER BY rname, pos, read_id) AS unique_name FROM reads WHERE {_USABLE}",
-    "j06_s05_mates": f"{_RC}, m AS (SELECT read_id, rname || (length(qname) % 2) AS name, pos, pos + 2 * (pos % 2) - 1 AS pnext, flag & 16 > 0 AS rev, flag & 32 > 0 AS mrev FROM reads WHERE mapq = 7) SELECT a.read_id, count(*) AS mates FROM m a JOIN m b ON a.name = b.name AND a.pnext = b.pos AND a.mrev = b.rev AND a.read_id <> b.read_id GROUP BY a.read_id",
+    "j06_s05_mates": f"{_RC}, m AS (SELECT read_id, rname || ':' || (pos // 2) AS name, pos, pos + 2 * (1 - pos % 2) - 1 AS pnext, flag & 16 > 0 AS rev, flag & 32 > 0 AS mrev FROM reads) SELECT a.read_id, count(*) AS mates FROM m a JOIN m b ON a.name = b.name AND a.pnext = b.pos AND a.mrev = b.rev AND a.read_id <> b.read_id GROUP BY a.read_id",
     "j08_pairs": f"{_RC}, p AS (SELECT qname, count(*) FILTER (flag & 64 > 0) AS f, count(*) FILTER (flag & 64 = 0) AS s FROM reads GROUP BY qname) SELECT CASE WHEN f > 0 AND s > 0 THEN 'pair' WHEN f > 0 THEN 'only_first' ELSE 'only_second' END AS kind, count(*) AS n FROM p GROUP BY 1",
     "j09_wanted_names": f"{_RC} SELECT rname, count(*) AS n FROM reads WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY rname",
     "j24_known_introns": f"{_RC} SELECT rname, (pos + 20) || '-' || (pos + 119) AS span, count(*) AS n FROM reads JOIN part ON p_partkey + 120 = pos + 20 WHERE kind = 5 AND {_USABLE} AND p_size > 25 GROUP BY ALL",
