@@ -13,13 +13,14 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, read, written
+from .common import PACKED, new_path, read, written
 
 #: Words whose ids a Python worker remembers, in each of two generations.
 CACHE_WORDS = 400_000
@@ -72,6 +73,11 @@ class WordEncoder(dict):
         self[key] = ids
         return ids
 
+    def rest(self) -> None:
+        """At a task's end: forget the older words, so that a worker that goes on to other stages holds less."""
+        self.older = {}
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text, in UTF-8, its ids as little-endian bytes of self.dtype."""
         return [b"".join(map(self.__getitem__, x.split())) for x in texts]
@@ -88,26 +94,42 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 def encode_varint(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of unsigned 32-bit ranks."""
-    size = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    code = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    code[: len(ranks)] = size - 1
-    control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
+    return encode_many(ranks, np.array([len(ranks)]))[0]
+
+
+def encode_many(ranks: np.ndarray, counts: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """(control, data) of each of several runs of ranks that lie end to end."""
+    size = (1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
+    room = -(-counts // 4)
+    code = np.zeros(int(room.sum()) * 4, np.uint8)
+    code[np.arange(len(ranks)) + np.repeat((np.cumsum(room) - room) * 4 - (np.cumsum(counts) - counts), counts)] = size - 1
+    control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes()
     four = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), four[np.arange(4) < size[:, None]].tobytes()
+    data = four[np.arange(4, dtype=np.uint8) < size[:, None]].tobytes()
+    ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+    rooms = np.concatenate(([0], np.cumsum(room))).tolist()
+    return [(control[rooms[i] : rooms[i + 1]], data[ends[i] : ends[i + 1]]) for i in range(len(counts))]
 
 
 #: For each control byte, the sizes of its four ranks.
-_SIZES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
-_KEEP = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
+_SIZES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
+_KEEP = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
 def decode_varint(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n ranks: sizes by table lookup over control bytes, then gathered from data."""
-    sizes = _SIZES[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    starts = np.cumsum(sizes) - sizes
-    flat = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(3, np.uint8))).astype(np.uint32)
-    raw = flat[starts] | flat[starts + 1] << 8 | flat[starts + 2] << 16 | flat[starts + 3] << 24
-    return raw & _KEEP[sizes - 1]
+    return decode_many(control, data, np.array([n]))
+
+
+def decode_many(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
+    """The ranks, end to end, of runs whose control bytes and data are put together."""
+    room = -(-counts // 4)
+    place = np.arange(int(counts.sum())) + np.repeat((np.cumsum(room) - room) * 4 - (np.cumsum(counts) - counts), counts)
+    sizes = _SIZES[np.frombuffer(control, np.uint8)].reshape(-1)[place]
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    flat = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)))
+    four = np.ndarray(max(len(flat) - 3, 0), "<u4", flat.tobytes(), strides=(1,))  # the four bytes from each place
+    return four[starts] & _KEEP[sizes]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -159,7 +181,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
     out by ranges of doc_id, so parts hold like numbers of documents whatever the sources are.
     """
     spark = docs.sparkSession
-    tokens = written(tokenized(docs, tokenizer, end_id), "ids")
+    tokens = written(tokenized(docs, tokenizer, end_id), "ids", PACKED)
     order = rank_order(id_counts(tokens))
     width = word_encoder(tokenizer).dtype
     rank = np.empty(len(order), np.uint32)
@@ -170,9 +192,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
 
         part, before = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids = [np.frombuffer(x, width) for x in b.column(1).to_pylist()]
-            n = np.array([len(x) for x in ids], np.int64)
-            coded = [encode_varint(rank[x]) for x in ids]
+            raw = b.column(1).to_pylist()
+            n = np.array([len(x) // width.itemsize for x in raw], np.int64)
+            coded: list[tuple[bytes, bytes]] = []
+            for at in range(0, len(raw), 256):
+                coded += encode_many(rank[np.frombuffer(b"".join(raw[at : at + 256]), width)], n[at : at + 256])
             starts = before + np.cumsum(n) - n
             before += int(n.sum())
             control, data = (pa.array([x[k] for x in coded], pa.binary()) for k in (0, 1))
@@ -181,7 +205,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_by = F.col("doc_id").asc_nulls_first()
     ordered = tokens.where("ids is not null").select("doc_id", "ids").repartitionByRange(n, order_by).sortWithinPartitions(order_by)
-    ordered.mapInArrow(encode, "part long, doc_id long, part_start long, n_tokens long, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/tokens")
+    ordered.mapInArrow(encode, "part long, doc_id long, part_start long, n_tokens long, control binary, data binary").write.options(**PACKED).parquet(f"{path}/tokens")
     spark.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, order.tolist()))), ","))).selectExpr("pos as rank", "cast(col as long) as id").write.parquet(f"{path}/ranks")
 
 
@@ -200,7 +224,13 @@ def read_tokens(spark, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             part, doc, start, n, control, data = (b.column(i) for i in range(6))
-            ids = [order[decode_varint(c, d, k)].tobytes() for c, d, k in zip(control.to_pylist(), data.to_pylist(), n.to_pylist(), strict=True)]
+            counts, controls, datas = n.to_numpy(), control.to_pylist(), data.to_pylist()
+            ids: list[bytes] = []
+            for at in range(0, len(counts), 256):
+                k = counts[at : at + 256]
+                raw = order[decode_many(b"".join(controls[at : at + 256]), b"".join(datas[at : at + 256]), k)].tobytes()
+                cuts = [0, *(np.cumsum(k) * 4).tolist()]
+                ids += [raw[i:j] for i, j in pairwise(cuts)]
             begin = [first[p] + s for p, s in zip(part.to_pylist(), start.to_pylist(), strict=True)]
             yield pa.record_batch({"doc_id": doc, "start": pa.array(begin, pa.int64()), "n_tokens": n, "ids": pa.array(ids, pa.binary())})
 
