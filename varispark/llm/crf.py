@@ -12,12 +12,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read
-from .textarrays import Texts, labelled_sample, mix, of_texts, segment_hash, slices, sums
+from .textarrays import Texts, judged, labelled_sample, mix, of_texts, segment_hash, slices, sums
 
 #: Labelled documents that the field is fitted on, at most.
 TRAIN_ROWS = 2500
@@ -140,9 +141,14 @@ def fit(rows: list[tuple[int, bytes, int]], steps: int = 200, rate: float = 0.1,
     if len({y for *_, y in rows}) < 2:  # nothing to learn from: the only label seen, or even odds
         only = {y for *_, y in rows}
         return Field([], [], np.zeros((2, 2)), np.array([0.0, 3.0 if only == {1} else -3.0 if only == {0} else 0.0]))
-    texts, y = [x for _, x, _ in rows], np.array([q for *_, q in rows])
-    stats, owner, _ = line_stats(texts, of_texts(texts))
-    wide, n = neighbours(stats, owner), len(rows)
+    y, n = np.array([q for *_, q in rows]), len(rows)
+    parts, owners = [], []
+    for at in range(0, n, 200):  # a few texts at a time: their arrays of bytes are large, those of lines small
+        texts = [x for _, x, _ in rows[at : at + 200]]
+        stats, own, _ = line_stats(texts, of_texts(texts))
+        parts.append(neighbours(stats, own))
+        owners.append(own + at)
+    wide, owner = np.concatenate(parts), np.concatenate(owners)
     cuts = [np.unique(np.quantile(np.unique(wide[:, j]), np.linspace(0, 1, BUCKETS + 1)[1:-1])) for j in range(wide.shape[1])]
     cuts = [np.unique(np.concatenate((c, np.quantile(wide[:, j], np.linspace(0, 1, BUCKETS + 1)[1:-1])))) for j, c in enumerate(cuts)]
     field = Field(cuts, [np.zeros(len(c) + 1) for c in cuts], np.zeros((2, 2)), np.zeros(2))
@@ -191,12 +197,8 @@ def filter_documents(docs: DataFrame, field: Field, good: float = GOOD) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     @F.pandas_udf("boolean")
-    def verdict(text):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        texts = pa.array([x.encode() if isinstance(x, str) else b"" for x in text], pa.large_binary())
-        batch = pa.record_batch({"i": pa.array(range(len(texts)), pa.int64()), "t": texts})
-        return pd.Series(np.concatenate([quality(x, shared.value) for _, x in slices(iter([batch]))] or [np.zeros(0)]) >= good)
+    def verdict(text: pd.Series) -> pd.Series:
+        return judged(text, lambda texts: quality(texts, shared.value) >= good)
 
     return docs.where(verdict("text"))
 

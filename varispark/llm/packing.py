@@ -135,14 +135,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits()
             return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for b in batches:
-            for name, raw in zip(b.column(0).to_pylist(), encoder.encode(texts_of(b.column(1))), strict=True):
-                ids.append(np.concatenate((np.frombuffer(raw, encoder.dtype), end)))
-                names.append(name)
-                held += len(ids[-1])
-                if len(ids) >= limits.window or held >= limits.window_tokens:
-                    yield flush()
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                for name, raw in zip(part.column(0).to_pylist(), encoder.encode(texts_of(part.column(1))), strict=True):
+                    ids.append(np.concatenate((np.frombuffer(raw, encoder.dtype), end)))
+                    names.append(name)
+                    held += len(ids[-1])
+                    if len(ids) >= limits.window or held >= limits.window_tokens:
+                        yield flush()
         if ids:
             yield flush()
+        encoder.rest()
 
     fields = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, fields)

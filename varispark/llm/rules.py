@@ -11,12 +11,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read
-from .textarrays import Texts, labelled_sample, mix, of_texts, slices, sums
+from .textarrays import Texts, judged, labelled_sample, mix, of_texts, slices, sums
 
 #: Labelled rows that the regression is fitted on, at most.
 TRAIN_ROWS = 3000
@@ -73,6 +74,11 @@ def base_counts(texts: list[bytes], t: Texts) -> dict[str, np.ndarray]:
     }
 
 
+def failed(c: dict[str, np.ndarray]) -> np.ndarray:
+    """Under ten words, or more than a fifth of the words in repeated windows."""
+    return (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
+
+
 def gram_hashes(t: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
     """For words, word pairs and byte grams: (hash below 2^BITS, text it belongs to)."""
     shift = np.uint64(64 - BITS)
@@ -170,9 +176,9 @@ def score(docs: DataFrame, model: NgramModel, keep: float = KEEP) -> DataFrame:
         for names, texts in slices(batches):
             t = of_texts(texts)
             c = base_counts(texts, t)
-            failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
+            out = failed(c)
             p = shared.value.probability(t)
-            yield pa.record_batch({"doc_id": pa.array(names, pa.int64())} | {k: pa.array(v) for k, v in c.items()} | {"base_failed": pa.array(failed), "score": pa.array(p), "kept": pa.array(~failed & (p >= keep))})
+            yield pa.record_batch({"doc_id": pa.array(names, pa.int64())} | {k: pa.array(v) for k, v in c.items()} | {"base_failed": pa.array(out), "score": pa.array(p), "kept": pa.array(~out & (p >= keep))})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, " + FIELDS)
 
@@ -181,22 +187,14 @@ def filter_documents(docs: DataFrame, model: NgramModel, keep: float = KEEP) ->
     """The documents that the rules keep, columns as given. Judged in place: nothing is joined or shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def judge(texts: list[bytes]) -> np.ndarray:
+        t = of_texts(texts)
+        c = base_counts(texts, t)
+        return ~failed(c) & (shared.value.probability(t) >= keep)
+
     @F.pandas_udf("boolean")
-    def verdict(text):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        raw, out, at = [x.encode() if isinstance(x, str) else b"" for x in text], [], 0
-        while at < len(raw):
-            stop, n = at, 0
-            while stop < len(raw) and n < 1 << 20:
-                n += len(raw[stop])
-                stop += 1
-            t = of_texts(raw[at:stop])
-            c = base_counts(raw[at:stop], t)
-            failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
-            out.append(~failed & (shared.value.probability(t) >= keep))
-            at = stop
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+    def verdict(text: pd.Series) -> pd.Series:
+        return judged(text, judge)
 
     return docs.where(verdict("text"))
 

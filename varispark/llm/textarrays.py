@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +77,20 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[t
             at = stop
 
 
+def judged(column: pd.Series, judge: Callable[[list[bytes]], np.ndarray], most: int = 1 << 20) -> pd.Series:
+    """judge's verdicts on runs of texts of about `most` characters; a run's bytes are made when its turn comes."""
+    texts, out, at = column.tolist(), [], 0
+    while at < len(texts):
+        part: list[bytes] = []
+        n = 0
+        while at < len(texts) and n < most:
+            part.append(texts[at].encode() if isinstance(texts[at], str) else b"")
+            n += len(part[-1])
+            at += 1
+        out.append(judge(part))
+    return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+
+
 def sums(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, values, n)
 
