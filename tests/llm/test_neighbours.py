@@ -64,3 +64,28 @@ def test_copies_are_one_node_and_empty_table(spark):
     got = N.near_vectors(table(spark, rows)).collect()
     assert len(got) == 51 and {(r["n_links"], r["component_id"]) for r in got} == {(50, 0)}
     assert N.near_vectors(table(spark, rows).limit(0)).count() == 0
+
+
+def columns(got):
+    return sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got)
+
+
+def test_links_between_families_that_fill_each_others_lists(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    off = rng.normal(size=16)
+    off -= base * (off @ base) / (base @ base)
+    off *= np.linalg.norm(base) / np.linalg.norm(off)
+    centers = [base, base + 0.4 * off]  # 0.93 apart, members about 0.99
+    vectors = [c + rng.normal(size=16) * 0.1 for c in centers for _ in range(40)]
+    rows = [(i, np.float32(v).tolist()) for i, v in enumerate(vectors)]
+    want = sorted(brute(rows))
+    assert min(n for _, n, _ in want) > 40  # links across as well as within
+    assert columns(N.near_vectors(table(spark, rows)).collect()) == want
+
+
+def test_low_recall_compares_all_vectors(spark, monkeypatch):
+    monkeypatch.setattr(N, "ORDERS", 1)
+    monkeypatch.setattr(N, "RETRIES", 0)
+    rows = [r for r in sample() if r[0] is not None]
+    assert columns(N.near_vectors(table(spark, rows), rounds=0).collect()) == sorted(brute(rows))

@@ -3,8 +3,9 @@
 Lists start from windows in random-hyperplane orders. In a round every vector is a pivot: the vectors that it lists
 and that list it meet there, and each pair among them may enter the other's list. Rounds run on vectors of bytes;
 edges near the threshold are then computed in double precision and those that reach it stay. Where a list is full of
-links it may have missed some: the lists of the whole connected region are then enlarged to the region, compared in
-blocks. An audit of a fixed number of vectors against all rows measures recall, and rounds go on while it is low.
+links it may have missed some: such a vector is compared in blocks with all vectors but those that the triangle
+inequality of angles rules out. An audit of a fixed number of vectors against all rows measures recall, and rounds go
+on while it is low; if it stays low, all vectors are compared in that way.
 
 Equal vectors are one node with a weight, so a vector that a third of all rows share is a single node.
 """
@@ -15,15 +16,17 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .common import components, drop_table, read, written
 
 THRESHOLD = 0.9
-#: Length of a neighbour list before it is enlarged.
+#: Length of a neighbour list.
 K = 10
 #: Random orders for the first lists, neighbours taken to either side in each, and hyperplanes to an order.
 ORDERS, SIDE, PLANES = 16, 2, 24
@@ -216,49 +219,137 @@ def cosine(a: bytes, b: bytes) -> float:
     return float(x @ y / np.sqrt((x @ x) * (y @ y)))
 
 
-def region_counts(regions: DataFrame, threshold: float) -> DataFrame:
-    """(h, links): for rows (region, h, w, raw), the weight of the others of its region at the threshold or closer.
+def cross(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Cosines of each of a with each of b, given as doubles; -2 between vectors of different lengths."""
+    out = np.full((len(a), len(b)), -2.0)
+    of_a, of_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    for d in np.intersect1d(of_a, of_b):
+        i, j = np.flatnonzero(of_a == d), np.flatnonzero(of_b == d)
+        out[np.ix_(i, j)] = unit([a[x] for x in i]) @ unit([b[x] for x in j]).T
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def cosine_of(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([cosine(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def placed(full: DataFrame, nodes: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
+    """(h, w, raw, comp, ball): nodes with their component so far; ball is null but for the nodes of full (h, c, s).
+
+    A ball is named by a node: the component's, if that is at the threshold or closer, else the least of the node
+    and of the close ones on its list. A ball's members are near its node, so few others come near the ball.
+    """
+    close = F.transform(F.filter(F.arrays_zip("c", "s"), lambda e: e["s"] >= threshold - MARGIN), lambda e: e["c"])
+    near = full.select(F.col("h").alias("node"), F.array_min(F.concat(F.array("h"), close)).alias("near"))
+    own = nodes.join(comp, F.col("h") == F.col("node"), "left").select("h", "w", "raw", F.coalesce("component", "h").alias("comp"))
+    own = own.join(near, F.col("h") == F.col("node"), "left").drop("node")
+    roots = nodes.select(F.col("h").alias("comp"), F.col("raw").alias("root"))
+    chosen = own.where("near is not null").join(roots, "comp").select("h", "w", "raw", "comp", F.when(cosine_of("raw", "root") >= threshold, F.col("comp")).otherwise(F.col("near")).alias("ball"))
+    return written(chosen.union(own.where("near is null").select("h", "w", "raw", "comp", F.col("near").alias("ball"))), "placed")
+
+
+def candidates(every: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(ball, h, w, raw, comp, own): the nodes that may reach the threshold with a member of the ball.
 
-    A region's rows are dealt into blocks of about BLOCK; each pair of blocks is one small task's work, and a row's
-    count from it one row: no pairs are written.
+    By the triangle inequality of angles none is left out: a ball's reach is the greatest angle between its node and
+    a member, and the threshold's angle. Balls and nodes are dealt into blocks and compared block by block.
     """
-    n = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = regions.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("nb"))
-    rows = regions.join(sizes, "region").withColumn("k", F.pmod(F.xxhash64("h"), F.col("nb")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
-    rows = rows.select("region", "h", "w", "raw", "k", other).select("region", "h", "w", "raw", "k", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"))
+    n = int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    centers = nodes.select(F.col("h").alias("ball"), F.col("raw").alias("center"))
+    reach = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine_of("raw", "center"))))
+    balls = every.where("ball is not null").join(centers, "ball").select("ball", "center", reach.alias("r"))
+    balls = balls.groupBy("ball").agg(F.first("center").alias("raw"), (F.max("r") + float(np.arccos(threshold)) + 1e-6).alias("reach"))
+    balls = written(balls, "balls")
+    nb, nn = -(-balls.count() // BLOCK), -(-every.count() // (8 * BLOCK))
+    deal = lambda size: F.pmod(F.xxhash64("h"), F.lit(size)).cast("int")
+    over = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    none = F.lit(None).cast("long")
+    left = balls.select(F.col("ball").alias("h"), none.alias("w"), "raw", none.alias("comp"), none.alias("own"), "reach")
+    left = left.withColumn("x", deal(max(nb, 1))).withColumn("y", over(max(nn, 1)))
+    right = every.select("h", "w", "raw", "comp", F.col("ball").alias("own"), F.lit(None).cast("double").alias("reach"))
+    right = right.withColumn("y", deal(max(nn, 1))).withColumn("x", over(max(nb, 1)))
+    cols = ["x", "y", "h", "w", "raw", "comp", "own", "reach"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def all_rows() -> Iterator[tuple]:
-            for b in batches:
-                yield from zip(*(b.column(i).to_pylist() for i in range(7)), strict=True)
+        for _, group in groupby(rows_of(batches), key=lambda r: r[:2]):
+            rows = list(group)
+            asked, rest = [r for r in rows if r[7] is not None], [r for r in rows if r[7] is None]
+            if not asked or not rest:
+                continue
+            cos = cross([r[4] for r in asked], [r[4] for r in rest])
+            inside = (cos > -1.5) & (np.arccos(np.clip(cos, -1, 1)) <= np.array([r[7] for r in asked])[:, None])
+            for i in np.flatnonzero(inside.any(1)).tolist():
+                own = [rest[j] for j in np.flatnonzero(inside[i]).tolist()]
+                cols = [pa.array([r[k] for r in own], pa.binary() if k == 4 else pa.int64()) for k in (2, 3, 4, 5, 6)]
+                yield pa.record_batch([pa.array([asked[i][2]] * len(own), pa.int64()), *cols], names=["ball", "h", "w", "raw", "comp", "own"])
+
+    dealt = left.select(*cols).union(right.select(*cols)).repartition(n, "x", "y").sortWithinPartitions("x", "y")
+    return written(dealt.mapInArrow(run, "ball long, h long, w long, raw binary, comp long, own long"), "candidates")
 
-        for (_, x, y), group in groupby(all_rows(), key=lambda r: (r[0], r[5], r[6])):
-            own = list(group)
-            near = cosines([r[3] for r in own], "f8") >= threshold
-            np.fill_diagonal(near, False)
-            k = np.array([r[4] for r in own])
-            if x != y:
-                near &= k[:, None] != k[None, :]
-            links = near @ np.array([r[2] for r in own], np.int64)
-            yield pa.record_batch({"h": pa.array([r[1] for r in own], pa.int64()), "links": pa.array(links, pa.int64())})
 
-    dealt = rows.select("region", "h", "w", "raw", "k", "x", "y").repartition(n, "region", "x", "y").sortWithinPartitions("region", "x", "y")
-    return dealt.mapInArrow(run, "h long, links long").groupBy("h").agg(F.sum("links").alias("links"))
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True)
 
 
-def counted(state: DataFrame, nodes: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
-    """((h, w, links) of every node, components (node, component)) from the lists as they are."""
+def ball_links(near: DataFrame, threshold: float) -> DataFrame:
+    """(h, links, u, v) of candidates: weights of links with a member of a ball, by node, and components that meet.
+
+    Members count all their links, other nodes those with members; several rows of a node add up. Rows (u, v) name
+    two components with a link between them. A ball's members and candidates are dealt into blocks of about BLOCK;
+    each pair of blocks is one small task's work and no pairs are written.
+    """
+    n = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.count_if(c) / F.lit(BLOCK))).cast("int")
+    sizes = near.groupBy("ball").agg(blocks(F.col("own") == F.col("ball")).alias("nm"), blocks(F.lit(True)).alias("nc"))
+    rows = near.join(sizes, "ball")
+    deal = lambda size: F.pmod(F.xxhash64("h"), F.col(size)).cast("int")
+    over = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1))
+    cols = ["ball", "x", "y", "member", "h", "w", "raw", "comp", "own"]
+    members = rows.where("own = ball").withColumn("x", deal("nm")).withColumn("y", over("nc")).withColumn("member", F.lit(True))
+    others = rows.withColumn("y", deal("nc")).withColumn("x", over("nm")).withColumn("member", F.lit(False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby(rows_of(batches), key=lambda r: r[:3]):
+            own = list(group)
+            a, b = [r for r in own if r[3]], [r for r in own if not r[3]]
+            if not a or not b:
+                continue
+            ids, names = np.array([r[4] for r in a]), np.array([r[4] for r in b])
+            linked = (cross([r[6] for r in a], [r[6] for r in b]) >= threshold) & (ids[:, None] != names[None, :])
+            free = np.array([r[8] is None for r in b])
+            counts = [*(linked @ np.array([r[5] for r in b], np.int64)).tolist(), *(linked.T @ np.array([r[5] for r in a], np.int64))[free].tolist()]
+            ca, cb = np.array([r[7] for r in a]), np.array([r[7] for r in b])
+            i, j = np.nonzero(linked & (ca[:, None] != cb[None, :]))
+            meet = sorted(set(zip(ca[i].tolist(), cb[j].tolist(), strict=True)))
+            pad, gap = [None] * len(counts), [None] * len(meet)
+            out = [[*ids.tolist(), *names[free].tolist(), *gap], [*counts, *gap], [*pad, *[u for u, _ in meet]], [*pad, *[v for _, v in meet]]]
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["h", "links", "u", "v"])
+
+    dealt = members.select(*cols).union(others.select(*cols)).repartition(n, "ball", "x", "y").sortWithinPartitions("ball", "x", "y")
+    return written(dealt.mapInArrow(run, "h long, links long, u long, v long"), "ball-links")
+
+
+def counted(state: DataFrame, nodes: DataFrame, threshold: float, k: int, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((h, w, links) of every node, components (node, component)).
+
+    Nodes whose list is full of links, or all of them if whole, are compared with every node that may link with
+    them; links between other nodes are those on their lists.
+    """
     links = written(exact_links(state, nodes, threshold), "links")
     comp = written(components(links.select("u", "v")), "node-components")
-    full = state.where((F.size("c") >= k) & (F.array_min("s") >= threshold - MARGIN)).select(F.col("h").alias("node"))
-    regions = comp.join(comp.join(full, "node").select("component").distinct(), "component")
-    members = regions.select(F.col("component").alias("region"), F.col("node").alias("h")).join(nodes.select("h", "w", "raw"), "h")
-    dense = region_counts(members.select("region", "h", "w", "raw"), threshold)
+    full = state if whole else state.where((F.size("c") >= k) & (F.array_min("s") >= threshold - MARGIN))
+    every = placed(full.select("h", "c", "s"), nodes, comp, threshold)
+    dense = ball_links(candidates(every, nodes, threshold), threshold)
+    free = every.where("ball is null").select("h", "w")
     way = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    listed = way.join(nodes.select(F.col("h").alias("v"), "w"), "v").groupBy(F.col("u").alias("h")).agg(F.sum("w").alias("listed"))
-    out = nodes.select("h", "w").join(listed, "h", "left").join(dense, "h", "left")
-    return written(out.select("h", "w", F.coalesce("links", "listed", F.lit(0)).alias("links")), "link-counts"), comp
+    listed = way.join(free.select(F.col("h").alias("v"), "w"), "v").join(free.select(F.col("h").alias("u")), "u", "left_semi").select(F.col("u").alias("h"), F.col("w").alias("links"))
+    total = listed.union(dense.where("links is not null").select("h", "links")).groupBy("h").agg(F.sum("links").alias("links"))
+    counts = written(nodes.select("h", "w").join(total, "h", "left").select("h", "w", F.coalesce("links", F.lit(0)).alias("links")), "link-counts")
+    met = components(dense.where("u is not null").select("u", "v")).select(F.col("node").alias("comp"), "component")
+    label = every.join(met, "comp", "left").select(F.col("h").alias("node"), F.coalesce("component", "comp").alias("component"))
+    return counts, written(label, "node-components")
 
 
 def audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
@@ -321,6 +412,8 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = K, roun
         counts, comp = counted(state, nodes, threshold, k)
         if audit(nodes, counts, threshold) >= RECALL:
             break
+    else:
+        counts, comp = counted(state, nodes, threshold, k, whole=True)
     label = nodes.join(comp, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("component", "h").alias("root"))
     least = label.groupBy("root").agg(F.min("least").alias("component_id"))
     label = label.join(least, "root").join(counts.select("h", "w", "links"), "h").select("h", "component_id", (F.col("links") + F.col("w") - 1).alias("n_links"))
