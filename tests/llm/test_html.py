@@ -87,3 +87,21 @@ def test_classes_share_vectors(spark):
 
 def test_empty_table(spark):
     assert H.extract(pages(spark, [(1, "u", "h")]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<body class='right-sidebar'><p>text of it</body>", "text of it"),
+        ("<body class='menu-open'><article><p>text of it</article></body>", "text of it"),
+        ("<body><form id='aspnetForm'><article><p>text of it</article></form>", "text of it"),
+        ("<body><form id='aspnetForm'><div><p>text of it with more words</div></form><div>us</div>", "text of it with more words"),
+        ("<div class='with-sidebar'><div class='menu'>Home</div><main><p>text of it</main></div>", "text of it"),
+        ("<div class='with-sidebar'><div class='menu'>Home</div><p>text of it</div>", "text of it"),
+        ("<article><h2 id='social-history'>Past</h2><p class='notice'>one<section id='related-work'><p>two</section></article>", "Past one two"),
+        ("<article><p>one<section id='comments'><p>two</section><div class='advert'>Buy</div></article>", "one"),
+        ("<article><p>text</article><div class='related'><article><p>a much longer teaser</article></div>", "text"),
+    ],
+)
+def test_words_on_wrappers_and_prose_leave_the_text(page, text):
+    assert H.main_text(page, None) == text

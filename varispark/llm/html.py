@@ -39,6 +39,7 @@ DROPPED_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer masthead share sharing social related recommended newsletter subscribe signup login popup modal overlay widget skip pagination pager".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu form".split())
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: An open element on the left is ended by the start of one on the right.
 ENDED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
 
@@ -49,26 +50,89 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 
-def _element(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
-    """(name of an element in paths, whether its content is left out); inside: whether it stands in an article."""
-    name, out = tag, tag in DROPPED_TAGS
-    if attributes:
-        for kind, a, b, c in _ATTRIBUTE.findall(attributes):
-            value = (a or b or c).lower()
-            words = re.split(r"[^a-z]+", value)
-            out |= value.strip() in DROPPED_ROLES if kind.lower() == "role" else not DROPPED_WORDS.isdisjoint(words)
-            out |= not inside and "header" in words and kind.lower() != "role"
-            if kind.lower() == "class" and value.strip():
-                name = f"{tag}.{re.sub(r'[0-9]+', '#', value.split()[0])}"
-    return name, out
+def _element(tag: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
+    """(name of an element in paths, whether its tag leaves its content out, whether its words or a form's tag do).
 
+    inside: whether it stands in an article. Words never count for html and body, nor there for headings and
+    paragraphs; an id, which may be an anchor, counts there only if it has no other words.
+    """
+    name, hard, soft = tag, tag in DROPPED_TAGS and tag != "form", tag == "form"
+    prose = tag in PROSE
+    for kind, a, b, c in _ATTRIBUTE.findall(attributes):
+        kind, value = kind.lower(), (a or b or c).lower()
+        words = [w for w in re.split(r"[^a-z]+", value) if w]
+        if kind == "class" and value.strip():
+            name = f"{tag}.{re.sub(r'[0-9]+', '#', value.split()[0])}"
+        if tag in ("html", "body") or prose and (inside or kind == "id"):
+            continue
+        if kind == "role":
+            soft |= value.strip() in DROPPED_ROLES
+        elif kind == "id" and inside:
+            soft |= bool(words) and DROPPED_WORDS.issuperset(words)
+        else:
+            soft |= not DROPPED_WORDS.isdisjoint(words) or not inside and "header" in words
+    return name, hard, soft
+
+
+def _left_out(elements: list[list], texts: list[tuple[int, int]]) -> list[bool]:
+    """Whether content is left out, for elements [tag, parent, hard, soft], parents first, and (element, characters).
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool, int]]:
+    Words and forms that would leave out every article and main of the page don't count for the elements around the
+    largest one. On a page without any, they don't count for an element with prose that leaves no other text, nor
+    for a form with MAIN_SHARE of the text.
+    """
+
+    def spread(k: int) -> list[bool]:
+        out: list[bool] = []
+        for e in elements:
+            out.append(bool(e[k]) or e[1] >= 0 and out[e[1]])
+        return out
+
+    def either() -> list[bool]:
+        return [a or b for a, b in zip(spread(2), spread(3), strict=True)]
+
+    if not any(e[3] for e in elements):
+        return spread(2)
+    hard, out = spread(2), either()
+    size, prose = [0] * len(elements), [e[0] in PROSE for e in elements]
+    for i, n in texts:
+        if i >= 0 and not hard[i]:
+            size[i] += n
+    for i in range(len(elements) - 1, 0, -1):
+        if (up := elements[i][1]) >= 0:
+            size[up] += size[i]
+            prose[up] |= prose[i]
+    named = [i for i, e in enumerate(elements) if e[0] in ("article", "main") and not hard[i] and size[i]]
+    if named and all(out[i] for i in named):
+        i = max(named, key=lambda i: (size[i], -i))
+        while i >= 0:
+            elements[i][3] = False
+            i = elements[i][1]
+        return either()
+    if named:
+        return out
+    total = sum(n for i, n in texts if i < 0 or not hard[i])
+    for i, e in enumerate(elements):
+        if e[3] and e[0] == "form" and size[i] >= MAIN_SHARE * total:
+            e[3] = False
+    out = either()
+    while total and not any(i < 0 or not out[i] for i, _ in texts):
+        around = [i for i, e in enumerate(elements) if e[3] and prose[i] and size[i] and (e[1] < 0 or not out[e[1]])]
+        if not around:
+            break
+        elements[max(around, key=lambda i: (size[i], -i))][3] = False
+        out = either()
+    return out
+
+
+def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
     """(path, text, left out, opened): text blocks in page order, references decoded and white space folded.
 
-    An element that opens yields an empty block with opened = 1, so that elements can be counted.
+    An element that opens gives an empty block with opened = 1, so that elements can be counted.
     """
-    stack: list[tuple[str, str, bool]] = []
+    elements: list[list] = []
+    found: list[tuple[tuple[str, ...], str, int, int]] = []
+    stack: list[tuple[str, int]] = []
     path: tuple[str, ...] = ()
     held: list[str] = []
     at = 0
@@ -98,7 +162,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool, int]]:
         if tag in INLINE:
             continue
         if any(held) and (x := text()):
-            yield path, x, any(s[2] for s in stack), 0
+            found.append((path, x, stack[-1][1] if stack else -1, 0))
         held.clear()
         if ends:
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
@@ -107,15 +171,18 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool, int]]:
             continue
         if stack and stack[-1][0] in ENDED_BY and ((by := ENDED_BY[stack[-1][0]]) is None or tag in by):
             close(len(stack) - 1)
-        name, out = _element(tag, attributes, any(s[0] in ("article", "main") for s in stack))
+        name, hard, soft = _element(tag, attributes, any(s[0] in ("article", "main") for s in stack))
         if attributes.rstrip().endswith("/") and tag not in ("p", "div", "article", "section", "main", "body", "html"):
             continue
-        stack.append((tag, name, out))
+        elements.append([tag, stack[-1][1] if stack else -1, hard, soft])
+        stack.append((tag, len(elements) - 1))
         path += (name,)
-        yield path, "", any(s[2] for s in stack), 1
+        found.append((path, "", len(elements) - 1, 1))
     held.append(page[at:])
     if x := text():
-        yield path, x, any(s[2] for s in stack), 0
+        found.append((path, x, stack[-1][1] if stack else -1, 0))
+    out = _left_out(elements, [(i, len(x)) for _, x, i, opened in found if not opened])
+    return [(p, x, i >= 0 and out[i], opened) for p, x, i, opened in found]
 
 
 def page_tokens(page: str) -> dict[tuple[str, int], tuple[int, int]]:
@@ -150,7 +217,7 @@ def main_element(chars: dict[str, int]) -> str:
 
 def main_text(page: str, element: str | None, frame: frozenset[int] = frozenset()) -> str:
     """Own text of a page inside its element (None, or not on this page: found from this page alone)."""
-    found = list(blocks(page))
+    found = blocks(page)
     if element is None or (element and not any(o and ">".join(p) == element for p, _, _, o in found)):
         own = page_tokens(page)
         element = main_element({p: c for (p, h), (n, c) in own.items() if not h and n == 1})
