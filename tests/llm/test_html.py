@@ -105,3 +105,14 @@ def test_empty_table(spark):
 )
 def test_words_on_wrappers_and_prose_leave_the_text(page, text):
     assert H.main_text(page, None) == text
+
+
+def test_empty_and_other_pages_leave_the_template(spark):
+    page = "<html><body><div class='top'><p>Site %d</p></div><article><p>Text of page %d in some words</p></article></body></html>"
+    good = [(i, "http://a.example/", page % (i, i)) for i in range(14)] + [(i, "http://b.example/", page % (i, i)) for i in range(20, 34)]
+    odd = [(50, "http://a.example/", None), (51, "http://a.example/", ""), (52, "http://b.example/", "<html><body><ul><li>index of it</ul></body></html>")]
+    got = H.templates(pages(spark, good + odd)).collect()
+    assert {(r["host"], r["element"]) for r in got} == {(f"{h}.example", "html>body>article") for h in "ab"}
+    text = {r["page_id"]: r["text"] for r in H.extract(pages(spark, good + odd)).collect()}
+    assert all(text[i] == f"Text of page {i} in some words" for i, _, _ in good) and text[50] == text[51] == "" and text[52] == "index of it"
+    assert H.main_text(page % (1, 1), "") == "Text of page 1 in some words"

@@ -1,9 +1,9 @@
 """Main text of web pages by deduction of each host's template from equivalence classes of tokens.
 
 Tokens are elements, named by their path of block elements, and whole text blocks at a path. A token's occurrence
-vector says how often it occurs on each page of the host; tokens that share a vector form an equivalence class. The
-class with one occurrence on every page is the template's frame; other classes repeat inside one of its elements and
-are nested there. The frame's element that holds the most of the pages' own text is the slot of the main text; text
+vector says how often it occurs on each page of the host; tokens that share a vector form an equivalence class. Classes
+that occur once a page, on SUPPORT of the pages or more, are the template's frame, each nested by path in those of
+more pages; pages without tokens don't count. The frame's element that holds the most of the pages' own text is the slot of the main text; text
 blocks that belong to the frame itself, on hosts with enough pages, are template and not slot text.
 
 Vectors are never built: a token's vector is told by two sums of hashes of (page, count), which Spark adds up per
@@ -28,6 +28,8 @@ from .common import read
 FRAME_PAGES = 12
 #: Share of a page's own text that the main element must hold.
 MAIN_SHARE = 0.7
+#: Share of a host's pages that a class of the frame is on.
+SUPPORT = 0.5
 
 # Elements whose content is never text, elements without end tags, inline elements, roles.
 RAW = "script style noscript template iframe svg math canvas object audio video select textarea button".split()
@@ -186,10 +188,16 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
 
 
 def page_tokens(page: str) -> dict[tuple[str, int], tuple[int, int]]:
-    """(path, block hash or 0) -> (count, characters of own text below it); ("", 0) is the page itself."""
+    """(path, block hash or 0) -> (count, characters of own text below it); ("", 0) is the page itself.
+
+    A page without elements and text has no tokens.
+    """
     count: Counter[tuple[str, int]] = Counter({("", 0): 1})
     chars: Counter[tuple[str, int]] = Counter()
-    for path, text, out, opened in blocks(page):
+    found = blocks(page)
+    if not found:
+        return {}
+    for path, text, out, opened in found:
         name = ">".join(path)
         if opened:
             count[name, 0] += 1
@@ -216,9 +224,9 @@ def main_element(chars: dict[str, int]) -> str:
 
 
 def main_text(page: str, element: str | None, frame: frozenset[int] = frozenset()) -> str:
-    """Own text of a page inside its element (None, or not on this page: found from this page alone)."""
+    """Own text of a page inside its element (None, '' or not on this page: found from this page alone)."""
     found = blocks(page)
-    if element is None or (element and not any(o and ">".join(p) == element for p, _, _, o in found)):
+    if not element or not any(o and ">".join(p) == element for p, _, _, o in found):
         own = page_tokens(page)
         element = main_element({p: c for (p, h), (n, c) in own.items() if not h and n == 1})
     inside = tuple(element.split(">")) if element else ()
@@ -231,50 +239,62 @@ def host_of(url: str = "url") -> Column:
 
 
 def token_vectors(pages: DataFrame) -> DataFrame:
-    """(host, path, block, pages, v1, v2, chars): v1 and v2 stand for the token's occurrence vector."""
+    """(host, path, block, pages, times, v1, v2, chars): v1 and v2 stand for the token's occurrence vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for host, key, page in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 for (path, block), (n, chars) in page_tokens(page or "").items():
                     h = xxhash.xxh64_intdigest(f"{key}:{n}")
-                    for col, x in zip(cols, (host, path, block, h >> 34, h & (1 << 30) - 1, chars), strict=True):
+                    for col, x in zip(cols, (host, path, block, n, h >> 34, h & (1 << 30) - 1, chars), strict=True):
                         col.append(x)
-            kinds = [pa.string(), pa.string(), *[pa.int64()] * 4]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "path", "block", "v1", "v2", "chars"])
+            kinds = [pa.string(), pa.string(), *[pa.int64()] * 5]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "path", "block", "times", "v1", "v2", "chars"])
 
     rows = pages.select(host_of().alias("host"), F.xxhash64("page_id", "url").alias("key"), F.col("html").cast("string"))
-    tokens = rows.mapInArrow(run, "host string, path string, block long, v1 long, v2 long, chars long")
-    return tokens.groupBy("host", "path", "block").agg(F.count(F.lit(1)).alias("pages"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2"), F.sum("chars").alias("chars"))
+    tokens = rows.mapInArrow(run, "host string, path string, block long, times long, v1 long, v2 long, chars long")
+    return tokens.groupBy("host", "path", "block").agg(F.count(F.lit(1)).alias("pages"), F.sum("times").alias("times"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2"), F.sum("chars").alias("chars"))
 
 
 def equivalence_classes(vectors: DataFrame, least_pages: int = 2) -> DataFrame:
-    """(host, pages, v1, v2, paths): elements of a host with one occurrence vector, on `least_pages` pages or more.
+    """(host, pages, times, v1, v2, paths, chars): elements of a host with one occurrence vector, on `least_pages` pages or more.
 
-    Nesting is told by paths: a class lies in the slot of the deepest frame element that begins all its paths.
+    chars are those of the paths. Nesting is told by paths: a class lies in the slot of the deepest frame element
+    that begins all its paths.
     """
     own = vectors.where((F.col("block") == 0) & (F.col("pages") >= least_pages))
-    return own.groupBy("host", "pages", "v1", "v2").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    held = own.groupBy("host", "pages", "times", "v1", "v2").agg(F.array_sort(F.collect_list(F.struct("path", "chars"))).alias("tokens"))
+    return held.select("host", "pages", "times", "v1", "v2", F.col("tokens.path").alias("paths"), F.col("tokens.chars").alias("chars"))
+
+
+def nested(classes: list[tuple[int, list[str], list[int]]]) -> dict[str, int]:
+    """path -> chars of the frame, from classes (pages, paths, chars): those of most pages first.
+
+    A class whose paths don't all lie below elements of the frame so far is none of the template's.
+    """
+    frame: dict[str, int] = {}
+    for _, paths, chars in sorted(classes, key=lambda c: (-c[0], c[1])):
+        if not frame or all(any(p.startswith(f"{q}>" if q else "") for q in frame) for p in paths):
+            frame.update(zip(paths, chars, strict=True))
+    return frame
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, element, frame_blocks): the slot of the main text and the hashes of text blocks of the frame."""
     vectors = token_vectors(pages)
-    once = vectors.where("path = '' and block = 0").select("host", "pages", "v1", "v2")
-    frame = vectors.join(once, ["host", "pages", "v1", "v2"])
-    held = frame.groupBy("host").agg(
-        F.max("pages").alias("pages"),
-        F.collect_list(F.when(F.col("block") == 0, F.struct("path", "chars"))).alias("elements"),
-        F.collect_set(F.when((F.col("block") != 0) & (F.col("pages") >= FRAME_PAGES), F.col("block"))).alias("frame_blocks"),
-    )
+    once = vectors.where("path = '' and block = 0").select("host", F.col("pages").alias("all"), F.col("v1").alias("p1"), F.col("v2").alias("p2"))
+    classes = equivalence_classes(vectors, 1).where("times = pages").join(once.select("host", "all"), "host").where(F.col("pages") >= SUPPORT * F.col("all"))
+    classes = classes.groupBy("host").agg(F.collect_list(F.struct("pages", "paths", "chars")).alias("classes"))
+    shared = vectors.where(F.col("block") != 0).join(once, "host").where("pages = all and v1 = p1 and v2 = p2")
+    shared = shared.where(F.col("all") >= FRAME_PAGES).groupBy("host").agg(F.collect_set("block").alias("frame_blocks"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            best = [main_element({e["path"]: e["chars"] for e in es}) for es in b.column(1).to_pylist()]
+            best = [main_element(nested([(c["pages"], c["paths"], c["chars"]) for c in cs])) for cs in b.column(1).to_pylist()]
             yield pa.record_batch({"host": b.column(0), "element": pa.array(best, pa.string()), "frame_blocks": b.column(2)})
 
-    return held.select("host", "elements", "frame_blocks").mapInArrow(choose, "host string, element string, frame_blocks array<long>")
+    return classes.join(shared, "host", "left").select("host", "classes", "frame_blocks").mapInArrow(choose, "host string, element string, frame_blocks array<long>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
