@@ -116,3 +116,13 @@ def test_empty_and_other_pages_leave_the_template(spark):
     text = {r["page_id"]: r["text"] for r in H.extract(pages(spark, good + odd)).collect()}
     assert all(text[i] == f"Text of page {i} in some words" for i, _, _ in good) and text[50] == text[51] == "" and text[52] == "index of it"
     assert H.main_text(page % (1, 1), "") == "Text of page 1 in some words"
+
+
+def test_copies_of_a_page_and_text_at_other_paths_are_no_frame(spark):
+    page = "<html><body><article><p>Text of one page in some words</p></article></body></html>"
+    copies = [(i, "http://a.example/", page) for i in range(H.FRAME_PAGES + 3)]
+    other = "<html><body><div class='top'><b>Same words</b></div><article><p>Page %d says</p>%s</article></body></html>"
+    mixed = [(100 + i, "http://b.example/", other % (i, "<h2>Same words</h2>" if i % 2 else "")) for i in range(H.FRAME_PAGES)]
+    text = {r["page_id"]: r["text"] for r in H.extract(pages(spark, copies + mixed)).collect()}
+    assert {text[i] for i, _, _ in copies} == {"Text of one page in some words"}
+    assert all(text[100 + i] == f"Page {i} says" + " Same words" * (i % 2) for i in range(H.FRAME_PAGES))

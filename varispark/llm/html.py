@@ -22,9 +22,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, written
 
-#: Pages that a host must have before text on all of them counts as its template.
+#: Pages of different content that a host must have before text at one path on all of them counts as its template.
 FRAME_PAGES = 12
 #: Share of a page's own text that the main element must hold.
 MAIN_SHARE = 0.7
@@ -202,14 +202,14 @@ def page_tokens(page: str) -> dict[tuple[str, int], tuple[int, int]]:
         if opened:
             count[name, 0] += 1
         elif not out:
-            count[name, block_hash(text)] += 1
+            count[name, block_hash(name, text)] += 1
             for k in range(len(path) + 1):
                 chars[">".join(path[:k]), 0] += len(text)
     return {k: (n, chars[k]) for k, n in count.items()}
 
 
-def block_hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1 or 1
+def block_hash(path: str, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{path}\n{text}".encode("utf-8", "surrogatepass")) >> 1 or 1
 
 
 def main_element(chars: dict[str, int]) -> str:
@@ -230,7 +230,7 @@ def main_text(page: str, element: str | None, frame: frozenset[int] = frozenset(
         own = page_tokens(page)
         element = main_element({p: c for (p, h), (n, c) in own.items() if not h and n == 1})
     inside = tuple(element.split(">")) if element else ()
-    return " ".join(t for p, t, out, o in found if not o and not out and p[: len(inside)] == inside and not (frame and block_hash(t) in frame))
+    return " ".join(t for p, t, out, o in found if not o and not out and p[: len(inside)] == inside and not (frame and block_hash(">".join(p), t) in frame))
 
 
 def host_of(url: str = "url") -> Column:
@@ -282,12 +282,15 @@ def nested(classes: list[tuple[int, list[str], list[int]]]) -> dict[str, int]:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, element, frame_blocks): the slot of the main text and the hashes of text blocks of the frame."""
-    vectors = token_vectors(pages)
+    vectors = token_vectors(pages).where((F.col("block") == 0) | (F.col("pages") >= FRAME_PAGES))
+    vectors = written(vectors, "token-vectors")
     once = vectors.where("path = '' and block = 0").select("host", F.col("pages").alias("all"), F.col("v1").alias("p1"), F.col("v2").alias("p2"))
     classes = equivalence_classes(vectors, 1).where("times = pages").join(once.select("host", "all"), "host").where(F.col("pages") >= SUPPORT * F.col("all"))
     classes = classes.groupBy("host").agg(F.collect_list(F.struct("pages", "paths", "chars")).alias("classes"))
     shared = vectors.where(F.col("block") != 0).join(once, "host").where("pages = all and v1 = p1 and v2 = p2")
-    shared = shared.where(F.col("all") >= FRAME_PAGES).groupBy("host").agg(F.collect_set("block").alias("frame_blocks"))
+    contents = pages.select(host_of().alias("host"), F.xxhash64(F.col("html").cast("string")).alias("content"))
+    enough = contents.distinct().groupBy("host").agg(F.count(F.lit(1)).alias("contents")).where(F.col("contents") >= FRAME_PAGES)
+    shared = shared.join(enough, "host", "left_semi").groupBy("host").agg(F.collect_set("block").alias("frame_blocks"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
