@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +25,39 @@ from .common import PACKED, new_path, read, written
 
 #: Words whose ids a Python worker remembers, in each of two generations.
 CACHE_WORDS = 400_000
+#: Bytes of text that are encoded at once.
+RUN_BYTES = 16 << 20
 #: A Latin word and the marks after it: these two are pre-tokens of their own in the tokenizer's pattern.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
+
+
+def gathered(values: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, ends) of the runs `which`, laid end to end; run i of `values` stops before ends[i]."""
+    size = np.diff(ends, prepend=0)
+    n = size[which]
+    out = np.cumsum(n)
+    place = np.arange(int(out[-1]) if len(out) else 0) + np.repeat((ends - size)[which] - (out - n), n)
+    return values[place], out
+
+
+def text_runs(b: pa.RecordBatch, most: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch (any, text) whose texts have about `most` bytes, one row at least."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield b.slice(at, stop - at)
+        at = stop
 
 
 class WordEncoder(dict):
     """Ids of whole texts by a tokenizer of the tokenizers library that splits at white space and drops it.
 
     Such a tokenizer encodes a text as the concatenation of what it makes of the parts between ASCII white space, so
-    every distinct part is encoded once and remembered: the dictionary has the parts' ids as little-endian bytes.
-    Plain words go to the tokenizer's model as it would pre-tokenise them, all else through the whole tokenizer.
+    every distinct part of a run of texts is encoded once; the dictionary remembers them from run to run, as
+    little-endian bytes. A plain word goes to the tokenizer's model in lower case, apart from the marks after it, as
+    the tokenizer would pre-tokenise it; all else goes through the whole tokenizer. The strings of special tokens are
+    ordinary text in a document, as the tokenizers' description has it.
     """
 
     def __init__(self, path: str):
@@ -52,35 +76,58 @@ class WordEncoder(dict):
         # Lower case and no white space are what the shortcut takes for granted; one word with all of it must agree.
         self.short = True
         for probe in ("ThingÀÖØÞß,.", "ÿöNa!!", "Straßen", "a'", "the"):
-            self.short &= self._short(_PLAIN.fullmatch(probe)) == self._whole(probe)
+            m = re.fullmatch(_PLAIN, probe)
+            self.short &= self._piece(m["core"].lower()) + self._piece(m["tail"]) == self._whole(probe)
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _short(self, m: re.Match) -> bytes:
-        raw, word = self.raw, m[1].lower()
-        out = b"".join([raw[t.id] for t in self.model.tokenize(word if word.isascii() else word.translate(self.spelled))])
-        return out + b"".join([raw[t.id] for t in self.model.tokenize(m[2])]) if m[2] else out
-
-    def __missing__(self, key: bytes) -> bytes:
-        ids = self.older.get(key)
-        if ids is None:
-            word = key.decode()
-            ids = self._short(m) if self.short and (m := _PLAIN.fullmatch(word)) else self._whole(word)
-        if len(self) >= CACHE_WORDS:
-            self.older = dict(self)
-            self.clear()
-        self[key] = ids
-        return ids
+    def _piece(self, word: str) -> bytes:
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(word if word.isascii() else word.translate(self.spelled))]) if word else b""
+
+    def _looked_up(self, words: list, make: Callable) -> list[bytes]:
+        out = list(map(self.get, words))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            word = words[i]
+            out[i] = ids = self.older[word] if word in self.older else make(word)
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return out
 
     def rest(self) -> None:
         """At a task's end: forget the older words, so that a worker that goes on to other stages holds less."""
         self.older = {}
         pa.default_memory_pool().release_unused()
 
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of the texts of an Arrow string column, end to end; null texts are empty."""
+        parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = parts.flatten().dictionary_encode()
+        words, n = coded.dictionary, len(coded.dictionary)
+        plain = pc.extract_regex(words, _PLAIN) if self.short else pa.nulls(n, pa.struct([("core", pa.string()), ("tail", pa.string())]))
+        core = pc.utf8_lower(pc.struct_field(plain, "core")).dictionary_encode()
+        tail = pc.struct_field(plain, "tail").dictionary_encode()
+        odd = np.flatnonzero(pc.is_null(plain).to_numpy(zero_copy_only=False))
+        # Pieces: the empty one, cores, tails and odd words; every word is two pieces.
+        pieces = [b"", *self._looked_up(core.dictionary.to_pylist(), self._piece), *self._looked_up(tail.dictionary.to_pylist(), self._piece)]
+        two = np.zeros((n, 2), np.int64)
+        two[:, 0] = pc.fill_null(core.indices, -1).to_numpy(zero_copy_only=False) + 1
+        two[:, 1] = np.where(two[:, 0], pc.fill_null(tail.indices, -1).to_numpy(zero_copy_only=False) + 1 + len(core.dictionary), 0)
+        two[odd, 0] = len(pieces) + np.arange(len(odd))
+        pieces += self._looked_up(words.take(pa.array(odd)).to_pylist(), lambda w: self._whole(w) if w else b"")
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) // self.dtype.itemsize
+        flat, ends = gathered(np.frombuffer(b"".join(pieces), self.dtype), ends, two.ravel())
+        flat, ends = gathered(flat, ends[1::2], coded.indices.to_numpy())
+        return flat, np.concatenate(([0], ends))[parts.offsets.to_numpy()[1:]]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text, in UTF-8, its ids as little-endian bytes of self.dtype."""
-        return [b"".join(map(self.__getitem__, x.split())) for x in texts]
+        ids, ends = self.encode_column(pa.array([x.decode() for x in texts], pa.string()))
+        raw, ends = ids.tobytes(), [0, *(ends * self.dtype.itemsize).tolist()]
+        return [raw[i:j] for i, j in pairwise(ends)]
 
 
 @lru_cache(maxsize=2)
@@ -88,8 +135,22 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def texts_of(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.to_pylist()]
+def ended(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends) with end_id after each run."""
+    out = np.empty(len(ids) + len(ends), ids.dtype)
+    stop = ends + np.arange(1, len(ends) + 1)
+    own = np.ones(len(out), bool)
+    own[stop - 1] = False
+    out[own], out[stop - 1] = ids, end_id
+    return out, stop
+
+
+def binary_runs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of the runs of a numpy array."""
+    offsets = np.concatenate(([0], ends)).astype(np.int64) * values.dtype.itemsize
+    if offsets[-1] < 1 << 31:
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+    raise ValueError("a run of texts has 2 GB of ids")
 
 
 def encode_varint(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -138,15 +199,16 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
-        end = np.array([end_id], encoder.dtype).tobytes()
         counts = np.zeros(max(encoder.size, end_id + 1), np.int64)
         for b in batches:
-            ids = [x + end for x in encoder.encode(texts_of(b.column(1)))]
-            counts += np.bincount(np.frombuffer(b"".join(ids), encoder.dtype), minlength=len(counts))
-            yield pa.record_batch({"doc_id": b.column(0), "ids": pa.array(ids, pa.binary()), "counts": pa.nulls(len(ids), pa.binary())})
+            for part in text_runs(b):
+                ids, ends = ended(*encoder.encode_column(part.column(1)), end_id)
+                counts += np.bincount(ids, minlength=len(counts))
+                yield pa.record_batch({"doc_id": part.column(0), "ids": binary_runs(ids, ends), "counts": pa.nulls(len(ends), pa.binary())})
         yield pa.record_batch({"doc_id": pa.nulls(1, pa.int64()), "ids": pa.nulls(1, pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
+        encoder.rest()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, ids binary, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
