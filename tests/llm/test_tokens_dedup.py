@@ -190,3 +190,71 @@ def test_bpe_query(spark, tmp_path):
     assert r[6]["decoded_sha256"] == hashlib.sha256(ODD[6].encode()).hexdigest()
     for x in packing.op6_query(spark, str(tmp_path)).where("doc_id = 1").collect():
         assert x["ids_crc32"] == zlib.crc32(np.array([2], "<u4").tobytes())
+
+
+def test_short_examples_need_no_padding():
+    n = np.full(4096, 3)
+    out = packing.pack_window(n, n, packing.Limits())
+    totals = [sum(k for *_, k in pieces) for pieces in out]
+    assert sum(totals) == 3 * 4096 and all(t & (t - 1) == 0 for t in totals) and max(map(len, out)) <= 256
+
+
+def test_packing_counts_loss_bearing_tokens_of_each_piece():
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 3000, 200)
+    marks = [rng.random(k) < p for k, p in zip(n, rng.random(200), strict=True)]
+    bears = [np.concatenate(([0], np.cumsum(m))) for m in marks]
+    limits = packing.Limits(tokens=1000, segments=8, loss_tokens=300)
+    seen, binding = np.zeros(200, np.int64), 0
+    for pieces in packing.pack_window(n, np.array([b[-1] for b in bears]), limits, bears):
+        loss = sum(int(marks[i][s : s + k].sum()) for i, s, k in pieces)
+        assert sum(k for *_, k in pieces) <= 1000 and len(pieces) <= 8 and loss <= 300
+        binding += loss == 300
+        for i, s, k in pieces:
+            assert s == seen[i] and k > 0
+            seen[i] += k
+    assert (seen == n).all() and binding > 0
+
+
+def test_conversations_bear_loss_in_replies_alone(spark):
+    turns = [(1, 0, "user", "some question " * 40, 9), (1, 1, "assistant", "the answer " * 30, 9), (2, 1, "assistant", "words " * 300, 9), (2, 0, None, None, 9), (None, 0, "user", "alone", 9), (None, 0, "user", "alone", 9)]
+    rows = spark.createDataFrame(turns * 1, "conv_id long, turn long, role string, text string, ids int")
+    path = tokens.vocabulary("word_bpe_49k.json")
+    limits = packing.Limits(tokens=256, segments=4, loss_tokens=64)
+    enc = tokens.word_encoder(path).tokenizer
+    want, bears = {}, {}
+    for c in (1, 2):
+        own = [(enc.encode(t or "", add_special_tokens=False).ids + [7], r == "assistant") for _, _, r, t, _ in sorted((x for x in turns if x[0] == c), key=lambda x: x[1])]
+        want[c], bears[c] = sum((i for i, _ in own), []), sum(([b] * len(i) for i, b in own), [])
+    got = packing.pack_conversations(rows, path, 7, limits).collect()
+    by_doc, by_seq = {}, {}
+    for r in got:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_seq.setdefault(r["sequence_id"], []).append(r)
+    for c in (1, 2):
+        own = sorted(by_doc[c], key=lambda r: r["start"])
+        assert np.frombuffer(b"".join(r["ids"] for r in own), "<u4").tolist() == want[c]
+    assert len(by_doc[None]) == 2
+    for own in by_seq.values():
+        assert len(own) <= 4 and sum(r["length"] for r in own) <= 256
+        assert sum(sum(bears[r["doc_id"]][r["start"] : r["start"] + r["length"]]) for r in own if r["doc_id"]) <= 64
+    assert packing.pack_conversations(rows.limit(0), path, 7, limits).count() == 0
+
+
+def test_queries_of_tokens_and_packing_by_column_and_type(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = [*ODD, "Words, words and more words. " * 300]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    plain = Tokenizer.from_file(tokens.vocabulary("word_bpe_49k.json"))
+    plain.encode_special_tokens = True
+    ids = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    out = tokens.op2_query(spark, str(tmp_path))
+    assert dict(out.dtypes) == {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"}
+    start = 0
+    for i, r in enumerate(sorted(out.collect(), key=lambda r: r["doc_id"])):
+        assert tuple(r) == (i, start, len(ids[i]) + 1, zlib.crc32(np.array([*ids[i], 1], "<u4").tobytes()))
+        start += r["n_tokens"]
+    out = packing.op6_query(spark, str(tmp_path))
+    assert dict(out.dtypes) == dict.fromkeys(["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"], "bigint")
+    assert sum(r["length"] for r in out.collect()) == sum(map(len, ids)) + len(texts)

@@ -12,11 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read
-from .tokens import texts_of, vocabulary, word_encoder
+from .tokens import ended, text_runs, vocabulary, word_encoder
 
 
 @dataclass(frozen=True)
@@ -30,56 +31,65 @@ class Limits:
     window_tokens: int = 8_000_000
 
 
-def pack_window(n: np.ndarray, loss: np.ndarray, limits: Limits) -> list[list[tuple[int, int, int]]]:
-    """Sequences as lists of pieces (example, start, length) for examples of n tokens, of which the share loss / n
-    bears loss, spread evenly. Every token is in one piece. Only a window's last sequences may be short; those are
-    parted into lengths of powers of two, which need no padding."""
-    cap = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
-    if min(limits.tokens, limits.segments, limits.loss_tokens) < 1:
+def pack_window(n: np.ndarray, loss: np.ndarray, limits: Limits, bears: list[np.ndarray] | None = None) -> list[list[tuple[int, int, int]]]:
+    """Sequences as lists of pieces (example, start, length) for examples of n tokens, `loss` of which bear loss.
+
+    bears[i][k]: loss-bearing tokens among the first k of example i; without it they are spread evenly. Every token is
+    in one piece. A sequence that the limits on segments or loss close early, or that a window's end leaves short, is
+    parted into lengths of powers of two, which need no padding.
+    """
+    top = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
+    if top.min() < 1:
         raise ValueError("limits must be positive")
     share = np.divide(loss, n, out=np.zeros(len(n)), where=n > 0)
-    at = np.zeros(len(n), np.int64)
+
+    def borne(i: int, a: int, b: int) -> float:
+        return share[i] * (b - a) if bears is None else float(bears[i][b] - bears[i][a])
+
+    def most(i: int, tokens: int, loss_room: float) -> int:
+        """Tokens of example i from at[i] that fit both rooms."""
+        if bears is None:
+            return min(tokens, int(left[i]), int((loss_room + 1e-6) / share[i]) if share[i] > 0 else tokens)
+        a = int(at[i])
+        return min(tokens, int(left[i]), int(np.searchsorted(bears[i], bears[i][a] + loss_room, "right")) - 1 - a)
+
+    at, left = np.zeros(len(n), np.int64), n.astype(np.int64)
     out: list[list[tuple[int, int, int]]] = []
-    whole = np.where(share > 0, np.minimum(limits.tokens, np.floor(limits.loss_tokens / np.maximum(share, 1e-12))), limits.tokens).astype(np.int64)
-    whole = np.maximum(whole, 1)
-    for i in np.flatnonzero((n >= whole) & (whole == limits.tokens)):  # full sequences of one example
-        for _ in range(int(n[i] // limits.tokens)):
-            out.append([(int(i), int(at[i]), limits.tokens)])
+    for i in np.flatnonzero(left >= limits.tokens).tolist():  # full sequences of one example
+        while left[i] >= limits.tokens and most(i, limits.tokens, limits.loss_tokens) == limits.tokens:
+            out.append([(i, int(at[i]), limits.tokens)])
             at[i] += limits.tokens
-    left = (n - at).astype(np.int64)
-    live = left > 0
-    need = np.stack([left, np.ones(len(n)), left * share], 1) / cap
-    while live.any():
-        room, pieces = np.ones(3), []
-        while True:
-            idx = np.flatnonzero(live)
-            if not len(idx) or room[1] < 1 / cap[1] - 1e-9:
-                break
-            fits = idx[(need[idx] <= room + 1e-9).all(1)]
-            if len(fits):
-                i = int(fits[np.argmax(need[fits] @ room)])
+            left[i] -= limits.tokens
+    # Needs left of each example; those of one that is used up are infinite, so it never fits.
+    tokens = np.where(left > 0, left, np.inf)
+    lossy = np.array([borne(i, int(at[i]), int(n[i])) for i in range(len(n))], float)
+    todo = int((left > 0).sum())
+    while todo:
+        room, pieces = top.copy(), []
+        while todo and room[0] >= 1 and room[1] >= 1:
+            # Products with the room, both as shares of the limits; the need of one segment is the same for all.
+            value = tokens * (room[0] / top[0] ** 2) + lossy * (room[2] / top[2] ** 2)
+            fits = (tokens <= room[0]) & (lossy <= room[2] + 1e-6)
+            i = int(np.argmax(np.where(fits, value, -1)))
+            if fits[i]:
                 take = int(left[i])
-            else:
-                i = int(idx[np.argmax(need[idx] @ room)])
-                take = int(round(room[0] * cap[0]))
-                if share[i] > 0:
-                    take = min(take, int((room[2] + 1e-9) * cap[2] / share[i]))
+            else:  # cut the best one that has a token which fits
+                value[tokens == np.inf] = -1
+                i = int(np.argmax(value))
+                take = most(i, int(room[0]), room[2])
+                if take < 1:
+                    order = (int(j) for j in np.argsort(-value, kind="stable") if value[j] >= 0)
+                    i, take = next(((j, k) for j in order if (k := most(j, int(room[0]), room[2])) > 0), (i, 0))
                 if take < 1:
                     break
             pieces.append((i, int(at[i]), take))
-            room = room - np.array([take, 1, take * share[i]]) / cap
+            room -= [take, 1, borne(i, int(at[i]), int(at[i]) + take)]
             at[i] += take
             left[i] -= take
-            live[i] = left[i] > 0
-            need[i] = np.array([left[i], 1, left[i] * share[i]]) / cap
-            if room[0] * cap[0] < 0.5:
-                break
-        if not pieces:  # one token alone is over the limit on loss-bearing tokens
-            i = int(np.flatnonzero(live)[0])
-            pieces, at[i], left[i] = [(i, int(at[i]), 1)], at[i] + 1, left[i] - 1
-            live[i] = left[i] > 0
+            tokens[i], lossy[i] = left[i] or np.inf, borne(i, int(at[i]), int(n[i]))
+            todo -= not left[i]
         out.append(pieces)
-    return [x for pieces in out for x in (powers(pieces) if not live.any() and pieces is out[-1] else [pieces])]
+    return [x for pieces in out for x in ([pieces] if sum(k for *_, k in pieces) == limits.tokens else powers(pieces))]
 
 
 def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
@@ -100,6 +110,44 @@ def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
     return out
 
 
+Example = tuple[int | None, np.ndarray, np.ndarray | None]
+FIELDS = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+
+
+def sequences(examples: Iterator[Example], limits: Limits) -> Iterator[pa.RecordBatch]:
+    """Rows of FIELDS of one task's examples (name, ids, which of them bear loss: None for all), window by window."""
+    from pyspark import TaskContext
+
+    base, count = TaskContext.get().partitionId() << 36, 0
+    window: list[Example] = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal count
+        n = np.array([len(x) for _, x, _ in window], np.int64)
+        bears = None if all(b is None for *_, b in window) else [np.arange(len(x) + 1) if b is None else np.concatenate(([0], np.cumsum(b))) for _, x, b in window]
+        loss = n if bears is None else np.array([b[-1] for b in bears], np.int64)
+        rows: list[tuple] = []
+        for pieces in pack_window(n, loss, limits, bears):
+            offset = 0
+            for i, start, size in pieces:
+                name, ids, _ = window[i]
+                rows.append((name, start, size, ids[start : start + size].astype("<u4").tobytes(), int(n[i]), base + count, offset))
+                offset += size
+            count += 1
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)], names=[f.split()[0] for f in FIELDS.split(", ")])
+
+    for example in examples:
+        window.append(example)
+        held += len(example[1])
+        if len(window) >= limits.window or held >= limits.window_tokens:
+            yield flush()
+            window, held = [], 0
+    if window:
+        yield flush()
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits()) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of all documents, ids little-endian u32.
 
@@ -109,46 +157,49 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits()
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        encoder, base, count = word_encoder(tokenizer), TaskContext.get().partitionId() << 36, 0
-        end = np.array([end_id], encoder.dtype)
-        ids: list[np.ndarray] = []
-        names: list[int | None] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal count, held
-            n = np.array([len(x) for x in ids], np.int64)
-            rows: list[tuple] = []
-            for pieces in pack_window(n, n, limits):
-                offset = 0
-                for i, start, size in pieces:
-                    rows.append((names[i], start, size, ids[i][start : start + size].astype("<u4").tobytes(), int(n[i]), base + count, offset))
-                    offset += size
-                count += 1
-            ids.clear()
-            names.clear()
-            held = 0
-            cols = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                for name, raw in zip(part.column(0).to_pylist(), encoder.encode(texts_of(part.column(1))), strict=True):
-                    ids.append(np.concatenate((np.frombuffer(raw, encoder.dtype), end)))
-                    names.append(name)
-                    held += len(ids[-1])
-                    if len(ids) >= limits.window or held >= limits.window_tokens:
-                        yield flush()
-        if ids:
-            yield flush()
+        encoder = word_encoder(tokenizer)
+
+        def examples() -> Iterator[Example]:
+            for b in batches:
+                for part in text_runs(b):
+                    ids, ends = ended(*encoder.encode_column(part.column(1)), end_id)
+                    yield from zip(part.column(0).to_pylist(), np.split(ids, ends[:-1]), [None] * len(ends), strict=True)
+
+        yield from sequences(examples(), limits)
+        encoder.rest()
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FIELDS)
+
+
+def pack_conversations(turns: DataFrame, tokenizer: str, end_id: int, limits: Limits, roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """Pieces of conversations (conv_id, turn, role, text), as pack() gives them, with conv_id as doc_id.
+
+    A conversation's turns follow one another in order of (turn, role, text), each with end_id after it. Turns of
+    `roles` bear loss, others and those of a null role don't; null texts are empty. Rows without a conv_id are
+    conversations of one turn each. A conversation's turns meet in one task, so it must fit there.
+    """
+    said = F.struct("turn", "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone"), said.alias("said"))
+    whole = rows.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("said")).alias("said"))
+    parts = whole.select("conv_id", F.col("said.text").alias("texts"), F.transform("said", lambda s: F.coalesce(s["role"].isin(*roles), F.lit(False))).alias("bears"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = word_encoder(tokenizer)
+
+        def examples() -> Iterator[Example]:
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    texts, bears = part.column(1), part.column(2).flatten().to_numpy(zero_copy_only=False)
+                    ids, ends = ended(*encoder.encode_column(texts.flatten()), end_id)
+                    marks = np.repeat(bears.astype(bool), np.diff(ends, prepend=0))
+                    stop = np.concatenate(([0], ends))[np.cumsum(pc.list_value_length(texts).to_numpy())][:-1]
+                    yield from zip(part.column(0).to_pylist(), np.split(ids, stop), np.split(marks, stop), strict=True)
+
+        yield from sequences(examples(), limits)
         encoder.rest()
 
-    fields = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, fields)
+    return parts.mapInArrow(run, FIELDS)
 
 
 def pack_digest(docs: DataFrame) -> DataFrame:
