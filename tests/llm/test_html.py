@@ -126,3 +126,54 @@ def test_copies_of_a_page_and_text_at_other_paths_are_no_frame(spark):
     text = {r["page_id"]: r["text"] for r in H.extract(pages(spark, copies + mixed)).collect()}
     assert {text[i] for i, _, _ in copies} == {"Text of one page in some words"}
     assert all(text[100 + i] == f"Page {i} says" + " Same words" * (i % 2) for i in range(H.FRAME_PAGES))
+
+
+def test_pages_without_names_are_read_by_their_template(spark):
+    """Every article, menu, advert and footer becomes a div of one meaningless class, and words don't count."""
+    rows = [(r["page_id"], r["url"], r["html"]) for r in read(spark, SF, "pages").collect()]
+    blind = [(i, u, re.sub(r'<(nav|footer|article)>|<div class="ad">', '<div class="k">', re.sub("</(nav|footer|article)>", "</div>", h))) for i, u, h in rows]
+    got = {r["page_id"]: r["text"] for r in H.extract(pages(spark, blind), words=False).collect()}
+    hosts = {}
+    for _, u, h in rows:
+        hosts.setdefault(re.sub(r"^\w+://([^/?#]*).*", r"\1", u).lower(), set()).add(h)
+    told = [(i, h) for i, u, h in rows if len(hosts[re.sub(r"^\w+://([^/?#]*).*", r"\1", u).lower()]) >= H.SUPPORT_PAGES]
+    assert len(told) > 200 and all(got[i] == article_text(h) for i, h in told)
+
+
+def test_classes_match_brute_force(spark):
+    rows = [(r["page_id"], r["url"], r["html"]) for r in read(spark, "/root/testdata/sf0.001", "pages").collect()]
+    rows += [(1000 + i, "http://few.example/", f"<body><div>{'<p>x' * i}</div><ul>{'<li>y' * i}</ul>") for i in range(4)]
+    counts, size = {}, {}
+    for k, (_, u, h) in enumerate(rows):
+        host = re.sub(r"^\w+://([^/?#]*).*", r"\1", u).lower()
+        size[host] = size.get(host, 0) + 1
+        for (path, block), (n, *_) in H.page_tokens(h).items():
+            if not block:
+                counts.setdefault((host, path), {})[k] = n
+    want = {}
+    for (host, path), vector in counts.items():
+        want.setdefault((host, tuple(sorted(vector.items()))), []).append(path)
+    got = H.equivalence_classes(H.token_vectors(pages(spark, rows)), 1).collect()
+    assert sorted((r["host"], sorted(r["paths"])) for r in got) == sorted((host, sorted(paths)) for (host, _), paths in want.items())
+
+
+@pytest.mark.parametrize("page", ["<a " * 250_000, "<div>" * 100_000, "<div>" * 50_000 + "</x>" * 50_000, '<a "x>" ' * 100_000 + "'", "<form>" * 20_000 + "<p>text", "</script " * 100_000])
+def test_long_odd_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    H.page_tokens(page)
+    H.main_text(page, None)
+    assert time.process_time() - began < 60
+
+
+def test_links_and_equal_paths_within_the_slot(spark):
+    page = "<body><div class=a>Top words %d</div><div class=a><h1>Head %d</h1><p>%s</p><ul><li><a href=x>More about %d</a><li><a href=y>Even more %d</a></ul></div><div class=a>(c) %d</div>"
+    rows = [(i, "http://a.example/", page % (i, i, f"Text of page {i} in words. " * 4, i, i, i)) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in H.extract(pages(spark, rows), words=False).collect()}
+    assert got == {i: f"Head {i} " + f"Text of page {i} in words. " * 3 + f"Text of page {i} in words." for i in range(5)}
+    assert [r["element"] for r in H.templates(pages(spark, rows)).collect()] == ["body>div.a[2]"]
+
+
+def test_query_by_column_and_type(spark):
+    assert dict(H.op9_query(spark, "/root/testdata/sf0.001").dtypes) == {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"}
