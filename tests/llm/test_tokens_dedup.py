@@ -258,3 +258,17 @@ def test_queries_of_tokens_and_packing_by_column_and_type(spark, tmp_path):
     out = packing.op6_query(spark, str(tmp_path))
     assert dict(out.dtypes) == dict.fromkeys(["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"], "bigint")
     assert sum(r["length"] for r in out.collect()) == sum(map(len, ids)) + len(texts)
+
+
+def test_dedup_tells_texts_of_one_doc_id_apart(spark):
+    texts, ids = ["a b c d e f", "a b c d e f", "some text found nowhere else", "a b c d e f", "q r s t u v", "q r s t u v"], [1, 5, 5, None, None, None]
+    kept = simhash.simhash_dedup(docs(spark, texts, ids)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "q r s t u v")] * 2 + [(1, "a b c d e f"), (5, "some text found nowhere else")]
+    assert simhash.simhash_dedup(docs(spark, []).limit(0)).count() == 0
+
+
+def test_simhash_query_by_column_and_type(spark, tmp_path):
+    docs(spark, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    out = simhash.op1_query(spark, str(tmp_path))
+    assert dict(out.dtypes) == {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"}
+    assert {r["doc_id"]: r["fingerprint"] for r in out.collect()} == {i: f"{reference_simhash(t):016x}" for i, t in enumerate(ODD)}

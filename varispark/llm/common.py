@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +16,16 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session names none (tests, one machine), a temporary folder is made and set.
+    Where a local session names none (tests), a temporary folder is made and set; on a cluster executors would write
+    to disks of their own there, so that is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         conf = held.get() if held.isDefined() else None
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="varispark-")
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
@@ -86,5 +90,26 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+#: Words of a map of hashes: 2 MB, whatever the input; when it fills, it only lets more through.
+MAP_WORDS = 1 << 18
+
+
+def hash_map(hashes: DataFrame) -> np.ndarray:
+    """A map of the first column's hashes, one bit for each low hash: MAP_WORDS words at most come to the driver."""
+    h = F.col(hashes.columns[0])
+    word = F.pmod(h, F.lit(MAP_WORDS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned({hashes.columns[0]}, {MAP_WORDS.bit_length() - 1}), 64) as int))")
+    out = np.zeros(MAP_WORDS, np.int64)
+    for r in hashes.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+        out[r["w"]] = r["b"]
+    return out.view(np.uint64)
+
+
+def in_hash_map(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the map lets hashes (signed or unsigned 64 bits) through."""
+    h = h.view(np.uint64)
+    return (words[h % np.uint64(MAP_WORDS)] >> ((h >> np.uint64(MAP_WORDS.bit_length() - 1)) % np.uint64(64)) & np.uint64(1)).astype(bool)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

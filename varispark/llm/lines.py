@@ -5,7 +5,8 @@ split into MAX_DISTANCE + 1 even segments. If a longer or equally long line is w
 the segments unchanged, near the same place; which places need a look follows from the difference in length and from
 the edits that the other segments leave over. So each line is indexed under (length, segment number, segment) and
 probes, for each length up to MAX_DISTANCE below its own, the substrings at those places. Lines that meet are verified
-with a banded bit-parallel edit distance. Equal lines are one line throughout, told by 64-bit hashes.
+with a banded bit-parallel edit distance. Equal lines are one line throughout; what tells lines apart where
+lines are removed is 128 bits of hash, and links are verified on the lines themselves.
 """
 
 from __future__ import annotations
@@ -19,14 +20,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, read, written
+from .common import components, hash_map, in_hash_map, read, written
 from .textarrays import mix
 
 MAX_DISTANCE = 2
 #: Shorter lines are compared for equality only: two edits there make other words.
 MIN_CHARS = 20
-#: Bits of the map of lines wanted for verification: 2 MB, whatever the input; when full, it only lets more through.
-MAP_WORDS = 1 << 18
 #: Lines under one key up to which each pair is a candidate; more are compared in blocks of BLOCK lines.
 PAIR_LIMIT = 16
 BLOCK = 512
@@ -127,7 +126,7 @@ def segment_entries(lines: list[str], k: int, least: int) -> np.ndarray:
     up, down = Powers.of(len(codes) + 1)
     value = mix(codes + np.uint64(1)) * up[: len(codes)]
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
-    names = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], np.uint64).view(np.int64)
+    names = line_hashes(lines)[:, 0]
     out = []
     for d, i, shift, role in probes(k):
         length = n - d
@@ -143,6 +142,12 @@ def segment_entries(lines: list[str], k: int, least: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def line_hashes(lines: list[str]) -> np.ndarray:
+    """128 bits of each line as two columns of signed longs: the name that joins use, and what tells lines that share it."""
+    raw = b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines])
+    return np.frombuffer(raw, ">i8").reshape(-1, 2).astype(np.int64)
+
+
 def text_lines(text: bytes) -> list[str]:
     return text.decode("utf-8", "surrogatepass").split("\n")
 
@@ -245,16 +250,6 @@ def candidates(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS) -
     return entries.repartition(n, "bucket").mapInArrow(meet, "g long, u long, v long").distinct()
 
 
-def wanted_map(pairs: DataFrame) -> np.ndarray:
-    """A map of the lines in pairs, one bit for each low hash: MAP_WORDS words at most come to the driver."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("h"))
-    word, bit = F.pmod("h", F.lit(MAP_WORDS)), F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(h, {MAP_WORDS.bit_length() - 1}), 64) as int))")
-    out = np.zeros(MAP_WORDS, np.int64)
-    for r in ids.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        out[r["w"]] = r["b"]
-    return out.view(np.uint64)
-
-
 def sketch(lines: list[str]) -> np.ndarray:
     """How often each code point, mod 32, occurs in each line: an edit changes two counts by one at most."""
     n = np.array([len(x) for x in lines], np.int64)
@@ -299,61 +294,68 @@ def block_links(members: DataFrame, k: int) -> DataFrame:
 
 def line_links(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS) -> DataFrame:
     """(u, v): hashes, u > v, of all pairs of different lines of `least` characters or more within k edits."""
+    return verified(docs, k, least)[0]
+
+
+def verified(docs: DataFrame, k: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """line_links, and (h, other, line) of the lines that they were verified with."""
     spark = docs.sparkSession
     found = written(candidates(docs, k, least), "line-pairs")
-    marks = spark.sparkContext.broadcast(wanted_map(found))
+    marks = spark.sparkContext.broadcast(hash_map(found.select(F.explode(F.array("u", "v")).alias("h"))))
     pairs = found.where("g is null").select("u", "v")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.uint64(MAP_WORDS.bit_length() - 1)
         for b in batches:
             lines = list({y for x in b.column(0).to_pylist() for y in text_lines(x or b"") if len(y) >= least})
-            h = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], np.uint64)
-            on = marks.value[h % np.uint64(MAP_WORDS)] >> ((h >> shift) % np.uint64(64)) & np.uint64(1)
-            at = np.flatnonzero(on)
-            yield pa.record_batch({"h": pa.array(h[at].view(np.int64)), "line": pa.array([lines[i] for i in at.tolist()], pa.string())})
+            h = line_hashes(lines)
+            at = np.flatnonzero(in_hash_map(marks.value, h[:, 0].copy()))
+            yield pa.record_batch({"h": pa.array(h[at, 0]), "other": pa.array(h[at, 1]), "line": pa.array([lines[i] for i in at.tolist()], pa.string())})
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = [edit_within(x, y, k) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.record_batch({"u": b.column(0), "v": b.column(1)}).filter(pa.array(near, pa.bool_()))
 
-    texts = written(docs.select(F.col("text").cast("binary")).mapInArrow(pick, "h long, line string").dropDuplicates(["h"]), "lines")
+    texts = written(docs.select(F.col("text").cast("binary")).mapInArrow(pick, "h long, other long, line string").groupBy("h").agg(F.min("other").alias("other"), F.min_by("line", "other").alias("line")), "lines")
     one = pairs.join(texts.select(F.col("h").alias("u"), F.col("line").alias("a")), "u")
     both = one.join(texts.select(F.col("h").alias("v"), F.col("line").alias("b")), "v").select("u", "v", "a", "b")
-    crowds = found.where("g is not null").select("g", F.col("u").alias("h")).join(texts, "h")
-    return both.mapInArrow(verify, "u long, v long").union(block_links(crowds, k)).distinct()
+    crowds = found.where("g is not null").select("g", F.col("u").alias("h")).join(texts.select("h", "line"), "h")
+    return both.mapInArrow(verify, "u long, v long").union(block_links(crowds, k)).distinct(), texts
 
 
 def line_classes(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS) -> DataFrame:
-    """(row_key, line_no, first_doc, first_key, first_line, n_links, removed) of lines that occur or nearly occur again.
+    """(doc_id, row_key, line_no, first_doc, first_key, first_line, n_links, removed) of lines that occur or nearly occur again.
 
     row_key hashes doc_id and text. The first occurrence of a class, in order of (doc_id, row_key, line_no), stays.
-    n_links counts the different lines within the distance of this one.
+    n_links counts the different lines within the distance of this one. Lines are equal if 128 bits of hash are: of
+    lines that share the 64 bits by which links are named, one has them, and the others are classes of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple[int | None, int, int, int]] = []
+            rows: list[tuple[int | None, int, int, str]] = []
             for name, key, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                rows += [(name, key, i, xxhash.xxh64_intdigest(y.encode("utf-8", "surrogatepass"))) for i, y in enumerate(text_lines(x or b"")) if has_word(y)]
-            doc, key, no, h = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "row_key": pa.array(key, pa.int64()), "line_no": pa.array(no, pa.int32()), "h": pa.array(np.array(h, np.uint64).view(np.int64))})
+                rows += [(name, key, i, y) for i, y in enumerate(text_lines(x or b"")) if has_word(y)]
+            doc, key, no, own = zip(*rows, strict=True) if rows else ((), (), (), ())
+            h = line_hashes(list(own))
+            yield pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "row_key": pa.array(key, pa.int64()), "line_no": pa.array(no, pa.int32()), "h": pa.array(h[:, 0]), "other": pa.array(h[:, 1])})
 
     rows = docs.select(F.col("doc_id").cast("long"), row_key(), F.col("text").cast("binary"))
-    occ = written(rows.mapInArrow(run, "doc_id long, row_key long, line_no int, h long"), "occurrences")
-    links = written(line_links(docs, k, least), "line-links")
+    occ = written(rows.mapInArrow(run, "doc_id long, row_key long, line_no int, h long, other long"), "occurrences")
+    links, texts = verified(docs, k, least)
+    links = written(links, "line-links")
     place = F.struct("doc_id", "row_key", "line_no")
-    lines = occ.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    lines = occ.groupBy("h", "other").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     degree = links.select(F.explode(F.array("u", "v")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
-    named = components(links).withColumnRenamed("node", "h").join(degree, "h", "left")
-    lines = lines.join(named, "h", "left").where((F.col("n") > 1) | F.col("component").isNotNull())
-    lines = written(lines.select("h", "first", F.coalesce("component", "h").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "line-classes")
+    named = components(links).withColumnRenamed("node", "h").join(degree, "h", "left").join(texts.select("h", "other"), "h")
+    lines = lines.join(named, ["h", "other"], "left").where((F.col("n") > 1) | F.col("component").isNotNull())
+    label = F.when(F.col("component").isNull(), F.struct(F.col("h").alias("a"), F.col("other").alias("b"))).otherwise(F.struct(F.col("component").alias("a"), F.lit(None).cast("long").alias("b")))
+    lines = written(lines.select("h", "other", "first", label.alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "line-classes")
     firsts = lines.groupBy("class").agg(F.min("first").alias("keeper"))
-    known = lines.join(firsts, "class").select("h", "keeper", "n_links")
-    found = occ.join(known, "h")
+    known = lines.join(firsts, lines["class"].eqNullSafe(firsts["class"])).select("h", "other", "keeper", "n_links")
+    found = occ.join(known, ["h", "other"])
     gone = ~place.eqNullSafe(F.col("keeper"))
-    return found.select("row_key", "line_no", F.col("keeper.doc_id").alias("first_doc"), F.col("keeper.row_key").alias("first_key"), F.col("keeper.line_no").alias("first_line"), "n_links", gone.alias("removed")).distinct()
+    return found.select("doc_id", "row_key", "line_no", F.col("keeper.doc_id").alias("first_doc"), F.col("keeper.row_key").alias("first_key"), F.col("keeper.line_no").alias("first_line"), "n_links", gone.alias("removed")).distinct()
 
 
 def row_key() -> Column:
@@ -366,15 +368,17 @@ def dedup_lines(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS)
     Added (or replaced): `line_dups`, an array of (line_no, first_doc, first_line, n_links, removed) for the lines of
     classes with several occurrences, or null. Links are k edits or less, and links close into classes. Blank lines
     stay; null and empty texts stay as they are; rows equal in doc_id and text get the same result; a text all of
-    whose lines are copies becomes empty or blank and its row stays. An empty table gives no row.
+    whose lines are copies becomes empty or blank and its row stays. An empty table gives no row. Rows meet their
+    marks by doc_id and a hash of the text, so only texts under one doc_id could be taken for each other.
     """
     own = F.struct("line_no", "first_doc", "first_line", "n_links", "removed")
-    marks = line_classes(docs, k, least).groupBy(F.col("row_key").alias("__row_key")).agg(F.array_sort(F.collect_list(own)).alias("__dups"))
-    out = docs.withColumn("__row_key", row_key()).join(marks, "__row_key", "left")
+    marks = line_classes(docs, k, least).groupBy(F.col("row_key").alias("__row_key"), F.col("doc_id").alias("__doc_id")).agg(F.array_sort(F.collect_list(own)).alias("__dups"))
+    same = (F.col("__key") == F.col("__row_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id"))
+    out = docs.withColumn("__key", row_key()).join(marks, same, "left")
     gone = F.transform(F.filter("__dups", lambda x: x["removed"]), lambda x: x["line_no"])
     left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(gone, i))
     text = F.when(F.exists("__dups", lambda x: x["removed"]), F.array_join(left, "\n")).otherwise(F.col("text"))
-    return out.withColumn("text", text).withColumn("line_dups", F.col("__dups")).drop("__row_key", "__dups")
+    return out.withColumn("text", text).withColumn("line_dups", F.col("__dups")).drop("__row_key", "__key", "__doc_id", "__dups")
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:

@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, read, written
+from .common import components, hash_map, in_hash_map, read, written
 
 RADIUS = 2
 #: Fingerprints under one mask value up to which pairs are compared; larger buckets go through midpoints instead.
@@ -42,15 +43,16 @@ def simhash(data: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every document as a signed long; null texts count as empty."""
+def fingerprints(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """(doc_id, fp, key): the fingerprint of every document as a signed long; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([simhash(x.as_buffer().to_pybytes()) if x.is_valid else 0 for x in b.column(1)], np.uint64)
-            yield pa.record_batch({"doc_id": b.column(0), "fp": pa.array(fp.view(np.int64))})
+            yield pa.record_batch({"doc_id": b.column(0), "fp": pa.array(fp.view(np.int64)), "key": b.column(2)})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    key = F.lit(None).cast("long") if key is None else key
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), key.alias("key")).mapInArrow(run, "doc_id long, fp long, key long")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -92,22 +94,44 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Repeated doc_ids give repeated rows, null ones count in no minimum; an empty table gives no row; other columns
     are ignored.
     """
-    fps = written(fingerprints(docs), "fingerprints")
+    return grouped(written(fingerprints(docs), "fingerprints"), radius).select("doc_id", "fp", "component_id")
+
+
+def grouped(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fps (doc_id, fp, …) with root, the fingerprint that stands for the row's group, and component_id."""
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     comp = components(fingerprint_links(distinct.select("fp"), radius))
     root = distinct.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = root.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fps.join(label, "fp", "left").select("doc_id", "fp", "component_id")
+    label = root.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    return fps.join(label, "fp", "left")
 
 
 def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents that stay, columns as given: of each group the one with the least doc_id.
 
-    Documents without a doc_id are kept; rows that repeat the least doc_id all stay, as a join on doc_id can't part them.
+    Where texts of a group share that doc_id, one text stays; documents without a doc_id come after all others. Rows
+    are told by doc_id and a hash of the text, so texts under one doc_id are judged apart; rows equal in both stay or
+    go together. Most rows stay and don't travel: a row meets the list of those that go only if a fixed-size map of
+    that list, which every task has, lets it through.
     """
-    gone = simhash_groups(docs, radius).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    key = F.xxhash64("doc_id", "text")
+    found = fingerprints(docs.select("doc_id", "text"), key)
+    groups = written(grouped(written(found, "fingerprints"), radius).select("doc_id", "key", "root"), "simhash-groups")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    keeper = groups.groupBy("root").agg(F.min(place).alias("keeper"))
+    gone = groups.join(keeper, "root").where(~place.eqNullSafe(F.col("keeper"))).select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key")).distinct()
+    gone = written(gone, "simhash-gone")
+    marks = docs.sparkSession.sparkContext.broadcast(hash_map(gone.select("__key")))
+
+    @F.pandas_udf("boolean")
+    def listed(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_hash_map(marks.value, keys.to_numpy()))
+
+    rows = docs.withColumn("__key", key).withColumn("__listed", listed("__key"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__key") == F.col("__gone"))
+    kept = rows.where("__listed").join(gone.withColumnRenamed("__key", "__gone"), same, "left_anti")
+    return rows.where("not __listed").union(kept).select(*docs.columns)
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:
