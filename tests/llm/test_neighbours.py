@@ -89,3 +89,54 @@ def test_low_recall_compares_all_vectors(spark, monkeypatch):
     monkeypatch.setattr(N, "RETRIES", 0)
     rows = [r for r in sample() if r[0] is not None]
     assert columns(N.near_vectors(table(spark, rows), rounds=0).collect()) == sorted(brute(rows))
+
+
+def test_very_large_and_very_small_vectors_link(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.0001e200]), (3, [1e-170, 0.0]), (4, [1.0, 0.0]), (5, [-1e300, 1e-300]), (6, [5e-324, 0.0])]
+    got = N.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert columns(got) == [(1, 1, 1), (2, 1, 1), (3, 2, 3), (4, 2, 3), (5, 0, 5), (6, 2, 3)]
+
+
+def test_vectors_that_share_a_hash_stay_apart(spark, monkeypatch):
+    class Half:
+        """128 bits of hash of which the first 64 are all the same."""
+
+        def __getattr__(self, name):
+            import xxhash as real
+
+            return (lambda x: bytes(8) + real.xxh3_128_digest(x)[8:]) if name == "xxh3_128_digest" else getattr(real, name)
+
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(12)] + [(20, [1.0] * 8), (21, [1.0] * 8)]
+    table_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(N, "xxhash", Half())
+    every = N.apart(N.nodes_of(table_)).collect()
+    assert len({r["h"] for r in every}) == 13
+
+
+def test_rounding_bounds_the_byte_cosines():
+    rng = np.random.default_rng(4)
+    for d in (3, 64, 1024):
+        raw = [rng.normal(size=d).tobytes() for _ in range(40)]
+        worst = max(map(N.rounding, raw))
+        true, bytes_ = N.cosines(raw, "f8"), N.cosines([N.to_bytes(x) for x in raw], "i1")
+        turn = np.abs(np.arccos(np.clip(true, -1, 1)) - np.arccos(np.clip(bytes_, -1, 1)))
+        assert turn[~np.eye(40, dtype=bool)].max() <= 2 * np.arcsin(worst) + 1e-4
+
+
+def test_query_by_column_and_type(spark):
+    out = N.op7_query(spark, "/root/testdata/sf0.001")
+    assert dict(out.dtypes) == {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"}
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
+    assert columns(out.collect()) == sorted(brute(rows))
+
+
+def test_recall_is_of_each_vector(spark):
+    """One family with all its links and five pairs without theirs: the mean over nodes sees the pairs."""
+    rng = np.random.default_rng(6)
+    family = [np.ones(8) + rng.normal(size=8) * 0.01 for _ in range(10)]
+    pairs = [v for b in np.eye(8)[:5] for v in (b, b + 0.01)]
+    vectors = [(i, 1, np.asarray(v, "<f8").tobytes()) for i, v in enumerate([*family, *pairs])]
+    nodes = spark.createDataFrame([(h, w, bytearray(x)) for h, w, x in vectors], "h long, w long, raw binary")
+    counts = spark.createDataFrame([(i, 1, 9 if i < 10 else 0) for i in range(20)], "h long, w long, links long")
+    assert abs(N.audit(nodes, counts, 0.9) - 0.5) < 1e-9

@@ -12,6 +12,7 @@ Equal vectors are one node with a weight, so a vector that a third of all rows s
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -25,6 +26,8 @@ from pyspark.sql.types import DoubleType
 
 from .common import components, drop_table, read, written
 
+log = logging.getLogger(__name__)
+
 THRESHOLD = 0.9
 #: Length of a neighbour list.
 K = 10
@@ -36,14 +39,16 @@ ROUNDS = 4
 #: Vectors of the audit, the recall it asks for, and how often further rounds follow.
 AUDIT, RECALL, RETRIES = 400, 0.95, 2
 BLOCK = 512
-#: Byte vectors are off by less than this.
-MARGIN = 0.02
 
 LISTS = "h long, c array<long>, s array<float>"
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
-    """(vec_id, h, raw): sound vectors with their hash and little-endian doubles; others have null h and raw."""
+    """(vec_id, h, other, raw): sound vectors with 128 bits of hash and little-endian doubles; others have nulls.
+
+    A vector is scaled by the power of two that brings its largest component to 0.5 or more, which changes no digit
+    and keeps squares within the range of doubles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -51,13 +56,21 @@ def nodes_of(rows: DataFrame) -> DataFrame:
             for name, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ok = name is not None and x is not None and len(x) and all(v is not None for v in x)
                 v = np.array(x, "<f8") + 0.0 if ok else np.zeros(0)  # no negative zeros
-                with np.errstate(over="ignore"):
-                    ok = ok and np.isfinite(v).all() and np.isfinite(v @ v) and v @ v > 0
-                raw.append(v.tobytes() if ok else None)
-            h = [None if x is None else xxhash.xxh64_intdigest(x) - (1 << 63) for x in raw]
-            yield pa.record_batch({"vec_id": b.column(0), "h": pa.array(h, pa.int64()), "raw": pa.array(raw, pa.binary())})
+                ok = ok and np.isfinite(v).all() and v.any()
+                raw.append(np.ldexp(v, -np.frexp(np.abs(v).max())[1]).tobytes() if ok else None)
+            h = [(None, None) if x is None else np.frombuffer(xxhash.xxh3_128_digest(x), ">i8").tolist() for x in raw]
+            one, other = (pa.array([x[k] for x in h], pa.int64()) for k in (0, 1))
+            yield pa.record_batch({"vec_id": b.column(0), "h": one, "other": other, "raw": pa.array(raw, pa.binary())})
+
+    return rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, h long, other long, raw binary")
 
-    return rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, h long, raw binary")
+
+def apart(every: DataFrame) -> DataFrame:
+    """every (vec_id, h, raw): of vectors that share 64 bits of hash but not the other 64, all but one are named anew."""
+    shared = every.groupBy("h").agg(F.min("other").alias("first"), F.max("other").alias("last")).where("first <> last").select("h", "first")
+    shared = written(shared, "shared-hashes")  # next to never any: Spark knows its size before it joins
+    name = F.when(F.col("other") != F.col("first"), F.xxhash64("h", "other")).otherwise(F.col("h"))
+    return every.join(shared, "h", "left").select("vec_id", name.alias("h"), "raw")
 
 
 def to_bytes(raw: bytes) -> bytes:
@@ -65,6 +78,26 @@ def to_bytes(raw: bytes) -> bytes:
     return np.rint(v * (127 / np.abs(v).max())).astype(np.int8).tobytes()
 
 
+def rounding(raw: bytes) -> float:
+    """Sine of the angle, at most, between a vector and its vector of bytes."""
+    v = np.frombuffer(raw, "<f8") * (127 / np.abs(np.frombuffer(raw, "<f8")).max())
+    return float(np.linalg.norm(np.rint(v) - v) / np.linalg.norm(v))
+
+
+def margin_of(nodes: DataFrame, threshold: float) -> float:
+    """By how much the cosine of two byte vectors may fall short of that of the vectors, at the threshold.
+
+    Rounding turns no vector by more than the greatest angle found among these; both ends of a link turn.
+    """
+
+    @F.pandas_udf(DoubleType())
+    def sine(raw: pd.Series) -> pd.Series:
+        return raw.map(rounding).astype("float64")
+
+    worst = nodes.agg(F.max(sine("raw")).alias("r")).first()["r"] or 0.0
+    return threshold - float(np.cos(min(np.pi, np.arccos(threshold) + 2 * np.arcsin(min(1.0, worst))))) + 1e-5
+
+
 def cosines(vectors: list[bytes], kind: str) -> np.ndarray:
     """All cosines among vectors given as bytes of one kind; -2 between vectors of different lengths."""
     size = np.array([len(x) for x in vectors])
@@ -199,9 +232,9 @@ def descend(state: DataFrame, seed: int, k: int = K) -> DataFrame:
     return met.repartition(n, "pivot", "room").sortWithinPartitions("pivot", "room").mapInArrow(join, LISTS)
 
 
-def exact_links(state: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def exact_links(state: DataFrame, nodes: DataFrame, threshold: float, margin: float) -> DataFrame:
     """(u, v, cos), u > v: edges on either's list whose cosine in double precision reaches the threshold."""
-    edges = state.select("h", F.explode(F.arrays_zip("c", "s")).alias("e")).where(F.col("e.s") >= threshold - MARGIN)
+    edges = state.select("h", F.explode(F.arrays_zip("c", "s")).alias("e")).where(F.col("e.s") >= threshold - margin)
     edges = edges.select(F.greatest("h", "e.c").alias("u"), F.least("h", "e.c").alias("v")).distinct()
     raw = nodes.select("h", "raw")
     both = edges.join(raw.withColumnsRenamed({"h": "u", "raw": "a"}), "u").join(raw.withColumnsRenamed({"h": "v", "raw": "b"}), "v")
@@ -234,13 +267,13 @@ def cosine_of(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([cosine(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def placed(full: DataFrame, nodes: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
+def placed(full: DataFrame, nodes: DataFrame, comp: DataFrame, threshold: float, margin: float) -> DataFrame:
     """(h, w, raw, comp, ball): nodes with their component so far; ball is null but for the nodes of full (h, c, s).
 
     A ball is named by a node: the component's, if that is at the threshold or closer, else the least of the node
     and of the close ones on its list. A ball's members are near its node, so few others come near the ball.
     """
-    close = F.transform(F.filter(F.arrays_zip("c", "s"), lambda e: e["s"] >= threshold - MARGIN), lambda e: e["c"])
+    close = F.transform(F.filter(F.arrays_zip("c", "s"), lambda e: e["s"] >= threshold - margin), lambda e: e["c"])
     near = full.select(F.col("h").alias("node"), F.array_min(F.concat(F.array("h"), close)).alias("near"))
     own = nodes.join(comp, F.col("h") == F.col("node"), "left").select("h", "w", "raw", F.coalesce("component", "h").alias("comp"))
     own = own.join(near, F.col("h") == F.col("node"), "left").drop("node")
@@ -331,16 +364,16 @@ def ball_links(near: DataFrame, threshold: float) -> DataFrame:
     return written(dealt.mapInArrow(run, "h long, links long, u long, v long"), "ball-links")
 
 
-def counted(state: DataFrame, nodes: DataFrame, threshold: float, k: int, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def counted(state: DataFrame, nodes: DataFrame, threshold: float, k: int, margin: float, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """((h, w, links) of every node, components (node, component)).
 
     Nodes whose list is full of links, or all of them if whole, are compared with every node that may link with
     them; links between other nodes are those on their lists.
     """
-    links = written(exact_links(state, nodes, threshold), "links")
+    links = written(exact_links(state, nodes, threshold, margin), "links")
     comp = written(components(links.select("u", "v")), "node-components")
-    full = state if whole else state.where((F.size("c") >= k) & (F.array_min("s") >= threshold - MARGIN))
-    every = placed(full.select("h", "c", "s"), nodes, comp, threshold)
+    full = state if whole else state.where((F.size("c") >= k) & (F.array_min("s") >= threshold - margin))
+    every = placed(full.select("h", "c", "s"), nodes, comp, threshold, margin)
     dense = ball_links(candidates(every, nodes, threshold), threshold)
     free = every.where("ball is null").select("h", "w")
     way = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -353,8 +386,11 @@ def counted(state: DataFrame, nodes: DataFrame, threshold: float, k: int, whole:
 
 
 def audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Recall of links of AUDIT nodes, compared with every row. Their vectors, a fixed number, go to all tasks."""
-    # Half of the audit are nodes with links, where there are as many: most nodes have none to miss.
+    """Recall: the mean, over AUDIT nodes that have links, of the share of a node's links that were found.
+
+    Half of the nodes asked are ones with links found, as far as there are as many, and half are any; a node for
+    which nothing was found has a recall of 0. Their vectors, a fixed number, go to all tasks and meet every row.
+    """
     linked = counts.where("links > 0").orderBy(F.xxhash64("h")).limit(AUDIT // 2).select("h", "links")
     rest = counts.orderBy(F.xxhash64("h", F.lit(1))).limit(AUDIT // 2).select("h", "links")
     asked = linked.union(rest).dropDuplicates(["h"]).join(nodes.select("h", "raw"), "h").collect()
@@ -376,8 +412,9 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
                     total[ask] += (near & (names[ask][:, None] != h[at][None, :])) @ w[at]
         yield pa.record_batch({"i": pa.array(np.arange(len(total))), "n": pa.array(total)})
 
-    true = nodes.select("h", "w", "raw").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("n")).first()["n"]
-    return sum(r["links"] for r in asked) / true if true else 1.0
+    true = {r["i"]: r["n"] for r in nodes.select("h", "w", "raw").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    shares = [min(1.0, r["links"] / true[i]) for i, r in enumerate(asked) if true.get(i)]
+    return float(np.mean(shares)) if shares else 1.0
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
@@ -389,10 +426,11 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = K, roun
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding).
 
     n_links counts other rows at the threshold or closer, equal vectors among them. Vectors that are null, empty or
-    zero, hold null or non-finite components, overflow, or have no vec_id link with nothing; vectors of different
-    lengths don't link. Repeated rows each give a row; an empty table gives none; other columns are ignored.
+    zero, hold null or non-finite components, or have no vec_id link with nothing; vectors of different lengths don't
+    link. Repeated rows each give a row; an empty table gives none; other columns are ignored. The recall that the
+    audit last found is logged; if it stays low after RETRIES, all vectors are compared exactly.
     """
-    every = written(nodes_of(rows), "vectors")
+    every = written(apart(written(nodes_of(rows), "vectors")), "vectors")
     nodes = every.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("w"), F.first("raw").alias("raw"))
     nodes = written(nodes, "nodes")
 
@@ -401,6 +439,7 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = K, roun
         return raw.map(to_bytes)
 
     state = written(nodes.select("h", quantised("raw").alias("q"), F.array().cast("array<long>").alias("c"), F.array().cast("array<float>").alias("s")), "neighbours")
+    margin = margin_of(nodes, threshold)
     for attempt in range(RETRIES + 1):
         state, _ = merged(state, first_lists(state, ORDERS, attempt, k), k)
         for r in range(rounds):
@@ -409,11 +448,14 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = K, roun
             drop_table(old)
             if not fresh:
                 break
-        counts, comp = counted(state, nodes, threshold, k)
-        if audit(nodes, counts, threshold) >= RECALL:
+        counts, comp = counted(state, nodes, threshold, k, margin)
+        recall = audit(nodes, counts, threshold)
+        log.info("recall %.4f after %d descents", recall, attempt + 1)
+        if recall >= RECALL:
             break
     else:
-        counts, comp = counted(state, nodes, threshold, k, whole=True)
+        log.warning("recall %.4f stays below %.2f: all vectors are compared", recall, RECALL)
+        counts, comp = counted(state, nodes, threshold, k, margin, whole=True)
     label = nodes.join(comp, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("component", "h").alias("root"))
     least = label.groupBy("root").agg(F.min("least").alias("component_id"))
     label = label.join(least, "root").join(counts.select("h", "w", "links"), "h").select("h", "component_id", (F.col("links") + F.col("w") - 1).alias("n_links"))
