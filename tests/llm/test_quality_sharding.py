@@ -137,3 +137,67 @@ def test_rebalancing_moves_whole_slots(spark):
     assert rows.count() == len(ODD) + 2 and {r["shard"] for r in rows.collect()} <= set(range(5))
     assert all(sharding.load_map(spark, path, v).count() == 64 for v in (1, 2, 3))
     assert sharding.shard_documents(table(spark, []), 3).count() == 0
+
+
+def test_query_stores_an_edited_map(spark):
+    from varispark.llm.common import shared_dir
+
+    out = sharding.op5_query(spark, SF)
+    want = {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int", "virtual_slot": "int"}
+    assert dict(out.dtypes) == want
+    rows = out.collect()
+    load = Counter()
+    for r in rows:
+        load[r["shard"]] += r["size"]
+    assert set(load) == set(range(40)) and {r["law"] for r in rows} == {"bytes"} and {r["grown_shard"] for r in rows} == {None}
+    assert max(load.values()) - min(load.values()) <= max(r["size"] for r in rows)
+    maps = spark.read.parquet(f"{shared_dir(spark)}/tables/slot-map-*/version=2")
+    assert maps.count() >= 8192 and maps.agg({"shard": "max"}).first()[0] == 39
+
+
+def test_empty_shards_fill_past_a_shard_of_one_large_slot():
+    sizes = {0: 1000} | {s: 10 for s in range(1, 41)}
+    new = sharding.rebalanced(sharding.first_map(sizes, 2, 41), sizes, 5)
+    load = Counter()
+    for s, k in enumerate(new.shard):
+        load[k] += sizes[s]
+    assert sorted(load.values()) == [100, 100, 100, 100, 1000]
+
+
+def test_grams_are_of_characters():
+    texts = ["naïve", "中文字符串", "", "ab", "naïve"]
+    h, owner = rules.gram_hashes(of_texts([t.encode() for t in texts]))[2]
+    want = [max(0, len(t) - 3) for t in texts]
+    assert [int((owner == i).sum()) for i in range(5)] == want and (h[owner == 0] == h[owner == 4]).all()
+    code, who = rules.characters(of_texts([t.encode() for t in texts]))
+    assert [int(x).to_bytes(4, "little").rstrip(b"\0").decode() for x in code[who == 1]] == list(texts[1])
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+    some = labelled_sample(docs, labels, 100, 20_000)
+    assert 0 < sum(len(x) for _, x, _ in some) <= 20_000 and len(some) < 100
+    twice = labelled_sample(docs.union(docs), labels.union(labels), 20)
+    assert twice == labelled_sample(docs, labels, 20)
+
+
+@pytest.mark.parametrize("query", ["op3", "op10"])
+def test_quality_queries_by_column_and_type(spark, tmp_path, query):
+    for name in ("documents", "labels"):
+        rows = read(spark, "/root/testdata/sf0.001", name)
+        if name == "documents":
+            rows = rows.union(rows.limit(1).selectExpr("cast(null as long)", "text", "lang", "source", "n_chars"))
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    out = crf.op3_query(spark, str(tmp_path)) if query == "op3" else rules.op10_query(spark, str(tmp_path))
+    want = {"doc_id": "bigint", "score": "double"}
+    if query == "op3":
+        want |= {"held_out": "boolean", "predicted": "int"}
+    else:
+        want |= dict.fromkeys(["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], "bigint") | {"base_failed": "boolean", "kept": "boolean"}
+    assert dict(out.dtypes) == want
+    rows = out.collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows) and None in {r["doc_id"] for r in rows}
+    for r in rows:
+        assert 0 <= r["score"] <= 1
+        if query == "op3":
+            assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.7)

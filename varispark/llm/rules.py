@@ -1,6 +1,6 @@
 """Quality rules: counts of a text against fixed limits, and a calibrated logistic regression on hashed n-grams.
 
-Features are the shares of hashed words, word pairs and four-byte grams in a text. The regression is fitted by
+Features are the shares of hashed words, word pairs and runs of four characters in a text. The regression is fitted by
 adaptive gradient steps on a bounded sample of labelled rows, then calibrated on labelled rows left out of the fit.
 """
 
@@ -79,18 +79,32 @@ def failed(c: dict[str, np.ndarray]) -> np.ndarray:
     return (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def characters(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each character, text it belongs to): its bytes, first one lowest, whatever their number."""
+    d = np.concatenate((t.data, np.zeros(3, np.uint8)))
+    at = np.flatnonzero((t.data & 0xC0) != 0x80)
+    code, more = d[at].astype(np.uint64), np.ones(len(at), bool)
+    for k in (1, 2, 3):
+        more &= (d[at + k] & 0xC0) == 0x80
+        code |= np.where(more, d[at + k], 0).astype(np.uint64) << np.uint64(8 * k)
+    owner = np.searchsorted(t.start, at, "right") - 1
+    own = at < (t.start + t.size)[owner]  # not the spaces put between texts
+    return code[own], owner[own]
+
+
 def gram_hashes(t: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For words, word pairs and byte grams: (hash below 2^BITS, text it belongs to)."""
+    """For words, word pairs and four-character grams: (hash below 2^BITS, text it belongs to)."""
     shift = np.uint64(64 - BITS)
     word = (t.word_hash, t.word_text)
     both = t.word_text[1:] == t.word_text[:-1]
     pair = (mix(t.word_hash[:-1] * np.uint64(3) + t.word_hash[1:])[both], t.word_text[1:][both])
-    d = t.data.astype(np.uint64)
-    gram = d[:-3] | d[1:-2] << np.uint64(8) | d[2:-1] << np.uint64(16) | d[3:] << np.uint64(24) | np.uint64(1 << 40)
-    owner = np.repeat(np.arange(len(t.size)), np.maximum(t.size - 3, 0))
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(np.maximum(t.size - 3, 0)) - np.maximum(t.size - 3, 0), np.maximum(t.size - 3, 0))
-    gram = gram[t.start[owner] + place] * np.uint64(0x9E3779B97F4A7C15)
-    return [(h >> shift, o) for h, o in (word, pair, (gram, owner))]
+    code, owner = characters(t)
+    same = owner[3:] == owner[:-3]
+    gram = ((code[:-3] * _STEP + code[1:-2]) * _STEP + code[2:-1]) * _STEP + code[3:]
+    return [(h >> shift, o) for h, o in (word, pair, (mix(gram[same]), owner[3:][same]))]
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of text in a sample of labelled rows, at most.
+SAMPLE_BYTES = 64 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -95,18 +97,24 @@ def sums(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, values, n)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> list[tuple[int, bytes, int]]:
-    """(doc_id, text, quality) of at most `rows` labelled documents for training, on the driver.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, most: int = SAMPLE_BYTES) -> list[tuple[int, bytes, int]]:
+    """(doc_id, text, quality) of at most `rows` labelled documents for training, of `most` bytes at most, on the driver.
 
     Rows whose crc32(doc_id as text) mod 4 is 2 are held out. The sample is the rows with the least hashes, so it is
-    the same for the same tables, and no larger whatever their size.
+    the same for the same tables, and no larger whatever their size; texts that would pass the bound on bytes are
+    passed over. Ids and sizes are drawn before any text comes to the driver.
     """
     train = labels.where(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
-    # Ids are drawn before any text is read; the draw has a bounded number of rows.
     drawn = train.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    wanted = {r["doc_id"]: r["quality"] for r in drawn.collect()}
+    sizes = docs.where("text is not null").select("doc_id", F.octet_length("text").alias("size")).join(drawn, "doc_id")
+    sizes = sizes.groupBy("doc_id", "quality").agg(F.max("size").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    wanted, held = {}, 0
+    for r in sizes:
+        if held + r["size"] <= most:
+            wanted[r["doc_id"]], held = r["quality"], held + r["size"]
     if not wanted:
         return []
-    found = docs.where(F.col("doc_id").isin(list(wanted)) & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary")).toArrow()
-    once = dict(zip(found["doc_id"].to_pylist(), found["text"].to_pylist(), strict=True))
-    return [(i, once[i], q) for i, q in sorted(wanted.items()) if i in once]
+    ids = docs.sparkSession.createDataFrame([(i,) for i in wanted], "doc_id long")
+    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # at most `rows` ids
+    once = found.groupBy("doc_id").agg(F.max("text").cast("binary").alias("text")).collect()
+    return sorted((r["doc_id"], bytes(r["text"]), wanted[r["doc_id"]]) for r in once)
