@@ -5,6 +5,9 @@ from __future__ import annotations
 import operator
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from itertools import starmap
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,25 +36,35 @@ def combine(how: str, a: Column, b: Column) -> Column:
     return a & b if how == "and" else a | b
 
 
+#: Signs of comparison, longer ones first so that none is read as the beginning of another.
+_SIGNS = "|".join(map(re.escape, sorted(COMPARATORS, key=lambda sign: (-len(sign), sign))))
+_CONDITION = re.compile(rf"(?P<tag>[A-Za-z][A-Za-z0-9])\s*(?P<sign>{_SIGNS})\s*(?P<value>\S.*)")
+
+
+@dataclass(frozen=True)
+class Condition:
+    """One condition on a SAM tag; what its value is decides how it compares."""
+
+    tag: str
+    sign: str
+    value: str
+
+    def holds(self, x: Column) -> Column:
+        if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", self.value):
+            return compare_number(x, self.sign, float(self.value))
+        return compare_text(x, self.sign, self.value.split("/"))
+
+
 def parse_tag_filter(text: str) -> list[tuple[str, str, str]]:
     """(tag, operator, value) of 'TAG op VALUE,...'."""
-    out = []
-    for part in text.split(","):
-        m = re.fullmatch(r"\s*([A-Za-z][A-Za-z0-9])\s*(<=|!=|>=|=|<|>)\s*(\S.*?)\s*", part)
-        if not m:
-            raise ValueError(f"not a tag condition: {part!r}")
-        out.append(m.groups())
-    return out
+    found = [(part, _CONDITION.fullmatch(part.strip())) for part in text.split(",")]
+    if wrong := [part for part, m in found if m is None]:
+        raise ValueError(f"not a tag condition: {wrong[0]!r}")
+    return [(m["tag"], m["sign"], m["value"]) for _, m in found]
 
 
 def tag_filter(tags: Column, text: str, required: bool) -> Column:
     """Whether all conditions hold; a tag that is absent fails if required and passes otherwise."""
-    verdict = F.lit(True)
-    for tag, op, value in parse_tag_filter(text):
-        x = tags[tag]
-        try:
-            ok = compare_number(x, op, float(value))
-        except ValueError:
-            ok = compare_text(x, op, value.split("/"))
-        verdict = verdict & F.when(x.isNull(), F.lit(not required)).otherwise(ok)
-    return verdict
+    absent = F.lit(not required)
+    each = [F.when(tags[c.tag].isNull(), absent).otherwise(c.holds(tags[c.tag])) for c in starmap(Condition, parse_tag_filter(text))]
+    return reduce(lambda a, b: a & b, each)

@@ -99,8 +99,9 @@ def candidate_sites(obs: DataFrame, cfg: VariantConfig = VariantConfig()) -> Dat
 
 def disagreeing_mates(chosen: DataFrame, tolerated: int = 1) -> DataFrame:
     """(chrom, pos, qname) of names seen with both of a site's two bases, where there are more than are tolerated."""
-    bad = chosen.groupBy(*SITE, "qname").agg(F.min("base").alias("a"), F.max("base").alias("b")).where("a <> b")
-    return bad.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*SITE))).where(F.col("n") > tolerated).select(*SITE, "qname")
+    bad = chosen.groupBy(*SITE, "qname").agg(F.min("base").alias("a"), F.max("base").alias("b")).where("a <> b").select(*SITE, "qname")
+    many = bad.groupBy(*SITE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tolerated)
+    return bad.join(many, SITE, "left_semi")
 
 
 def inside_deletions(chosen: DataFrame, deletions: DataFrame, distance: int) -> DataFrame:
@@ -123,44 +124,49 @@ def call_snps(obs: DataFrame, cfg: VariantConfig = VariantConfig(), deletions: D
     """SNP calls from observations (chrom, pos, base, ref, tn, strand, qual, qname, unclipped_start, mapq, flank).
 
     suspicious: (chrom, pos, base, suspicious) good mismatches of reads that were rejected; known: dbSNP (chrom, pos,
-    rs, mask). Observations are dealt out by site once. Allele choice, mates that disagree and reference reads that
-    carry the variant are windows within the site, so the observations are neither joined with themselves nor made
-    twice, and the counts that end it need no further shuffle.
+    rs, mask). Sites are chosen from counts that every task adds up first, and observations meet the chosen sites in a
+    join that Spark may split at a deep site. What depends on a read's name (mates that disagree, reference reads that
+    carry the variant) is found among the few rows of a site and name, and summed there; a site is then the sum of its
+    names, with and without those whose mates disagree. No task holds the observations of a whole site.
     """
-    site, name = Window.partitionBy(*SITE), Window.partitionBy(*SITE, "qname")
     good = obs.where((F.col("qual") >= cfg.min_quality) & F.col("base").isin(*"ACGT") & F.col("ref").isin(*"ACGT"))
-    counts = F.array(*[F.struct((-F.count_if(F.col("base") == b).over(site)).alias("k"), F.lit(b).alias("base")) for b in "ACGT"])
-    o = good.withColumn("seen", counts)
-    o = o.withColumn("coverage", -F.aggregate("seen", F.lit(0).cast("long"), lambda n, x: n + x["k"]))
-    o = o.withColumn("ranked", F.array_sort(F.filter("seen", lambda x: (x["k"] < 0) | (x["base"] == F.col("ref"))))).drop("seen")
-    o = o.where((F.size("ranked") >= 2) & (F.col("coverage") >= cfg.min_coverage))
-    o = o.withColumn("top", F.get("ranked", F.lit(0))["base"]).withColumn("second", F.get("ranked", F.lit(1))["base"]).drop("ranked")
-    vs_consensus = F.col("top") != F.col("ref")
-    o = o.withColumn("alt", F.when(vs_consensus, F.col("top")).otherwise(F.col("second"))).withColumn("other", F.when(vs_consensus, F.col("second")).otherwise(F.col("top")))
+    o = good.join(candidate_sites(good, cfg), [*SITE, "ref"])
     best = F.col("base").isin(F.col("top"), F.col("second"))
     o = o.where(best | (F.col("base") == F.col("ref")))
-    two = F.when(best, F.col("base"))
-    o = o.withColumn("bad", F.coalesce(F.min(two).over(name) != F.max(two).over(name), F.lit(False))).withColumn("nth", F.row_number().over(name.orderBy("strand", "base", "qual")))
-    o = o.withColumn("bad_names", F.sum((F.col("bad") & (F.col("nth") == 1)).cast("int")).over(site))
-    o = o.where(~(F.col("bad") & (F.col("bad_names") > cfg.mate_disagreement_tolerated)))
-    if deletions is not None:
-        o = inside_deletions(o, deletions, cfg.mismapped_deletion_distance)
     is_alt, is_other, is_ref = (F.col("base") == F.col(c) for c in ("alt", "other", "ref"))
-    o = o.withColumn("carries", F.max(is_alt).over(Window.partitionBy(*SITE, "qname", "strand")))
+    o = o.withColumn("lost", F.lit(False) if deletions is None else F.lit(True))
+    if deletions is not None:
+        at = deletions.select("chrom", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos")).distinct().withColumn("deleted", F.lit(True))
+        o = o.join(at, SITE, "left").withColumn("lost", F.coalesce("deleted", F.lit(False)) & is_alt & (F.col("flank") < cfg.mismapped_deletion_distance)).drop("deleted")
+    name = Window.partitionBy(*SITE, "qname")
+    two = F.when(best, F.col("base"))
+    o = o.withColumn("bad", F.coalesce(F.min(two).over(name) != F.max(two).over(name), F.lit(False)))
+    carrying = {s: F.max(is_alt & ~F.col("lost") & (F.col("strand") == s)).over(name) for s in "+-"}
+    o = o.withColumn("carries", F.when(F.col("strand") == "+", carrying["+"]).otherwise(carrying["-"])).where(F.col("bad") | ~F.col("lost"))
     decade = F.floor(F.col("qual") / 10)
     cells = [(t, s, k) for t in "NT" for s, k in (("+", "fwd"), ("-", "rev"))]
-    s = o.groupBy(*SITE, "ref", "alt", "top", "coverage").agg(
-        F.count_if(is_alt).alias("alt_count"),
-        F.count_if(is_other).alias("other_count"),
-        F.sum(F.when(is_alt, decade)).alias("alt_decades"),
-        F.sum(F.when(is_other, decade)).alias("other_decades"),
-        F.count_if(is_alt & (F.col("flank") >= cfg.alt_flank_window)).alias("flanked"),
-        F.sum(F.when(is_alt, F.col("mapq"))).alias("mapq_sum"),
-        F.size(F.collect_set(F.when(is_alt, F.col("unclipped_start")))).cast("long").alias("unique_starts"),
-        F.size(F.collect_set(F.when(is_alt, F.col("qname")))).cast("long").alias("unique_names"),
-        *[F.count_if(is_alt & (F.col("tn") == t) & (F.col("strand") == x)).alias(f"alt_{t}_{k}") for t, x, k in cells],
-        *[F.count_if(is_ref & ~F.col("carries") & (F.col("tn") == t) & (F.col("strand") == x)).alias(f"ref_{t}_{k}") for t, x, k in cells],
-    )
+    stays = ~F.col("lost")
+    sums = {
+        "alt_count": F.count_if(is_alt & stays),
+        "other_count": F.count_if(is_other & stays),
+        "alt_decades": F.sum(F.when(is_alt & stays, decade)),
+        "other_decades": F.sum(F.when(is_other & stays, decade)),
+        "flanked": F.count_if(is_alt & stays & (F.col("flank") >= cfg.alt_flank_window)),
+        "mapq_sum": F.sum(F.when(is_alt & stays, F.col("mapq"))),
+        "unique_names": F.max((is_alt & stays & F.col("qname").isNotNull()).cast("long")),
+        **{f"alt_{t}_{k}": F.count_if(is_alt & stays & (F.col("tn") == t) & (F.col("strand") == x)) for t, x, k in cells},
+        **{f"ref_{t}_{k}": F.count_if(is_ref & stays & ~F.col("carries") & (F.col("tn") == t) & (F.col("strand") == x)) for t, x, k in cells},
+    }
+    site = [*SITE, "ref", "alt", "top", "coverage"]
+    # By site and name, where the rows already lie together; starts at a site are no more than a read is long.
+    names = o.groupBy(*site, "qname", "bad").agg(*[c.alias(k) for k, c in sums.items()], F.collect_set(F.when(is_alt & stays, F.col("unclipped_start"))).alias("starts"))
+    half = lambda bad: [F.sum(F.when(F.col("bad") == bad, F.col(k))).alias(f"{k}_{bad}") for k in sums]
+    starts = lambda bad: F.flatten(F.collect_set(F.when(F.col("bad") == bad, F.col("starts")))).alias(f"starts_{bad}")
+    s = names.groupBy(*site).agg(*half(True), *half(False), starts(True), starts(False), F.count_if("bad").alias("bad_names"))
+    keep_bad = F.col("bad_names") <= cfg.mate_disagreement_tolerated
+    both = {k: F.coalesce(F.col(f"{k}_False"), F.lit(0)) + F.when(keep_bad, F.coalesce(F.col(f"{k}_True"), F.lit(0))).otherwise(0) for k in sums}
+    every = F.when(keep_bad, F.concat("starts_False", "starts_True")).otherwise(F.col("starts_False"))
+    s = s.select(*site, *[c.cast("long").alias(k) for k, c in both.items()], F.size(F.array_distinct(every)).cast("long").alias("unique_starts"))
     freq = F.col("alt_count") / (F.col("alt_count") + F.col("other_count"))
     s = s.withColumn("alt_freq", freq).where((F.col("alt_count") >= cfg.min_alt_allele_count) & (freq >= cfg.min_minor_allele_frequency))
     many = F.col("alt_count") >= cfg.min_alt_count_for_filters

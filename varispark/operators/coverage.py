@@ -14,6 +14,12 @@ def by_base(bases: DataFrame) -> DataFrame:
     return bases.groupBy("rname", "pos_at").agg(F.count(F.lit(1)).alias("coverage"), *[F.count_if(F.col("base") == b).alias(b) for b in "ACGT"])
 
 
+def depth(reads: DataFrame, least: int) -> DataFrame:
+    """(chrom, pos, coverage) of every position on which a base of quality `least` lies."""
+    n = aligned_bases(reads).where(F.col("q") >= least).groupBy(F.col("rname").alias("chrom"), F.col("pos_at").alias("pos"))
+    return n.agg(F.count(F.lit(1)).alias("coverage"))
+
+
 def region(reads: DataFrame, chrom: str, start: int, end: int, least: int) -> DataFrame:
     """(pos, coverage) of every position of a region, 0 where no base of quality `least` lies."""
     near = reads.where((F.col("rname") == chrom) & (F.col("pos") <= end) & (cigar.end_position(F.col("cigar"), F.col("pos")) >= start))
@@ -27,7 +33,7 @@ def targets(reads: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
 
     Coverage is summed by position first, so each position meets its targets once.
     """
-    n = aligned_bases(reads).where(F.col("q") >= least).groupBy(F.col("rname").alias("chrom"), F.col("pos_at").alias("pos")).agg(F.count(F.lit(1)).alias("k"))
+    n = depth(reads, least).withColumnRenamed("coverage", "k")
     at = wanted.select("name", "chrom", F.explode(F.sequence("start", "end")).alias("pos"))
     out = at.join(n, ["chrom", "pos"], "left").groupBy("name")
     return out.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("bases"), F.count("k").alias("covered"), F.count(F.lit(1)).cast("int").alias("size"))

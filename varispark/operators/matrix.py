@@ -5,11 +5,14 @@ Null values are missing measurements. Every operator but the last stage of clust
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..config import MatrixConfig
@@ -64,44 +67,59 @@ def arrays(m: DataFrame) -> DataFrame:
     return m.groupBy("sample").agg(F.transform(cells, lambda x: x["value"]).alias("vec"))
 
 
-def euclidean(a: Column, b: Column, limit: int | None = None) -> Column:
-    """Over places where both have values, with values held within +-limit; null where no place has both."""
-    held = (lambda x: F.when(x.isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), x)))) if limit else (lambda x: x)
-    sq = F.filter(F.zip_with(a, b, lambda x, y: F.pow(held(x) - held(y), F.lit(2))), lambda x: x.isNotNull())
-    return F.when(F.size(sq) > 0, F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, x: s + x)))
+def euclidean(a: np.ndarray, b: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """Of each row of a with each of b, over places where both have values; nan where there are none."""
+    if limit is not None:
+        a, b = np.clip(a, -limit, limit), np.clip(b, -limit, limit)
+    p, q = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
+    a, b = np.nan_to_num(a), np.nan_to_num(b)
+    square = (a * a) @ q.T + p @ (b * b).T - 2 * (a @ b.T)
+    return np.where(p @ q.T > 0, np.sqrt(np.maximum(square, 0)), np.nan)
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """Over places where both have values; null if one of them doesn't vary there."""
-    names = ("n", "x", "y", "xx", "yy", "xy")
-    zero = F.struct(*[F.lit(0.0).alias(k) for k in names])
+def pearson(a: np.ndarray, b: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """Of each row of a with each of b, over places where both have values; nan if one of them doesn't vary there."""
+    p, q = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
+    a, b = np.nan_to_num(a), np.nan_to_num(b)
+    n, x, y = p @ q.T, a @ q.T, p @ b.T
+    vx, vy = n * ((a * a) @ q.T) - x * x, n * (p @ (b * b).T) - y * y
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where((vx > 0) & (vy > 0), (n * (a @ b.T) - x * y) / np.sqrt(vx * vy), np.nan)
 
-    def step(s: Column, p: Column) -> Column:
-        x, y = p["x"], p["y"]
-        new = (s["n"] + 1, s["x"] + x, s["y"] + y, s["xx"] + x * x, s["yy"] + y * y, s["xy"] + x * y)
-        return F.when(x.isNull() | y.isNull(), s).otherwise(F.struct(*[v.alias(k) for k, v in zip(names, new, strict=True)]))
 
-    def finish(s: Column) -> Column:
-        vx, vy = s["n"] * s["xx"] - s["x"] * s["x"], s["n"] * s["yy"] - s["y"] * s["y"]
-        return F.when((vx > 0) & (vy > 0), (s["n"] * s["xy"] - s["x"] * s["y"]) / F.sqrt(vx * vy))
+DISTANCES: dict[str, Callable[[np.ndarray, np.ndarray, int | None], np.ndarray]] = {"euclidean": euclidean, "pearson": pearson}
 
-    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
-    return F.aggregate(pairs, zero, step, finish)
 
+def pair_distances(m: DataFrame, metric: str, limit: int | None = None, block: int = 512) -> DataFrame:
+    """(a, b, d) of all pairs of samples, a < b, by `euclidean` (values held within +-limit) or `pearson`.
 
-METRICS: dict[str, Callable[[Column, Column], Column]] = {"euclidean": euclidean, "pearson": pearson}
-
-
-def pair_distances(m: DataFrame, metric: Callable[[Column, Column], Column], blocks: int = 8) -> DataFrame:
-    """(a, b, d) of all pairs of samples, a < b. All pairs are the result here: clustering needs the whole matrix.
-
-    Samples are dealt into blocks, each copied once for every block it meets, so the join is on block pairs.
+    All pairs are the result here: clustering needs the whole matrix. Samples are dealt into blocks of about `block`,
+    each copied once for every block that it meets; a pair of blocks is a few matrix products in one task.
     """
-    v = arrays(m).withColumn("k", F.pmod(F.xxhash64("sample"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = v.withColumn("o", every).select(F.col("k").alias("x"), F.col("o").alias("y"), F.col("sample").alias("a"), F.col("vec").alias("va"))
-    right = v.withColumn("o", every).select(F.col("o").alias("x"), F.col("k").alias("y"), F.col("sample").alias("b"), F.col("vec").alias("vb"))
-    return left.join(right, ["x", "y"]).where("a < b").select("a", "b", metric(F.col("va"), F.col("vb")).alias("d"))
+    n = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-m.select("sample").distinct().count() // block))
+    kind = m.schema["sample"].dataType.simpleString()
+    v = arrays(m.select("sample", "col", F.col("value").cast("double").alias("value"))).withColumn("k", F.pmod(F.xxhash64("sample"), F.lit(blocks)).cast("int"))
+    v = v.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = v.select(F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"), "k", "sample", "vec").repartition(n, "x", "y").sortWithinPartitions("x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True))
+        for (x, y), group in groupby(rows, key=lambda r: r[:2]):
+            own = sorted(group, key=lambda r: r[2:4])
+            k, names = np.array([r[2] for r in own]), [r[3] for r in own]
+            values = np.array([r[4] for r in own], float)
+            left, right = np.flatnonzero(k == x), np.flatnonzero(k == y)
+            d = DISTANCES[metric](values[left], values[right], limit)
+            i, j = np.nonzero(np.less.outer(left, right) if x == y else np.ones(d.shape, bool))
+            one, two = [names[t] for t in left[i].tolist()], [names[t] for t in right[j].tolist()]
+            swap = [(p, q) if p < q else (q, p) for p, q in zip(one, two, strict=True)]
+            far = pa.array(d[i, j], mask=np.isnan(d[i, j]))
+            cols = [pa.array([p for p, _ in swap]), pa.array([q for _, q in swap])] if swap else [pa.nulls(0, b_type), pa.nulls(0, b_type)]
+            yield pa.record_batch([c.cast(b_type) for c in cols] + [far], names=["a", "b", "d"])
+
+    b_type = to_arrow_type(m.schema["sample"].dataType)
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}, d double")
 
 
 def cluster(m: DataFrame, metric: str = "pearson", threshold: float | None = None, linkage: str = "complete", most_samples: int = 5000) -> DataFrame:
@@ -115,7 +133,7 @@ def cluster(m: DataFrame, metric: str = "pearson", threshold: float | None = Non
     n = m.agg(F.count_distinct("sample").alias("n")).first()["n"]
     if n > most_samples:
         raise ValueError(f"{n} samples: clustering takes {most_samples} at most")
-    rows = pair_distances(m, METRICS[metric]).where("d is not null").collect()
+    rows = pair_distances(m, metric).where("d is not null").collect()
     sign = -1.0 if metric == "pearson" else 1.0
     names = sorted({r["a"] for r in rows} | {r["b"] for r in rows})
     at = {s: i for i, s in enumerate(names)}
@@ -229,9 +247,9 @@ def dividers(order: DataFrame) -> DataFrame:
 def statistics(m: DataFrame, by: str) -> DataFrame:
     """Mean, middle element (place n/2), population variance and deviation, and half width of the 95 % interval."""
     v = F.col("value").cast("double")
-    mid = lambda a: F.get(a, F.floor(F.size(a) / 2).cast("int"))
+    middle = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value DESC)").cast(m.schema["value"].dataType)  # counts of values, not their list
     return m.where("value is not null").groupBy(by).agg(
-        F.avg(v).alias("mean"), mid(F.array_sort(F.collect_list("value"))).alias("median"), F.var_pop(v).alias("variance"), F.stddev_pop(v).alias("deviation"), (1.96 * F.stddev_pop(v) / F.sqrt(F.count(F.lit(1)))).alias("bound")
+        F.avg(v).alias("mean"), middle.alias("median"), F.var_pop(v).alias("variance"), F.stddev_pop(v).alias("deviation"), (1.96 * F.stddev_pop(v) / F.sqrt(F.count(F.lit(1)))).alias("bound")
     )
 
 

@@ -52,20 +52,33 @@ def aligned_pieces(reads: DataFrame, reference: DataFrame, chunk: int) -> DataFr
     return joined.withColumn("piece_read", F.col("b.read_start") + F.col("piece_start") - F.col("b.ref_start")).withColumn("piece_ref", F.upper(F.col("bases").substr(F.col("piece_start") - F.col("chunk_start") + 1, F.col("piece_len")))).drop("b", "k", "bases", "chunk_start")
 
 
+def laid_out(pieces: DataFrame, read_start: Column, size: Column, **more: Column) -> DataFrame:
+    """pieces with a row for each of `size` bases from read_start (0-based): i, base, q, and those of further arrays.
+
+    The arrays are zipped first, so a base's row needs neither its read's sequence nor its qualities.
+    """
+    i = F.sequence(F.lit(0), size - 1).alias("i")
+    base = letters(F.upper(F.col("seq").substr(read_start + 1, size))).alias("base")
+    q = F.coalesce(F.slice("qual", read_start + 1, size), F.array().cast("array<int>")).alias("q")
+    return pieces.select("*", F.inline(F.arrays_zip(i, base, q, *[c.alias(k) for k, c in more.items()])))
+
+
+def letters(text: Column) -> Column:
+    return F.coalesce(F.split(text, ""), F.array().cast("array<string>"))
+
+
 def bases(pieces: DataFrame) -> DataFrame:
-    """One row for each aligned base: pos, read_i (0-based), base, qual and ref beside the read's columns."""
-    e = pieces.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("piece_len") - 1)))
+    """One row for each aligned base: pos_at, read_i (0-based), base, q and ref beside the read's columns."""
+    e = laid_out(pieces, F.col("piece_read"), F.col("piece_len"), ref=letters(F.col("piece_ref")))
     e = e.withColumn("pos_at", F.col("piece_start") + F.col("i")).withColumn("read_i", F.col("piece_read") + F.col("i"))
-    e = e.withColumn("base", F.upper(F.col("seq").substr(F.col("read_i") + 1, F.lit(1)))).withColumn("q", F.element_at("qual", F.col("read_i") + 1))
-    return e.withColumn("ref", F.col("piece_ref").substr(F.col("i") + 1, F.lit(1))).drop("i", "piece_start", "piece_len", "piece_read", "piece_ref")
+    return e.drop("i", "piece_start", "piece_len", "piece_read", "piece_ref")
 
 
 def aligned_bases(reads: DataFrame) -> DataFrame:
     """bases() without a reference: no join at all."""
     b = reads.withColumn("b", F.explode(cigar.blocks(F.col("cigar"), F.col("pos"))))
-    e = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b.len") - 1)))
-    e = e.withColumn("pos_at", F.col("b.ref_start") + F.col("i")).withColumn("read_i", F.col("b.read_start") + F.col("i")).drop("b", "i")
-    return e.withColumn("base", F.upper(F.col("seq").substr(F.col("read_i") + 1, F.lit(1)))).withColumn("q", F.element_at("qual", F.col("read_i") + 1))
+    e = laid_out(b, F.col("b.read_start"), F.col("b.len"))
+    return e.withColumn("pos_at", F.col("b.ref_start") + F.col("i")).withColumn("read_i", F.col("b.read_start") + F.col("i")).drop("b", "i")
 
 
 def flanking_quality(window: int, least: int, read_i: str = "read_i", qual: str = "qual", between: bool = False) -> Column:

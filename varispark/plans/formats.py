@@ -42,9 +42,12 @@ def report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wig(spark: SparkSession, sf: str) -> DataFrame:
-    c = coverage.region(reads(spark, sf).where(~ops.has(ops.DUPLICATE) & ~ops.has(ops.UNMAPPED)), "chr2", 95, 700, 10)
-    lines = spark.read.text(_write(sinks.wig(c.where("coverage > 0"), "chr2"), spark, "wig"))
-    return lines.agg(F.count_if(~F.col("value").startswith("fixed")).alias("values"), F.sum(F.when(~F.col("value").startswith("fixed"), F.col("value").cast("long"))).alias("total"))
+    """Coverage of whole chromosomes, one file for each of the reads' chromosomes."""
+    c = coverage.depth(reads(spark, sf).where(~ops.has(ops.DUPLICATE) & ~ops.has(ops.UNMAPPED)), 10)
+    chroms = [r["chrom"] for r in c.select("chrom").distinct().collect()]  # as many as the genome has
+    paths = [_write(sinks.wig(c.where(F.col("chrom") == x).select("pos", "coverage"), x), spark, "wig") for x in chroms]
+    lines = spark.read.text(paths)
+    return lines.agg(F.count_if(F.col("value").startswith("fixed")).alias("runs"), F.count_if(~F.col("value").startswith("fixed")).alias("values"), F.sum(F.when(~F.col("value").startswith("fixed"), F.col("value").cast("long"))).alias("total"))
 
 
 def matrix_text(spark: SparkSession, sf: str, encoding: str | None = None) -> DataFrame:
@@ -87,7 +90,7 @@ QUERIES = {
 _M = f"WITH {MATRIX_SQL} SELECT 'm' || col AS marker, count(value) AS n, CAST(sum(value) AS BIGINT) AS total FROM matrix GROUP BY col"
 _USE = "flag & 1024 = 0 AND flag & 4 = 0"
 ORACLE = {
-    "k05_wig": f"WITH {BASES_SQL}, c AS (SELECT q, count(*) AS k FROM bases WHERE aligned AND {_USE} AND qual >= 10 AND rname = 'chr2' AND q BETWEEN 95 AND 700 GROUP BY q) SELECT count(*) AS values, CAST(sum(k) AS BIGINT) AS total FROM c",
+    "k05_wig": f"WITH {BASES_SQL}, c AS (SELECT rname, q, count(*) AS k FROM bases WHERE aligned AND {_USE} AND qual >= 10 GROUP BY ALL) SELECT count(*) FILTER (p.q IS NULL) AS runs, count(*) AS values, CAST(sum(k) AS BIGINT) AS total FROM c LEFT JOIN (SELECT rname, q FROM c) p ON c.rname = p.rname AND p.q = c.q - 1",
     "k08_soft_clip_fasta": f"WITH {BASES_SQL}, c AS (SELECT read_id, rname, CAST(count(*) AS INT) AS len FROM bases WHERE {_USE} AND flag & 256 = 0 AND mapq >= 1 AND ((kind = 3 AND i < 5) OR (kind = 6 AND i >= 28)) GROUP BY ALL HAVING avg(qual) >= 15) SELECT len, rname, count(*) AS n FROM c GROUP BY ALL",
     "s01_k03_sam_round_trip": f"WITH {READS_SQL} SELECT rname, cigar, count(*) AS n, CAST(sum(flag) AS BIGINT) AS flags, CAST(sum(pos) AS BIGINT) AS places, count(*) * 32 AS qualities, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS xq FROM reads GROUP BY ALL",
     "k02_k10_fastq": f"WITH {READS_SQL} SELECT count(*) * 4 AS lines, count(*) FILTER (flag & 16 > 0) AS turned, count(*) AS records, count(*) AS sequences FROM reads",

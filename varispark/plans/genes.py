@@ -165,7 +165,7 @@ def annotation_order(spark: SparkSession, sf: str) -> DataFrame:
     good = names.usable(F.col("v"))
     whole = c.agg(F.bool_and(names.strict_int(F.col("v")).isNotNull() | ~good).alias("whole"))
     j = c.join(whole, F.lit(True))
-    return j.orderBy(~good, F.when(F.col("whole") & good, F.col("v").try_cast("int")), "v", "c_custkey").limit(500).select("c_custkey", "v")
+    return j.orderBy(~good, F.when(F.col("whole") & good, F.col("v").try_cast("int")), "v", "c_custkey").select("c_custkey", "v")
 
 
 def constant_columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,7 +227,7 @@ ORACLE = {
     "m06_contig_orientation": f"WITH {SEQUENCES_SQL} SELECT doc_id, regexp_matches(seq, '[TNX]{{13}}.{{9,35}}TTTATT') AS flip FROM sequences",
     "w07_gap_plan": "SELECT o_custkey % 5 AS chrom, o_orderkey % 300 AS pos, repeat('*', max(CAST(floor(o_totalprice) AS BIGINT) % 9 + 1)) AS pads FROM orders GROUP BY ALL",
     "j20_s28_gene_pathways": "WITH p AS (SELECT DISTINCT o_orderpriority AS pathway, o_custkey AS gene FROM orders) SELECT pathway, coalesce(c_mktsegment, 'UNKNOWN') AS about, count(*) AS n FROM p LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 > 0) c ON c_custkey = gene GROUP BY ALL",
-    "o05_annotation_order": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'unknown' ELSE CAST(c_custkey % 50 AS VARCHAR) END AS v FROM customer ORDER BY c_custkey % 4 = 0, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 50 END, c_custkey LIMIT 500",
+    "o05_annotation_order": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'unknown' ELSE CAST(c_custkey % 50 AS VARCHAR) END AS v FROM customer ORDER BY c_custkey % 4 = 0, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 50 END, c_custkey",
     "s27_annotation_columns": "SELECT 'c_name' AS field, count(*) AS usable, count(DISTINCT c_name) AS values FROM customer UNION ALL SELECT 'c_nationkey', count(*), count(DISTINCT c_nationkey) FROM customer UNION ALL SELECT 'c_mktsegment', count(*), count(DISTINCT c_mktsegment) FROM customer UNION ALL SELECT 'empty', 0, 1",
     "j14_key_column": "SELECT 's_name' AS field, CAST(0 AS BIGINT) AS hits UNION ALL SELECT 's_nationkey', count(*) FROM supplier",
     "u03_missing_ids": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",

@@ -28,11 +28,11 @@ def change_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def distances(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.pair_distances(_m(spark, sf), lambda a, b: ops.euclidean(a, b, 2)).withColumn("d", F.round("d", 6))
+    return ops.pair_distances(_m(spark, sf), "euclidean", 2).withColumn("d", F.round("d", 6))
 
 
 def correlations(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.pair_distances(_m(spark, sf), ops.pearson).withColumn("d", F.round("d", 6) + 0.0)
+    return ops.pair_distances(_m(spark, sf), "pearson").withColumn("d", F.round("d", 6) + 0.0)
 
 
 def clusters(spark: SparkSession, sf: str) -> DataFrame:

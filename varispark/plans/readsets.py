@@ -243,9 +243,8 @@ def tag_counts(spark: SparkSession, sf: str) -> DataFrame:
 def tag_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Of whole-number tags at each place: least, middle, mean (whole) and greatest value."""
     t = _usable(spark, sf).select("rname", "pos", F.col("tags")["XQ"].cast("int").alias("x"))
-    s = t.groupBy("rname", "pos").agg(F.min("x").alias("least"), F.array_sort(F.collect_list("x")).alias("all"), F.avg("x").cast("int").alias("mean"), F.max("x").alias("most"))
-    mid = F.get("all", F.floor((F.size("all") - 1) / 2).cast("int"))
-    return s.select("rname", "pos", F.concat(F.lit("XQ:i:"), F.concat_ws(",", *[x.cast("string") for x in (F.col("least"), mid, F.col("mean"), F.col("most"))])).alias("text"))
+    s = t.groupBy("rname", "pos").agg(F.min("x").alias("least"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY x)").cast("int").alias("middle"), F.avg("x").cast("int").alias("mean"), F.max("x").alias("most"))
+    return s.select("rname", "pos", F.concat(F.lit("XQ:i:"), F.concat_ws(",", *[x.cast("string") for x in (F.col("least"), F.col("middle"), F.col("mean"), F.col("most"))])).alias("text"))
 
 
 def ambiguity(spark: SparkSession, sf: str) -> DataFrame:
@@ -298,8 +297,8 @@ def starts_at(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ordered(spark: SparkSession, sf: str) -> DataFrame:
-    """The first 200 reads by place, forward before reverse."""
-    return reads(spark, sf).select("rname", "pos", ops.strand().alias("strand"), "read_id").orderBy("rname", "pos", "strand", "read_id").limit(200)
+    """Reads by place, forward before reverse."""
+    return reads(spark, sf).select("rname", "pos", ops.strand().alias("strand"), "read_id").orderBy("rname", "pos", "strand", "read_id")
 
 
 def pooled(spark: SparkSession, sf: str) -> DataFrame:
@@ -443,7 +442,7 @@ ORACLE = {
     "j24_known_introns": f"{_RC} SELECT rname, (pos + 20) || '-' || (pos + 119) AS span, count(*) AS n FROM reads JOIN part ON p_partkey + 120 = pos + 20 WHERE kind = 5 AND {_USABLE} AND p_size > 25 GROUP BY ALL",
     "s03_unmapped": f"{_RC} SELECT rname, count(*) AS n FROM reads WHERE flag & 4 > 0 GROUP BY rname",
     "s04_start_lookup": f"{_RC} SELECT pos, count(*) AS n FROM reads JOIN supplier ON s_suppkey + 150 = pos GROUP BY pos",
-    "o10_read_order": f"{_RC} SELECT rname, pos, CASE WHEN flag & 16 > 0 THEN '-' ELSE '+' END AS strand, read_id FROM reads ORDER BY rname, pos, strand, read_id LIMIT 200",
+    "o10_read_order": f"{_RC} SELECT rname, pos, CASE WHEN flag & 16 > 0 THEN '-' ELSE '+' END AS strand, read_id FROM reads ORDER BY rname, pos, strand, read_id",
     "s06_u01_pooled_sources": f"{_RC} SELECT rname, sample_idx, count(*) AS n, min(pos) AS first, max(pos) AS last FROM reads GROUP BY ALL",
     "u02_deduplicated_reads": f"{_RC} SELECT rname, count(DISTINCT read_id) AS n FROM reads GROUP BY rname",
     "x07_cigar_ends": f"{_RC} SELECT cigar, CAST(min(CASE kind WHEN 3 THEN -5 WHEN 0 THEN -4 ELSE 0 END) AS INT) AS start, CAST(max(CASE kind WHEN 2 THEN 33 WHEN 3 THEN 26 WHEN 4 THEN 28 WHEN 5 THEN 131 ELSE 31 END) AS INT) AS \"end\", min(CASE kind WHEN 1 THEN 'M32' WHEN 2 THEN 'M10D2M22' WHEN 3 THEN 'S5M27' WHEN 4 THEN 'M12I3M17' WHEN 5 THEN 'M20N100M12' WHEN 6 THEN 'M28S4' ELSE 'H4M32' END) AS compact, CAST(min(CASE kind WHEN 2 THEN 34 WHEN 3 THEN 27 WHEN 4 THEN 29 WHEN 5 THEN 132 WHEN 6 THEN 28 ELSE 32 END) AS INT) AS span FROM reads GROUP BY cigar",

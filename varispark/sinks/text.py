@@ -63,10 +63,8 @@ def report(df: DataFrame, columns: list[str], path: str) -> None:
 
 def wig(coverage: DataFrame, chrom: str) -> DataFrame:
     """(value): fixedStep lines of coverage (pos, coverage), a header where positions begin anew, in order."""
-    from pyspark.sql.window import Window
-
-    w = Window.orderBy("pos")
-    c = coverage.withColumn("new", F.coalesce(F.lag("pos").over(w) != F.col("pos") - 1, F.lit(True)))
+    before = coverage.select((F.col("pos") + 1).alias("pos")).distinct().withColumn("new", F.lit(False))
+    c = coverage.join(before, "pos", "left").withColumn("new", F.coalesce("new", F.lit(True)))
     head = F.concat(F.lit(f"fixedStep chrom={chrom} start="), F.col("pos").cast("string"), F.lit(" step=1\n"))
     return c.orderBy("pos").select(F.concat(F.when(F.col("new"), head).otherwise(""), F.col("coverage").cast("string")).alias("value"))
 

@@ -42,7 +42,7 @@ def newest_snp_table(tables: list[str]) -> str | None:
 def markup(spark: SparkSession, path: str) -> DataFrame:
     """(kind, fields) of a markup file: a keyword and tab-separated fields a line."""
     f = F.split("value", "\t")
-    return spark.read.text(path).where("trim(value) <> '' and value not like '#%'").select(F.get(f, F.lit(0)).alias("kind"), F.slice(f, 2, 1000).alias("fields"))
+    return spark.read.text(path).where("trim(value) <> '' and value not like '#%'").select(F.get(f, F.lit(0)).alias("kind"), F.slice(f, F.lit(2), F.size(f)).alias("fields"))
 
 
 def gene_list(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +61,7 @@ def is_binary_matrix(spark: SparkSession, path: str) -> bool:
 def pathways(spark: SparkSession, path: str) -> DataFrame:
     """(pathway, name, gene) of lines of a pathway, its name and as many genes as it has."""
     f = F.split("value", "\t")
-    return spark.read.text(path).where("value <> ''").select(F.get(f, F.lit(0)).alias("pathway"), F.get(f, F.lit(1)).alias("name"), F.explode(F.slice(f, 3, 1 << 20)).alias("gene")).where("gene <> ''")
+    return spark.read.text(path).where("value <> ''").select(F.get(f, F.lit(0)).alias("pathway"), F.get(f, F.lit(1)).alias("name"), F.explode(F.slice(f, F.lit(3), F.size(f))).alias("gene")).where("gene <> ''")
 
 
 def expression_report(spark: SparkSession, path: str) -> DataFrame:
@@ -78,7 +78,7 @@ def poly_peaks(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True)
     rows = F.split(F.trim("value"), "\n")
     head = F.split(F.get(rows, F.lit(0)), r"\s+")
-    r = whole.select(F.get(head, F.lit(0)).alias("name"), F.posexplode(F.slice(rows, 2, 1 << 20)).alias("i", "line")).withColumn("f", F.split(F.trim("line"), r"\s+"))
+    r = whole.select(F.get(head, F.lit(0)).alias("name"), F.posexplode(F.slice(rows, F.lit(2), F.size(rows))).alias("i", "line")).withColumn("f", F.split(F.trim("line"), r"\s+"))
     number = lambda k: F.coalesce(F.nanvl(F.get("f", F.lit(k)).try_cast("double"), F.lit(0.0)), F.lit(0.0))
     return r.where("line <> ''").select("name", "i", F.get("f", F.lit(0)).alias("base"), number(1).alias("place"), number(2).alias("area"), number(3).alias("rel"), F.get("f", F.lit(4)).alias("alt"), number(5).alias("alt_place"), number(6).alias("alt_area"), number(7).alias("alt_rel"))
 

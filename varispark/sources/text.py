@@ -17,7 +17,7 @@ def sam_reads(spark: SparkSession, path: str) -> DataFrame:
     f = F.split("value", "\t")
     at = lambda i: F.get(f, F.lit(i))
     known = lambda c: F.nullif(c, F.lit("*"))
-    tags = F.map_from_entries(F.transform(F.slice(f, 12, 1000), lambda t: F.struct(F.substring(t, 1, 2), t.substr(F.lit(6), F.length(t)))))
+    tags = F.map_from_entries(F.transform(F.slice(f, F.lit(12), F.greatest(F.size(f), F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2), t.substr(F.lit(6), F.length(t)))))
     qual = F.transform(F.filter(F.split(known(at(10)), ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
     lines = spark.read.text(path).where(~F.col("value").startswith("@") & (F.col("value") != ""))
     return lines.select(
@@ -29,7 +29,8 @@ def sam_reads(spark: SparkSession, path: str) -> DataFrame:
 def sam_header(spark: SparkSession, path: str) -> DataFrame:
     """(kind, fields): header lines as maps, kind SQ, RG, PG or HD."""
     lines = spark.read.text(path).where(F.col("value").rlike("^@[A-Z]{2}\t"))
-    f = F.slice(F.split("value", "\t"), 2, 1000)
+    every = F.split("value", "\t")
+    f = F.slice(every, F.lit(2), F.size(every))
     return lines.select(F.substring("value", 2, 2).alias("kind"), F.map_from_entries(F.transform(f, lambda t: F.struct(F.substring(t, 1, 2), t.substr(F.lit(4), F.length(t))))).alias("fields"))
 
 
