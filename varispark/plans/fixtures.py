@@ -5,6 +5,8 @@ Each exists twice: as a DataFrame, and as SQL that DuckDB runs on the same table
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +41,12 @@ BASES_SQL = f"""{READS_SQL}, placed AS (SELECT *, {_PLACE} AS q FROM reads, (SEL
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads of 32 bases with every kind of CIGAR operation; lineitem rows give names, places and qualities."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*[x.strip() for x in _split(_FIELDS)])
-    place = _PLACE
-    index = f"(({ref_index(place, 'c', True)} + {_SHIFT.format(p=place)}) % 4 + 1)"
-    rows = rows.withColumn("seq", F.expr(f"array_join(transform(sequence(0, {READ_LENGTH - 1}), i -> substr('ACGT', cast({index} as int), 1)), '')"))
-    rows = rows.withColumn("qual", F.expr(f"transform(sequence(0, {READ_LENGTH - 1}), i -> {_QUAL})"))
+    # Places and qualities are one expression a base: unlike a lambda over a sequence, those are compiled. The lambda
+    # over the places then names each place once.
+    each = lambda text: ", ".join(re.sub(r"\bi\b", str(i), text) for i in range(READ_LENGTH))
+    index = f"(({ref_index('q', 'c', True)} + {_SHIFT.format(p='q')}) % 4 + 1)"
+    rows = rows.withColumn("places", F.expr(f"array({each(_PLACE)})")).withColumn("qual", F.expr(f"array({each(_QUAL)})"))
+    rows = rows.withColumn("seq", F.expr(f"array_join(transform(places, (q, i) -> substr('ACGT', cast({index} as int), 1)), '')"))
     tags = F.create_map(F.lit("NM"), F.col("l_linenumber").cast("string"), F.lit("RG"), F.col("l_returnflag"), F.lit("XQ"), F.col("l_quantity").cast("int").cast("string"))
     mate = (F.col("pos") + 50).cast("int")
     return rows.select("read_id", "sample_idx", "tn", "qname", "flag", "rname", "pos", "mapq", "cigar", F.lit("=").alias("rnext"), mate.alias("pnext"), "seq", "qual", tags.alias("tags"))
