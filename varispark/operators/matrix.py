@@ -67,7 +67,32 @@ def arrays(m: DataFrame) -> DataFrame:
     return m.groupBy("sample").agg(F.transform(cells, lambda x: x["value"]).alias("vec"))
 
 
-def euclidean(a: np.ndarray, b: np.ndarray, limit: int | None = None) -> np.ndarray:
+def euclidean(a: Column, b: Column, limit: int | None = None) -> Column:
+    """Over places where both have values, with values held within +-limit; null where no place has both."""
+    held = (lambda x: F.when(x.isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), x)))) if limit else (lambda x: x)
+    sq = F.filter(F.zip_with(a, b, lambda x, y: F.pow(held(x) - held(y), F.lit(2))), lambda x: x.isNotNull())
+    return F.when(F.size(sq) > 0, F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, x: s + x)))
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """Over places where both have values; null if one of them doesn't vary there."""
+    names = ("n", "x", "y", "xx", "yy", "xy")
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in names])
+
+    def step(s: Column, p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        new = (s["n"] + 1, s["x"] + x, s["y"] + y, s["xx"] + x * x, s["yy"] + y * y, s["xy"] + x * y)
+        return F.when(x.isNull() | y.isNull(), s).otherwise(F.struct(*[v.alias(k) for k, v in zip(names, new, strict=True)]))
+
+    def finish(s: Column) -> Column:
+        vx, vy = s["n"] * s["xx"] - s["x"] * s["x"], s["n"] * s["yy"] - s["y"] * s["y"]
+        return F.when((vx > 0) & (vy > 0), (s["n"] * s["xy"] - s["x"] * s["y"]) / F.sqrt(vx * vy))
+
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
+    return F.aggregate(pairs, zero, step, finish)
+
+
+def block_euclidean(a: np.ndarray, b: np.ndarray, limit: int | None = None) -> np.ndarray:
     """Of each row of a with each of b, over places where both have values; nan where there are none."""
     if limit is not None:
         a, b = np.clip(a, -limit, limit), np.clip(b, -limit, limit)
@@ -77,7 +102,7 @@ def euclidean(a: np.ndarray, b: np.ndarray, limit: int | None = None) -> np.ndar
     return np.where(p @ q.T > 0, np.sqrt(np.maximum(square, 0)), np.nan)
 
 
-def pearson(a: np.ndarray, b: np.ndarray, limit: int | None = None) -> np.ndarray:
+def block_pearson(a: np.ndarray, b: np.ndarray, limit: int | None = None) -> np.ndarray:
     """Of each row of a with each of b, over places where both have values; nan if one of them doesn't vary there."""
     p, q = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
     a, b = np.nan_to_num(a), np.nan_to_num(b)
@@ -87,7 +112,7 @@ def pearson(a: np.ndarray, b: np.ndarray, limit: int | None = None) -> np.ndarra
         return np.where((vx > 0) & (vy > 0), (n * (a @ b.T) - x * y) / np.sqrt(vx * vy), np.nan)
 
 
-DISTANCES: dict[str, Callable[[np.ndarray, np.ndarray, int | None], np.ndarray]] = {"euclidean": euclidean, "pearson": pearson}
+DISTANCES: dict[str, Callable[[np.ndarray, np.ndarray, int | None], np.ndarray]] = {"euclidean": block_euclidean, "pearson": block_pearson}
 
 
 def pair_distances(m: DataFrame, metric: str, limit: int | None = None, block: int = 512) -> DataFrame:
