@@ -108,6 +108,37 @@ def test_merging_stops_at_the_limit():
     assert matrix.merge(d, 2, "minimum") == [[0, 1, 2], [3]]
 
 
+@pytest.mark.parametrize("linkage,limit", [("complete", 2.3), ("mean", 2.3), ("minimum", 1.2)])
+def test_rounds_join_what_the_closest_pair_rule_joins(spark, linkage, limit):
+    import numpy as np
+
+    values = np.random.default_rng(5).integers(0, 4, (14, 3))
+    m = spark.createDataFrame([(i, j, int(v)) for i, row in enumerate(values) for j, v in enumerate(row)], "sample long, col int, value int")
+    d = matrix.block_euclidean(values.astype(float), values.astype(float))
+    np.fill_diagonal(d, np.inf)
+    want = sorted(g for g in matrix.merge(d, limit, linkage) if len(g) > 1)
+    got = {}
+    for r in matrix.cluster(m, "euclidean", limit, linkage, driver_clusters=2).collect():
+        got.setdefault(r["cluster"], []).append(r["sample"])
+    assert sorted(map(sorted, got.values())) == want and len(want) > 1
+    assert [len(got[k]) for k in sorted(got)] == sorted(map(len, want), reverse=True)
+
+
+def test_initial_clusters_stay_together(spark):
+    m = spark.createDataFrame([(i, 0, v) for i, v in enumerate((0, 9, 1, 30, 50))], "sample long, col int, value int")
+    given = spark.createDataFrame([(0, "p"), (1, "p"), (4, None)], "sample long, label string")
+    got = matrix.cluster(m, "euclidean", 1.5, "minimum", given).collect()
+    assert {(r["sample"], r["cluster"]) for r in got} == {(0, 0), (1, 0), (2, 0)}  # a patient alone is no cluster
+    assert matrix.cluster(m, "euclidean", 1.5, "complete", given).collect() == []
+
+
+def test_places_are_numbered_over_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")).repartition(5)
+    got = matrix.numbered(df, [F.desc("x")], "place").collect()
+    assert sorted((r["place"], r["x"]) for r in got) == [(1000 - x, x) for x in range(999, -1, -1)]
+    assert matrix.numbered(df.where("x < 0"), [F.asc("x")], "place").collect() == []
+
+
 def test_calls_do_not_depend_on_order_or_partitions(spark):
     from varispark.plans.fixtures import observations
 

@@ -1,6 +1,6 @@
 """Sample-by-marker matrices in long form (sample, col, value): summaries, order, combination, distance, clusters.
 
-Null values are missing measurements. Every operator but the last stage of clustering is one or two grouped passes.
+Null values are missing measurements. All but clusters and greedy columns, which take rounds, are one or two grouped passes.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..config import MatrixConfig
+from ..sources.paths import scratch
 
 
 def change_percent(m: DataFrame, threshold: int) -> DataFrame:
@@ -147,35 +149,111 @@ def pair_distances(m: DataFrame, metric: str, limit: int | None = None, block: i
     return dealt.mapInArrow(run, f"a {kind}, b {kind}, d double")
 
 
-def cluster(m: DataFrame, metric: str = "pearson", threshold: float | None = None, linkage: str = "complete", most_samples: int = 5000) -> DataFrame:
-    """(sample, cluster) of clusters of two samples or more, largest first; agglomerative, to a threshold.
+def cluster(
+    m: DataFrame, metric: str = "pearson", threshold: float | None = None, linkage: str = "complete", initial: DataFrame | None = None, driver_clusters: int = 1000
+) -> DataFrame:
+    """(sample, cluster) of clusters of two initial clusters or more, largest first; agglomerative, to a threshold.
 
-    Distances are computed by Spark; merging is sequential by nature and runs on the driver over the distance
-    matrix, for at most `most_samples` samples: more raise an error before anything is collected.
+    initial: (sample, label) of clusters to begin with, such as patients or all-zero rows; without it, and for samples
+    that it lacks, each sample is its own. Pairs of clusters are a table. A round joins all pairs whose clusters are
+    each other's nearest, by distance and then by least samples; for these linkages that joins what joining the
+    closest pair again and again joins. Once at most `driver_clusters` clusters have a pair within the threshold left,
+    the driver joins them by the same rule over their distances, at most the square of that number.
     """
-    cfg = MatrixConfig()
+    cfg, spark = MatrixConfig(), m.sparkSession
     limit = threshold if threshold is not None else (cfg.pearson_threshold if metric == "pearson" else cfg.euclidean_threshold)
-    n = m.agg(F.count_distinct("sample").alias("n")).first()["n"]
-    if n > most_samples:
-        raise ValueError(f"{n} samples: clustering takes {most_samples} at most")
-    rows = pair_distances(m, metric).where("d is not null").collect()
     sign = -1.0 if metric == "pearson" else 1.0
-    names = sorted({r["a"] for r in rows} | {r["b"] for r in rows})
-    at = {s: i for i, s in enumerate(names)}
-    d = np.full((len(names), len(names)), np.inf)
-    for r in rows:
-        d[at[r["a"]], at[r["b"]]] = d[at[r["b"]], at[r["a"]]] = sign * r["d"]
-    groups = merge(d, sign * limit, linkage)
-    out = [(names[i], k) for k, g in enumerate(sorted((g for g in groups if len(g) > 1), key=lambda g: (-len(g), g[0]))) for i in g]
+    label = m.select("sample").distinct()
+    if initial is None:
+        label = label.withColumn("label", F.col("sample"))
+    else:
+        own = label.join(initial.select("sample", F.col("label").alias("given")).dropDuplicates(["sample"]), "sample", "left")
+        least = own.where("given is not null").groupBy("given").agg(F.min("sample").alias("least"))
+        label = own.join(least, "given", "left").select("sample", F.coalesce("least", "sample").alias("label"))
+    label = _kept(label, "labels")
+    d = pair_distances(m, metric).where("d is not null").withColumn("d", F.lit(sign) * F.col("d"))
+    d = d if linkage == "mean" else d.where(F.col("d") <= sign * limit)  # the others can't come within it again
+    pairs = _joined(d.withColumn("w", F.lit(1)), label.select(F.col("sample").alias("old"), F.col("label").alias("new")), label, linkage)
+    while True:
+        pairs = _kept(pairs, "pairs")
+        near = pairs.where(F.col("d") <= sign * limit)
+        live = near.select("a").union(near.select("b")).distinct()
+        n = live.count()
+        if n <= driver_clusters:
+            break
+        key = F.struct("d", "a", "b")
+        ends = near.select(F.explode(F.array("a", "b")).alias("c"), "d", "a", "b").groupBy("c").agg(F.min(key).alias("best"))
+        step = ends.groupBy("best.a", "best.b").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(F.col("b").alias("old"), F.col("a").alias("new"))
+        step = _kept(step, "step")
+        label = _kept(label.join(step, label["label"] == step["old"], "left").select("sample", F.coalesce("new", "label").alias("label")), "labels")
+        pairs = _joined(pairs, step, label, linkage)
+    own = label.join(live.select(F.col("a").alias("label")), "label", "left_semi").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes = {r["label"]: r["n"] for r in sorted(own, key=lambda r: r["label"])}
+    names, at = list(sizes), {c: i for i, c in enumerate(sizes)}
+    held = live.select(F.col("a").alias("c"))
+    left = pairs.join(held.withColumnRenamed("c", "a"), "a", "left_semi").join(held.withColumnRenamed("c", "b"), "b", "left_semi").select("a", "b", "d").toArrow()
+    grid = np.full((len(names), len(names)), np.inf)
+    for a, b, x in zip(*(left.column(c).to_pylist() for c in ("a", "b", "d")), strict=True):
+        grid[at[a], at[b]] = grid[at[b], at[a]] = x
+    groups = merge(grid, sign * limit, linkage, np.array(list(sizes.values()), float))
     kind = m.schema["sample"].dataType.simpleString()
-    return m.sparkSession.createDataFrame(out, f"sample {kind}, cluster int")
+    last = spark.createDataFrame([(names[i], names[g[0]]) for g in groups for i in g[1:]], f"old {kind}, new {kind}")
+    final = label.join(last, label["label"] == last["old"], "left").select("sample", F.coalesce("new", "label").alias("label"))
+    first = final if initial is None else final.join(initial.select("sample", F.col("label").alias("given")).dropDuplicates(["sample"]), "sample", "left")
+    parts = F.count(F.lit(1)) if initial is None else F.count_distinct(F.struct("given", F.when(F.col("given").isNull(), F.col("sample"))))
+    big = first.groupBy("label").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts")).where("parts > 1")
+    ranked = numbered(big, [F.desc("n"), F.asc("label")], "cluster").select("label", (F.col("cluster") - 1).cast("int").alias("cluster"))
+    return final.join(ranked, "label").select("sample", "cluster")
+
+
+def _joined(pairs: DataFrame, moves: DataFrame, label: DataFrame, linkage: str) -> DataFrame:
+    """(a, b, d, w) of pairs after clusters moved (old, new): distance d over w pairs of samples, those of `label`.
 
+    Complete and mean linkage need the distance of every pair of samples: a pair of clusters that lacks one goes.
+    """
+    one, two = moves.select(F.col("old").alias("a"), F.col("new").alias("to_a")), moves.select(F.col("old").alias("b"), F.col("new").alias("to_b"))
+    p = pairs.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("to_a", "a").alias("x"), F.coalesce("to_b", "b").alias("y"), "d", "w")
+    p = p.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "d", "w")
+    how = {"complete": F.max("d"), "minimum": F.min("d")}.get(linkage, F.sum(F.col("d") * F.col("w")) / F.sum("w"))
+    g = p.groupBy("a", "b").agg(how.alias("d"), F.sum("w").alias("w"))
+    if linkage != "minimum":
+        sizes = label.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        g = g.join(sizes.select(F.col("label").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("label").alias("b"), F.col("n").alias("nb")), "b")
+        g = g.where(F.col("w") == F.col("na") * F.col("nb"))
+    return g.select("a", "b", "d", "w")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: a cut in the plan that outlives executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with its rows' places from 1 by `order`, which must leave no ties.
+
+    Rows are sorted in ranges, one a task; a row's place is its place in its range behind the counts of the ranges
+    before, so no task holds more than its range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", row)
+    ranged = _kept(ranged.withColumn("_range", F.shiftright("_id", 33)), "ranges")
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranged.join(before, "_range").withColumn(name, place).drop("_id", "_range", "_before")
 
-def merge(d: np.ndarray, limit: float, linkage: str) -> list[list[int]]:
-    """Groups of indices after joining the closest two, again and again, while they are within the limit."""
+
+def merge(d: np.ndarray, limit: float, linkage: str, sizes: np.ndarray | None = None) -> list[list[int]]:
+    """Groups of indices after joining the closest two, again and again, while they are within the limit.
+
+    sizes: how many samples each index stands for, one without it; mean linkage weighs by them.
+    """
     join = {"complete": np.maximum, "minimum": np.minimum}.get(linkage)
     d, groups = d.copy(), [[i] for i in range(len(d))]
-    live, size = np.ones(len(d), bool), np.ones(len(d))
+    live, size = np.ones(len(d), bool), np.ones(len(d)) if sizes is None else sizes.copy()
     while live.sum() > 1:
         i, j = divmod(int(np.argmin(np.where(live[:, None] & live[None, :], d, np.inf))), len(d))
         if not d[i, j] <= limit:
@@ -190,30 +268,28 @@ def merge(d: np.ndarray, limit: float, linkage: str) -> list[list[int]]:
 
 
 def greedy_columns(m: DataFrame, threshold: int, up: bool = True) -> DataFrame:
-    """(place, col, patient): columns by the share of patients left that reach the threshold, and those patients.
+    """(place, col, patient, value): columns by the share of patients left that reach the threshold, and those patients.
 
     Each step takes the column that most of the patients left reach, by greatest count then least column, and its
-    patients. Patients are reduced to the columns that they reach; that table is what steps on the driver run over,
-    with as many rows as a heat map can show.
+    patients, whose place within the step is by value (their average in that column), then by patient. Patients are
+    reduced to the columns that they reach, a written table; a step counts the columns of those that none of the
+    columns taken so far holds, so the driver keeps the columns taken alone, and there are no more steps than columns.
     """
     hit = F.max("value") >= threshold if up else F.min("value") <= -threshold
-    cells = m.where("value is not null").groupBy("patient", "col").agg(hit.alias("hit")).where("hit")
-    reach: dict = {}
-    for r in cells.groupBy("patient").agg(F.collect_set("col").alias("cols")).collect():
-        reach[r["patient"]] = set(r["cols"])
-    out, place = [], 0
-    while reach:
-        votes: dict[int, int] = {}
-        for cols in reach.values():
-            for c in cols:
-                votes[c] = votes.get(c, 0) + 1
-        best = min(votes, key=lambda c: (-votes[c], c))
-        for p in sorted(p for p, cols in reach.items() if best in cols):
-            out.append((place, best, p))
-            del reach[p]
-        place += 1
-    kind = m.schema["patient"].dataType.simpleString()
-    return m.sparkSession.createDataFrame(out, f"place int, col int, patient {kind}")
+    cells = m.where("value is not null").groupBy("patient", "col").agg(hit.alias("hit"), F.avg("value").alias("value")).where("hit")
+    reach = _kept(cells.groupBy("patient").agg(F.collect_set("col").alias("cols")), "reach")
+    taken: list = []
+    kind = m.schema["col"].dataType
+    while True:
+        held = F.array(*map(F.lit, taken)).cast(ArrayType(kind))
+        left = reach.where(~F.arrays_overlap("cols", held)) if taken else reach
+        best = left.select(F.explode("cols").alias("col")).groupBy("col").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "col").first()
+        if best is None:
+            break
+        taken.append(best["col"])
+    places = m.sparkSession.createDataFrame(list(enumerate(taken)), StructType([StructField("place", IntegerType()), StructField("col", kind)]))
+    first = cells.join(places, "col").groupBy("patient").agg(F.min(F.struct("place", "col", "value")).alias("s"))
+    return first.select("s.place", "s.col", "patient", "s.value").orderBy("place", "value", "patient")
 
 
 def combine_rows(parent: DataFrame, other: DataFrame, tag: str) -> DataFrame:
@@ -243,7 +319,7 @@ def sort_by_column(m: DataFrame, col: int, how: str = "average") -> DataFrame:
     """(patient, value, place): patients by their value in a column, missing first, then by name."""
     rep = representative(m.where(F.col("col") == col), how).drop("col")
     every = m.select("patient").distinct().join(rep, "patient", "left")
-    return every.withColumn("place", F.row_number().over(Window.orderBy(F.col("value").asc_nulls_first(), "patient")))
+    return numbered(every, [F.col("value").asc_nulls_first(), F.asc("patient")], "place")
 
 
 def order_by_list(m: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -251,7 +327,7 @@ def order_by_list(m: DataFrame, wanted: DataFrame) -> DataFrame:
     p = m.groupBy("patient").agg((F.count("value") > 0).alias("has_values"))
     j = p.join(wanted, F.lower(p["patient"].cast("string")) == F.lower(wanted["name"]), "left")
     group = F.when(F.col("rank").isNotNull(), 0).when(F.col("has_values"), 1).otherwise(2)
-    return j.select("patient", "rank", F.row_number().over(Window.orderBy(group, F.col("rank").asc_nulls_last(), "patient")).alias("place"))
+    return numbered(j.select("patient", "rank", group.alias("group")), [F.asc("group"), F.col("rank").asc_nulls_last(), F.asc("patient")], "place").drop("group")
 
 
 def display_bins(m: DataFrame, size: int) -> DataFrame:

@@ -44,6 +44,12 @@ def euclidean_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return ops.cluster(m, "euclidean", 9.0, "mean")
 
 
+def patient_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters that begin with patients, all of whose samples stay together."""
+    m = _m(spark, sf)
+    return ops.cluster(m, "pearson", 0.2, "minimum", m.select("sample", F.col("patient").alias("label")).distinct())
+
+
 def cluster_report(spark: SparkSession, sf: str) -> DataFrame:
     return clusters(spark, sf).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("sample")), ",").alias("samples"))
 
@@ -73,13 +79,14 @@ QUERIES = {
     "m01_pearson_clusters": clusters,
     "m01_euclidean_clusters": euclidean_clusters,
     "k11_cluster_report": cluster_report,
-    "m02_greedy_columns": lambda s, d: ops.greedy_columns(_m(s, d), 9),
+    "m01_patient_clusters": patient_clusters,
+    "m02_greedy_columns": lambda s, d: ops.greedy_columns(_m(s, d), 9).withColumn("value", F.round("value", 9)),
     "j13_marker_lookup": marker_lookup,
     "j16_combine_rows": lambda s, d: ops.combine_rows(_m(s, d).where("subset = 0").withColumn("sample", F.col("sample").cast("string")), _m(s, d).where("subset = 1 and col < 50").withColumn("sample", F.col("sample").cast("string")), "x"),
     "j17_combine_columns": lambda s, d: ops.combine_columns(_m(s, d).where("subset = 0 and col < 40"), _m(s, d).where("subset = 1 and col >= 30"), ("cn", "expr")),
     "j18_combine_subsets": lambda s, d: ops.combine_subsets(_m(s, d), 0, lambda v: v >= 2, 1, lambda v: v <= -2, "or"),
-    "o02_sort_by_column": lambda s, d: ops.sort_by_column(_m(s, d), 5).withColumn("value", F.round("value", 9)),
-    "o03_o04_order_by_list": lambda s, d: ops.order_by_list(_m(s, d), s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("name"), (100 - F.col("n_nationkey")).cast("int").alias("rank"))),
+    "o02_sort_by_column": lambda s, d: ops.sort_by_column(_m(s, d), 5).withColumns({"value": F.round("value", 9), "place": F.col("place").cast("int")}),
+    "o03_o04_order_by_list": lambda s, d: ops.order_by_list(_m(s, d), s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("name"), (100 - F.col("n_nationkey")).cast("int").alias("rank"))).withColumn("place", F.col("place").cast("int")),
     "w08_dividers": lambda s, d: ops.dividers(_m(s, d).where("col = 0").select(F.col("sample").alias("place"), "patient")),
     "w10_display_bins": lambda s, d: ops.display_bins(_m(s, d), 7),
     "u07_subset_columns": lambda s, d: ops.subset_columns(_m(s, d), _m(s, d).where("col % 5 = 2").select("col")),
@@ -110,4 +117,12 @@ ORACLE = {
     "f26_visible_samples": f"{_sql()} SELECT sample, bool_and(value IS NULL) AS all_null, bool_and(coalesce(value, 0) = 0) AS all_empty FROM m GROUP BY sample",
     "u05_distinct_patients": f"{_sql()} SELECT DISTINCT patient, subset FROM m",
 }
+ORACLE["m02_greedy_columns"] = (
+    f"{_sql().replace('WITH ', 'WITH RECURSIVE ', 1)}, c AS (SELECT patient, col, avg(value) AS value FROM m GROUP BY ALL HAVING max(value) >= 9), "
+    "r AS (SELECT patient, list(DISTINCT col) AS cols FROM c GROUP BY patient), "
+    "t AS (SELECT CAST(-1 AS INT) AS place, CAST(NULL AS INT) AS col, CAST([] AS INT[]) AS taken UNION ALL "
+    "(SELECT place + 1, k, list_append(taken, k) FROM (SELECT place, taken, unnest(cols) AS k FROM t, r WHERE NOT list_has_any(cols, taken)) GROUP BY place, taken, k ORDER BY count(*) DESC, k LIMIT 1)), "
+    "f AS (SELECT patient, min(place) AS place FROM c JOIN t USING (col) GROUP BY patient) "
+    "SELECT t.place, CAST(t.col AS INT) AS col, patient, round(c.value, 9) AS value FROM f JOIN t USING (place) JOIN c USING (patient) WHERE c.col = t.col"
+)
 ORACLE["a32_change_threshold"] = f"SELECT CAST(greatest(1, floor(max(value) * 0.5)) AS BIGINT) AS threshold FROM ({ORACLE['a31_gradients']})"
