@@ -44,3 +44,31 @@ def test_stream_and_batch_pileups_agree(spark, tmp_path):
     got = {(r["pos"], r["base"]): r["n"] for r in run(frontier.pileup(s, 0), tmp_path)}
     batch = spark.read.parquet(f"{tmp_path}/in").groupBy("pos", "base").agg(F.count("*").alias("n")).collect()
     assert got == {(r["pos"], r["base"]): r["n"] for r in batch if r["pos"] < 6}
+
+
+LENGTHS = {"chr2": 40, "chr10": 60, "chr1": 30}
+
+
+def test_next_chromosome_makes_the_last_one_final(spark, tmp_path):
+    rows = [[("chr2", 5, "A"), ("chr2", 39, "C")], [("chr10", 2, "G"), ("chrUn", 1, "T")], [("chr10", 3, "G")], [("chr2", 39, "C"), ("chr1", 1, "T")]]
+    s = stream(spark, tmp_path, "chrom string, pos long, base string", rows)
+    got = {(r["chrom"], r["pos"], r["base"]): r["n"] for r in run(frontier.pileup(s, 0, LENGTHS), tmp_path)}
+    # chr1 may still grow, chrUn has no place, and the second observation of chr2 came a batch after its site was final
+    assert got == {("chr2", 5, "A"): 1, ("chr2", 39, "C"): 1, ("chr10", 2, "G"): 1, ("chr10", 3, "G"): 1}
+
+
+def test_lateness_does_not_reach_over_chromosomes(spark, tmp_path):
+    rows = [[("chr2", 38, "A")], [("chr10", 9, "G")], [("chr10", 1, "C")], [("chr1", 30, "T")]]
+    s = stream(spark, tmp_path, "chrom string, pos long, base string", rows)
+    got = {(r["chrom"], r["pos"], r["base"]) for r in run(frontier.pileup(s, 15, LENGTHS), tmp_path)}
+    assert got == {("chr2", 38, "A"), ("chr10", 9, "G"), ("chr10", 1, "C")}
+
+
+def test_pairs_and_duplicates_over_chromosomes(spark, tmp_path):
+    rows = [[("a", "chr2", 5, "+"), ("a", "chr2", 5, "+"), ("b", "chr2", 39, "+")], [("a", "chr10", 5, "+"), ("b", "chr10", 1, "-"), ("a", "chr10", 8, "-")]]
+    s = stream(spark, tmp_path, "qname string, rname string, pos long, strand string", rows)
+    got = run(frontier.distinct_reads(s, 10, LENGTHS), tmp_path)
+    assert sorted((r["qname"], r["rname"], r["pos"]) for r in got) == [("a", "chr10", 5), ("a", "chr10", 8), ("a", "chr2", 5), ("b", "chr10", 1), ("b", "chr2", 39)]
+    r = spark.createDataFrame([x for batch in rows for x in batch], "qname string, chrom string, pos long, strand string").dropDuplicates()
+    near = frontier.pairs(r.where("strand = '+'"), r.where("strand = '-'"), 10, LENGTHS).collect()
+    assert [tuple(x) for x in near] == [("a", "chr10", 5, 8)]  # b's mates lie on two chromosomes

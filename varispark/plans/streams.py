@@ -28,6 +28,14 @@ def piled(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def flushed(spark: SparkSession, sf: str) -> DataFrame:
+    """Sites of three chromosomes that are final when the stream ends: all but the last one of the last chromosome."""
+    name = F.concat(F.lit("chr"), F.col("l_linenumber") % 3 + 1)
+    s = _stream(spark, sf, "lineitem").select(name.alias("chrom"), (F.col("l_partkey") + 1).alias("pos"), F.translate("l_returnflag", "ANR", "ACG").alias("base"))
+    longest = spark.read.parquet(f"{sf}/part.parquet").agg(F.max("p_partkey")).first()[0] + 1
+    return _run(frontier.pileup(s, 0, {f"chr{c}": longest for c in (1, 2, 3)}), spark, "flushed")
+
+
 def deduplicated(spark: SparkSession, sf: str) -> DataFrame:
     s = _stream(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("qname"), F.lit("chr1").alias("rname"), (F.col("l_partkey") + 1).alias("pos"), F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise("+").alias("strand"))
     return _run(frontier.distinct_reads(s, 1_000_000), spark, "distinct").groupBy("strand").agg(F.count(F.lit(1)).alias("n"))
@@ -66,6 +74,7 @@ def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "r01_frontier_pileup": piled,
+    "r04_chromosome_flush": flushed,
     "r06_streaming_duplicates": deduplicated,
     "r08_micro_batches": micro_batches,
     "r10_streaming_pairs": paired,
@@ -76,6 +85,7 @@ QUERIES = {
 
 ORACLE = {
     "r01_frontier_pileup": "SELECT l_partkey + 1 AS pos, CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN 'C' ELSE 'G' END AS base, count(*) AS n FROM lineitem WHERE l_partkey < (SELECT max(l_partkey) FROM lineitem) GROUP BY ALL",
+    "r04_chromosome_flush": "WITH l AS (SELECT 'chr' || (l_linenumber % 3 + 1) AS chrom, l_partkey + 1 AS pos, CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN 'C' ELSE 'G' END AS base FROM lineitem) SELECT chrom, pos, base, count(*) AS n FROM l WHERE (chrom, pos) <> (SELECT (chrom, pos) FROM l ORDER BY chrom DESC, pos DESC LIMIT 1) GROUP BY ALL",
     "r06_streaming_duplicates": "WITH d AS (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber % 2 AS s FROM lineitem) SELECT CASE WHEN s = 0 THEN '-' ELSE '+' END AS strand, count(*) AS n FROM d GROUP BY s",
     "r08_micro_batches": "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag",
     "r10_streaming_pairs": "SELECT count(*) AS pairs, CAST(sum(a.l_partkey + 1) AS BIGINT) AS a, CAST(sum(b.l_partkey + 1) AS BIGINT) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND abs(a.l_partkey - b.l_partkey) <= 50 WHERE a.l_linenumber % 2 = 1 AND b.l_linenumber % 2 = 0",

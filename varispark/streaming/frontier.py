@@ -12,35 +12,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def place_time(pos: Column) -> Column:
-    """A position as a timestamp: one second a base."""
-    return F.timestamp_seconds(pos.cast("long"))
+def place_time(pos: Column, chrom: Column | None = None, lengths: dict[str, int] | None = None, margin: int = 0) -> Column:
+    """A position as a timestamp: one second a base.
 
+    With a chromosome and the dictionary of lengths, in the order of the stream, chromosomes follow each other `margin`
+    bases apart, so the frontier goes on when reads change to the next one. Null where the dictionary lacks the name.
+    """
+    return F.timestamp_seconds(((pos if lengths is None else pos + starts(chrom, lengths, margin))).cast("long"))
+
+
+def starts(chrom: Column, lengths: dict[str, int], margin: int = 0) -> Column:
+    """Bases before a chromosome, from a dictionary that is as long as the genome has sequences."""
+    before, at = {}, 0
+    for name, n in lengths.items():
+        before[name] = at
+        at += n + margin + 1
+    return F.create_map(*[F.lit(x) for item in before.items() for x in item])[chrom].cast("long")
 
-def pileup(obs: DataFrame, lateness: int = 0) -> DataFrame:
+
+def pileup(obs: DataFrame, lateness: int = 0, lengths: dict[str, int] | None = None) -> DataFrame:
     """(pos, base, n) of streamed observations (pos, base), given out once no read can reach the site any more.
 
-    Observations more than `lateness` bases behind the frontier are dropped, as late data are.
+    Observations more than `lateness` bases behind the frontier are dropped, as late data are. With `lengths`,
+    observations carry `chrom` as well and come by it in that order; the first reads of a chromosome, beyond `lateness`
+    bases of it, make all sites of those before final (Spark tells late ones by the frontier of the batch before). Observations of a chromosome that `lengths` lacks are dropped.
     """
-    timed = obs.withColumn("t", place_time(F.col("pos"))).withWatermark("t", f"{lateness} seconds")
-    return timed.groupBy(F.window("t", "1 second"), "base").agg(F.count(F.lit(1)).alias("n")).select(F.unix_timestamp("window.start").alias("pos"), "base", "n")
+    if lengths is None:
+        timed = obs.withColumn("t", place_time(F.col("pos"))).withWatermark("t", f"{lateness} seconds")
+        return timed.groupBy(F.window("t", "1 second"), "base").agg(F.count(F.lit(1)).alias("n")).select(F.unix_timestamp("window.start").alias("pos"), "base", "n")
+    timed = obs.withColumn("t", place_time(F.col("pos"), F.col("chrom"), lengths, lateness)).where("t is not null").withWatermark("t", f"{lateness} seconds")
+    sites = timed.groupBy(F.window("t", "1 second"), "chrom", "base").agg(F.count(F.lit(1)).alias("n"))
+    return sites.select("chrom", (F.unix_timestamp("window.start") - starts(F.col("chrom"), lengths, lateness)).alias("pos"), "base", "n")
+
 
+def distinct_reads(reads: DataFrame, span: int, lengths: dict[str, int] | None = None) -> DataFrame:
+    """Streamed reads without those whose name, place and strand were seen within `span` bases.
 
-def distinct_reads(reads: DataFrame, span: int) -> DataFrame:
-    """Streamed reads without those whose name, place and strand were seen within `span` bases."""
-    timed = reads.withColumn("t", place_time(F.col("pos"))).withWatermark("t", f"{span} seconds")
+    With `lengths`, reads come by rname in that order; those of names that it lacks are dropped.
+    """
+    timed = reads.withColumn("t", place_time(F.col("pos"), F.col("rname"), lengths, span)).where("t is not null").withWatermark("t", f"{span} seconds")
     return timed.dropDuplicatesWithinWatermark(["qname", "rname", "pos", "strand"]).drop("t")
 
 
-def pairs(first: DataFrame, second: DataFrame, span: int) -> DataFrame:
+def pairs(first: DataFrame, second: DataFrame, span: int, lengths: dict[str, int] | None = None) -> DataFrame:
     """First and second reads (qname, pos) of a name that begin within `span` bases of each other.
 
-    Both sides carry a watermark, so reads wait for their mates no longer than the span and state stays bounded.
+    Both sides carry a watermark, so reads wait for their mates no longer than the span and state stays bounded. With
+    `lengths`, both sides carry `chrom` and come by it in that order; mates on two chromosomes aren't near.
     """
-    a = first.select(F.col("qname").alias("name_a"), F.col("pos").alias("pos_a"), place_time(F.col("pos")).alias("t_a")).withWatermark("t_a", f"{span} seconds")
-    b = second.select(F.col("qname").alias("name_b"), F.col("pos").alias("pos_b"), place_time(F.col("pos")).alias("t_b")).withWatermark("t_b", f"{span} seconds")
+    held = span + 1  # chromosomes lie farther apart than the span
+    place = lambda c: place_time(F.col("pos"), F.col("chrom") if lengths else None, lengths, held).alias(c)
+    own = ["chrom"] if lengths else []
+    a = first.select(F.col("qname").alias("name_a"), F.col("pos").alias("pos_a"), *own, place("t_a")).withWatermark("t_a", f"{span} seconds")
+    b = second.select(F.col("qname").alias("name_b"), F.col("pos").alias("pos_b"), place("t_b")).withWatermark("t_b", f"{span} seconds")
     near = F.expr(f"name_a = name_b and t_b >= t_a - interval {span} seconds and t_b <= t_a + interval {span} seconds")
-    return a.join(b, near).select(F.col("name_a").alias("qname"), "pos_a", "pos_b")
+    return a.join(b, near).select(F.col("name_a").alias("qname"), *own, "pos_a", "pos_b")
 
 
 def in_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str):  # noqa: ANN201
