@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import coverage, reads as ops
 from ..sinks import text as sinks
+from ..sources import other
 from ..sources import text as sources
 from ..sources.paths import scratch
 from .fixtures import BASES_SQL, CHUNK, MATRIX_SQL, READS_SQL, matrix, reads, ref_index, reference
@@ -75,7 +76,35 @@ def clipped_fasta(spark: SparkSession, sf: str) -> DataFrame:
     return back.groupBy(F.length("bases").alias("len"), F.regexp_extract("description", r"rname=(\w+)", 1).alias("rname")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def markup(spark: SparkSession, sf: str) -> DataFrame:
+    """A markup file of samples, titles and comments, by keyword."""
+    n, r = spark.read.parquet(f"{sf}/nation.parquet"), spark.read.parquet(f"{sf}/region.parquet")
+    lines = n.select(F.concat_ws("\t", F.lit("sample2id"), "n_name", "n_nationkey").alias("value")).union(r.select(F.concat_ws("\t", F.lit("title"), "r_name")))
+    lines = lines.union(r.select(F.concat(F.lit("# "), "r_name"))).union(r.select(F.lit("")))
+    back = other.markup(spark, _write(lines, spark, "markup"))
+    return back.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("fields")).alias("fields"), F.min(F.get("fields", F.lit(0))).alias("least"))
+
+
+def gene_list(spark: SparkSession, sf: str) -> DataFrame:
+    """A gene list whose names are found without regard to case and whose chromosomes lack their prefix."""
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    lines = p.select(F.concat_ws("\t", F.concat(F.lit("gene"), "p_partkey"), F.col("p_size") % 22 + 1, "p_partkey", F.col("p_partkey") + F.col("p_size")).alias("value"))
+    back = other.gene_list(spark, _write(lines, spark, "genes"))
+    return back.where(F.col("name").startswith("GENE")).groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+
+
+def pathway_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Ragged rows of a pathway and its genes, turned into genes and how many pathways hold them."""
+    ps = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.concat(F.lit("g"), F.col("o_custkey") % 40).alias("gene"), (F.col("o_orderkey") % 97).alias("path")).distinct()
+    lines = ps.groupBy("path").agg(F.array_join(F.sort_array(F.collect_set("gene")), "\t").alias("genes")).select(F.concat_ws("\t", F.concat(F.lit("p"), "path"), F.lit("a pathway"), "genes").alias("value"))
+    back = other.pathways(spark, _write(lines, spark, "pathways"))
+    return back.groupBy("gene").agg(F.count(F.lit(1)).alias("pathways"))
+
+
 QUERIES = {
+    "s16_markup": markup,
+    "s20_gene_list": gene_list,
+    "s28_pathway_file": pathway_file,
     "s01_k03_sam_round_trip": sam,
     "k02_k10_fastq": fastq,
     "s11_s14_fasta_round_trip": fasta,
@@ -90,6 +119,9 @@ QUERIES = {
 _M = f"WITH {MATRIX_SQL} SELECT 'm' || col AS marker, count(value) AS n, CAST(sum(value) AS BIGINT) AS total FROM matrix GROUP BY col"
 _USE = "flag & 1024 = 0 AND flag & 4 = 0"
 ORACLE = {
+    "s16_markup": "SELECT 'sample2id' AS kind, count(*) AS n, count(*) * 2 AS fields, min(n_name) AS least FROM nation UNION ALL SELECT 'title', count(*), count(*), min(r_name) FROM region",
+    "s20_gene_list": "SELECT 'chr' || (p_size % 22 + 1) AS chrom, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS starts, CAST(sum(p_partkey + p_size) AS BIGINT) AS ends FROM part GROUP BY 1",
+    "s28_pathway_file": "SELECT 'g' || (o_custkey % 40) AS gene, count(DISTINCT o_orderkey % 97) AS pathways FROM orders GROUP BY 1",
     "k05_wig": f"WITH {BASES_SQL}, c AS (SELECT rname, q, count(*) AS k FROM bases WHERE aligned AND {_USE} AND qual >= 10 GROUP BY ALL) SELECT count(*) FILTER (p.q IS NULL) AS runs, count(*) AS values, CAST(sum(k) AS BIGINT) AS total FROM c LEFT JOIN (SELECT rname, q FROM c) p ON c.rname = p.rname AND p.q = c.q - 1",
     "k08_soft_clip_fasta": f"WITH {BASES_SQL}, c AS (SELECT read_id, rname, CAST(count(*) AS INT) AS len FROM bases WHERE {_USE} AND flag & 256 = 0 AND mapq >= 1 AND ((kind = 3 AND i < 5) OR (kind = 6 AND i >= 28)) GROUP BY ALL HAVING avg(qual) >= 15) SELECT len, rname, count(*) AS n FROM c GROUP BY ALL",
     "s01_k03_sam_round_trip": f"WITH {READS_SQL} SELECT rname, cigar, count(*) AS n, CAST(sum(flag) AS BIGINT) AS flags, CAST(sum(pos) AS BIGINT) AS places, count(*) * 32 AS qualities, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS xq FROM reads GROUP BY ALL",
