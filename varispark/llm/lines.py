@@ -31,6 +31,8 @@ PAIR_LIMIT = 16
 BLOCK = 512
 #: Entries of segment keys that a task holds before it passes them on.
 HELD = 1_500_000
+#: Occurrences of lines that a task hands on at a time.
+OCCURRENCES = 1 << 16
 _ENTRY = np.dtype([("low", "<u4"), ("top", "u1"), ("line", "<i8")])  # 38 bits of key, 2 of role; line hash
 
 
@@ -152,6 +154,20 @@ def text_lines(text: bytes) -> list[str]:
     return text.decode("utf-8", "surrogatepass").split("\n")
 
 
+def distinct_lines(texts: pa.Array, most: int) -> Iterator[set[str]]:
+    """The different lines of runs of texts of about `most` bytes; a text's lines are made when its turn comes."""
+    lines: set[str] = set()
+    size = 0
+    for x in texts:
+        text = x.as_py() or b""
+        lines.update(text_lines(text))
+        size += len(text)
+        if size > most:
+            yield lines
+            lines, size = set(), 0
+    yield lines
+
+
 def has_word(line: str) -> bool:
     return bool(line) and bool(line.strip(" \t\n\r\x0b\x0c"))
 
@@ -185,21 +201,12 @@ def candidates(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS) -
             return pa.record_batch({"bucket": pa.array(place[np.concatenate(([0], cuts))]), "entries": pa.array([x.tobytes() for x in np.split(packed, cuts)], pa.binary())})
 
         for b in batches:
-            lines: set[str] = set()
-            chars = 0
-            for x in b.column(0).to_pylist():
-                own = text_lines(x or b"")
-                lines.update(own)
-                chars += len(x or b"")
-                if chars > 1 << 20:
-                    held.append(segment_entries(list(lines), k, least))
-                    size += len(held[-1])
-                    lines, chars = set(), 0
-            held.append(segment_entries(list(lines), k, least))
-            size += len(held[-1])
-            if size > HELD:
-                yield flush()
-                size = 0
+            for lines in distinct_lines(b.column(0), 1 << 20):
+                held.append(segment_entries(list(lines), k, least))
+                size += len(held[-1])
+                if size > HELD:
+                    yield flush()
+                    size = 0
         if size:
             yield flush()
 
@@ -306,10 +313,11 @@ def verified(docs: DataFrame, k: int, least: int) -> tuple[DataFrame, DataFrame]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines = list({y for x in b.column(0).to_pylist() for y in text_lines(x or b"") if len(y) >= least})
-            h = line_hashes(lines)
-            at = np.flatnonzero(in_hash_map(marks.value, h[:, 0].copy()))
-            yield pa.record_batch({"h": pa.array(h[at, 0]), "other": pa.array(h[at, 1]), "line": pa.array([lines[i] for i in at.tolist()], pa.string())})
+            for every in distinct_lines(b.column(0), 4 << 20):
+                lines = [y for y in every if len(y) >= least]
+                h = line_hashes(lines)
+                at = np.flatnonzero(in_hash_map(marks.value, h[:, 0].copy()))
+                yield pa.record_batch({"h": pa.array(h[at, 0]), "other": pa.array(h[at, 1]), "line": pa.array([lines[i] for i in at.tolist()], pa.string())})
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -331,14 +339,20 @@ def line_classes(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS)
     lines that share the 64 bits by which links are named, one has them, and the others are classes of their own.
     """
 
+    def occurrences(rows: list[tuple[int | None, int, int, str]]) -> pa.RecordBatch:
+        doc, key, no, own = zip(*rows, strict=True) if rows else ((), (), (), ())
+        h = line_hashes(list(own))
+        return pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "row_key": pa.array(key, pa.int64()), "line_no": pa.array(no, pa.int32()), "h": pa.array(h[:, 0]), "other": pa.array(h[:, 1])})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple[int | None, int, int, str]] = []
-            for name, key, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                rows += [(name, key, i, y) for i, y in enumerate(text_lines(x or b"")) if has_word(y)]
-            doc, key, no, own = zip(*rows, strict=True) if rows else ((), (), (), ())
-            h = line_hashes(list(own))
-            yield pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "row_key": pa.array(key, pa.int64()), "line_no": pa.array(no, pa.int32()), "h": pa.array(h[:, 0]), "other": pa.array(h[:, 1])})
+            for name, key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                rows += [(name, key, i, y) for i, y in enumerate(text_lines(x.as_py() or b"")) if has_word(y)]
+                if len(rows) > OCCURRENCES:
+                    yield occurrences(rows)
+                    rows = []
+            yield occurrences(rows)
 
     rows = docs.select(F.col("doc_id").cast("long"), row_key(), F.col("text").cast("binary"))
     occ = written(rows.mapInArrow(run, "doc_id long, row_key long, line_no int, h long, other long"), "occurrences")
