@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -173,7 +174,8 @@ def has_word(line: str) -> bool:
 
 
 def candidates(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS) -> DataFrame:
-    """(g, u, v): hashes of lines that share a segment where the join looks for it.
+    """(g, u, v): hashes of lines that share a segment where the join looks for it; `least` is k + 1 or more, so that
+    no segment is empty.
 
     Where g is null, u > v are two different lines to be verified. Where many lines share a key, their pairs would
     grow with the square: there g is the key, and u is one of its lines.
@@ -181,6 +183,8 @@ def candidates(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS) -
     Entries travel packed in rows of one bucket each, so the shuffle moves few large rows; a bucket has the entries
     of many keys, and equal entries of one task travel once.
     """
+    if least <= k:
+        raise ValueError(f"lines of {least} characters can't be split into {k + 1} segments")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 16 * n
 
@@ -376,6 +380,17 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text")).alias("row_key")
 
 
+def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the lines of the given numbers: one pass over each, however many lines it has."""
+    out = []
+    for x, numbers in zip(text, gone, strict=True):
+        if x is not None and numbers is not None and len(numbers):
+            drop = set(np.asarray(numbers).tolist())
+            x = "\n".join([y for i, y in enumerate(x.split("\n")) if i not in drop])
+        out.append(x)
+    return pd.Series(out, dtype=object)
+
+
 def dedup_lines(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS) -> DataFrame:
     """docs with lines left out that equal or nearly equal an earlier line of the corpus; columns as given.
 
@@ -383,15 +398,16 @@ def dedup_lines(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS)
     classes with several occurrences, or null. Links are k edits or less, and links close into classes. Blank lines
     stay; null and empty texts stay as they are; rows equal in doc_id and text get the same result; a text all of
     whose lines are copies becomes empty or blank and its row stays. An empty table gives no row. Rows meet their
-    marks by doc_id and a hash of the text, so only texts under one doc_id could be taken for each other.
+    marks by doc_id and a hash of the text, so only texts under one doc_id could be taken for each other. Time and
+    memory grow in proportion to a text's lines: a text with n copied lines has n marks of some 50 bytes in its row.
     """
     own = F.struct("line_no", "first_doc", "first_line", "n_links", "removed")
     marks = line_classes(docs, k, least).groupBy(F.col("row_key").alias("__row_key"), F.col("doc_id").alias("__doc_id")).agg(F.array_sort(F.collect_list(own)).alias("__dups"))
     same = (F.col("__key") == F.col("__row_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id"))
     out = docs.withColumn("__key", row_key()).join(marks, same, "left")
     gone = F.transform(F.filter("__dups", lambda x: x["removed"]), lambda x: x["line_no"])
-    left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(gone, i))
-    text = F.when(F.exists("__dups", lambda x: x["removed"]), F.array_join(left, "\n")).otherwise(F.col("text"))
+    some = F.coalesce(F.exists("__dups", lambda x: x["removed"]), F.lit(False))
+    text = F.when(some, F.pandas_udf(_without, "string")(F.when(some, F.col("text")), F.when(some, gone))).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("line_dups", F.col("__dups")).drop("__row_key", "__key", "__doc_id", "__dups")
 
 
