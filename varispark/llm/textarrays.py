@@ -41,17 +41,27 @@ class Texts:
     word_text: np.ndarray
 
 
+#: Bytes that are hashed at a time: some forty times as much memory.
+HASHED = 1 << 20
+
+
 def segment_hash(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """64-bit hashes of the given byte ranges, which must not overlap and stand in order."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    value = _BYTE[data[np.repeat(starts, sizes) + place]] * _POWER[place % len(_POWER)]
-    value += (place // len(_POWER)).astype(np.uint64) * value
-    full = sizes > 0
     out = np.zeros(len(starts), np.uint64)
-    if full.any():
-        out[full] = np.add.reduceat(value, (np.cumsum(sizes) - sizes)[full])
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    total = int(ends[-1]) if len(ends) else 0
+    for at in range(0, total, HASHED):  # bytes at..stop of the ranges laid end to end
+        stop = min(at + HASHED, total)
+        i, j = np.searchsorted(ends, at, "right"), np.searchsorted(begins, stop, "left")
+        begin, end = np.maximum(begins[i:j], at), np.minimum(ends[i:j], stop)
+        n = end - begin
+        some = np.flatnonzero(n > 0)
+        own = np.repeat(np.arange(len(n)), n)
+        place = np.arange(at, stop) - begins[i:j][own]
+        value = _BYTE[data[starts[i:j][own] + place]] * _POWER[place % len(_POWER)]
+        value += (place // len(_POWER)).astype(np.uint64) * value
+        out[i + some] += np.add.reduceat(value, begin[some] - at)
     return mix(out + sizes.astype(np.uint64))
 
 
