@@ -6,6 +6,7 @@ adaptive gradient steps on a bounded sample of labelled rows, then calibrated on
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,26 @@ def repeated_words(t: Texts) -> np.ndarray:
     return sums(covered, t.word_text, len(t.size)).astype(np.int64)
 
 
+def repeated_in(h: np.ndarray) -> int:
+    """repeated_words() of one text, from its words' hashes."""
+    n = len(h) - WINDOW + 1
+    if n <= 0:
+        return 0
+    w = np.zeros(n, np.uint64)
+    for k in range(WINDOW):
+        w = w * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    order = np.argsort(w, kind="stable")
+    w = w[order]
+    same = w[1:] == w[:-1]
+    twice = np.zeros(n, bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    covered = np.zeros(len(h), bool)
+    for k in range(WINDOW):
+        covered[order[twice] + k] = True
+    return int(covered.sum())
+
+
 def base_counts(texts: list[bytes], t: Texts) -> dict[str, np.ndarray]:
     n = len(texts)
     lead = (t.data & 0xC0) != 0x80
@@ -79,6 +101,82 @@ def failed(c: dict[str, np.ndarray]) -> np.ndarray:
     return (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Texts of more bytes are measured in pieces of about so many.
+PIECE_BYTES = 1 << 20
+_SPACES = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_pieces(text: bytes, most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of pieces of about `most` bytes that end before white space, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        m = _SPACES.search(text, at + most)
+        stop = m.start() if m else len(text)
+        yield at, stop
+        at = stop
+
+
+def character_pieces(text: bytes, most: int) -> Iterator[bytes]:
+    """Pieces of about `most` bytes with the three characters before each, so that each run of four is in one of them."""
+    inner = lambda i: i < len(text) and text[i] & 0xC0 == 0x80
+    at = 0
+    while at < len(text):
+        stop = at + most
+        while inner(stop):
+            stop += 1
+        head = at
+        for _ in range(3):
+            head = max(head - 1, 0)
+            while head > 0 and inner(head):
+                head -= 1
+        yield text[head:stop]
+        at = stop
+
+
+def line_names(text: bytes, most: int) -> Iterator[np.ndarray]:
+    """128-bit hashes of the lines that have a word, in pieces of whole lines."""
+    at = 0
+    while at >= 0:
+        stop = text.find(b"\n", at + most)
+        lines = [xxhash.xxh3_128_digest(y) for y in text[at : stop if stop >= 0 else len(text)].split(b"\n") if y and not y.isspace()]
+        yield np.frombuffer(b"".join(lines), "V16")
+        at = stop + 1 if stop >= 0 else -1
+
+
+def long_text(text: bytes, model: NgramModel) -> tuple[dict[str, int], float]:
+    """base_counts() and the model's score of one text of any length.
+
+    Held for the whole text are 8 bytes a word and 16 a line (40 and 24 while windows and lines are sorted); what
+    belongs to characters is held for a piece alone. Pairs and runs of characters that cross pieces count as others do.
+    """
+    c = dict.fromkeys(COUNTS, 0)
+    words, total, count = [], np.zeros(3), np.zeros(3, np.int64)
+    for a, b in word_pieces(text, PIECE_BYTES):
+        piece = text[a:b]
+        t = of_texts([piece])
+        for k, v in base_counts([piece], t).items():
+            if k not in ("n_dup_lines", "n_repeat_words"):
+                c[k] += int(v[0])
+        words.append(t.word_hash)
+    for piece in character_pieces(text, PIECE_BYTES):
+        grams = character_grams(piece)
+        total[2] += model.weights[2][grams].sum(dtype=float)
+        count[2] += len(grams)
+    h = np.concatenate(words) if words else np.zeros(0, np.uint64)
+    del words
+    shift = np.uint64(64 - BITS)
+    for at in range(0, len(h), PIECE_BYTES):
+        one, two = h[at : at + PIECE_BYTES], h[at : at + PIECE_BYTES + 1]
+        total[0] += model.weights[0][one >> shift].sum(dtype=float)
+        total[1] += model.weights[1][mix(two[:-1] * np.uint64(3) + two[1:]) >> shift].sum(dtype=float)
+    count[0], count[1] = len(h), max(len(h) - 1, 0)
+    c["n_repeat_words"] = repeated_in(h)
+    names = np.concatenate(list(line_names(text, PIECE_BYTES)))
+    c["n_dup_lines"] = len(names) - len(np.unique(names))
+    return c, float(model.bias + (total / np.maximum(count, 1)).sum())
+
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,6 +193,17 @@ def characters(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return code[own], owner[own]
 
 
+def _fours(code: np.ndarray) -> np.ndarray:
+    return mix(((code[:-3] * _STEP + code[1:-2]) * _STEP + code[2:-1]) * _STEP + code[3:])
+
+
+def character_grams(text: bytes) -> np.ndarray:
+    """Hashes below 2^BITS of the runs of four characters of one text."""
+    none = np.zeros(0, np.int64)
+    t = Texts(np.frombuffer(text + b"\x20", np.uint8), np.zeros(1, np.int64), np.array([len(text)]), none, none, none.astype(np.uint64), none)
+    return _fours(characters(t)[0]) >> np.uint64(64 - BITS)
+
+
 def gram_hashes(t: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
     """For words, word pairs and four-character grams: (hash below 2^BITS, text it belongs to)."""
     shift = np.uint64(64 - BITS)
@@ -103,8 +212,7 @@ def gram_hashes(t: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
     pair = (mix(t.word_hash[:-1] * np.uint64(3) + t.word_hash[1:])[both], t.word_text[1:][both])
     code, owner = characters(t)
     same = owner[3:] == owner[:-3]
-    gram = ((code[:-3] * _STEP + code[1:-2]) * _STEP + code[2:-1]) * _STEP + code[3:]
-    return [(h >> shift, o) for h, o in (word, pair, (mix(gram[same]), owner[3:][same]))]
+    return [(h >> shift, o) for h, o in (word, pair, (_fours(code)[same], owner[3:][same]))]
 
 
 @dataclass(frozen=True)
@@ -121,8 +229,11 @@ class NgramModel:
             out += sums(w[h], owner, len(t.size)) / count
         return out
 
+    def calibrated(self, raw: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.offset, -30, 30)))
+
     def probability(self, t: Texts) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(t) + self.offset, -30, 30)))
+        return self.calibrated(self.raw(t))
 
 
 def fit(rows: list[tuple[int, bytes, int]], epochs: int = 12, rate: float = 4.0, decay: float = 1e-6) -> NgramModel:
@@ -182,29 +293,45 @@ def score(docs: DataFrame, model: NgramModel, keep: float = KEEP) -> DataFrame:
     """One row per document: doc_id and FIELDS. base_failed: under ten words, or over a fifth of the words repeated.
 
     Null, empty and blank texts have counts of 0 and fail. Rows with equal doc_ids are judged apart; an empty table
-    gives no row; columns besides doc_id and text are ignored.
+    gives no row; columns besides doc_id and text are ignored. Texts over PIECE_BYTES are measured in pieces, in time
+    in proportion to their bytes and some 100 MB with 40 bytes a word of memory.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: 3 tables of 2^BITS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, texts in slices(batches):
-            t = of_texts(texts)
-            c = base_counts(texts, t)
+            c, p = measured(texts, shared.value)
             out = failed(c)
-            p = shared.value.probability(t)
             yield pa.record_batch({"doc_id": pa.array(names, pa.int64())} | {k: pa.array(v) for k, v in c.items()} | {"base_failed": pa.array(out), "score": pa.array(p), "kept": pa.array(~out & (p >= keep))})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, " + FIELDS)
 
 
+def measured(texts: list[bytes], model: NgramModel) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Base counts and probabilities of texts: together, but for long ones."""
+    long = np.array([len(x) > PIECE_BYTES for x in texts], bool)
+    short = [x for x, y in zip(texts, long.tolist(), strict=True) if not y]
+    z = np.zeros(len(texts))
+    c = {k: np.zeros(len(texts), np.int64) for k in COUNTS}
+    if short:
+        t = of_texts(short)
+        for k, v in base_counts(short, t).items():
+            c[k][~long] = v
+        z[~long] = model.raw(t)
+    for i in np.flatnonzero(long).tolist():
+        own, z[i] = long_text(texts[i], model)
+        for k, v in own.items():
+            c[k][i] = v
+    return c, model.calibrated(z)
+
+
 def filter_documents(docs: DataFrame, model: NgramModel, keep: float = KEEP) -> DataFrame:
     """The documents that the rules keep, columns as given. Judged in place: nothing is joined or shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(texts: list[bytes]) -> np.ndarray:
-        t = of_texts(texts)
-        c = base_counts(texts, t)
-        return ~failed(c) & (shared.value.probability(t) >= keep)
+        c, p = measured(texts, shared.value)
+        return ~failed(c) & (p >= keep)
 
     @F.pandas_udf("boolean")
     def verdict(text: pd.Series) -> pd.Series:
