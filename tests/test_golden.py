@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from varispark.functions import cigar, names, seq, tags
 from varispark.operators import annotate, calls, indels, matrix, reads
 from varispark.sinks import text as sinks
-from varispark.sources import binary
+from varispark.sources import binary, paths
 from varispark.sources import text as sources
 
 
@@ -234,3 +234,59 @@ def test_matrix_blocks_nib_and_dbsnp(spark, tmp_path):
     assert [tuple(r) for r in binary.dbsnp_blob(spark, f"{tmp_path}/d.blob").collect()] == [("chr1", 10, 77, 5)]
     with pytest.raises(ValueError, match="no BAM"):
         next(binary.decode_bam("x", gzip.compress(b"nope")))
+
+
+def test_distances_go_by_column_not_by_place_in_a_list(spark):
+    cells = [("A", 0, 1), ("A", 1, 2), ("B", 0, 7), ("B", 2, 9), ("C", 5, 3), ("D", 0, None), ("E", 0, 1), ("E", 1, 3), ("E", 2, 5)]
+    m = spark.createDataFrame(cells, "sample string, col int, value int")
+    got = {(r["a"], r["b"]): r["d"] for r in matrix.pair_distances(m, "euclidean").collect()}
+    assert got[("A", "B")] == 6.0 and got[("A", "E")] == 1.0 and got[("B", "E")] == pytest.approx(52**0.5)
+    assert len(got) == 10 and got[("A", "C")] is None and got[("A", "D")] is None
+
+
+def test_matrix_text_keeps_columns_and_samples_that_look_like_the_header(spark, tmp_path):
+    m = spark.createDataFrame([("a", 0, 1), ("a", 2, 3), ("b", 1, 2)], "sample string, col int, value int")
+    assert sorted(r["value"] for r in sinks.matrix_lines(m).collect()) == ["a\t1\tNA\t3", "b\tNA\t2\tNA"]
+    (tmp_path / "m.txt").write_text("#k=v\nid\tm1\nx\t1\nid\tm1\ny\t2\nid\tm1\n")
+    got = sorted((r["sample"], r["value"]) for r in sources.matrix(spark, f"{tmp_path}/m.txt").collect() if r["value"] is not None)
+    assert got == [("x", 1), ("y", 2)]
+    assert sources.matrix(spark, f"{tmp_path}/m.txt").where("sample = 'id'").count() == 2
+
+
+def test_gistic_lines_keep_every_marker(spark, tmp_path):
+    (tmp_path / "g.txt").write_text("all,+,0.1,chr1:5-9," + ",".join(f"m{i}" for i in range(3000)) + ",_Zsc,2.5\n")
+    row = sources.gistic_lines(spark, f"{tmp_path}/g.txt").first()
+    assert len(row["markers"]) == 3000 and row["z"] == 2.5
+
+
+def test_scratch_folders_are_refused_off_a_local_master():
+    class Conf(dict):
+        def get(self, k, d=None):
+            return d
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class S:
+                    @staticmethod
+                    def getCheckpointDir():
+                        class O:  # noqa: E742
+                            @staticmethod
+                            def isDefined():
+                                return False
+
+                        return O
+
+                return S
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        paths.scratch(Session(), "x")

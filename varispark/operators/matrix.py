@@ -64,9 +64,25 @@ def representative(m: DataFrame, how: str = "average", sign: int = 0) -> DataFra
 
 
 def arrays(m: DataFrame) -> DataFrame:
-    """(sample, vec): values in order of column, nulls in place."""
-    cells = F.array_sort(F.collect_list(F.struct("col", "value")))
-    return m.groupBy("sample").agg(F.transform(cells, lambda x: x["value"]).alias("vec"))
+    """(sample, at, vec): the places and values of each sample's cells that have a value, in order of place.
+
+    The place of a cell is the rank of its column among all columns of the matrix, so samples that lack cells still
+    line up. Of several cells of a sample in one column the greatest counts. A sample without values has empty arrays.
+    """
+    columns = numbered(m.where("col is not null").select("col").distinct(), [F.asc("col")], "at").withColumn("at", F.col("at") - 1)
+    cell = F.when(F.col("value").isNotNull() & F.col("at").isNotNull(), F.struct("at", "value"))
+    cells = F.array_sort(F.collect_list(cell))
+    rows = m.join(columns, "col", "left").groupBy("sample").agg(cells.alias("c"))
+    return rows.select("sample", F.transform("c", lambda x: x["at"]).alias("at"), F.transform("c", lambda x: x["value"]).alias("vec"))
+
+
+def dense(at: list[list[int]], vec: list[list[float]]) -> np.ndarray:
+    """Rows of values by place, nan where there is none; as wide as the places go."""
+    size = np.array([len(x) for x in at], np.int64)
+    place = np.array([i for x in at for i in x], np.int64)
+    out = np.full((len(at), int(place.max(initial=-1)) + 1), np.nan)
+    out[np.repeat(np.arange(len(at)), size), place] = np.array([v for x in vec for v in x], float)
+    return out
 
 
 def euclidean(a: Column, b: Column, limit: int | None = None) -> Column:
@@ -121,21 +137,22 @@ def pair_distances(m: DataFrame, metric: str, limit: int | None = None, block: i
     """(a, b, d) of all pairs of samples, a < b, by `euclidean` (values held within +-limit) or `pearson`.
 
     All pairs are the result here: clustering needs the whole matrix. Samples are dealt into blocks of about `block`,
-    each copied once for every block that it meets; a pair of blocks is a few matrix products in one task.
+    each copied once for every block that it meets; a pair of blocks is a few matrix products in one task. Cells that
+    a sample lacks are missing, as null ones are; a pair without a common cell has a null distance.
     """
     n = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-m.select("sample").distinct().count() // block))
     kind = m.schema["sample"].dataType.simpleString()
     v = arrays(m.select("sample", "col", F.col("value").cast("double").alias("value"))).withColumn("k", F.pmod(F.xxhash64("sample"), F.lit(blocks)).cast("int"))
     v = v.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = v.select(F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"), "k", "sample", "vec").repartition(n, "x", "y").sortWithinPartitions("x", "y")
+    dealt = v.select(F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"), "k", "sample", "at", "vec").repartition(n, "x", "y").sortWithinPartitions("x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True))
+        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True))
         for (x, y), group in groupby(rows, key=lambda r: r[:2]):
             own = sorted(group, key=lambda r: r[2:4])
             k, names = np.array([r[2] for r in own]), [r[3] for r in own]
-            values = np.array([r[4] for r in own], float)
+            values = dense([r[4] for r in own], [r[5] for r in own])
             left, right = np.flatnonzero(k == x), np.flatnonzero(k == y)
             d = DISTANCES[metric](values[left], values[right], limit)
             i, j = np.nonzero(np.less.outer(left, right) if x == y else np.ones(d.shape, bool))

@@ -35,6 +35,19 @@ def correlations(spark: SparkSession, sf: str) -> DataFrame:
     return ops.pair_distances(_m(spark, sf), "pearson").withColumn("d", F.round("d", 6) + 0.0)
 
 
+def _holed(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that lack cells altogether, each sample others."""
+    return _m(spark, sf).where((F.col("sample") * 7 + F.col("col") * 3) % 5 != 0)
+
+
+def holed_distances(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.pair_distances(_holed(spark, sf), "euclidean", 2).withColumn("d", F.round("d", 6))
+
+
+def holed_correlations(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.pair_distances(_holed(spark, sf), "pearson").withColumn("d", F.round("d", 6) + 0.0)
+
+
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
     return ops.cluster(_m(spark, sf), "pearson", 0.5)
 
@@ -75,6 +88,8 @@ QUERIES = {
     "a34_representative_highest": lambda s, d: ops.representative(_m(s, d), "highest", 1),
     "a35_euclidean_distance": distances,
     "a36_pearson": correlations,
+    "a35_absent_cells": holed_distances,
+    "a36_absent_cells": holed_correlations,
     "a37_statistics": lambda s, d: ops.statistics(_m(s, d), "col").withColumns({c: F.round(c, 8) for c in ("mean", "variance", "deviation", "bound")}),
     "m01_pearson_clusters": clusters,
     "m01_euclidean_clusters": euclidean_clusters,
@@ -95,6 +110,7 @@ QUERIES = {
 }
 
 _PAIRS = "p AS (SELECT a.sample AS a, b.sample AS b, CAST(a.value AS DOUBLE) AS x, CAST(b.value AS DOUBLE) AS y FROM m a JOIN m b ON a.col = b.col AND a.sample < b.sample)"
+_HOLED = _PAIRS.replace("FROM m a JOIN m b", "FROM (SELECT * FROM m WHERE (sample * 7 + col * 3) % 5 <> 0) a JOIN (SELECT * FROM m WHERE (sample * 7 + col * 3) % 5 <> 0) b")
 ORACLE = {
     "a29_change_percent": f"{_sql()} SELECT col, " + ", ".join(f"CAST(count(*) FILTER ({c}) * 100 // count(*) AS BIGINT) AS {k}" for k, c in (("gain", "value >= 3"), ("loss", "value <= -3"), ("either", "abs(value) >= 3"))) + " FROM m GROUP BY col",
     "a30_value_histogram": f"{_sql()}, v AS (SELECT sample, subset, abs(value) AS value FROM m WHERE value IS NOT NULL) SELECT sample, subset, value, count(*) AS n FROM v GROUP BY GROUPING SETS ((sample, value), (subset, value), (value))",
@@ -102,6 +118,8 @@ ORACLE = {
     "a33_frequency_report": f"{_sql()} SELECT col, round(count(*) FILTER (value > 0) * 100.0 / count(*), 9) AS percent FROM m GROUP BY col HAVING count(*) FILTER (value > 0) > 0",
     "a34_representative_average": f"{_sql()} SELECT patient, col, round(avg(value), 9) AS value FROM m WHERE value IS NOT NULL GROUP BY ALL",
     "a34_representative_highest": f"{_sql()} SELECT patient, col, CAST(max(value) AS DOUBLE) AS value FROM m WHERE value > 0 GROUP BY ALL",
+    "a35_absent_cells": f"{_sql()}, {_HOLED} SELECT a, b, round(sqrt(sum(pow(greatest(-2, least(2, x)) - greatest(-2, least(2, y)), 2))), 6) AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY a, b",
+    "a36_absent_cells": f"{_sql()}, {_HOLED} SELECT a, b, round(corr(x, y), 6) + 0.0 AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY a, b",
     "a35_euclidean_distance": f"{_sql()}, {_PAIRS} SELECT a, b, round(sqrt(sum(pow(greatest(-2, least(2, x)) - greatest(-2, least(2, y)), 2))), 6) AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY a, b",
     "a36_pearson": f"{_sql()}, {_PAIRS} SELECT a, b, round(corr(x, y), 6) + 0.0 AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY a, b",
     "a37_statistics": f"{_sql()} SELECT col, round(avg(value), 8) AS mean, list_sort(list(value))[count(*) // 2 + 1] AS median, round(var_pop(value), 8) AS variance, round(stddev_pop(value), 8) AS deviation, round(1.96 * stddev_pop(value) / sqrt(count(*)), 8) AS bound FROM m WHERE value IS NOT NULL GROUP BY col",

@@ -70,9 +70,13 @@ def wig(coverage: DataFrame, chrom: str) -> DataFrame:
 
 
 def matrix_lines(m: DataFrame, encoding: str | None = None) -> DataFrame:
-    """(value): a line for each sample of (sample, col, value), cells in order of column; NA for missing ones."""
-    cells = F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: F.coalesce(x["value"].cast("string"), F.lit("NA")))
-    rows = m.groupBy("sample").agg(cells.alias("cells"))
+    """(value): a line for each sample of (sample, col, value), cells in order of all columns of the matrix; NA for null
+    values and for cells that a sample lacks."""
+    every = m.agg(F.collect_set("col").alias("every"))  # one row: as long as the header
+    own = m.groupBy("sample").agg(F.collect_list(F.struct("col", "value")).alias("own")).join(every, F.lit(True))
+    kind = dict(m.dtypes)["value"]
+    lacking = F.transform(F.array_except("every", F.transform("own", lambda x: x["col"])), lambda c: F.struct(c.alias("col"), F.lit(None).cast(kind).alias("value")))
+    rows = own.select("sample", F.transform(F.array_sort(F.concat("own", lacking)), lambda x: F.coalesce(x["value"].cast("string"), F.lit("NA"))).alias("cells"))
     if encoding == "rle":
         runs = F.transform("cells", lambda x: F.concat_ws("\t", x, F.lit("1")))
         return rows.select(F.concat_ws("\t", F.col("sample").cast("string"), F.array_join(runs, "\t")).alias("value"))

@@ -52,10 +52,28 @@ def gene_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def is_binary_matrix(spark: SparkSession, path: str) -> bool:
-    """Whether a matrix file is binary: text begins with '#'."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 2).alias("h")).first()
-    raw = bytes(head["h"]) if head else b"#"
-    return raw[:1] != b"#" and raw != b"\x1f\x8b"
+    """Whether a matrix file is binary: text begins with '#'. Two bytes are read, whatever the file's size."""
+    raw = first_bytes(spark, path, 2)
+    return bool(raw) and raw[:1] != b"#" and raw != b"\x1f\x8b"
+
+
+def first_bytes(spark: SparkSession, path: str, n: int) -> bytes:
+    """At most n bytes from the beginning of the first file of a path, through Hadoop's file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(p)
+    while found and found[0].isDirectory():
+        found = [x for x in fs.listStatus(found[0].getPath()) if not x.getPath().getName().startswith(("_", "."))]
+    if not found:
+        return b""
+    stream = fs.open(found[0].getPath())
+    try:
+        out = bytearray()
+        while len(out) < n and (b := stream.read()) >= 0:
+            out.append(b)
+        return bytes(out)
+    finally:
+        stream.close()
 
 
 def pathways(spark: SparkSession, path: str) -> DataFrame:

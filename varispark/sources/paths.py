@@ -9,12 +9,17 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; where the session names none, as in tests, under a temporary folder."""
-    held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
+    """A new path under spark.checkpoint.dir; where a local session names none, as in tests, under a temporary folder.
+
+    On a cluster executors would write to disks of their own there, so that is an error.
+    """
+    held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or ""
     if not held:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         held = known.get() if known.isDefined() else ""
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         held = "file://" + tempfile.mkdtemp(prefix="varispark-")
         spark.sparkContext.setCheckpointDir(held)
     return f"{held.rstrip('/')}/formats/{name}-{uuid.uuid4().hex}"

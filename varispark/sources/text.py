@@ -67,13 +67,16 @@ def matrix(spark: SparkSession, path: str, cfg: MatrixConfig = MatrixConfig()) -
 
     Cells that are no numbers are null, others are rounded and held within the clamp. With the comment
     sample_data_encoding=rle a line has values each with how often it repeats. Only comments and the header, which
-    are small, are looked at first.
+    are small, are looked at first. The header is one line of a file: a sample with the same text stays.
     """
     lines = spark.read.text(path)
     options = {r["k"]: r["v"] for r in lines.where(F.col("value").rlike("^#[^=]+=")).select(F.regexp_extract("value", "^#([^=]+)=", 1).alias("k"), F.regexp_extract("value", "^#[^=]+=(.*)$", 1).alias("v")).collect()}
-    header = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).first()
-    markers = header["value"].split("\t")[1:] if header else []
-    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "") & (F.col("value") != (header["value"] if header else "")))
+    plain = lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
+    header = plain.first()
+    text = header["value"] if header else ""
+    markers = text.split("\t")[1:] if header else []
+    alike = plain.where(F.col("value") == text).groupBy(F.col("_metadata.file_path")).agg((F.count(F.lit(1)) - 1).alias("n"))
+    rows = plain.where(F.col("value") != text).union(alike.select(F.explode(F.array_repeat(F.lit(text), F.col("n").cast("int")))))
     f = F.slice(F.split("value", "\t", -1), 2, 1 << 30)
     if options.get("sample_data_encoding") == "rle":
         pairs = F.sequence(F.lit(0), F.greatest(F.floor(F.size(f) / 2).cast("int") - 1, F.lit(0)))
@@ -140,7 +143,7 @@ def gistic_lines(spark: SparkSession, path: str) -> DataFrame:
     f = F.split("value", ",")
     at = lambda i: F.trim(F.get(f, F.lit(i)))
     loc = names.location(at(3))
-    rest = F.transform(F.slice(f, 5, 1000), F.trim)
+    rest = F.transform(F.slice(f, F.lit(5), F.size(f)), F.trim)
     z = F.array_position(rest, "_Zsc")
     markers = F.when(z > 0, F.slice(rest, F.lit(1), (z - 1).cast("int"))).otherwise(rest)
     return spark.read.text(path).where("value <> ''").select(at(0).alias("subtype"), at(1).alias("sign"), at(2).cast("double").alias("q"), loc["chrom"].alias("chrom"), loc["start"].alias("start"), loc["end"].alias("end"), markers.alias("markers"), F.when(z > 0, F.get(rest, z.cast("int")).cast("double")).alias("z"))
