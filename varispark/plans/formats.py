@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import coverage, reads as ops
 from ..sinks import text as sinks
-from ..sources import other
+from ..sources import bam, other
 from ..sources import text as sources
 from ..sources.paths import scratch
 from .fixtures import BASES_SQL, CHUNK, MATRIX_SQL, READS_SQL, matrix, reads, ref_index, reference
@@ -101,7 +101,30 @@ def pathway_file(spark: SparkSession, sf: str) -> DataFrame:
     return back.groupBy("gene").agg(F.count(F.lit(1)).alias("pathways"))
 
 
+BAM_REFS = [(f"chr{c}", 250_000_000) for c in (1, 2, 3)]
+
+
+def _bam(spark: SparkSession, sf: str) -> str:
+    path = scratch(spark, "bam")
+    bam.write_bam(reads(spark, sf), path, BAM_REFS, step=1 << 14)
+    return path
+
+
+def bam_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads written as indexed BAM files and read in ranges of their blocks."""
+    back = bam.bam(spark, _bam(spark, sf), split=1 << 16)
+    return back.groupBy("rname", "cigar").agg(F.count(F.lit(1)).alias("n"), F.sum("flag").alias("flags"), F.sum("pos").alias("places"), F.sum(F.size("qual")).alias("qualities"), F.sum(F.length("seq")).alias("bases"), F.sum(F.col("tags")["XQ"].cast("long")).alias("xq"))
+
+
+def bam_region(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads that touch a region, with three of their columns, from the blocks that can hold them."""
+    back = bam.bam(spark, _bam(spark, sf), ["rname", "pos", "cigar"], "2:160-195", split=1 << 16).where("pos >= 120")
+    return back.groupBy("rname", "pos", "cigar").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
+    "s01_bam_splits": bam_splits,
+    "s02_bam_region": bam_region,
     "s16_markup": markup,
     "s20_gene_list": gene_list,
     "s28_pathway_file": pathway_file,
@@ -119,6 +142,8 @@ QUERIES = {
 _M = f"WITH {MATRIX_SQL} SELECT 'm' || col AS marker, count(value) AS n, CAST(sum(value) AS BIGINT) AS total FROM matrix GROUP BY col"
 _USE = "flag & 1024 = 0 AND flag & 4 = 0"
 ORACLE = {
+    "s01_bam_splits": f"WITH {READS_SQL} SELECT rname, cigar, count(*) AS n, CAST(sum(flag) AS BIGINT) AS flags, CAST(sum(pos) AS BIGINT) AS places, count(*) * 32 AS qualities, count(*) * 32 AS bases, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS xq FROM reads GROUP BY ALL",
+    "s02_bam_region": f"WITH {READS_SQL} SELECT rname, pos, cigar, count(*) AS n FROM reads WHERE rname = 'chr2' AND pos BETWEEN 120 AND 195 AND pos - 1 + CASE kind WHEN 2 THEN 34 WHEN 3 THEN 27 WHEN 4 THEN 29 WHEN 5 THEN 132 WHEN 6 THEN 28 ELSE 32 END >= 160 GROUP BY ALL",
     "s16_markup": "SELECT 'sample2id' AS kind, count(*) AS n, count(*) * 2 AS fields, min(n_name) AS least FROM nation UNION ALL SELECT 'title', count(*), count(*), min(r_name) FROM region",
     "s20_gene_list": "SELECT 'chr' || (p_size % 22 + 1) AS chrom, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS starts, CAST(sum(p_partkey + p_size) AS BIGINT) AS ends FROM part GROUP BY 1",
     "s28_pathway_file": "SELECT 'g' || (o_custkey % 40) AS gene, count(DISTINCT o_orderkey % 97) AS pathways FROM orders GROUP BY 1",
