@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -215,12 +216,74 @@ def thin_deep_sites(obs: DataFrame, limit: int, exempt: int = 10) -> DataFrame:
     """Observations of deep sites thinned to about `limit`: strata of T/N, strand and start mod 5 keep their best.
 
     Strata of `exempt` or fewer stay whole; the others keep a share in proportion, by quality and distance to the
-    ends of the read. This is a sampling operator: the limit is its purpose.
+    ends of the read. This is a sampling operator: the limit is its purpose. Depths are counts that tasks add up, and no
+    stratum keeps more than `limit` rows, so each task passes on so many of a stratum at most (Spark cuts ranks before
+    the shuffle up to spark.sql.optimizer.windowGroupLimitThreshold); no window holds a site.
     """
-    site = Window.partitionBy("chrom", "pos")
-    stratum = Window.partitionBy("chrom", "pos", "tn", "strand", F.pmod("unclipped_start", F.lit(5)))
+    keys = ["chrom", "pos", "tn", "strand", "_five"]
     worth = F.col("qual") * F.when(F.col("flank") >= 10, 100).otherwise(1)
-    o = obs.withColumn("depth", F.count(F.lit(1)).over(site)).withColumn("size", F.count(F.lit(1)).over(stratum))
-    o = o.withColumn("rank", F.row_number().over(stratum.orderBy(worth.desc(), "qname")))
-    target = F.greatest(F.floor(F.col("size") * limit / F.col("depth")), F.lit(1))
-    return o.where((F.col("depth") <= limit) | (F.col("size") <= exempt) | (F.col("rank") <= target)).drop("depth", "size", "rank")
+    o = obs.withColumn("_five", F.pmod("unclipped_start", F.lit(5)))
+    sizes = o.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    depths = sizes.groupBy("chrom", "pos").agg(F.sum("_size").alias("_depth"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(worth.desc(), "qname"))
+    best = o.withColumn("_rank", rank).where(F.col("_rank") <= max(limit, exempt))
+    named = sizes.select(*[F.col(k).alias(f"_s{k}") for k in keys], "_size")
+    deep = depths.select(F.col("chrom").alias("_dchrom"), F.col("pos").alias("_dpos"), "_depth")
+    same = lambda mark, cols: [F.col(k).eqNullSafe(F.col(f"_{mark}{k}")) for k in cols]
+    all_of = lambda cs: reduce(lambda a, b: a & b, cs)
+    out = best.join(named, all_of(same("s", keys))).join(deep, all_of(same("d", keys[:2])))
+    target = F.greatest(F.floor(F.col("_size") * limit / F.col("_depth")), F.lit(1))
+    return out.where((F.col("_depth") <= limit) | (F.col("_size") <= exempt) | (F.col("_rank") <= target)).select(*obs.columns)
+
+
+def check_poolable(dictionaries: list[DataFrame], orders: list[str], one_reference: bool = False) -> list[str]:
+    """Names in dictionary order, if sources may be pooled: all sorted by coordinate, with equal dictionaries (rank, name,
+    length). With one reference alone, only its order matters. Raises ValueError otherwise. Dictionaries are as long as
+    a genome has sequences."""
+    if wrong := [o for o in orders if o != "coordinate"]:
+        raise ValueError(f"sources must be sorted by coordinate, not {wrong[0]}")
+    found = [[(r["name"], r["length"]) for r in d.orderBy("rank").collect()] for d in dictionaries]
+    for other in found[1:]:
+        if not one_reference and [n for n, _ in other] != [n for n, _ in found[0]]:
+            raise ValueError("sources have different sequences, or in another order")
+        if not one_reference and other != found[0]:
+            raise ValueError("sources have sequences of different lengths")
+    return [n for n, _ in found[0]] if found else []
+
+
+def order_breaks(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(file, breaks): how often a read of a file begins before the one ahead of it, by dictionary rank and place.
+
+    rows: (file, block, rname, pos) in the order of the file, block telling its pieces apart in order. A task counts the
+    breaks within its pieces; the pieces' ends, a row each, are compared afterwards.
+    """
+    rank = {n: i for i, n in enumerate(names)}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends: dict[tuple, list] = {}
+        for f in frames:
+            place = f["rname"].map(rank).fillna(len(rank)).to_numpy("int64") << 32 | f["pos"].fillna(0).to_numpy("int64")
+            for key, at in f.groupby(["file", "block"], sort=False).indices.items():
+                own = place[at]
+                e = ends.setdefault(key, [own[0], own[0], 0])
+                e[2] += int((own[1:] < own[:-1]).sum()) + int(own[0] < e[1])
+                e[1] = own[-1]
+        yield pd.DataFrame([(*k, *v) for k, v in ends.items()], columns=["file", "block", "first", "last", "breaks"])
+
+    parts = rows.select("file", "block", "rname", "pos").mapInPandas(run, "file string, block long, first long, last long, breaks long")
+    w = Window.partitionBy("file").orderBy("block")
+    between = F.coalesce((F.col("first") < F.lag("last").over(w)).cast("int"), F.lit(0))
+    return parts.withColumn("b", F.col("breaks") + between).groupBy("file").agg(F.sum("b").alias("breaks"))
+
+
+def pooled(sources: list[DataFrame], names: list[str], one_reference: str | None = None) -> DataFrame:
+    """Reads of all sources with source_idx, in one order: by dictionary rank, then place, then source, then read_id.
+
+    Ties of place go to the source of the lowest index, so the order is the same in every run. Reads without a sequence of the
+    dictionary come last; with one_reference its reads alone are pooled. Ranges of the order are sorted one a task.
+    """
+    every = [s.withColumn("source_idx", F.lit(i)) for i, s in enumerate(sources)]
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), every)
+    both = both if one_reference is None else both.where(F.col("rname") == one_reference)
+    rank = F.coalesce(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])[F.col("rname")], F.lit(len(names))) if names else F.lit(0)
+    return both.withColumn("_rank", rank).orderBy("_rank", "pos", "source_idx", "read_id").drop("_rank")

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ..config import VariantConfig
 from ..functions import cigar, names, seq, tags
-from ..operators import coverage, indels, reads as ops
+from ..operators import coverage, indels, padded, reads as ops
+from ..operators.matrix import numbered as numbered_rows
 from ..schema import FIRST
+from ..sinks.text import sam_lines
+from ..sources.paths import scratch
+from ..sources.text import sam_header, sam_reads
 from .fixtures import BASES_SQL, CHUNK, READS_SQL, SEQUENCES_SQL, reads, reference, sequences
 
 CFG = VariantConfig()
@@ -308,6 +312,58 @@ def pooled(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("rname", "sample_idx").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
+def padded_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    """What all reads have at each place of the consensus that their insertions widen."""
+    r = reads(spark, sf)
+    laid = padded.layout(r, padded.insertion_gaps(r))
+    cell = laid.select("chrom", "padded_start", F.posexplode("cells").alias("i", "c"))
+    return cell.groupBy("chrom", (F.col("padded_start") + F.col("i")).alias("place"), F.col("c.base").alias("base")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.q").cast("long")).alias("qualities"))
+
+
+def mapped_both_ways(spark: SparkSession, sf: str) -> DataFrame:
+    """Consensus places of reference positions, and the positions of places, null on pads."""
+    plan = padded.insertion_gaps(reads(spark, sf))
+    places = reads(spark, sf).select(F.col("rname").alias("chrom"), "pos").distinct()
+    there = padded.to_padded(places, plan)
+    near = there.select("chrom", "pos", F.explode(F.sequence(F.col("padded") - 3, F.col("padded"))).alias("padded")).withColumnRenamed("pos", "from")
+    return padded.to_reference(near, plan).select("chrom", "from", "padded", "pos")
+
+
+def base_at_place(spark: SparkSession, sf: str) -> DataFrame:
+    """Base and quality of each read three consensus places behind its start."""
+    r = reads(spark, sf)
+    laid = padded.layout(r, padded.insertion_gaps(r))
+    c = padded.cell_at(F.col("cells"), F.col("padded_start"), F.col("padded_start") + 13)
+    return laid.select(c.alias("c")).groupBy(F.col("c.base").alias("base"), F.col("c.q").alias("q")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Two SAM files, sorted and with headers, checked and merged: every read's place in the common order."""
+    r = reads(spark, sf)
+    paths, names = [], ["chr3", "chr1", "chr2"]
+    rank = F.array_position(F.array(*map(F.lit, names)), F.col("rname"))
+    header = ["@HD\tVN:1.6\tSO:coordinate", *[f"@SQ\tSN:{n}\tLN:{1 << 28}" for n in names]]
+    for tn in "TN":
+        top = spark.createDataFrame([(-1, i, x) for i, x in enumerate(header)], "k long, i int, value string")
+        own = r.where(F.col("tn") == tn).withColumn("qname", F.concat_ws(":", "qname", "read_id"))
+        lines = own.select((rank * (1 << 32) + F.col("pos")).alias("k"), F.lit(0).alias("i"), F.struct(*own.columns).alias("r"))
+        body = sam_lines(lines.select("k", "i", "r.*"), keep=["k", "i"])
+        path = scratch(spark, "sorted-sam")
+        top.unionByName(body).repartitionByRange("k", "i").sortWithinPartitions("k", "i").select("value").write.text(path)
+        paths.append(path)
+    sources, dictionaries, orders = [], [], []
+    for path in paths:
+        head = sam_header(spark, path)
+        orders.append((head.where("kind = 'HD'").select(F.col("fields")["SO"].alias("o")).first() or ["unknown"])[0])
+        found = spark.read.text(path).where(F.col("value").startswith("@SQ")).select(F.regexp_extract("value", "SN:([^\t]+)", 1).alias("name"), F.regexp_extract("value", "LN:([0-9]+)", 1).cast("long").alias("length"))
+        dictionaries.append(found.withColumn("rank", F.array_position(F.array(*map(F.lit, names)), F.col("name"))))
+        back = sam_reads(spark, path)
+        sources.append(back.select("rname", "pos", "flag", F.element_at(F.split("qname", ":"), -1).cast("long").alias("read_id")))
+    order = ops.check_poolable(dictionaries, orders)
+    both = ops.pooled(sources, order).select("rname", "pos", "source_idx", "read_id").withColumn("k", rank)
+    return numbered_rows(both, [F.asc(c) for c in ("k", "pos", "source_idx", "read_id")], "place").drop("k")
+
+
 def deduplicated(spark: SparkSession, sf: str) -> DataFrame:
     r = reads(spark, sf)
     once = r.unionByName(r.where("mapq > 5")).withColumn("strand", ops.strand()).dropDuplicates(["read_id", "rname", "pos", "strand"])
@@ -387,6 +443,10 @@ QUERIES = {
     "s04_start_lookup": starts_at,
     "o10_read_order": ordered,
     "s06_u01_pooled_sources": pooled,
+    "s06_ordered_merge": merged,
+    "m03_padded_consensus": padded_consensus,
+    "m03_coordinate_map": mapped_both_ways,
+    "z06_cell_at_place": base_at_place,
     "u02_deduplicated_reads": deduplicated,
     "x07_cigar_ends": unclipped,
 }
@@ -461,3 +521,15 @@ ORACLE["h13_indel_calls"] = f"""{_IND}, depth AS (SELECT rname, q AS pos, count(
  SELECT rname AS chrom, site AS pos, CASE WHEN kind = 2 THEN 'deletion' ELSE 'insertion' END AS kind, CAST(CASE WHEN kind = 2 THEN 2 ELSE 3 END AS INT) AS len, indel_count, tumor, normal, coverage, round(indel_count / coverage, 9) AS freq FROM c WHERE coverage >= 4 AND indel_count >= 2 AND indel_count / coverage >= 0.001"""
 ORACLE["h05_j03_deletion_filter"] = f"""{_W}, d AS (SELECT rname, pos + 10 AS s, count(*) AS k FROM reads WHERE kind = 2 AND {_USABLE} GROUP BY ALL HAVING count(*) >= 3), gone AS (SELECT DISTINCT rname, s + o AS p FROM d, (VALUES (0), (1)) t(o))
  SELECT b.rname AS chrom, base, count(*) AS n FROM {_OKB} b LEFT JOIN gone ON gone.rname = b.rname AND gone.p = b.q WHERE qual >= 15 AND NOT (gone.p IS NOT NULL AND base = 'A' AND least(i, 31 - i) < 10) GROUP BY ALL"""
+
+_SPAN = "CASE kind WHEN 2 THEN 34 WHEN 3 THEN 27 WHEN 4 THEN 29 WHEN 5 THEN 132 WHEN 6 THEN 28 ELSE 32 END"
+_PADDED = f"""{_W}, p AS (SELECT DISTINCT rname, pos + 12 AS p FROM reads WHERE kind = 4), x AS (SELECT rname, unnest(range(1, (SELECT max(pos) + 200 FROM reads))) AS x FROM (SELECT DISTINCT rname FROM reads)),
+ gp AS (SELECT x.rname, x, 3 * count(p) OVER (PARTITION BY x.rname ORDER BY x) AS k, p IS NOT NULL AS gap FROM x LEFT JOIN p ON p.rname = x.rname AND p.p = x),
+ cells AS (SELECT read_id, b.rname, q + k AS place, base, qual FROM bases b JOIN gp ON gp.rname = b.rname AND x = q WHERE aligned
+  UNION ALL SELECT read_id, b.rname, pos + 12 + k - 3 + i - 12, base, qual FROM bases b JOIN gp ON gp.rname = b.rname AND x = pos + 12 WHERE kind = 4 AND i BETWEEN 12 AND 14
+  UNION ALL SELECT read_id, r.rname, x + k, CASE kind WHEN 2 THEN '*' ELSE '>' END, NULL FROM reads r JOIN gp ON gp.rname = r.rname AND ((kind = 2 AND x BETWEEN pos + 10 AND pos + 11) OR (kind = 5 AND x BETWEEN pos + 20 AND pos + 119))
+  UNION ALL SELECT read_id, r.rname, x + k - j, CASE WHEN kind = 5 AND x BETWEEN pos + 20 AND pos + 119 THEN '>' ELSE '*' END, NULL FROM reads r JOIN gp ON gp.rname = r.rname AND gap AND x > pos AND x < pos + {_SPAN} AND NOT (kind = 4 AND x = pos + 12), (VALUES (1), (2), (3)) t(j))"""
+ORACLE["m03_padded_consensus"] = f"{_PADDED} SELECT rname AS chrom, place, base, count(*) AS n, CAST(sum(qual) AS BIGINT) AS qualities FROM cells GROUP BY ALL"
+ORACLE["z06_cell_at_place"] = f"{_PADDED} SELECT base, qual AS q, count(*) AS n FROM cells c JOIN reads r ON r.read_id = c.read_id JOIN gp ON gp.rname = r.rname AND gp.x = r.pos WHERE place = r.pos + k + 13 GROUP BY ALL"
+ORACLE["m03_coordinate_map"] = f"{_PADDED}, n AS (SELECT DISTINCT r.rname, pos, pos + k AS padded FROM reads r JOIN gp ON gp.rname = r.rname AND x = pos), f AS (SELECT rname, pos, unnest(range(padded - 3, padded + 1)) AS padded FROM n) SELECT f.rname AS chrom, f.pos AS \"from\", f.padded, CAST(g.x AS INT) AS pos FROM f LEFT JOIN gp g ON g.rname = f.rname AND g.x + g.k = f.padded"
+ORACLE["s06_ordered_merge"] = f"{_RC}, s AS (SELECT rname, pos, CASE tn WHEN 'T' THEN 0 ELSE 1 END AS source_idx, read_id FROM reads) SELECT *, row_number() OVER (ORDER BY list_position(['chr3', 'chr1', 'chr2'], rname), pos, source_idx, read_id) AS place FROM s"

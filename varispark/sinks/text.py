@@ -31,13 +31,13 @@ def fastq(reads: DataFrame, tags: list[Column] | None = None, as_sequenced: bool
     return reads.select(F.when(fine, record).otherwise(F.raise_error(F.concat(F.lit("bad sequence or quality of "), F.col("qname")))).alias("value"))
 
 
-def sam_lines(reads: DataFrame) -> DataFrame:
-    """(value): alignment lines of SAM text."""
+def sam_lines(reads: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(value): alignment lines of SAM text, beside the columns to keep."""
     tags = F.array_join(F.transform(F.array_sort(F.map_entries("tags")), lambda t: F.concat(t["key"], F.lit(":Z:"), t["value"])), "\t")
     star = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("*"))
     cols = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext"]
     line = F.concat_ws("\t", *[star(c) for c in cols], F.lit("0"), star("seq"), F.coalesce(quality_text(F.col("qual")), F.lit("*")), F.nullif(tags, F.lit("")))
-    return reads.select(line.alias("value"))
+    return reads.select(*(keep or []), line.alias("value"))
 
 
 def fasta(records: DataFrame, width: int = 60) -> DataFrame:
