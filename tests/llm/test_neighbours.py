@@ -140,3 +140,69 @@ def test_recall_is_of_each_vector(spark):
     nodes = spark.createDataFrame([(h, w, bytearray(x)) for h, w, x in vectors], "h long, w long, raw binary")
     counts = spark.createDataFrame([(i, 1, 9 if i < 10 else 0) for i in range(20)], "h long, w long, links long")
     assert abs(N.audit(nodes, counts, 0.9) - 0.5) < 1e-9
+
+
+def test_audit_weighs_those_without_links_by_their_number(spark):
+    """Of 30 pairs among 1,000 vectors half are missed altogether: found ones alone would show a recall of 1."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(970, 24))
+    vectors = [*base, *(base[:30] + rng.normal(size=(30, 24)) * 0.05)]
+    nodes = spark.createDataFrame([(h, 1, bytearray(np.asarray(v, "<f8").tobytes())) for h, v in enumerate(vectors)], "h long, w long, raw binary")
+    counts = spark.createDataFrame([(h, 1, int(h % 970 < 15 if h >= 970 else h < 15)) for h in range(1000)], "h long, w long, links long")
+    assert N.audit(nodes, counts, 0.9, (200, 5000)) == pytest.approx(0.5, abs=0.02)
+    assert 0.3 < N.audit(nodes, counts, 0.9, (20, 400)) < 0.75
+    assert N.audit(nodes, counts.withColumn("links", counts["links"] * 0), 0.9, (200, 5000)) == 0.0
+
+
+def planted(seed=11, d=32):
+    """(rows, class of each vector): pairs, chains whose ends don't link, families of 25 and vectors alone."""
+    rng = np.random.default_rng(seed)
+    turn = lambda v, cos: v * cos + (lambda o: o / np.linalg.norm(o))((lambda o: o - v * (o @ v) / (v @ v))(rng.normal(size=d))) * np.linalg.norm(v) * np.sqrt(1 - cos * cos)
+    vectors, kinds = [], []
+    for _ in range(60):
+        v = rng.normal(size=d)
+        vectors += [v, turn(v, 0.93)]
+        kinds += ["pair"] * 2
+    for _ in range(12):
+        v = rng.normal(size=d)
+        for _ in range(8):
+            vectors.append(v)
+            kinds.append("chain")
+            v = turn(v, 0.94)
+    for _ in range(6):
+        v = rng.normal(size=d)
+        vectors += [turn(v, 0.985) for _ in range(25)]
+        kinds += ["family"] * 25
+    vectors += list(rng.normal(size=(400, d)))
+    kinds += ["alone"] * 400
+    order = rng.permutation(len(vectors))
+    return [(int(i), np.float32(v).tolist()) for i, v in zip(order, vectors, strict=True)], dict(zip(order.tolist(), kinds, strict=True))
+
+
+def test_recall_by_class_of_planted_links(spark):
+    rows, kind = planted()
+    want = {i: (n, c) for i, n, c in brute(rows)}
+    got = {r["vec_id"]: r for r in N.near_vectors(table(spark, rows)).collect()}
+    for k in ("pair", "chain", "family"):
+        own = [i for i in kind if kind[i] == k]
+        assert sum(got[i]["n_links"] for i in own) >= 0.95 * sum(want[i][0] for i in own), k
+    assert all(got[i]["n_links"] <= want[i][0] for i in kind)
+    assert min(want[i][0] for i in kind if kind[i] == "family") > N.K  # lists that had to grow
+    assert got[0]["recall"] >= N.RECALL
+
+
+def test_full_lists_grow_before_anything_is_compared_in_blocks(spark, monkeypatch):
+    rows, kind = planted(5)
+    asked = []
+    real = N.placed
+
+    def seen(full, *more):
+        asked.append(full.count())
+        return real(full, *more)
+
+    monkeypatch.setattr(N, "placed", seen)
+    want = sorted(brute(rows))
+    assert columns(N.near_vectors(table(spark, rows)).collect()) == want
+    assert asked == [0]  # families of 25 fit into lists of 40
+    assert columns(N.near_vectors(table(spark, rows), most=N.K).collect()) == want
+    assert asked[1] >= 150

@@ -4,8 +4,9 @@ Lists start from windows in random-hyperplane orders. In a round every vector is
 and that list it meet there, and each pair among them may enter the other's list. Rounds run on vectors of bytes;
 edges near the threshold are then computed in double precision and those that reach it stay. Where a list is full of
 links it may have missed some: such a vector is compared in blocks with all vectors but those that the triangle
-inequality of angles rules out. An audit of a fixed number of vectors against all rows measures recall, and rounds go
-on while it is low; if it stays low, all vectors are compared in that way.
+inequality of angles rules out. Before that, its list is doubled again and again, up to K_MOST, and rounds go on: only
+vectors that have more links than that are compared so. An audit of a fixed number of vectors against all rows estimates
+recall without bias, and descents go on while it is low; if it stays low, all vectors are compared in blocks.
 
 Equal vectors are one node with a weight, so a vector that a third of all rows share is a single node.
 """
@@ -20,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -29,15 +30,15 @@ from .common import components, drop_table, read, written
 log = logging.getLogger(__name__)
 
 THRESHOLD = 0.9
-#: Length of a neighbour list.
-K = 10
+#: Length of a neighbour list, and that up to which a list full of links is doubled.
+K, K_MOST = 10, 80
 #: Random orders for the first lists, neighbours taken to either side in each, and hyperplanes to an order.
 ORDERS, SIDE, PLANES = 16, 2, 24
 #: Vectors that meet at once at a pivot; the lists of one that more point to are dealt out anew each round.
 MEET = 64
 ROUNDS = 4
-#: Vectors of the audit, the recall it asks for, and how often further rounds follow.
-AUDIT, RECALL, RETRIES = 400, 0.95, 2
+#: Vectors with and without links found that the audit asks, the recall it asks for, and how often further descents follow.
+AUDIT, RECALL, RETRIES = (200, 1000), 0.95, 2
 BLOCK = 512
 
 LISTS = "h long, c array<long>, s array<float>"
@@ -112,14 +113,14 @@ def cosines(vectors: list[bytes], kind: str) -> np.ndarray:
     return out
 
 
-def offers(ids: list[int], vectors: list[bytes], worst: np.ndarray, k: int) -> Iterator[tuple[int, list[int], list[float]]]:
-    """For each vector, the up to k others here that are closer than the worst on its list."""
+def offers(ids: list[int], vectors: list[bytes], worst: np.ndarray, caps: list[int]) -> Iterator[tuple[int, list[int], list[float]]]:
+    """For each vector, the others here that are closer than the worst on its list, as many as its list may hold."""
     sims = cosines(vectors, "i1")
     np.fill_diagonal(sims, -3)
     good = sims > np.maximum(worst, -1.5)[:, None]
     names = np.array(ids)
     for i in np.flatnonzero(good.any(1)).tolist():
-        at = np.flatnonzero(good[i])
+        at, k = np.flatnonzero(good[i]), caps[i]
         if len(at) > k:
             at = at[np.argpartition(-sims[i, at], k - 1)[:k]]
         yield ids[i], names[at].tolist(), sims[i, at].tolist()
@@ -130,7 +131,7 @@ def batch_of(rows: list[tuple[int, list[int], list[float]]]) -> pa.RecordBatch:
     return pa.record_batch({"h": pa.array(h, pa.int64()), "c": pa.array(c, pa.list_(pa.int64())), "s": pa.array(s, pa.list_(pa.float32()))})
 
 
-def first_lists(nodes: DataFrame, orders: int, seed: int, k: int = K) -> DataFrame:
+def first_lists(nodes: DataFrame, orders: int, seed: int) -> DataFrame:
     """LISTS rows: neighbours of (h, q) in orders by the signs of random projections."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -171,59 +172,59 @@ def first_lists(nodes: DataFrame, orders: int, seed: int, k: int = K) -> DataFra
     return ordered.mapInArrow(windows, LISTS)
 
 
-def merged(state: DataFrame, found: DataFrame, k: int = K) -> tuple[DataFrame, int]:
-    """state (h, q, c, s) with the best k of its lists and found; how many entries are new."""
+def merged(state: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
+    """state (h, q, cap, c, s) with the best `cap` of its lists and found; how many entries are new."""
     new = found.groupBy("h").agg(F.flatten(F.collect_list("c")).alias("nc"), F.flatten(F.collect_list("s")).alias("ns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cs, ss, fresh = [], [], []
-            for c, s, nc, ns in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+            for cap, c, s, nc, ns in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5, 6)), strict=True):
                 best = dict(zip(c or (), s or (), strict=True))
                 old = set(best)
                 best.update(zip(nc or (), ns or (), strict=True))
-                top = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+                top = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:cap]
                 cs.append([x for x, _ in top])
                 ss.append([x for _, x in top])
                 fresh.append(sum(x not in old for x, _ in top))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(cs, pa.list_(pa.int64())), pa.array(ss, pa.list_(pa.float32())), pa.array(fresh, pa.int64())], names=["h", "q", "c", "s", "fresh"])
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(cs, pa.list_(pa.int64())), pa.array(ss, pa.list_(pa.float32())), pa.array(fresh, pa.int64())], names=["h", "q", "cap", "c", "s", "fresh"])
 
     seen = Observation()
-    out = state.join(new, "h", "left").select("h", "q", "c", "s", "nc", "ns").mapInArrow(run, "h long, q binary, c array<long>, s array<float>, fresh long")
+    out = state.join(new, "h", "left").select("h", "q", "cap", "c", "s", "nc", "ns").mapInArrow(run, "h long, q binary, cap int, c array<long>, s array<float>, fresh long")
     out = written(out.observe(seen, F.sum("fresh").alias("n")).drop("fresh"), "neighbours")
     return out, seen.get["n"] or 0
 
 
-def descend(state: DataFrame, seed: int, k: int = K) -> DataFrame:
+def descend(state: DataFrame, seed: int) -> DataFrame:
     """LISTS rows: what one round of meetings at pivots offers."""
     n = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    worst = F.when(F.size("c") >= k, F.array_min("s")).otherwise(F.lit(-1.5)).cast("float")
-    own = state.select("h", "q", worst.alias("worst"), "c")
+    worst = F.when(F.size("c") >= F.col("cap"), F.array_min("s")).otherwise(F.lit(-1.5)).cast("float")
+    own = state.select("h", "q", worst.alias("worst"), "cap", "c")
     edges = own.select(F.col("h").alias("src"), F.explode("c").alias("dst"))
     rooms = edges.groupBy("dst").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEET)).cast("int").alias("rooms"))
-    own = own.join(rooms, own["h"] == rooms["dst"], "left").select("h", "q", "worst", "c", F.coalesce("rooms", F.lit(1)).alias("rooms"))
+    own = own.join(rooms, own["h"] == rooms["dst"], "left").select("h", "q", "worst", "cap", "c", F.coalesce("rooms", F.lit(1)).alias("rooms"))
     room = lambda pivot, rooms: F.pmod(F.xxhash64(F.col(pivot), F.col("m"), F.lit(seed)), F.col(rooms)).cast("int")
-    listed = own.select(F.col("h").alias("m"), "q", "worst")
+    listed = own.select(F.col("h").alias("m"), "q", "worst", "cap")
     size = own.select(F.col("h").alias("pivot"), "rooms")
     # Those that a pivot lists, and those that list it (with it itself), each sent with its vector.
     forward = edges.select(F.col("src").alias("pivot"), F.col("dst").alias("m")).join(listed, "m").join(size, "pivot")
     reverse = listed.join(edges.select(F.col("src").alias("m"), F.col("dst").alias("pivot")), "m").join(size, "pivot")
-    itself = own.select(F.col("h").alias("pivot"), F.col("h").alias("m"), "q", "worst", "rooms")
-    cols = ["pivot", "m", "q", "worst", "rooms"]
+    itself = own.select(F.col("h").alias("pivot"), F.col("h").alias("m"), "q", "worst", "cap", "rooms")
+    cols = ["pivot", "m", "q", "worst", "cap", "rooms"]
     met = forward.select(*cols).union(reverse.select(*cols)).union(itself.select(*cols))
-    met = met.select("pivot", room("pivot", "rooms").alias("room"), "m", "q", "worst")
+    met = met.select("pivot", room("pivot", "rooms").alias("room"), "m", "q", "worst", "cap")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
-                yield from zip(*(b.column(i).to_pylist() for i in range(5)), strict=True)
+                yield from zip(*(b.column(i).to_pylist() for i in range(6)), strict=True)
 
         held: list[tuple] = []
         for _, group in groupby(rows(), key=lambda r: r[:2]):
-            members = {r[2]: (r[3], r[4]) for r in group}
+            members = {r[2]: r[3:] for r in group}
             if len(members) > 1:
                 ids = list(members)
-                held += offers(ids, [members[i][0] for i in ids], np.array([members[i][1] for i in ids]), k)
+                held += offers(ids, [members[i][0] for i in ids], np.array([members[i][1] for i in ids]), [members[i][2] for i in ids])
             if len(held) > 20_000:
                 yield batch_of(held)
                 held = []
@@ -364,7 +365,35 @@ def ball_links(near: DataFrame, threshold: float) -> DataFrame:
     return written(dealt.mapInArrow(run, "h long, links long, u long, v long"), "ball-links")
 
 
-def counted(state: DataFrame, nodes: DataFrame, threshold: float, k: int, margin: float, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def saturated(threshold: float, margin: float) -> Column:
+    """Whether a list is full of links, so that it may lack some."""
+    return (F.size("c") >= F.col("cap")) & (F.array_min("s") >= threshold - margin)
+
+
+def refined(state: DataFrame, seed: int, rounds: int) -> DataFrame:
+    """state after rounds of meetings, until nothing new comes."""
+    for r in range(rounds):
+        old = state
+        state, fresh = merged(state, descend(state, seed + r))
+        drop_table(old)
+        if not fresh:
+            break
+    return state
+
+
+def enlarged(state: DataFrame, seed: int, rounds: int, most: int, threshold: float, margin: float) -> DataFrame:
+    """state with lists full of links doubled, and rounds after that, until none is full or all full ones have `most`."""
+    full = saturated(threshold, margin) & (F.col("cap") < most)
+    while state.where(full).limit(1).count():
+        old = state
+        state = written(state.withColumn("cap", F.when(full, F.least(F.col("cap") * 2, F.lit(most))).otherwise(F.col("cap")).cast("int")).select("h", "q", "cap", "c", "s"), "neighbours")
+        drop_table(old)
+        state = refined(state, seed, rounds)
+        seed += rounds
+    return state
+
+
+def counted(state: DataFrame, nodes: DataFrame, threshold: float, margin: float, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """((h, w, links) of every node, components (node, component)).
 
     Nodes whose list is full of links, or all of them if whole, are compared with every node that may link with
@@ -372,7 +401,7 @@ def counted(state: DataFrame, nodes: DataFrame, threshold: float, k: int, margin
     """
     links = written(exact_links(state, nodes, threshold, margin), "links")
     comp = written(components(links.select("u", "v")), "node-components")
-    full = state if whole else state.where((F.size("c") >= k) & (F.array_min("s") >= threshold - margin))
+    full = state if whole else state.where(saturated(threshold, margin))
     every = placed(full.select("h", "c", "s"), nodes, comp, threshold, margin)
     dense = ball_links(candidates(every, nodes, threshold), threshold)
     free = every.where("ball is null").select("h", "w")
@@ -385,15 +414,17 @@ def counted(state: DataFrame, nodes: DataFrame, threshold: float, k: int, margin
     return counts, written(label, "node-components")
 
 
-def audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Recall: the mean, over AUDIT nodes that have links, of the share of a node's links that were found.
+def audit(nodes: DataFrame, counts: DataFrame, threshold: float, sizes: tuple[int, int] = AUDIT) -> float:
+    """Recall: the mean, over all nodes that have links, of the share of a node's links that were found.
 
-    Half of the nodes asked are ones with links found, as far as there are as many, and half are any; a node for
-    which nothing was found has a recall of 0. Their vectors, a fixed number, go to all tasks and meet every row.
+    Nodes with links found and nodes without are two strata, of which sizes[0] and sizes[1] are drawn by hash, and each
+    counts for as many as its stratum has: of the second, those that do have links count as recall 0. Their vectors,
+    a fixed number, go to all tasks and meet every row.
     """
-    linked = counts.where("links > 0").orderBy(F.xxhash64("h")).limit(AUDIT // 2).select("h", "links")
-    rest = counts.orderBy(F.xxhash64("h", F.lit(1))).limit(AUDIT // 2).select("h", "links")
-    asked = linked.union(rest).dropDuplicates(["h"]).join(nodes.select("h", "raw"), "h").collect()
+    some, none = (counts.agg(F.count_if(c)).first()[0] for c in (F.col("links") > 0, F.col("links") == 0))
+    linked = counts.where("links > 0").orderBy(F.xxhash64("h")).limit(sizes[0]).select("h", "links")
+    rest = counts.where("links = 0").orderBy(F.xxhash64("h", F.lit(1))).limit(sizes[1]).select("h", "links")
+    asked = linked.union(rest).join(nodes.select("h", "raw"), "h").collect()
     if not asked:
         return 1.0
     queries = nodes.sparkSession.sparkContext.broadcast([(r["h"], bytes(r["raw"])) for r in asked])
@@ -413,8 +444,10 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
         yield pa.record_batch({"i": pa.array(np.arange(len(total))), "n": pa.array(total)})
 
     true = {r["i"]: r["n"] for r in nodes.select("h", "w", "raw").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    shares = [min(1.0, r["links"] / true[i]) for i, r in enumerate(asked) if true.get(i)]
-    return float(np.mean(shares)) if shares else 1.0
+    shares = [min(1.0, r["links"] / true[i]) if true.get(i) else 1.0 for i, r in enumerate(asked) if r["links"]]
+    missed = [bool(true.get(i)) for i, r in enumerate(asked) if not r["links"]]
+    lost = none * float(np.mean(missed)) if missed else 0.0
+    return some * float(np.mean(shares)) / (some + lost) if shares else float(not lost)
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
@@ -422,13 +455,14 @@ def unit(raw: list[bytes]) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
-def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = K, rounds: int = ROUNDS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding).
+def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = K, rounds: int = ROUNDS, most: int = K_MOST) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, recall) for every row of (vec_id, embedding).
 
     n_links counts other rows at the threshold or closer, equal vectors among them. Vectors that are null, empty or
     zero, hold null or non-finite components, or have no vec_id link with nothing; vectors of different lengths don't
-    link. Repeated rows each give a row; an empty table gives none; other columns are ignored. The recall that the
-    audit last found is logged; if it stays low after RETRIES, all vectors are compared exactly.
+    link. Repeated rows each give a row; an empty table gives none; other columns are ignored. recall is what the
+    audit last estimated, the same in all rows; if it stays low after RETRIES, all vectors are compared exactly, and it
+    is 1.
     """
     every = written(apart(written(nodes_of(rows), "vectors")), "vectors")
     nodes = every.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("w"), F.first("raw").alias("raw"))
@@ -438,31 +472,28 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = K, roun
     def quantised(raw):  # noqa: ANN001, ANN202
         return raw.map(to_bytes)
 
-    state = written(nodes.select("h", quantised("raw").alias("q"), F.array().cast("array<long>").alias("c"), F.array().cast("array<float>").alias("s")), "neighbours")
+    state = written(nodes.select("h", quantised("raw").alias("q"), F.lit(k).cast("int").alias("cap"), F.array().cast("array<long>").alias("c"), F.array().cast("array<float>").alias("s")), "neighbours")
     margin = margin_of(nodes, threshold)
     for attempt in range(RETRIES + 1):
-        state, _ = merged(state, first_lists(state, ORDERS, attempt, k), k)
-        for r in range(rounds):
-            old = state
-            state, fresh = merged(state, descend(state, 100 * attempt + r, k), k)
-            drop_table(old)
-            if not fresh:
-                break
-        counts, comp = counted(state, nodes, threshold, k, margin)
+        state, _ = merged(state, first_lists(state, ORDERS, attempt))
+        state = refined(state, 100 * attempt, rounds)
+        state = enlarged(state, 100 * attempt + 50, rounds, most, threshold, margin)
+        counts, comp = counted(state, nodes, threshold, margin)
         recall = audit(nodes, counts, threshold)
         log.info("recall %.4f after %d descents", recall, attempt + 1)
         if recall >= RECALL:
             break
     else:
         log.warning("recall %.4f stays below %.2f: all vectors are compared", recall, RECALL)
-        counts, comp = counted(state, nodes, threshold, k, margin, whole=True)
+        counts, comp = counted(state, nodes, threshold, margin, whole=True)
+        recall = 1.0
     label = nodes.join(comp, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("component", "h").alias("root"))
     least = label.groupBy("root").agg(F.min("least").alias("component_id"))
     label = label.join(least, "root").join(counts.select("h", "w", "links"), "h").select("h", "component_id", (F.col("links") + F.col("w") - 1).alias("n_links"))
     out = every.select("vec_id", "h").join(label, "h", "left")
     comp_id = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(True)).alias("kept"), F.lit(recall).alias("recall"))
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:
-    return near_vectors(read(spark, sf_dir, "embeddings"))
+    return near_vectors(read(spark, sf_dir, "embeddings")).drop("recall")
