@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,6 +78,43 @@ def bases(pieces: DataFrame) -> DataFrame:
     return e.drop("i", "piece_start", "piece_len", "piece_read", "piece_ref")
 
 
+def _differing(read: pa.Array, ref: pa.Array, qual: pa.Array) -> pa.Array:
+    """For each piece the places, from 0, where read and reference differ, with quality; N on the reference is unknown."""
+    n_rows = len(read)
+
+    def flat(x: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = x.cast(pa.large_binary()) if not pa.types.is_list(x.type) else x
+        lists = pa.types.is_list(x.type)
+        size = np.asarray((x.value_lengths() if lists else pc.binary_length(x)).fill_null(0), np.int64)
+        if lists:
+            data = np.asarray(x.flatten().fill_null(-1), np.int64)
+        else:
+            data = np.frombuffer(b"".join(v or b"" for v in x.to_pylist()), np.uint8)
+        return data, np.cumsum(size) - size, size
+
+    (a, a_at, a_n), (b, b_at, b_n), (q, q_at, q_n) = flat(read), flat(ref), flat(qual)
+    n = np.minimum(a_n, b_n)
+    row = np.repeat(np.arange(n_rows), n)
+    i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    x, y = a[a_at[row] + i], b[b_at[row] + i]
+    hit = np.flatnonzero((x != y) & (y != ord("N")))
+    row, i = row[hit], i[hit]
+    known = i < q_n[row]
+    quality = np.where(known, q[np.minimum(q_at[row] + i, max(len(q) - 1, 0))] if len(q) else -1, -1)
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n_rows)))).astype(np.int32)
+    cells = pa.StructArray.from_arrays([pa.array(i.astype(np.int32)), pa.array(quality.astype(np.int32), mask=quality < 0), pa.array([chr(v) for v in x[hit].tolist()], pa.string()), pa.array([chr(v) for v in y[hit].tolist()], pa.string())], ["i", "q", "base", "ref"])
+    return pa.ListArray.from_arrays(pa.array(offsets), cells)
+
+
+def mismatch_bases(pieces: DataFrame) -> DataFrame:
+    """The rows of bases() that differ from a known reference base, and no others: pieces are compared whole, in Arrow
+    batches, so rows are made for mismatches alone."""
+    at, n = F.col("piece_read"), F.col("piece_len")
+    found = F.arrow_udf(_differing, "array<struct<i:int,q:int,base:string,ref:string>>")(F.upper(F.col("seq").substr(at + 1, n)), F.col("piece_ref"), F.slice("qual", at + 1, n))
+    e = pieces.withColumn("mm", found).select("*", F.inline("mm")).withColumn("pos_at", F.col("piece_start") + F.col("i")).withColumn("read_i", at + F.col("i"))
+    return e.drop("mm", "i", "piece_start", "piece_len", "piece_read", "piece_ref")
+
+
 def aligned_bases(reads: DataFrame) -> DataFrame:
     """bases() without a reference: no join at all."""
     b = reads.withColumn("b", F.explode(cigar.blocks(F.col("cigar"), F.col("pos"))))
@@ -109,7 +149,7 @@ def forgiven(b: DataFrame, known: DataFrame | None) -> DataFrame:
 
 
 def mismatch_counts(b: DataFrame, cfg: VariantConfig = VariantConfig(), known: DataFrame | None = None) -> DataFrame:
-    """(read_id, lq, hq, passed) of bases(): mismatches at the lower and the higher quality, reference N left out.
+    """(read_id, lq, hq, passed) of bases() or mismatch_bases(): mismatches at the lower and the higher quality, reference N left out.
 
     Reads without mismatches have no row. known: a dbSNP table whose alleles are forgiven.
     """
@@ -121,11 +161,23 @@ def few_mismatches(lq: Column, hq: Column, cfg: VariantConfig) -> Column:
     return (lq <= cfg.mismatch_max_lq) & (hq <= cfg.mismatch_max_hq)
 
 
-def judged(b: DataFrame, cfg: VariantConfig = VariantConfig(), known: DataFrame | None = None) -> DataFrame:
-    """bases() with `passed`, the verdict on the read: the counts of mismatch_counts() as windows, without a join."""
-    w = Window.partitionBy("read_id")
-    n = lambda q: F.count_if(F.col("wrong") & (F.col("q") >= q)).over(w)
-    return forgiven(b, known).withColumn("passed", few_mismatches(n(cfg.mismatch_lq_quality), n(cfg.mismatch_hq_quality), cfg)).drop("wrong")
+def _between(array: str, first: Column, last: Column) -> Column:
+    return F.filter(array, lambda i: (i >= first) & (i <= last))
+
+
+def verdicts(wrong: DataFrame, cfg: VariantConfig = VariantConfig(), known: DataFrame | None = None) -> DataFrame:
+    """(read_id, passed, bad) of reads with mismatches, from mismatch_bases(): the verdict of mismatch_counts(), and the
+    places in the read, from 0, of good mismatches near an end that has too many of them. One group by read."""
+    m = forgiven(wrong, known)
+    count = lambda q: F.count_if(F.col("wrong") & (F.col("q") >= q))
+    good = F.col("q") >= cfg.min_quality
+    g = m.groupBy("read_id").agg(count(cfg.mismatch_lq_quality).alias("lq"), count(cfg.mismatch_hq_quality).alias("hq"), F.max(F.length("seq")).alias("n"), F.collect_list(F.when(good, F.col("read_i"))).alias("at"))
+    bad = F.filter("at", lambda i: F.lit(False))
+    for size, most in cfg.end_mismatch_windows:
+        for first, last in ((F.lit(0), F.lit(size - 1)), (F.col("n") - size, F.col("n") - 1)):
+            own = _between("at", first, last)
+            bad = F.when(F.size(own) >= most, F.array_union(bad, own)).otherwise(bad)
+    return g.select("read_id", few_mismatches(F.col("lq"), F.col("hq"), cfg).alias("passed"), bad.alias("bad"))
 
 
 def densest_window(b: DataFrame, span: int, least: int) -> DataFrame:
@@ -135,19 +187,10 @@ def densest_window(b: DataFrame, span: int, least: int) -> DataFrame:
     return wrong.withColumn("n", F.count(F.lit(1)).over(w)).groupBy("read_id").agg(F.max("n").alias("best"))
 
 
-def end_blacklist(b: DataFrame, cfg: VariantConfig = VariantConfig()) -> DataFrame:
-    """bases() with `blacklisted`: a good mismatch near an end of a read that has too many of them there.
-
-    One window over each read gives the counts for every window size at both ends.
-    """
-    w = Window.partitionBy("read_id")
-    length = F.length("seq")
-    wrong = (F.col("base") != F.col("ref")) & (F.col("ref") != "N") & (F.col("q") >= cfg.min_quality)
-    out, hit = b, F.lit(False)
-    for size, most in cfg.end_mismatch_windows:
-        for near in (F.col("read_i") < size, F.col("read_i") >= length - size):
-            hit = hit | (wrong & near & (F.count_if(wrong & near).over(w) >= most))
-    return out.withColumn("blacklisted", hit)
+def end_blacklist(wrong: DataFrame, cfg: VariantConfig = VariantConfig()) -> DataFrame:
+    """The rows of mismatch_bases() that are good mismatches near an end of a read that has too many of them there."""
+    bad = verdicts(wrong, cfg).where(F.size("bad") > 0).select("read_id", F.explode("bad").alias("read_i"))
+    return wrong.join(bad, ["read_id", "read_i"], "left_semi")
 
 
 def end_base_mismatch() -> tuple[Column, Column]:

@@ -22,6 +22,10 @@ def _bases(spark: SparkSession, sf: str) -> DataFrame:
     return ops.bases(ops.aligned_pieces(ops.usable_reads(reads(spark, sf)), reference(spark, sf), CHUNK))
 
 
+def _mismatches(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.mismatch_bases(ops.aligned_pieces(ops.usable_reads(reads(spark, sf)), reference(spark, sf), CHUNK))
+
+
 def quality_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Reads with runs of the quality that a platform gives to doubtful ends."""
     low = F.transform("qual", lambda q: F.when(q < 20, 2).otherwise(q))
@@ -69,8 +73,9 @@ def site_filters(spark: SparkSession, sf: str) -> DataFrame:
 
 def mismap_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """Variants whose good mismatches come for the most part from reads that fail the mismatch filter."""
-    b = _bases(spark, sf).where((F.col("base") != F.col("ref")) & (F.col("q") >= 15))
-    verdict = ops.mismatch_counts(_bases(spark, sf), VariantConfig(mismatch_max_hq=1)).select("read_id", "passed")
+    wrong = _mismatches(spark, sf)
+    b = wrong.where(F.col("q") >= 15)
+    verdict = ops.mismatch_counts(wrong, VariantConfig(mismatch_max_hq=1)).select("read_id", "passed")
     n = b.join(verdict, "read_id").groupBy("rname", "pos_at", "base").agg(F.count_if(~F.col("passed")).alias("suspicious"), F.count_if("passed").alias("alt"))
     return n.where((F.col("alt") > 0) & (F.col("suspicious") / F.col("alt") >= 0.5)).groupBy("rname").agg(F.count(F.lit(1)).alias("rejected"))
 

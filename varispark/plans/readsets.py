@@ -28,9 +28,8 @@ def _bases(spark: SparkSession, sf: str) -> DataFrame:
     return ops.bases(ops.aligned_pieces(_usable(spark, sf), reference(spark, sf), CHUNK))
 
 
-def _bases_by_read(spark: SparkSession, sf: str) -> DataFrame:
-    """For windows over a read: blocks are dealt out by read before they are laid out in bases."""
-    return ops.bases(ops.aligned_pieces(_usable(spark, sf), reference(spark, sf), CHUNK).repartition("read_id"))
+def _mismatches(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.mismatch_bases(ops.aligned_pieces(_usable(spark, sf), reference(spark, sf), CHUNK))
 
 
 def _count(df: DataFrame, *by: str) -> DataFrame:
@@ -86,12 +85,12 @@ def quality_flanks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mismatch_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return _count(ops.mismatch_counts(_bases(spark, sf)), "lq", "hq", "passed")
+    return _count(ops.mismatch_counts(_mismatches(spark, sf)), "lq", "hq", "passed")
 
 
 def forgiven(spark: SparkSession, sf: str) -> DataFrame:
     known = spark.read.parquet(f"{sf}/part.parquet").select(F.lit("chr1").alias("chrom"), (F.col("p_partkey") + 100).cast("int").alias("pos"), F.lit(15).cast("tinyint").alias("mask")).where("pos % 2 = 0")
-    return _count(ops.mismatch_counts(_bases(spark, sf), known=known), "lq", "hq")
+    return _count(ops.mismatch_counts(_mismatches(spark, sf), known=known), "lq", "hq")
 
 
 def masked(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,20 +99,19 @@ def masked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def suspicious(spark: SparkSession, sf: str) -> DataFrame:
-    b = _bases(spark, sf)
+    b = _mismatches(spark, sf)
     failed = ops.mismatch_counts(b, VariantConfig(mismatch_max_hq=1)).where("not passed").select("read_id")
-    wrong = b.where((F.col("ref") != F.col("base")) & (F.col("q") >= 15))
+    wrong = b.where(F.col("q") >= 15)
     return _count(wrong.join(failed, "read_id", "left_semi"), "rname", "pos_at", "base")
 
 
 def dense_mismatches(spark: SparkSession, sf: str) -> DataFrame:
-    return _count(ops.densest_window(_bases_by_read(spark, sf), 10, 15), "best")
+    return _count(ops.densest_window(_mismatches(spark, sf), 10, 15), "best")
 
 
 def ends(spark: SparkSession, sf: str) -> DataFrame:
     cfg = VariantConfig(end_mismatch_windows=((10, 2), (6, 1)))
-    b = ops.end_blacklist(_bases_by_read(spark, sf), cfg)
-    return _count(b.where("blacklisted"), "rname", "read_i")
+    return _count(ops.end_blacklist(_mismatches(spark, sf), cfg), "rname", "read_i")
 
 
 def end_bases(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,7 +164,7 @@ def clip_breakpoints(spark: SparkSession, sf: str) -> DataFrame:
 
 def interesting(spark: SparkSession, sf: str) -> DataFrame:
     r = reads(spark, sf).where(~ops.has(ops.DUPLICATE))
-    best = ops.densest_window(ops.bases(ops.aligned_pieces(r, reference(spark, sf), CHUNK)), 10, 15)
+    best = ops.densest_window(ops.mismatch_bases(ops.aligned_pieces(r, reference(spark, sf), CHUNK)), 10, 15)
     flags = ops.interesting_bits(F.coalesce("best", F.lit(0)), F.lit(0), F.col("cigar").rlike("[ID]"), 2)
     return _count(r.join(best, "read_id", "left").withColumn("bits", flags), "bits")
 
