@@ -4,8 +4,8 @@ Lists start from windows in random-hyperplane orders. In a round every vector is
 and that list it meet there, and each pair among them may enter the other's list. Rounds run on vectors of bytes;
 edges near the threshold are then computed in double precision and those that reach it stay. Where a list is full of
 links it may have missed some: such a vector is compared in blocks with all vectors but those that the triangle
-inequality of angles rules out. Before that, its list is doubled again and again, up to K_MOST, and rounds go on: only
-vectors that have more links than that are compared so. An audit of a fixed number of vectors against all rows estimates
+inequality of angles rules out. Before that, its list grows with the component that it belongs to so far, up to K_MOST, and
+rounds go on: only vectors of larger components are compared so. An audit of a fixed number of vectors against all rows estimates
 recall without bias, and descents go on while it is low; if it stays low, all vectors are compared in blocks.
 
 Equal vectors are one node with a weight, so a vector that a third of all rows share is a single node.
@@ -30,7 +30,7 @@ from .common import components, drop_table, read, written
 log = logging.getLogger(__name__)
 
 THRESHOLD = 0.9
-#: Length of a neighbour list, and that up to which a list full of links is doubled.
+#: Length of a neighbour list, and that up to which a list full of links grows.
 K, K_MOST = 10, 80
 #: Random orders for the first lists, neighbours taken to either side in each, and hyperplanes to an order.
 ORDERS, SIDE, PLANES = 16, 2, 24
@@ -382,15 +382,24 @@ def refined(state: DataFrame, seed: int, rounds: int) -> DataFrame:
 
 
 def enlarged(state: DataFrame, seed: int, rounds: int, most: int, threshold: float, margin: float) -> DataFrame:
-    """state with lists full of links doubled, and rounds after that, until none is full or all full ones have `most`."""
-    full = saturated(threshold, margin) & (F.col("cap") < most)
-    while state.where(full).limit(1).count():
+    """state after lists full of links have grown to hold their component so far and K more, with rounds after that,
+    until no list is full but those of `most` and those of vectors whose component is larger than any list."""
+    while True:
+        full = written(state.where(saturated(threshold, margin) & (F.col("cap") < most)).select("h"), "full-lists")
+        if full.limit(1).count() == 0:
+            return state
+        near = F.filter(F.arrays_zip("c", "s"), lambda e: e["s"] >= threshold - margin)
+        comp = written(components(state.select(F.col("h").alias("u"), F.explode(F.transform(near, lambda e: e["c"])).alias("v"))), "list-components")
+        sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most)
+        grown = full.join(comp, F.col("h") == F.col("node")).join(sizes, "component").select(F.col("h").alias("g"), F.least(F.col("n") + K, F.lit(most)).cast("int").alias("room"))
+        grown = written(grown, "grown-lists")
+        if grown.limit(1).count() == 0:
+            return state
         old = state
-        state = written(state.withColumn("cap", F.when(full, F.least(F.col("cap") * 2, F.lit(most))).otherwise(F.col("cap")).cast("int")).select("h", "q", "cap", "c", "s"), "neighbours")
+        state = written(state.join(grown, F.col("h") == F.col("g"), "left").select("h", "q", F.coalesce("room", "cap").alias("cap"), "c", "s"), "neighbours")
         drop_table(old)
         state = refined(state, seed, rounds)
         seed += rounds
-    return state
 
 
 def counted(state: DataFrame, nodes: DataFrame, threshold: float, margin: float, whole: bool = False) -> tuple[DataFrame, DataFrame]:
