@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import caller, chromatograms, extras, formats, genes, matrices, readsets, streams, variants
+from . import caller, chromatograms, extras, files, formats, genes, matrices, readsets, streams, variants
 
-MODULES = (variants, caller, readsets, matrices, genes, chromatograms, extras, formats, streams)
+MODULES = (variants, caller, readsets, matrices, genes, chromatograms, extras, formats, files, streams)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: q for m in MODULES for name, q in m.ORACLE.items()}

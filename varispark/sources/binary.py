@@ -215,6 +215,57 @@ def encode_scf(channels: list[list[int]], bases: str, places: list[int]) -> byte
     return head.ljust(128, b"\0") + body + calls
 
 
+#: Types of directory entries that are read here, by their number in the format: bytes and characters, 16 and 32 bits.
+_ABI_FORMS = {1: "B", 2: "B", 4: ">h", 5: ">i"}
+
+
+def decode_abi(name: str, data: bytes) -> Iterator[tuple]:
+    """(name, a, c, g, t, bases, places) of an ABI trace: a directory of tagged records, small ones within their entry.
+
+    Channels are the processed traces DATA 9 to 12 in the order that FWO_ tells; calls and places are the edited ones
+    (PBAS and PLOC 1) where the file has them, else those of the base caller (2). The directory may lie behind 128
+    bytes of a foreign header.
+    """
+    lead = 0 if data[:4] == b"ABIF" else 128 if data[128:132] == b"ABIF" else None
+    if lead is None:
+        raise ValueError(f"{name} is no ABI file")
+    body = data[lead:]
+    _, _, _, _, n, _, at, _ = struct.unpack(">4siHHiiii", body[6:34])
+    held = {}
+    for k in range(n):
+        entry = body[at + 28 * k : at + 28 * k + 28]
+        tag, number, kind, _, count, size, place, _ = struct.unpack(">4siHHiiii", entry)
+        held[tag.decode("latin-1"), number] = (kind, count, entry[20 : 20 + size] if size <= 4 else body[place : place + size])
+
+    def numbers(tag: str, number: int) -> list[int]:
+        kind, count, raw = held[tag, number]
+        form = _ABI_FORMS[kind]
+        return np.frombuffer(raw, form, count).astype(int).tolist()
+
+    order = held["FWO_", 1][2].decode("latin-1")
+    channels = {letter: numbers("DATA", 9 + k) for k, letter in enumerate(order)}
+    edition = 1 if ("PBAS", 1) in held and ("PLOC", 1) in held else 2
+    bases = held["PBAS", edition][2].decode("latin-1").rstrip("\0")
+    yield name.rpartition("/")[2], *(channels[x] for x in "ACGT"), bases, numbers("PLOC", edition)
+
+
+def encode_abi(channels: list[list[int]], bases: str, places: list[int], order: str = "GATC") -> bytes:
+    """An ABI file with channels in A, C, G, T order: what decode_abi() reads."""
+    entries, body, begin = [], b"", 128
+    own = [(b"DATA", 9 + k, 4, 2, np.array(channels["ACGT".index(x)], ">i2").tobytes()) for k, x in enumerate(order)]
+    own += [(b"FWO_", 1, 2, 1, order.encode()), (b"PBAS", 1, 2, 1, bases.encode()), (b"PLOC", 1, 4, 2, np.array(places, ">i2").tobytes())]
+    for tag, number, kind, width, raw in own:
+        place = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(">i", begin + len(body))
+        entries.append(struct.pack(">4siHHii", tag, number, kind, width, len(raw) // width, len(raw)) + place + bytes(4))
+        body += raw if len(raw) > 4 else b""
+    head = b"ABIF" + struct.pack(">h", 101) + struct.pack(">4siHHiiii", b"tdir", 1, 1023, 28, len(entries), 28 * len(entries), begin + len(body), 0)
+    return head.ljust(begin, b"\0") + body + b"".join(entries)
+
+
+def abi(spark: SparkSession, path: str) -> DataFrame:
+    return decoded(spark, path, decode_abi, SCF_SCHEMA)
+
+
 def genome_2bit(spark: SparkSession, path: str) -> DataFrame:
     return decoded(spark, path, decode_2bit, "chrom string, chunk_start int, bases string")
 
