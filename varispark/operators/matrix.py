@@ -355,11 +355,14 @@ def display_bins(m: DataFrame, size: int) -> DataFrame:
 
 
 def dividers(order: DataFrame) -> DataFrame:
-    """(place, patient, divider): whether a new patient begins, where some patient has several rows."""
-    w = Window.orderBy("place")
-    multi = order.groupBy("patient").count().agg((F.max("count") > 1).alias("multi"))
-    d = order.withColumn("new", F.coalesce(F.lag("patient").over(w) != F.col("patient"), F.lit(False)))
-    return d.join(multi, F.lit(True)).select("place", "patient", (F.col("new") & F.col("multi")).alias("divider"))
+    """(place, patient, divider): whether a new patient begins, where some patient has several rows.
+
+    places follow each other without gaps, so a row meets the one before it in a join and no task holds all rows.
+    """
+    before = order.select((F.col("place") + 1).cast(order.schema["place"].dataType).alias("place"), F.col("patient").alias("last"))
+    multi = order.groupBy("patient").count().agg((F.max("count") > 1).alias("multi"))  # one row
+    new = F.coalesce(F.col("last") != F.col("patient"), F.lit(False))
+    return order.join(before, "place", "left").join(multi, F.lit(True)).select("place", "patient", (new & F.col("multi")).alias("divider"))
 
 
 def statistics(m: DataFrame, by: str) -> DataFrame:
@@ -372,6 +375,6 @@ def statistics(m: DataFrame, by: str) -> DataFrame:
 
 
 def subset_columns(m: DataFrame, wanted: DataFrame) -> DataFrame:
-    """m with the wanted columns alone, numbered anew from 0."""
-    new = wanted.select("col").distinct().withColumn("new", F.row_number().over(Window.orderBy("col")) - 1)
-    return m.join(new, "col").select("sample", F.col("new").alias("col"), "value")
+    """m with the wanted columns alone, numbered anew from 0; null columns are left out."""
+    new = numbered(wanted.where("col is not null").select("col").distinct(), [F.asc("col")], "new")
+    return m.join(new, "col").select("sample", (F.col("new") - 1).cast("int").alias("col"), "value")

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..config import VariantConfig
 from ..functions import cigar, names
+from ..functions import seq as sequences
 from ..schema import DUPLICATE, MATE_REVERSE, MATE_UNMAPPED, PAIRED, REVERSE, SECONDARY, UNMAPPED
 
 
@@ -239,20 +240,13 @@ def trim_adapter(reads: DataFrame, adapter: str, least: int) -> DataFrame:
     A read is cut from the first place, as sequenced, where the rest of it and the adapter agree over `least` bases
     or more up to the end of either.
     """
-    # Fixed rule: complement and reverse for reads of the minus strand, so that all are scanned as sequenced.
-    swap = str.maketrans("ACGTacgt", "TGCAtgca")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for seq, flag in zip(f["seq"], f["flag"], strict=True):
-                s = (seq or "").upper()
-                s = s[::-1].translate(swap) if flag & REVERSE else s
-                cut = next((k for k in range(len(s) - least + 1) if s[k : k + len(adapter)] == adapter[: len(s) - k]), len(s))
-                out.append(len(s) - cut)
-            yield pd.DataFrame({"read_id": f["read_id"], "trimmed": out})
-
-    return reads.select("read_id", "seq", "flag").mapInPandas(run, "read_id long, trimmed int")
+    s = F.upper(F.coalesce("seq", F.lit("")))
+    turned = F.when(has(REVERSE), sequences.reverse_complement(s)).otherwise(s)
+    r = reads.select("read_id", turned.alias("s")).withColumn("n", F.length("s"))
+    agrees = lambda k: F.col("s").substr(k + 1, F.lit(len(adapter))) == F.substring(F.lit(adapter), F.lit(1), F.least(F.lit(len(adapter)), F.col("n") - k))
+    places = F.when(F.col("n") >= least, F.sequence(F.lit(0), F.col("n") - least)).otherwise(F.array().cast("array<int>"))
+    cut = F.coalesce(F.get(F.filter(places, agrees), F.lit(0)), F.col("n"))
+    return r.select("read_id", (F.col("n") - cut).cast("int").alias("trimmed"))
 
 
 def thin_deep_sites(obs: DataFrame, limit: int, exempt: int = 10) -> DataFrame:

@@ -63,6 +63,15 @@ def patient_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return ops.cluster(m, "pearson", 0.2, "minimum", m.select("sample", F.col("patient").alias("label")).distinct())
 
 
+def linked(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters by nearest members, joined in rounds on Spark down to a few."""
+    return ops.cluster(_m(spark, sf), "pearson", 0.6, "minimum", driver_clusters=8)
+
+
+def linked_report(spark: SparkSession, sf: str) -> DataFrame:
+    return linked(spark, sf).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("sample")), ",").alias("samples"))
+
+
 def cluster_report(spark: SparkSession, sf: str) -> DataFrame:
     return clusters(spark, sf).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("sample")), ",").alias("samples"))
 
@@ -93,6 +102,8 @@ QUERIES = {
     "a37_statistics": lambda s, d: ops.statistics(_m(s, d), "col").withColumns({c: F.round(c, 8) for c in ("mean", "variance", "deviation", "bound")}),
     "m01_pearson_clusters": clusters,
     "m01_euclidean_clusters": euclidean_clusters,
+    "m01_single_linkage": linked,
+    "k11_linkage_report": linked_report,
     "k11_cluster_report": cluster_report,
     "m01_patient_clusters": patient_clusters,
     "m02_greedy_columns": lambda s, d: ops.greedy_columns(_m(s, d), 9).withColumn("value", F.round("value", 9)),
@@ -110,6 +121,9 @@ QUERIES = {
 }
 
 _PAIRS = "p AS (SELECT a.sample AS a, b.sample AS b, CAST(a.value AS DOUBLE) AS x, CAST(b.value AS DOUBLE) AS y FROM m a JOIN m b ON a.col = b.col AND a.sample < b.sample)"
+_LINKED = f"""{_PAIRS}, d AS (SELECT a, b FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY a, b HAVING corr(x, y) >= 0.6), e AS (SELECT a, b FROM d UNION SELECT b, a FROM d),
+ reach(s, t) AS (SELECT DISTINCT a, a FROM e UNION SELECT reach.s, e.b FROM reach JOIN e ON e.a = reach.t), roots AS (SELECT s AS sample, min(t) AS root FROM reach GROUP BY s),
+ numbered AS (SELECT root, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, root) - 1 AS cluster FROM roots GROUP BY root)"""
 _HOLED = _PAIRS.replace("FROM m a JOIN m b", "FROM (SELECT * FROM m WHERE (sample * 7 + col * 3) % 5 <> 0) a JOIN (SELECT * FROM m WHERE (sample * 7 + col * 3) % 5 <> 0) b")
 ORACLE = {
     "a29_change_percent": f"{_sql()} SELECT col, " + ", ".join(f"CAST(count(*) FILTER ({c}) * 100 // count(*) AS BIGINT) AS {k}" for k, c in (("gain", "value >= 3"), ("loss", "value <= -3"), ("either", "abs(value) >= 3"))) + " FROM m GROUP BY col",
@@ -118,6 +132,8 @@ ORACLE = {
     "a33_frequency_report": f"{_sql()} SELECT col, round(count(*) FILTER (value > 0) * 100.0 / count(*), 9) AS percent FROM m GROUP BY col HAVING count(*) FILTER (value > 0) > 0",
     "a34_representative_average": f"{_sql()} SELECT patient, col, round(avg(value), 9) AS value FROM m WHERE value IS NOT NULL GROUP BY ALL",
     "a34_representative_highest": f"{_sql()} SELECT patient, col, CAST(max(value) AS DOUBLE) AS value FROM m WHERE value > 0 GROUP BY ALL",
+    "m01_single_linkage": f"{_sql().replace('WITH ', 'WITH RECURSIVE ', 1)}, {_LINKED} SELECT r.sample, CAST(c.cluster AS INT) AS cluster FROM roots r JOIN numbered c ON c.root = r.root",
+    "k11_linkage_report": f"{_sql().replace('WITH ', 'WITH RECURSIVE ', 1)}, {_LINKED} SELECT CAST(c.cluster AS INT) AS cluster, max(c.n) AS n, string_agg(r.sample, ',' ORDER BY r.sample) AS samples FROM roots r JOIN numbered c ON c.root = r.root GROUP BY c.cluster",
     "a35_absent_cells": f"{_sql()}, {_HOLED} SELECT a, b, round(sqrt(sum(pow(greatest(-2, least(2, x)) - greatest(-2, least(2, y)), 2))), 6) AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY a, b",
     "a36_absent_cells": f"{_sql()}, {_HOLED} SELECT a, b, round(corr(x, y), 6) + 0.0 AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY a, b",
     "a35_euclidean_distance": f"{_sql()}, {_PAIRS} SELECT a, b, round(sqrt(sum(pow(greatest(-2, least(2, x)) - greatest(-2, least(2, y)), 2))), 6) AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY a, b",
