@@ -45,12 +45,11 @@ def test_template_is_deduced_without_an_article_element(spark):
         assert f"First bold para {i} two Second para" in got[i] and "Buy" not in got[i] and "Great post" not in got[i] and "no" not in got[i].split()
 
 
-def test_frame_text_goes_only_where_the_host_has_enough_pages(spark):
-    page = "<html><body><article><p>Text of page %d in some words</p><div><p>Share this everywhere</p></div></article></body></html>"
-    many = [(i, "http://a.example/", page % i) for i in range(H.FRAME_PAGES)]
-    few = [(100 + i, "http://b.example/", page % i) for i in range(3)]
-    got = {r["page_id"]: r["text"] for r in H.extract(pages(spark, many + few)).collect()}
-    assert got[3] == "Text of page 3 in some words" and got[101] == "Text of page 1 in some words Share this everywhere"
+@pytest.mark.parametrize("n", [3, 11, 12, 40])
+def test_text_that_all_pages_share_stays_inside_the_main_slot(spark, n):
+    page = "<html><body><div>Menu of the site</div><article><p>Text of page %d in some words</p><div><p>Share this everywhere</p></div></article></body></html>"
+    got = {r["page_id"]: r["text"] for r in H.extract(pages(spark, [(i, "http://a.example/", page % i) for i in range(n)])).collect()}
+    assert got == {i: f"Text of page {i} in some words Share this everywhere" for i in range(n)}
 
 
 @pytest.mark.parametrize(

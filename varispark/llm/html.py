@@ -437,19 +437,21 @@ def lone_page(p: Page) -> tuple[int, list[bool]]:
 def main_text(page: str, element: str | None, frame: frozenset[int] = frozenset(), links: frozenset[str] = frozenset(), words: bool = True) -> str:
     """Own text of a page inside its element (None, '' or not on this page: found from this page alone).
 
-    frame: hashes of text blocks of the template, links: paths of its elements that are links; words: whether names
-    of tags and classes inside the element count.
+    frame: hashes of text blocks of the template, which go from pages without a main element (inside one nothing goes for
+    being shared); links: paths of its elements that are links; words: whether names of tags and classes inside the
+    element count.
     """
     p = Page(page)
     main = [element in (x, place) for x, place in zip(p.path, places(p.path), strict=True)] if element else []
     if any(main):
         inside = p.spread(main)
-        within = [up >= 0 and inside[up] for up in p.parent]
+        within, slot = [up >= 0 and inside[up] for up in p.parent], True
         drop = p.spread([i and (path in links or words and (t in DROPPED_TAGS or odd_words(t, a, True))) for i, path, t, a in zip(within, p.path, p.tag, p.attributes, strict=True)])
     else:
         i, drop = lone_page(p)
+        slot = i != 0
         inside = p.spread([k == i for k in range(len(p.tag))])
-    return " ".join(t for i, t, _ in p.shown() if inside[i] and not drop[i] and not (frame and block_hash(p.path[i], t) in frame))
+    return " ".join(t for i, t, _ in p.shown() if inside[i] and not drop[i] and not (frame and not slot and block_hash(p.path[i], t) in frame))
 
 
 def extract(pages: DataFrame, words: bool = True) -> DataFrame:
