@@ -290,3 +290,34 @@ def test_scratch_folders_are_refused_off_a_local_master():
 
     with pytest.raises(ValueError):
         paths.scratch(Session(), "x")
+
+
+def test_only_near_pairs_leave_their_task_whatever_the_blocks(spark):
+    import numpy as np
+
+    values = np.random.default_rng(8).integers(-98, 99, (40, 6)).astype(float)
+    values[np.random.default_rng(9).random(values.shape) < 0.2] = np.nan
+    m = spark.createDataFrame([(i, j, None if np.isnan(v) else int(v)) for i, row in enumerate(values) for j, v in enumerate(row)], "sample long, col int, value int")
+    for metric, within in (("pearson", 0.5), ("euclidean", 120.0)):
+        d = matrix.DISTANCES[metric](values, values, None)
+        near = d >= within if metric == "pearson" else d <= within
+        want = {(i, j): d[i, j] for i in range(40) for j in range(i + 1, 40) if near[i, j]}
+        for block in (None, 7, 1):
+            got = {(r["a"], r["b"]): r["d"] for r in matrix.pair_distances(m, metric, block=block, within=within).collect()}
+            assert got == pytest.approx(want) and len(want) > 5
+
+
+def test_a_sample_is_copied_for_a_bounded_number_of_blocks(spark):
+    """All pairs of 20,000 samples: 16 to 17 copies of each are shuffled, not one for every 512 samples."""
+    m = spark.range(20000).select(F.col("id").alias("sample"), F.lit(0).alias("col"), (F.col("id") % 7).alias("value"))
+    plan = matrix.pair_distances(m, "euclidean", within=-1.0)
+    dealt = plan._jdf.queryExecution().optimizedPlan().children().head()
+    assert spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, dealt).count() <= 17 * 20000
+
+
+def test_mean_linkage_compares_within_components_alone(spark):
+    m = spark.createDataFrame([(i, 0, v) for i, v in enumerate((0, 1, 3, 100, 101, 500))], "sample long, col int, value int")
+    got = sorted(map(tuple, matrix.cluster(m, "euclidean", 2.0, "mean", driver_clusters=1).collect()))
+    assert got == [(0, 0), (1, 0), (3, 1), (4, 1)]
+    groups = spark.createDataFrame([(0, "x"), (1, "x"), (3, "y"), (4, "y")], "sample long, group string")
+    assert sorted((r["a"], r["b"]) for r in matrix.pair_distances(m, "euclidean", groups=groups).collect()) == [(0, 1), (3, 4)]
