@@ -321,3 +321,14 @@ def test_mean_linkage_compares_within_components_alone(spark):
     assert got == [(0, 0), (1, 0), (3, 1), (4, 1)]
     groups = spark.createDataFrame([(0, "x"), (1, "x"), (3, "y"), (4, "y")], "sample long, group string")
     assert sorted((r["a"], r["b"]) for r in matrix.pair_distances(m, "euclidean", groups=groups).collect()) == [(0, 1), (3, 4)]
+
+
+def test_sites_that_cannot_be_called_are_left_out(spark):
+    from varispark.config import VariantConfig
+
+    cell = lambda pos, base, n, name: [("chr1", pos, base, "A", f"{name}{i}") for i in range(n)]
+    rows = cell(1, "A", 96, "r") + cell(1, "C", 4, "v") + cell(2, "A", 90, "r") + cell(2, "C", 10, "v") + cell(3, "A", 76, "r") + cell(3, "C", 4, "v")
+    obs = spark.createDataFrame(rows, "chrom string, pos int, base string, ref string, qname string")
+    pos = lambda per_name: sorted(r["pos"] for r in calls.candidate_sites(obs, VariantConfig(), per_name).collect())
+    assert pos(None) == [1, 2, 3] and pos(1) == [2, 3] and pos(2) == [2, 3]  # 4 names may take 4 * 1 of the 96 with them: 4 / 96 still is under 5 %
+    assert pos(6) == [1, 2, 3]
