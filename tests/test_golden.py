@@ -332,3 +332,12 @@ def test_sites_that_cannot_be_called_are_left_out(spark):
     pos = lambda per_name: sorted(r["pos"] for r in calls.candidate_sites(obs, VariantConfig(), per_name).collect())
     assert pos(None) == [1, 2, 3] and pos(1) == [2, 3] and pos(2) == [2, 3]  # 4 names may take 4 * 1 of the 96 with them: 4 / 96 still is under 5 %
     assert pos(6) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("has", ["a", "ac", "t", "gt"])
+def test_traces_without_all_channels_are_turned_whole(spark, has):
+    from varispark.operators import traces
+
+    cells = [f"array({k}, 2, 3, 9) as {c}" if c in has else f"cast(null as array<int>) as {c}" for k, c in enumerate("acgt")]
+    r = traces.turned(spark.range(1).selectExpr("'t0' as name", *cells, "'AC' as bases", "array(0, 3) as places")).first()
+    assert r["places"] == [0, 3] and (r["t"] is not None) == ("a" in has)

@@ -91,9 +91,12 @@ def amplitude_ratios(packed: Column) -> Column:
 
 
 def turned(trace: DataFrame) -> DataFrame:
-    """Traces of the other strand: channels swapped and reversed, bases complemented, places mirrored."""
-    n = F.size("a")
-    return trace.select(
+    """Traces of the other strand: channels swapped and reversed, bases complemented, places mirrored.
+
+    A trace may lack channels: its length is that of those it has.
+    """
+    n = F.col("_n")
+    return trace.withColumn("_n", F.greatest(*[F.size(c) for c in CHANNELS])).select(
         "name", F.reverse("t").alias("a"), F.reverse("g").alias("c"), F.reverse("c").alias("g"), F.reverse("a").alias("t"),
         F.translate(F.reverse("bases"), "ACGTacgt", "TGCAtgca").alias("bases"), F.transform(F.reverse("places"), lambda p: n - 1 - p).alias("places"),
     )
