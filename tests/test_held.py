@@ -92,3 +92,36 @@ def test_duplicate_groups_flush_in_order_and_odd_rows(spark, tmp_path):
     assert got == [("chr1", 5, "+", 2), ("chr1", 5, "-", 1), ("chr1", 6, "+", 1)]
     got, _ = run(spark, [[("chr1", 5, "+")]], "chrom string, pos int, strand string", lambda s: held.duplicate_groups(s, LENGTHS, F.col("strand")), tmp_path / "one")
     assert got == []
+
+
+def test_deletions_near_a_site_are_found_without_a_scan_of_all():
+    """What is given out equals a scan of every deletion for every site, and a bin of many of both takes no such time."""
+    import random
+    import time
+    from types import SimpleNamespace
+
+    from varispark.streaming.held import Sites
+
+    def run(sites, spans, frontier, margin, near):
+        s = Sites(margin, near)
+        state = SimpleNamespace(removeKey=lambda k: None, updateValue=lambda k, v: None)
+        s.held, s.spans, s.handle = state, state, SimpleNamespace(listTimers=lambda: [], registerTimer=lambda t: None)
+        own, open_ = dict(sites), dict(spans)
+        frames = list(s._release(("chr1", 0), frontier, own, open_, (dict(sites), dict(spans))))
+        return [tuple(r) for f in frames for r in f[["place", "what", "n", "total", "deletions"]].itertuples(index=False)], own, open_
+
+    rng = random.Random(3)
+    for _ in range(50):
+        near, margin, frontier = rng.randint(0, 4), rng.randint(0, 5), rng.randint(20, 70)
+        sites = {(rng.randint(1, 60), rng.choice("AC")): rng.randint(1, 3) for _ in range(25)}
+        spans = {(a, a + rng.randint(0, 20)): rng.randint(1, 3) for a in (rng.randint(1, 60) for _ in range(12))}
+        over = lambda p: {k: n for k, n in spans.items() if k[0] - near <= p <= k[1] + near}  # noqa: B023, E731
+        final = {p for p, _ in sites if max([p + margin, *(b for _, b in over(p))]) < frontier}
+        want = sorted((p, w, n, sum(m for (q, _), m in sites.items() if q == p), sum(over(p).values())) for (p, w), n in sites.items() if p in final)
+        got, own, left = run(sites, spans, frontier, margin, near)
+        assert sorted(got) == want and {p for p, _ in own} == {p for p, _ in sites} - final
+        kept = {p for p, _ in sites} - final
+        assert set(left) == {k for k in spans if k[1] + near + margin >= frontier or any(k[0] - near <= p <= k[1] + near for p in kept)}
+    began = time.process_time()
+    got, _, _ = run({(p, "A"): 1 for p in range(20000)}, {(p, p + 99): 1 for p in range(20000)}, 1 << 30, 5, 5)
+    assert len(got) == 20000 and time.process_time() - began < 5
