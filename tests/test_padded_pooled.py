@@ -146,3 +146,24 @@ def test_breaks_of_order_are_counted_across_pieces(spark):
     rows = [("f", 0, "y", 1), ("f", 0, "y", 5), ("f", 1, "y", 4), ("f", 1, "x", 1), ("f", 2, "x", 9), ("g", 0, "y", 2), ("g", 0, "y", 1), ("g", 1, "x", 1), ("g", 1, "y", 7)]
     df = spark.createDataFrame(rows, "file string, block long, rname string, pos int").coalesce(1)
     assert {r["file"]: r["breaks"] for r in reads.order_breaks(df, ["y", "x"]).collect()} == {"f": 1, "g": 2}
+
+
+@pytest.mark.parametrize("seed,chunk", [(1, 8), (5, 1024)])
+def test_consensus_counts_the_cells_of_all_reads(spark, seed, chunk):
+    rows = made(seed)
+    _, _, laid = brute(rows)
+    want = {}
+    for i, (start, cells) in laid.items():
+        for k, (base, q) in enumerate(cells):
+            n, total = want.get((rows[i][1], start + k, base), (0, None))
+            want[rows[i][1], start + k, base] = n + 1, total if q is None else q + (total or 0)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = padded.consensus(df, padded.insertion_gaps(df), chunk).collect()
+    assert {(r["chrom"], r["place"], r["base"]): (r["n"], r["qualities"]) for r in got} == want
+
+
+def test_only_long_reads_gather_gaps_by_read(spark):
+    """A read within two chunks meets its gaps in one join: its row, with sequence and qualities, isn't shuffled by read."""
+    df = spark.createDataFrame(made(2), SCHEMA)
+    plan = padded.layout(df, padded.insertion_gaps(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "SortMergeJoin LeftOuter, (read_id" not in plan
