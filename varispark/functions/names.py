@@ -6,11 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Names that chromosome() leaves as they are; told without a regular expression.
+_PLAIN = [f"chr{x}" for x in (*range(1, 23), "X", "Y", "M")]
+
+
 def chromosome(s: Column) -> Column:
     """'chrN' for 1-22, X, Y and M with or without chr in any case, MT as M; other names as they are."""
     core = F.upper(F.regexp_replace(F.trim(s), "(?i)^chr", ""))
     core = F.when(core == "MT", "M").otherwise(core)
-    return F.when(core.rlike("^([1-9]|1[0-9]|2[0-2]|X|Y|M)$"), F.concat(F.lit("chr"), core)).otherwise(s)
+    return F.when(s.isin(_PLAIN), s).when(core.rlike("^([1-9]|1[0-9]|2[0-2]|X|Y|M)$"), F.concat(F.lit("chr"), core)).otherwise(s)
 
 
 def chromosome_number(s: Column) -> Column:
@@ -20,7 +24,7 @@ def chromosome_number(s: Column) -> Column:
 
 
 def is_canonical(s: Column) -> Column:
-    return chromosome_number(s).isNotNull()
+    return F.when(s.isin(_PLAIN), True).otherwise(chromosome_number(s).isNotNull())
 
 
 def bucket_chromosome(s: Column) -> Column:
