@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import batches
+
 
 def phred_probability(q: Column) -> Column:
     """Error probability by whole decades of a quality: 19 counts as 10."""
@@ -81,7 +83,4 @@ def masked_range(values: Column, start: Column, end: Column) -> Column:
 
 def padded_qualities(bases: Column, qual: Column, complemented: Column) -> Column:
     """Qualities for a padded read: turned round if it is complemented, -1 at pads."""
-    q = F.when(complemented, F.reverse(qual)).otherwise(qual)
-    letters = F.filter(F.split(bases, ""), lambda c: c != "")
-    step = lambda s, c: F.struct((s["i"] + F.when(c == "*", 0).otherwise(1)).alias("i"), F.concat(s["out"], F.array(F.when(c == "*", F.lit(-1)).otherwise(F.get(q, s["i"])))).alias("out"))
-    return F.aggregate(letters, F.struct(F.lit(0).alias("i"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
+    return F.arrow_udf(batches.spread_qualities, "array<int>")(bases, F.when(complemented, F.reverse(qual)).otherwise(qual))
