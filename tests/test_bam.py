@@ -124,3 +124,24 @@ def test_existing_folders_and_bad_rows_are_errors(spark, written, tmp_path):
 def test_every_kind_of_tag():
     raw = b"AAAx" + b"BBc\xff" + b"CCS" + struct.pack("<H", 7) + b"DDf" + struct.pack("<f", 0.5) + b"EEZhi\0" + b"FFBs" + struct.pack("<ihh", 2, -1, 3)
     assert B._tags(raw) == [("AA", "x"), ("BB", "-1"), ("CC", "7"), ("DD", "0.5"), ("EE", "hi"), ("FF", "s,-1,3")]
+
+
+def test_scans_have_a_bounded_number_of_tasks(spark, written, monkeypatch):
+    monkeypatch.setattr(B, "TASKS", 5)
+    reader = B.BamReader({"path": written, "split": "1"}, B.StructType.fromDDL("qname string"))
+    parts = reader.partitions()
+    assert len(parts) <= 5 + len(reader._files())
+    assert sorted(r["qname"] for p in parts for b in reader.read(p) for r in b.to_pylist()) == sorted(r[0] for r in rows())
+
+
+def test_reads_are_made_once_for_writing(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seq(n):
+        made.add(1)
+        return "A" * n
+
+    reads = spark.range(1, 200, 1, 3).select(F.lit("chr1").alias("rname"), F.col("id").cast("int").alias("pos"), seq((F.col("id") % 9).cast("int")).alias("seq"))
+    B.write_bam(reads, str(tmp_path / "once"), [("chr1", 1000)])
+    assert made.value == 199

@@ -16,21 +16,29 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions.batches import Texts
+
 SCHEMA = "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, seq string, qual array<int>, tags map<string,string>"
 INDEX = ".vsi"
 #: Compressed bytes between checkpoints, and in the segments that one task reads.
 STEP = 1 << 20
 SPLIT = 64 << 20
 BATCH = 4096
+#: Tasks of a scan at most: beyond that, a task reads segments of more bytes than asked for.
+TASKS = 1024
+#: Reads that a written file is made for, as long as there are no more files than shuffle partitions.
+FILE_READS = 20_000
 # Fixed values of the format.
 BASES = "=ACMGRSVTWYHKDBN"
 OPS = "MIDNSHP=X"
@@ -168,45 +176,70 @@ def _tags(raw: bytes) -> list[tuple[str, str]]:
     return out
 
 
-@dataclass
-class Parts:
-    """Where the variable parts of a record lie."""
-
-    name: int
-    cigar: int
-    seq: int
-    qual: int
-    tags: int
-
-
-def _parts(rec: bytes) -> tuple[tuple, Parts]:
-    head = struct.unpack_from("<iiBBHHHiiii", rec, 0)
-    cigar = 32 + head[2]
-    seq = cigar + 4 * head[5]
-    qual = seq + (head[7] + 1) // 2
-    return head, Parts(32, cigar, seq, qual, qual + head[7])
-
-
-def _sequence(rec: bytes, at: int, n: int) -> str | None:
-    half = np.frombuffer(rec, np.uint8, (n + 1) // 2, at)
-    return np.frombuffer(BASES.encode(), np.uint8)[np.stack([half >> 4, half & 15], 1).reshape(-1)[:n]].tobytes().decode() if n else None
-
-
-def _cell(name: str, refs: list[str]) -> Callable[[bytes, tuple, Parts], object]:
-    ref = lambda i: refs[i] if i >= 0 else "*"
-    return {
-        "qname": lambda r, h, p: r[32 : p.cigar - 1].decode(),
-        "flag": lambda r, h, p: h[6],
-        "rname": lambda r, h, p: ref(h[0]),
-        "pos": lambda r, h, p: h[1] + 1,
-        "mapq": lambda r, h, p: h[3],
-        "cigar": lambda r, h, p: "".join(f"{x >> 4}{OPS[x & 15]}" for x in struct.unpack_from(f"<{h[5]}I", r, p.cigar)) or None,
-        "rnext": lambda r, h, p: "=" if h[8] == h[0] and h[8] >= 0 else ref(h[8]),
-        "pnext": lambda r, h, p: h[9] + 1,
-        "seq": lambda r, h, p: _sequence(r, p.seq, h[7]),
-        "qual": lambda r, h, p: None if not h[7] or r[p.qual] == 0xFF else list(r[p.qual : p.qual + h[7]]),
-        "tags": lambda r, h, p: _tags(r[p.tags :]),
-    }[name]
+_known_tags = lru_cache(1 << 16)(_tags)
+
+
+def ragged(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places at..at+n of each row, one after the other."""
+    n = n.astype(np.int64)
+    return np.arange(n.sum()) + np.repeat(at - (np.cumsum(n) - n), n)
+
+
+def _offsets(n: np.ndarray) -> pa.Buffer:
+    return pa.py_buffer(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+
+
+_LETTERS = np.frombuffer(BASES.encode(), np.uint8)
+
+
+class Records:
+    """Columns of some records at once."""
+
+    def __init__(self, recs: list[bytes], refs: list[str]):
+        self.recs, self.names = recs, pa.array([*refs, "*"], pa.string())
+        size = np.array([len(r) for r in recs], np.int64)
+        self.raw, self.at, self.n = np.frombuffer(b"".join(recs), np.uint8), np.cumsum(size) - size, len(recs)
+        head = self.raw[self.at[:, None] + np.arange(32)].copy().view(np.dtype("<i4,<i4,u1,u1,<u2,<u2,<u2,<i4,<i4,<i4,<i4"))[:, 0]
+        self.ref, self.pos, self.name, self.mapq, self.ops, self.flag, self.bases, self.next_ref, self.next_pos = (head[f"f{i}"].astype(np.int64) for i in (0, 1, 2, 3, 5, 6, 7, 8, 9))
+        self.cigar = 32 + self.name
+        self.seq = self.cigar + 4 * self.ops
+        self.qual = self.seq + (self.bases + 1) // 2
+        self.tags = self.qual + self.bases
+
+    def _text(self, at: np.ndarray, n: np.ndarray, data: np.ndarray | None = None, null: np.ndarray | None = None) -> pa.Array:
+        data = self.raw[ragged(at, n)] if data is None else data
+        valid = None if null is None or not null.any() else pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+        return pa.StringArray.from_buffers(self.n, _offsets(n), pa.py_buffer(np.ascontiguousarray(data)), valid)
+
+    def column(self, name: str, kind: pa.DataType) -> pa.Array:
+        if name == "qname":
+            return self._text(self.at + 32, self.name - 1)
+        if name in ("flag", "mapq"):
+            return pa.array(getattr(self, name)).cast(kind)
+        if name in ("pos", "pnext"):
+            return pa.array((self.pos if name == "pos" else self.next_pos) + 1).cast(kind)
+        if name in ("rname", "rnext"):
+            own = self.ref if name == "rname" else self.next_ref
+            text = self.names.take(pa.array(np.where(own < 0, len(self.names) - 1, own)))
+            return text if name == "rname" else pc.if_else(pa.array((own == self.ref) & (own >= 0)), "=", text)
+        if name == "cigar":
+            known: dict[bytes, str | None] = {}
+            raw = [r[a : a + 4 * n] for r, a, n in zip(self.recs, self.cigar.tolist(), self.ops.tolist(), strict=True)]
+            for x in set(raw):
+                known[x] = "".join(f"{v >> 4}{OPS[v & 15]}" for v in struct.unpack(f"<{len(x) // 4}I", x)) or None
+            return pa.array([known[x] for x in raw], kind)
+        if name == "seq":
+            half = (self.bases + 1) // 2
+            pairs = self.raw[ragged(self.at + self.seq, half)]
+            data = _LETTERS[np.stack([pairs >> 4, pairs & 15], 1).reshape(-1)]
+            return self._text(self.at, self.bases, data[ragged(2 * (np.cumsum(half) - half), self.bases)], self.bases == 0)
+        if name == "qual":
+            none = self.bases == 0
+            none[~none] = self.raw[(self.at + self.qual)[~none]] == 0xFF
+            n = np.where(none, 0, self.bases)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32), mask=np.append(none, False))
+            return pa.ListArray.from_arrays(offsets, pa.array(self.raw[ragged(self.at + self.qual, n)].astype(np.int32))).cast(kind)
+        return pa.array([_known_tags(r[a:]) for r, a in zip(self.recs, self.tags.tolist(), strict=True)], kind)
 
 
 def segments(path: str) -> np.ndarray | None:
@@ -225,7 +258,7 @@ class Checkpoints:
     """Collects an index as records pass in file order; whether they are sorted by place shows in `ordered`."""
 
     def __init__(self, step: int):
-        self.step, self.rows, self.ordered, self.last = step, [], True, (0, 0)
+        self.step, self.rows, self.ordered, self.last, self.last_key = step, [], True, (0, 0), 0
 
     def add(self, at: int, rec: bytes) -> None:
         ref, pos = struct.unpack_from("<ii", rec, 0)
@@ -239,6 +272,17 @@ class Checkpoints:
             row[3], row[4] = ref, 0
         row[4], row[5] = max(row[4], _reach(rec)), row[5] + 1
 
+    def add_run(self, at: int, ref: np.ndarray, pos: np.ndarray, reach: np.ndarray) -> None:
+        """Records that begin in one block, the first at virtual offset `at`."""
+        key = np.where(ref < 0, (1 << 31) - 1, ref) << 32 | (pos + (1 << 31))
+        self.ordered &= int(key[0]) >= self.last_key and bool((key[1:] >= key[:-1]).all())
+        self.last_key = int(key[-1])
+        if not self.rows or (at >> 16) - (self.rows[-1][0] >> 16) >= self.step:
+            self.rows.append([at, int(ref[0]), int(pos[0]) + 1, int(ref[0]), 0, 0])
+        row, own = self.rows[-1], int(ref[-1])
+        row[4] = max(row[4] if own == row[3] else 0, int(reach[ref == own].max()))
+        row[3], row[5] = own, row[5] + len(ref)
+
     def save(self, path: str) -> None:
         where, name = located(path + INDEX)
         with where.open_output_stream(name) as s:
@@ -316,7 +360,7 @@ class BamReader(DataSourceReader):
         return sorted(lead + x.path for x in found if x.path.endswith(".bam") or x is info)
 
     def partitions(self) -> list[Range]:
-        out = []
+        out, found = [], []
         for path in self._files():
             sequences, first = dictionary(path)
             names = [n for n, _ in sequences]
@@ -325,10 +369,14 @@ class BamReader(DataSourceReader):
             if index is None or not len(index):
                 out.append(Range(path, names, first, None))
                 continue
-            stop = np.append(index["at"][1:], np.uint64(0)).tolist()
-            at, held = index["at"].tolist(), None
-            for i, need in enumerate(self.needed(index, names, want).tolist()):
-                if need and held and held.stop == at[i] and (at[i] >> 16) - (held.first >> 16) < self.split:
+            found.append((path, names, index["at"], self.needed(index, names, want)))
+        total = sum(int((np.diff(at >> np.uint64(16)).astype(np.int64) * need[:-1]).sum()) for _, _, at, need in found)
+        split = max(self.split, -(-total // TASKS))
+        for path, names, begin, wanted in found:
+            stop = np.append(begin[1:], np.uint64(0)).tolist()
+            at, held = begin.tolist(), None
+            for i, need in enumerate(wanted.tolist()):
+                if need and held and held.stop == at[i] and (at[i] >> 16) - (held.first >> 16) < split:
                     held.stop = stop[i] or None
                 elif need:
                     held = Range(path, names, at[i], stop[i] or None)
@@ -362,27 +410,27 @@ class BamReader(DataSourceReader):
         arrow = to_arrow_schema(self.schema)
         if not part.path:
             return
-        cells = [_cell(n, part.refs) for n in self.schema.names]
         want = self.bounds(set(part.refs))
         refs = None if want.refs is None else {part.refs.index(x) if x != "*" else -1 for x in want.refs if x == "*" or x in part.refs}
         span = int((self.region or "").partition(":")[2].replace(",", "").partition("-")[0] or 0)
         file = Ranged(part.path, None if part.stop is None else (part.stop >> 16) + 0x10000)
-        rows: list[list] = []
+        rows: list[bytes] = []
         for _, rec in records(file, part.first, part.stop):
             ref, pos = struct.unpack_from("<ii", rec, 0)
             if (refs is not None and ref not in refs) or not want.low <= pos + 1 <= want.high or (span and _reach(rec) < span):
                 continue
-            head, parts = _parts(rec)
-            rows.append([c(rec, head, parts) for c in cells])
+            rows.append(rec)
             if len(rows) == BATCH:
-                yield self._batch(rows, arrow)
+                yield self._batch(rows, part.refs, arrow)
                 rows = []
-        yield self._batch(rows, arrow)
+        yield self._batch(rows, part.refs, arrow)
 
     @staticmethod
-    def _batch(rows: list[list], arrow: pa.Schema) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [()] * len(arrow)
-        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)] if len(arrow) else [], schema=arrow)
+    def _batch(rows: list[bytes], refs: list[str], arrow: pa.Schema) -> pa.RecordBatch:
+        if not rows:
+            return pa.record_batch([pa.array([], f.type) for f in arrow], schema=arrow)
+        made = Records(rows, refs)
+        return pa.record_batch([made.column(f.name, f.type) for f in arrow] if len(arrow) else [], schema=arrow)
 
 
 class Output:
@@ -415,20 +463,89 @@ class Output:
         self.stream.close()
 
 
-def encoded(r, ranks: dict[str, int]) -> bytes:  # noqa: ANN001
-    """A record of the row's columns; columns that it lacks have the format's neutral values."""
-    get = lambda k, d: d if k not in r or r[k] is None else r[k]
-    ref = ranks[get("rname", "*")]
-    after = ref if get("rnext", "*") == "=" else ranks[get("rnext", "*")]
-    ops = [(int(n), OPS.index(o)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", get("cigar", ""))]
-    seq, name = get("seq", ""), get("qname", "*").encode()
-    codes = [max(BASES.find(c), 0) if c == "=" else BASES.index(c) if c in BASES else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
-    qual = bytes(get("qual", [])) if get("qual", []) else b"\xff" * len(seq)
-    if len(qual) != len(seq):
-        raise ValueError(f"bad sequence or quality of {name.decode()}")
-    body = struct.pack("<iiBBHHHiiii", ref, get("pos", 0) - 1, len(name) + 1, get("mapq", 0), 4680, len(ops), get("flag", 0), len(seq), after, get("pnext", 0) - 1, 0)
-    body += name + b"\0" + b"".join(struct.pack("<I", n << 4 | o) for n, o in ops) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + qual
-    return body + b"".join(k.encode() + b"Z" + v.encode() + b"\0" for k, v in sorted(get("tags", {}).items()))
+_CODES = np.full(256, 15, np.uint8)
+_CODES[_LETTERS] = np.arange(16)
+
+
+class Encoded:
+    """Records of a batch of rows, each with its size before it: raw, where each begins and ends, ref, pos and reach. Columns that the rows lack
+    have the format's neutral values."""
+
+    def __init__(self, b: pa.RecordBatch, ranks: dict[str, int]):
+        n = b.num_rows
+        column = lambda k, kind, d: (b.column(k).cast(kind).fill_null(d) if k in b.schema.names else pa.array([d] * n, kind))
+        number = lambda k: np.asarray(column(k, pa.int64(), 0))
+
+        def rank(k: str, same: np.ndarray | None = None) -> np.ndarray:
+            coded = column(k, pa.string(), "*").dictionary_encode()
+            own = np.array([-2 if x == "=" and same is not None else ranks[x] for x in coded.dictionary.to_pylist()], np.int64)[np.asarray(coded.indices)]
+            return own if same is None else np.where(own == -2, same, own)
+
+        ref = rank("rname")
+        after, pos = rank("rnext", ref), number("pos") - 1
+        coded = column("cigar", pa.string(), "").dictionary_encode()
+        ops = [[(int(k), OPS.index(o)) for k, o in re.findall(r"(\d+)([MIDNSHP=X])", x)] for x in coded.dictionary.to_pylist()]
+        which, packed = np.asarray(coded.indices, np.int64), [b"".join(struct.pack("<I", k << 4 | o) for k, o in x) for x in ops]
+        n_ops = np.array([len(x) for x in ops], np.int64)
+        span = np.array([max(1, sum(k for k, o in x if OPS[o] in "MDN=X")) for x in ops], np.int64)
+        name, seq = Texts(column("qname", pa.string(), "*"), False), Texts(column("seq", pa.string(), ""))
+        lists = column("qual", pa.list_(pa.int64()), []) if "qual" in b.schema.names else pa.array([[]] * n, pa.list_(pa.int64()))
+        n_qual = np.asarray(lists.value_lengths(), np.int64)
+        if (bad := np.flatnonzero((n_qual > 0) & (n_qual != seq.size))).size:
+            raise ValueError(f"bad sequence or quality of {b.column('qname')[int(bad[0])] if 'qname' in b.schema.names else '*'}")
+        row, keys, values = self._tags(b, n)
+        tag_at = np.cumsum(keys.size + values.size + 2) - (keys.size + values.size + 2)
+        n_tags = np.bincount(row, keys.size + values.size + 2, n).astype(np.int64)
+        half = (seq.size + 1) // 2
+        size = 36 + name.size + 1 + 4 * n_ops[which] + half + seq.size + n_tags
+        at = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), np.uint8)
+        head = np.zeros(n, np.dtype("<i4,<i4,<i4,u1,u1,<u2,<u2,<u2,<i4,<i4,<i4,<i4"))
+        for k, x in enumerate((size - 4, ref, pos, name.size + 1, number("mapq"), 4680, n_ops[which], number("flag"), seq.size, after, number("pnext") - 1, 0)):
+            limit = np.iinfo(head.dtype[k])
+            if np.any((np.asarray(x) < limit.min) | (np.asarray(x) > limit.max)):
+                raise ValueError("a field is beyond what the format holds")
+            head[f"f{k}"] = x
+        out[at[:, None] + np.arange(36)] = head.view(np.uint8).reshape(n, 36)
+        p = at + 36
+        out[ragged(p, name.size)] = name.data[ragged(name.at, name.size)]
+        p = p + name.size + 1
+        every, first = np.frombuffer(b"".join(packed), np.uint8), np.cumsum(4 * n_ops) - 4 * n_ops
+        out[ragged(p, 4 * n_ops[which])] = every[ragged(first[which], 4 * n_ops[which])]
+        p = p + 4 * n_ops[which]
+        codes = np.zeros(int(2 * half.sum()), np.uint8)
+        codes[ragged(2 * (np.cumsum(half) - half), seq.size)] = _CODES[seq.data[ragged(seq.at, seq.size)]]
+        out[ragged(p, half)] = codes[::2] << 4 | codes[1::2]
+        p = p + half
+        some = n_qual > 0
+        quality = np.asarray(lists.flatten(), np.int64)
+        if len(quality) and not 0 <= quality.min() <= quality.max() <= 255:
+            raise ValueError("a quality is beyond what the format holds")
+        out[ragged(p[some], n_qual[some])] = quality
+        out[ragged(p[~some], seq.size[~some])] = 0xFF
+        tag = tag_at + (p + seq.size - (np.cumsum(n_tags) - n_tags))[row]
+        out[ragged(tag, keys.size)] = keys.data[ragged(keys.at, keys.size)]
+        out[tag + keys.size] = ord("Z")
+        out[ragged(tag + keys.size + 1, values.size)] = values.data[ragged(values.at, values.size)]
+        self.raw, self.at, self.end, self.ref, self.pos, self.reach = out, at, at + size, ref, pos, pos + span[which]
+
+    @staticmethod
+    def _tags(b: pa.RecordBatch, n: int) -> tuple[np.ndarray, Texts, Texts]:
+        """Rows, keys and values of all tags, by row and key."""
+        none = pa.array([], pa.string())
+        if "tags" not in b.schema.names:
+            return np.zeros(0, np.int64), Texts(none), Texts(none)
+        maps = pa.ListArray.from_arrays(b.column("tags").offsets, pa.StructArray.from_arrays([b.column("tags").keys, b.column("tags").items], ["k", "v"]))
+        lengths = np.where(np.asarray(b.column("tags").is_valid()), np.diff(np.asarray(maps.offsets)), 0)
+        first = np.asarray(maps.offsets, np.int64)[:-1]
+        cells = maps.values.take(pa.array(ragged(first, lengths)))
+        row, coded = np.repeat(np.arange(n), lengths), cells.field("k").dictionary_encode()
+        rank = np.argsort(np.argsort(np.array(coded.dictionary.to_pylist(), object))) if len(coded.dictionary) else np.zeros(0, np.int64)
+        order = pa.array(np.lexsort((rank[np.asarray(coded.indices)], row)) if len(row) else np.zeros(0, np.int64))
+        values = cells.field("v").take(order)
+        if values.null_count:
+            raise ValueError("a tag has no value")
+        return row, Texts(cells.field("k").take(order), False), Texts(values, False)
 
 
 @dataclass
@@ -436,7 +553,7 @@ class Written(WriterCommitMessage):
     files: list[str] = field(default_factory=list)
 
 
-class BamWriter(DataSourceWriter):
+class BamWriter(DataSourceArrowWriter):
     """A file a task, with its index, moved into place when all tasks are done."""
 
     def __init__(self, options: dict[str, str], schema: StructType, overwrite: bool):
@@ -461,13 +578,20 @@ class BamWriter(DataSourceWriter):
         out.write(b"BAM\1" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(self.refs)))
         for n, k in self.refs:
             out.write(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", k))
-        for row in iterator:
-            rec = encoded(row.asDict(), ranks)
-            if out.held and len(out.held) + len(rec) + 4 > self.block:  # begin a record in a block of its own rather than across two
-                out.flush(len(out.held))
-            made.add(out.tell(), rec)
-            out.write(struct.pack("<i", len(rec)) + rec)
-            some = True
+        for batch in iterator:
+            if not batch.num_rows:
+                continue
+            some, e, i = True, Encoded(batch, ranks), 0
+            while i < batch.num_rows:
+                # Records that the block has room for; one begins in a block of its own rather than across two.
+                until = max(int(np.searchsorted(e.end, e.at[i] + self.block - len(out.held), "right")), i)
+                if until == i and out.held:
+                    out.flush(len(out.held))
+                    continue
+                until = max(until, i + 1)
+                made.add_run(out.tell(), e.ref[i:until], e.pos[i:until], e.reach[i:until])
+                out.write(e.raw[e.at[i] : e.end[until - 1]].tobytes())
+                i = until
         out.close()
         made.save(path)
         return Written([name] if some else [])
@@ -520,6 +644,16 @@ def bam(spark: SparkSession, path: str, columns: list[str] | None = None, region
     return (reader.option("region", region) if region else reader).load(path)
 
 
+def _range_of(place: Column, bounds: list[int], first: int = 0) -> Column:
+    """How many of the ordered bounds lie below place, by halves."""
+    from pyspark.sql import functions as F
+
+    if not bounds:
+        return F.lit(first)
+    m = len(bounds) // 2
+    return F.when(place <= bounds[m], _range_of(place, bounds[:m], first)).otherwise(_range_of(place, bounds[m + 1 :], first + m + 1))
+
+
 def write_bam(reads: DataFrame, path: str, refs: list[tuple[str, int]], step: int = STEP, block: int = BLOCK) -> None:
     """reads as BAM files with indexes, sorted by the dictionary `refs` and place; they appear together or not at all."""
     from pyspark.sql import functions as F
@@ -527,5 +661,13 @@ def write_bam(reads: DataFrame, path: str, refs: list[tuple[str, int]], step: in
     _register(reads.sparkSession)
     rank = F.coalesce(F.create_map(*[F.lit(x) for i, (n, _) in enumerate(refs) for x in (n, i)])[F.col("rname")], F.lit(len(refs)))
     kept = [x.split()[0] for x in SCHEMA.split(", ") if x.split()[0] in reads.columns]
-    dealt = reads.withColumn("__rank", rank).repartitionByRange("__rank", "pos").sortWithinPartitions("__rank", "pos").select(kept)
+    # Ranges are found from places alone, so nothing else of a read is made twice.
+    place = rank.cast("long") * (1 << 32) + F.coalesce(F.col("pos"), F.lit(0))
+    most = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = F.array(*[F.lit(k / most) for k in range(1, most)]) if most > 1 else F.array(F.lit(0.5))
+    n, bounds = reads.select(place.alias("p")).agg(F.count(F.lit(1)), F.percentile_approx("p", shares, 10_000)).first()
+    files = min(most, -(-n // FILE_READS)) or 1
+    bounds = sorted({bounds[k * most // files - 1] for k in range(1, files)}) if bounds else []
+    spread = reads.withColumn("__place", place).repartitionById(len(bounds) + 1, _range_of(F.col("__place"), bounds))
+    dealt = spread.sortWithinPartitions("__place").select(kept)
     dealt.write.format("bam").option("refs", ",".join(f"{n}:{k}" for n, k in refs)).option("step", step).option("block", block).mode("append").save(path)
