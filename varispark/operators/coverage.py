@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import cigar
+from ..functions import batches, cigar
 from .reads import aligned_bases
 
 
@@ -15,9 +15,12 @@ def by_base(bases: DataFrame) -> DataFrame:
 
 
 def depth(reads: DataFrame, least: int) -> DataFrame:
-    """(chrom, pos, coverage) of every position on which a base of quality `least` lies."""
-    n = aligned_bases(reads).where(F.col("q") >= least).groupBy(F.col("rname").alias("chrom"), F.col("pos_at").alias("pos"))
-    return n.agg(F.count(F.lit(1)).alias("coverage"))
+    """(chrom, pos, coverage) of every position on which a base of quality `least` lies.
+
+    Bases are counted in the batches of reads that hold them and never become rows.
+    """
+    n = reads.select("rname", "cigar", "pos", "qual").mapInArrow(lambda r: batches.depth_counts(r, least), "chrom string, pos int, n long")
+    return n.groupBy("chrom", "pos").agg(F.sum("n").alias("coverage"))
 
 
 def region(reads: DataFrame, chrom: str, start: int, end: int, least: int) -> DataFrame:

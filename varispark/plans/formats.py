@@ -43,11 +43,12 @@ def report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wig(spark: SparkSession, sf: str) -> DataFrame:
-    """Coverage of whole chromosomes, one file for each of the reads' chromosomes."""
+    """Coverage of whole chromosomes, a folder of files for each of the reads' chromosomes; it is counted once."""
+    held, path = scratch(spark, "depth"), scratch(spark, "wig")
     c = coverage.depth(reads(spark, sf).where(~ops.has(ops.DUPLICATE) & ~ops.has(ops.UNMAPPED)), 10)
-    chroms = [r["chrom"] for r in c.select("chrom").distinct().collect()]  # as many as the genome has
-    paths = [_write(sinks.wig(c.where(F.col("chrom") == x).select("pos", "coverage"), x), spark, "wig") for x in chroms]
-    lines = spark.read.text(paths)
+    c.write.parquet(held)
+    sinks.wig_lines(spark.read.schema(c.schema).parquet(held)).write.partitionBy("chrom").text(path)
+    lines = spark.read.schema("value string, chrom string").text(path)
     return lines.agg(F.count_if(F.col("value").startswith("fixed")).alias("runs"), F.count_if(~F.col("value").startswith("fixed")).alias("values"), F.sum(F.when(~F.col("value").startswith("fixed"), F.col("value").cast("long"))).alias("total"))
 
 

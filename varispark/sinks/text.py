@@ -63,10 +63,15 @@ def report(df: DataFrame, columns: list[str], path: str) -> None:
 
 def wig(coverage: DataFrame, chrom: str) -> DataFrame:
     """(value): fixedStep lines of coverage (pos, coverage), a header where positions begin anew, in order."""
-    before = coverage.select((F.col("pos") + 1).alias("pos")).distinct().withColumn("new", F.lit(False))
-    c = coverage.join(before, "pos", "left").withColumn("new", F.coalesce("new", F.lit(True)))
-    head = F.concat(F.lit(f"fixedStep chrom={chrom} start="), F.col("pos").cast("string"), F.lit(" step=1\n"))
-    return c.orderBy("pos").select(F.concat(F.when(F.col("new"), head).otherwise(""), F.col("coverage").cast("string")).alias("value"))
+    return wig_lines(coverage.withColumn("chrom", F.lit(chrom))).select("value")
+
+
+def wig_lines(coverage: DataFrame) -> DataFrame:
+    """(chrom, value): the lines of wig() of all chromosomes of coverage (chrom, pos, coverage), in order of chromosome and place."""
+    before = coverage.select("chrom", (F.col("pos") + 1).alias("pos")).distinct().withColumn("new", F.lit(False))
+    c = coverage.join(before, ["chrom", "pos"], "left").withColumn("new", F.coalesce("new", F.lit(True)))
+    head = F.concat(F.lit("fixedStep chrom="), F.col("chrom"), F.lit(" start="), F.col("pos").cast("string"), F.lit(" step=1\n"))
+    return c.orderBy("chrom", "pos").select("chrom", F.concat(F.when(F.col("new"), head).otherwise(""), F.col("coverage").cast("string")).alias("value"))
 
 
 def matrix_lines(m: DataFrame, encoding: str | None = None) -> DataFrame:
