@@ -22,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions import dealing
 from ..functions.batches import Texts
 
 SCHEMA = "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, seq string, qual array<int>, tags map<string,string>"
@@ -37,8 +38,6 @@ SPLIT = 64 << 20
 BATCH = 4096
 #: Tasks of a scan at most: beyond that, a task reads segments of more bytes than asked for.
 TASKS = 1024
-#: Reads that a written file is made for, as long as there are no more files than shuffle partitions.
-FILE_READS = 20_000
 # Fixed values of the format.
 BASES = "=ACMGRSVTWYHKDBN"
 OPS = "MIDNSHP=X"
@@ -644,16 +643,6 @@ def bam(spark: SparkSession, path: str, columns: list[str] | None = None, region
     return (reader.option("region", region) if region else reader).load(path)
 
 
-def _range_of(place: Column, bounds: list[int], first: int = 0) -> Column:
-    """How many of the ordered bounds lie below place, by halves."""
-    from pyspark.sql import functions as F
-
-    if not bounds:
-        return F.lit(first)
-    m = len(bounds) // 2
-    return F.when(place <= bounds[m], _range_of(place, bounds[:m], first)).otherwise(_range_of(place, bounds[m + 1 :], first + m + 1))
-
-
 def write_bam(reads: DataFrame, path: str, refs: list[tuple[str, int]], step: int = STEP, block: int = BLOCK) -> None:
     """reads as BAM files with indexes, sorted by the dictionary `refs` and place; they appear together or not at all."""
     from pyspark.sql import functions as F
@@ -663,11 +652,6 @@ def write_bam(reads: DataFrame, path: str, refs: list[tuple[str, int]], step: in
     kept = [x.split()[0] for x in SCHEMA.split(", ") if x.split()[0] in reads.columns]
     # Ranges are found from places alone, so nothing else of a read is made twice.
     place = rank.cast("long") * (1 << 32) + F.coalesce(F.col("pos"), F.lit(0))
-    most = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = F.array(*[F.lit(k / most) for k in range(1, most)]) if most > 1 else F.array(F.lit(0.5))
-    n, bounds = reads.select(place.alias("p")).agg(F.count(F.lit(1)), F.percentile_approx("p", shares, 10_000)).first()
-    files = min(most, -(-n // FILE_READS)) or 1
-    bounds = sorted({bounds[k * most // files - 1] for k in range(1, files)}) if bounds else []
-    spread = reads.withColumn("__place", place).repartitionById(len(bounds) + 1, _range_of(F.col("__place"), bounds))
+    spread = dealing.by_ranges(reads.withColumn("__place", place), F.col("__place"), dealing.bounds(reads, place))
     dealt = spread.sortWithinPartitions("__place").select(kept)
     dealt.write.format("bam").option("refs", ",".join(f"{n}:{k}" for n, k in refs)).option("step", step).option("block", block).mode("append").save(path)
