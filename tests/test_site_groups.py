@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varispark.config import VariantConfig
+from varispark.operators import calls
 from varispark.plans import caller
 
 CFG = VariantConfig(min_quality=5, min_flanking_quality=3, flanking_window=2, min_alt_allele_count=1, min_minor_allele_frequency=0.0, min_coverage=1, min_mapq=0, mismatch_max_lq=5, mismatch_max_hq=4, end_mismatch_windows=((4, 3), (3, 2)))
@@ -45,3 +46,31 @@ def test_reads_alone_leave_sums(spark, data):
     groups = caller.site_groups(alone, ref, 16, CFG, salts=1).where("n > 0").cache()
     assert groups.count() < 0.6 * groups.agg(F.sum("n")).first()[0]
     assert groups.where("base = ref").groupBy("chrom", "pos", "tn", "strand", "near").count().where("count > 2").count() == 0  # reads from two chunks reach a site
+
+
+@pytest.fixture(scope="module")
+def observed(spark):
+    """Sites with and without names that occur twice, mates that disagree, and observations without a name."""
+    rng, rows = random.Random(5), []
+    for pos in range(120):
+        ref, alt = rng.sample("ACGT", 2)
+        for k in range(rng.choice([4, 12, 40])):
+            name = f"q{pos}-{k}" if pos % 2 else rng.choice([None, f"q{rng.randrange(12)}", f"u{k}"])
+            rows.append(("a", pos, rng.choice([ref, alt, alt, rng.choice("ACGT")]), ref, rng.choice("NT"), rng.choice("+-"), rng.choice([12, 25, 38]), name, rng.choice([None, 1, 2, 3]), rng.randrange(60), rng.randrange(25)))
+    return spark.createDataFrame(rows, "chrom string, pos int, base string, ref string, tn string, strand string, qual int, qname string, unclipped_start int, mapq int, flank int").repartition(3)
+
+
+def test_sites_without_repeated_names_are_called_as_by_name(spark, observed):
+    own = {"alone": F.lit(False), "n": F.lit(1), "decades": F.floor(F.col("qual") / 10), "flanked": (F.col("flank") >= 10).cast("int"), "mapq_sum": F.col("mapq"), "named": F.col("qname").isNotNull(), "near": F.col("flank") < 10}
+    cfg = VariantConfig(min_alt_allele_count=1, min_minor_allele_frequency=0.0)
+    gone = spark.createDataFrame([("a", 30, 20)], "chrom string, start int, len int")
+    by_name = calls.call_groups(observed.withColumns(own), calls.candidate_sites(observed, cfg), cfg, gone)
+    a, b = (sorted(map(str, x.collect())) for x in (calls.call_snps(observed, cfg, gone), by_name))
+    assert a == b and len(a) > 80
+
+
+def test_only_sites_with_repeated_names_are_sorted_by_name(observed):
+    plan = calls.call_snps(observed)._jdf.queryExecution().executedPlan().toString().splitlines()
+    by_name = [k for k, x in enumerate(plan) if "windowspecdefinition" in x and "qname" in x]
+    scans = [next(x for x in plan[k:] if "Scan" in x) for k in by_name]
+    assert scans and not any("ExistingRDD" in x for x in scans) and not any("collect_set" in x for x in plan)
