@@ -109,3 +109,12 @@ def test_odd_tables(spark):
     twice = spark.createDataFrame([(None, "one line that is long enough"), (None, "one line that is long enough"), (4, "one line that is long enougH\nx")], schema)
     got = sorted((r["doc_id"] or 0, r["text"]) for r in lines.dedup_lines(twice).collect())
     assert got == [(0, "one line that is long enough")] * 2 + [(4, "x")]
+
+
+def test_meeting_tasks_grow_with_lines(spark):
+    """Entries that meet in a task stay few however few shuffle partitions the session has."""
+    docs = spark.createDataFrame([(i, f"a line of some words number {i % 7} and one more word {i}") for i in range(30)], "doc_id long, text string")
+    assert lines.meetings(12, 1000, 2) == 12
+    assert lines.meetings(12, 12_000_000, 2) > 100
+    few, many = lines.candidates(docs), lines.candidates(docs, n_lines=1_000_000)
+    assert {(r.u, r.v) for r in many.collect()} == {(r.u, r.v) for r in few.collect()} != set()

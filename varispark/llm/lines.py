@@ -32,6 +32,8 @@ PAIR_LIMIT = 16
 BLOCK = 512
 #: Entries of segment keys that a task holds before it passes them on.
 HELD = 1_500_000
+#: Bytes of entries that meet in a task, about, whatever the session's number of shuffle partitions.
+MEETING = 16 << 20
 #: Occurrences of lines that a task hands on at a time.
 OCCURRENCES = 1 << 16
 _ENTRY = np.dtype([("low", "<u4"), ("top", "u1"), ("line", "<i8")])  # 38 bits of key, 2 of role; line hash
@@ -173,9 +175,14 @@ def has_word(line: str) -> bool:
     return bool(line) and bool(line.strip(" \t\n\r\x0b\x0c"))
 
 
-def candidates(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS) -> DataFrame:
+def meetings(session: int, n_lines: int, k: int) -> int:
+    """Tasks that entries of so many lines are dealt to: as many as the session has, or more where they would hold more than MEETING bytes."""
+    return max(session, -(-n_lines * len(probes(k)) * _ENTRY.itemsize // MEETING))
+
+
+def candidates(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS, n_lines: int = 0) -> DataFrame:
     """(g, u, v): hashes of lines that share a segment where the join looks for it; `least` is k + 1 or more, so that
-    no segment is empty.
+    no segment is empty. n_lines: how many lines docs have at most, if that is known; tasks are made small by it.
 
     Where g is null, u > v are two different lines to be verified. Where many lines share a key, their pairs would
     grow with the square: there g is the key, and u is one of its lines.
@@ -185,7 +192,7 @@ def candidates(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS) -
     """
     if least <= k:
         raise ValueError(f"lines of {least} characters can't be split into {k + 1} segments")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = meetings(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_lines, k)
     buckets = 16 * n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,10 +315,10 @@ def line_links(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS) -
     return verified(docs, k, least)[0]
 
 
-def verified(docs: DataFrame, k: int, least: int) -> tuple[DataFrame, DataFrame]:
+def verified(docs: DataFrame, k: int, least: int, n_lines: int = 0) -> tuple[DataFrame, DataFrame]:
     """line_links, and (h, other, line) of the lines that they were verified with."""
     spark = docs.sparkSession
-    found = written(candidates(docs, k, least), "line-pairs")
+    found = written(candidates(docs, k, least, n_lines), "line-pairs")
     marks = spark.sparkContext.broadcast(hash_map(found.select(F.explode(F.array("u", "v")).alias("h"))))
     pairs = found.where("g is null").select("u", "v")
 
@@ -360,7 +367,7 @@ def line_classes(docs: DataFrame, k: int = MAX_DISTANCE, least: int = MIN_CHARS)
 
     rows = docs.select(F.col("doc_id").cast("long"), row_key(), F.col("text").cast("binary"))
     occ = written(rows.mapInArrow(run, "doc_id long, row_key long, line_no int, h long, other long"), "occurrences")
-    links, texts = verified(docs, k, least)
+    links, texts = verified(docs, k, least, occ.count())
     links = written(links, "line-links")
     place = F.struct("doc_id", "row_key", "line_no")
     lines = occ.groupBy("h", "other").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
