@@ -125,3 +125,30 @@ def test_deletions_near_a_site_are_found_without_a_scan_of_all():
     began = time.process_time()
     got, _, _ = run({(p, "A"): 1 for p in range(20000)}, {(p, p + 99): 1 for p in range(20000)}, 1 << 30, 5, 5)
     assert len(got) == 20000 and time.process_time() - began < 5
+
+
+def test_state_is_stored_by_pages():
+    """A bin's sites go to the store in a few rows, and only pages that changed do."""
+    kept, calls = {}, []
+
+    class State:
+        def updateValue(self, k, v):  # noqa: N802
+            calls.append(k)
+            kept[k] = tuple(list(x) for x in v)
+
+        def removeKey(self, k):  # noqa: N802
+            calls.append(k)
+            del kept[k]
+
+        def iterator(self):
+            return iter(list(kept.items()))
+
+    s = held.Sites(0, 0)
+    s.held = s.spans = State()
+    old = {(p, b): 1 for p in range(1000) for b in "ACGT"}
+    s._store(s.held, {}, old)
+    assert len(calls) == 4 and s._stored()[0] == old
+    new = {k: n for k, n in old.items() if k[0] >= 256} | {(999, "A"): 5}
+    calls.clear()
+    s._store(s.held, old, new)
+    assert sorted(calls) == [(0,), (3,)] and s._stored()[0] == new

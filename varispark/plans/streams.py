@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reads as ops
-from ..sources.paths import scratch
+from ..sources.paths import scratch, written
 from ..streaming import frontier, held
 from .fixtures import BASES_SQL, READS_SQL, reads
 
@@ -77,7 +77,7 @@ def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
 def _batches(df: DataFrame, spark: SparkSession, name: str, n: int = 4) -> DataFrame:
     """A stream of rows (chrom, start, ...) in n micro-batches by place, with a last one that makes all before it final."""
     path = scratch(spark, name)
-    timed = df.withColumn("_at", F.substring("chrom", 4, 2).cast("double") * 1e9 + F.col("start"))
+    timed = written(df.withColumn("_at", F.substring("chrom", 4, 2).cast("double") * 1e9 + F.col("start")), f"{name}-all")  # read again for each batch
     cuts = [float("-inf"), *timed.approxQuantile("_at", [k / n for k in range(1, n)], 0.01), float("inf")]
     for a, b in zip(cuts, cuts[1:], strict=False):
         timed.where((F.col("_at") > a) & (F.col("_at") <= b)).drop("_at").coalesce(1).write.mode("append").parquet(path)
