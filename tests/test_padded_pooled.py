@@ -167,3 +167,16 @@ def test_only_long_reads_gather_gaps_by_read(spark):
     df = spark.createDataFrame(made(2), SCHEMA)
     plan = padded.layout(df, padded.insertion_gaps(df))._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan and "SortMergeJoin LeftOuter, (read_id" not in plan
+
+
+def test_cells_behind_the_start_are_those_of_the_layout(spark):
+    """One cell a read, made once: no filter repeats what makes the cells."""
+    df = spark.createDataFrame(made(4), SCHEMA)
+    gaps = padded.insertion_gaps(df)
+    some = padded.cells_behind_start(df, gaps, 13, 64)
+    text = some._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in text
+    cell = padded.cell_at(F.col("cells"), F.col("padded_start"), F.col("padded_start") + 13)
+    whole = padded.layout(df, gaps, 64).select("read_id", cell.alias("c")).select("read_id", "c.base", "c.q")
+    key = lambda r: (r["read_id"], r["base"] or "", -9 if r["q"] is None else r["q"])
+    assert sorted(some.collect(), key=key) == sorted(whole.collect(), key=key)
