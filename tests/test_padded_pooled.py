@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from varispark.functions import batches
 from varispark.operators import padded, reads
 
 SCHEMA = "read_id long, rname string, pos int, cigar string, seq string, qual array<int>"
@@ -180,3 +181,15 @@ def test_cells_behind_the_start_are_those_of_the_layout(spark):
     whole = padded.layout(df, gaps, 64).select("read_id", cell.alias("c")).select("read_id", "c.base", "c.q")
     key = lambda r: (r["read_id"], r["base"] or "", -9 if r["q"] is None else r["q"])
     assert sorted(some.collect(), key=key) == sorted(whole.collect(), key=key)
+
+
+def test_consensus_counts_reads_before_bases_are_rows(spark):
+    """What leaves Python are sums by place: many reads at one place are a row for each of its bases."""
+    rows = [(i, "chr1", 10, "4M", "ACGT", [30, 31, 32, 33]) for i in range(50)] + [(99, "chr1", 10, "4M", None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = padded.consensus(df, padded.insertion_gaps(df))
+    assert "Generate inline(pythonUDF" not in got._jdf.queryExecution().optimizedPlan().toString()
+    known = {(r["place"], r["base"]): (r["n"], r["qualities"]) for r in got.where("base <> ''").collect()}
+    assert known == {(10 + i, b): (50, 50 * (30 + i)) for i, b in enumerate("ACGT")}
+    batch = df.limit(50).select(F.col("rname").alias("chrom"), "pos", "cigar", "seq", "qual").toArrow().combine_chunks().to_batches()[0]
+    assert batches.counted_evidence(batch).num_rows == 4
