@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 from varispark.plans import fixtures
 from varispark.plans.readsets import QUERIES
 
+CHUNK = fixtures.CHUNK
 SF = "/root/testdata/sf0.001"
 
 
@@ -26,3 +27,13 @@ def test_read_ids_of_small_keys(spark):
     line = spark.read.parquet(f"{SF}/lineitem.parquet")
     plain = line.selectExpr(fixtures._READ_ID + " AS read_id")
     assert sorted(plain.collect()) == sorted(fixtures.reads(spark, SF).select("read_id").collect())
+
+
+def test_reference_is_made_in_batches(spark):
+    """The bases of ref_index(), without a lambda for each base in the one task that knows how long it is."""
+    r = fixtures.reference(spark, SF)
+    assert "lambdafunction" not in r._jdf.queryExecution().optimizedPlan().toString()
+    for x in r.where("chunk_start < 2000").collect():
+        for i in (0, 1, 100, CHUNK - 1):
+            q, c = x["chunk_start"] + i, int(x["chrom"][3:])
+            assert x["bases"][i] == "ACGT"[0 if q // 12 % 9 == 0 else (q * 7 + q // 3 * 5 + c * 3 + q * q) % 4]
